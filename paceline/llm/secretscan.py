@@ -1,7 +1,7 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two first-order models over the characters of KEY_CHARS are trained from labelled samples, counted over all documents:
-what the patterns match is labelled random, all other text ordinary. A candidate of MIN_LENGTH characters or more that
+what the patterns match is labelled random, all other text ordinary but for unlabelled candidates. A candidate of MIN_LENGTH characters or more that
 no pattern covers is reported where the log-likelihood ratio of the models exceeds MIN_RATIO nats and it has a digit.
 Null texts are empty. Spans are in code points, end exclusive.
 """
@@ -30,6 +30,7 @@ _ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_LENGTH)
+_VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+\Z")
 _DIGIT = re.compile(r"[0-9]")
 _N = len(KEY_CHARS) + 1
 _CLASS = np.zeros(256, np.uint16)
@@ -48,26 +49,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _uncovered(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """(start, end) of the candidates that overlap none of the found spans."""
+    starts, ends = [s for s, _, _ in found], list(accumulate((e for *_, e in found), max))
+    for m in _CANDIDATE.finditer(text):
+        if _DIGIT.search(m[0]):
+            k = bisect_left(starts, m.end())
+            if not k or ends[k - 1] <= m.start():
+                yield m.span()
+
+
 def _transitions(data: bytes) -> np.ndarray:
     k = _CLASS[np.frombuffer(data, np.uint8)]
     return np.bincount(k[:-1].astype(np.int32) * _N + k[1:], minlength=_N * _N).astype(np.int64) if len(k) > 1 else np.zeros(_N * _N, np.int64)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, random = np.zeros(_N * _N, np.int64), np.zeros(_N * _N, np.int64)
+    ordinary, random = np.zeros(_N * _N, np.int64), np.zeros(_N * _N, np.int64)
     for batch in batches:
-        held, taken = [], []
+        held, taken, apart = [], [], []
         for text in batch.column("text").to_pylist():
             if text:
                 held.append(text)
-                taken += [text[s:e].rpartition("=")[2].lstrip(" \"'") if k == 0 else text[s:e] for s, k, e in base_spans(text)]
+                found = base_spans(text)
+                taken += [_VALUE.search(text[s:e])[0] for s, _, e in found]
+                apart += [text[s:e] for s, e in _uncovered(text, found)] + [text[s:e] for s, _, e in found]
             if len(held) >= 300:
-                total += _transitions("\n".join(held).encode("utf-8", "replace"))
+                ordinary += _transitions("\n".join(held).encode("utf-8", "replace"))
                 held = []
-        total += _transitions("\n".join(held).encode("utf-8", "replace"))
+        ordinary += _transitions("\n".join(held).encode("utf-8", "replace")) - _transitions("\n".join(apart).encode("utf-8", "replace"))
         random += _transitions("\n".join(taken).encode("utf-8", "replace"))
-    cells = np.flatnonzero(total + random)
-    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "ordinary": np.maximum(total - random, 0)[cells], "random": random[cells]})
+    ordinary = np.maximum(ordinary, 0)
+    cells = np.flatnonzero(ordinary + random)
+    yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "ordinary": ordinary[cells], "random": random[cells]})
 
 
 def train(docs: DataFrame) -> np.ndarray:
@@ -88,16 +102,10 @@ def train(docs: DataFrame) -> np.ndarray:
 def spans(text: str, ratio: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, index of the kind, end): those of the patterns, and those that the models add beside them."""
     out, more = base_spans(text), []
-    starts, ends = [s for s, _, _ in out], list(accumulate((e for *_, e in out), max))
-    for m in _CANDIDATE.finditer(text):
-        if not _DIGIT.search(m[0]):
-            continue
-        k = bisect_left(starts, m.end())
-        if k and ends[k - 1] > m.start():  # it overlaps a span of the patterns
-            continue
-        c = _CLASS[np.frombuffer(m[0].encode(), np.uint8)]
+    for start, end in _uncovered(text, out):
+        c = _CLASS[np.frombuffer(text[start:end].encode(), np.uint8)]
         if ratio[c[:-1], c[1:]].sum() > MIN_RATIO:
-            more.append((m.start(), 3, m.end()))
+            more.append((start, 3, end))
     return sorted(out + more)
 
 

@@ -158,7 +158,7 @@ def test_language(spark):
 def test_language_probabilities_sum_to_one(spark):
     rows = [(i, t, "en", s, n) for i, t, _, s, n in prose(9, 60)]
     m = langid.fit(docs(spark, rows))
-    every = np.arange(0, 0x10000, dtype=np.int64)
+    every = np.arange(0, 0x250, dtype=np.int64)
     for context in ("the", "\x01\x01\x01", "qqq"):
         c = [ord(x) for x in context]
         total = np.exp(m.log_p("en", every | (c[2] << 16) | (c[1] << 32) | (c[0] << 48))).sum()
