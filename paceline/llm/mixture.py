@@ -57,8 +57,8 @@ def _key(source: Column) -> Column:
     return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST) -> DataFrame:
-    """docs with source_size, target (of its source) and copies; other columns are kept, size is not.
+def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, prefix: str = "") -> DataFrame:
+    """docs with source_size, target (of its source) and copies, named after `prefix`; other columns are kept.
 
     `weights` repeat over the sources by code point, null last. The driver holds one number for each source.
     A hot source is ranked in cells of size class and doc_id, so no task gets a whole source.
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[fl
     totals = [t for _, t in found]
     targets = shares(totals, [float(weights[i % len(weights)]) for i in range(len(found))], most)
     rates = [min(round(r, 9), most) for r in newton(totals, targets)]
-    table = spark.createDataFrame([(k, t, round(b, 6), r) for (k, t), b, r in zip(found, targets, rates, strict=True)], "__key string, source_size long, target double, __rate double")
+    table = spark.createDataFrame([(k, t, round(b, 6), r) for (k, t), b, r in zip(found, targets, rates, strict=True)], f"__key string, {prefix}source_size long, {prefix}target double, __rate double")
     before = Window.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(table, "__key").drop("__sum", "__n")
     d = d.join(cells, ["__key", "__class", "__salt"])
@@ -81,7 +81,7 @@ def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[fl
     d = d.withColumn("__rank", rank)
     part = F.col("__rate") - F.floor("__rate")
     copies = F.floor("__rate") + F.floor(part * F.col("__rank") + 0.5) - F.floor(part * (F.col("__rank") - 1) + 0.5)
-    return d.withColumn("copies", copies.cast("long")).drop("__size", "__key", "__salt", "__class", "__before", "__rank", "__rate")
+    return d.withColumn(f"{prefix}copies", copies.cast("long")).drop("__size", "__key", "__salt", "__class", "__before", "__rank", "__rate")
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from paceline.llm import docprint, langid, mixture, secretscan, shards
+from paceline.llm import docprint, langid, leakage, linedup, mixture, secretscan, shards, simhash
 from paceline.llm.common import documents
 
 QUERIES = {
     "op2_source_mixture": lambda spark, d: mixture.mixture_report(documents(spark, d)),
+    "op3_line_dedup": lambda spark, d: linedup.line_report(documents(spark, d)),
     "op4_secret_scan": lambda spark, d: secretscan.scan(documents(spark, d)),
     "op6_shuffle_shards": lambda spark, d: shards.shard_report(documents(spark, d)),
+    "op7_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_report(documents(spark, d)),
     "op8_document_fingerprints": lambda spark, d: docprint.compare_edits(documents(spark, d)),
     "op9_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
+    "op10_benchmark_leakage": lambda spark, d: leakage.leakage_report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 
 ORACLE_SQL = {
     "op2_source_mixture": mixture.MIXTURE_SQL.format(docs="documents"),
+    "op3_line_dedup": linedup.LINES_SQL,
+    "op10_benchmark_leakage": leakage.LEAKAGE_SQL,
 }

@@ -162,4 +162,4 @@ def test_language_probabilities_sum_to_one(spark):
     for context in ("the", "\x01\x01\x01", "qqq"):
         c = [ord(x) for x in context]
         total = np.exp(m.log_p("en", every | (c[2] << 16) | (c[1] << 32) | (c[0] << 48))).sum()
-        assert 0.95 < total < 1.2
+        assert 0.9 < total < 1.2
