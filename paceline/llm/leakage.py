@@ -61,11 +61,11 @@ class Index:
         return cut(d.select("item", "n", F.col("rare.off").alias("off"), F.col("rare.t").alias("t")).distinct())
 
     def phrases(self) -> DataFrame:
-        """(doc_id, th, item_id, start, length): every occurrence of a window."""
+        """(doc_id, th, item_id, start, length): every occurrence of a window, more than once for repeated rows."""
         hits = self.postings.join(self.near(self.anchors()), "t").select("doc_id", "th", F.struct("item", "n", (F.col("pos") - F.col("off")).alias("shift")).alias("c"))
         hits = hits.groupBy("doc_id", "th").agg(F.collect_set("c").alias("cs"))
         d = self.docs.alias("d").join(hits.alias("h"), F.col("d.doc_id").eqNullSafe(F.col("h.doc_id")) & (F.col("d.th") == F.col("h.th")))
-        d = d.select("d.doc_id", "d.th", "cs", terms(F.col("text")).alias("tokens")).dropDuplicates(["doc_id", "th"])
+        d = d.select("d.doc_id", "d.th", "cs", terms(F.col("text")).alias("tokens"))
         part = lambda c: F.slice("tokens", F.greatest(c["shift"], F.lit(0)) + 1, c["n"] + F.least(c["shift"], F.lit(0)))
         d = d.select("doc_id", "th", F.explode(F.transform("cs", lambda c: F.struct(c["item"].alias("item"), c["shift"].alias("shift"), part(c).alias("got")))).alias("c")).select("doc_id", "th", "c.*")
         d = d.join(self.near(self.items.select("item", "item_id", "words", "n")), "item").withColumn("w", F.least("n", F.lit(WINDOW)))
