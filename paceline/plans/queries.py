@@ -1,4 +1,617 @@
-"""Queries of the planner."""
+"""Registered queries of the planner over the driver's tables, and the SQL they are held against.
 
+Both sides are written apart: queries call the operators, the SQL derives the same rows by recursion and windows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig
+from paceline.functions import columns as C
+from paceline.functions.flips import flip_table
+from paceline.operators import align, emit, planner, progress, segment, windows
+from paceline.sources import samples as S
+
+WORLD, WINDOW, BUDGET = 4, 32, 2048
+LONE_WINDOW, LONE_BUDGET = 128, 4096
+CAP = 12
+SEED = 67108
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- shared frames -------------------------------------------------------------------------------------------------
+
+def _lone(spark: SparkSession, d: str) -> DataFrame:
+    return windows.windows(S.document_samples(spark, d, 1), LONE_WINDOW)
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    return windows.windows(S.document_samples(spark, d, WORLD), WINDOW)
+
+
+def _lone_members(spark: SparkSession, d: str) -> DataFrame:
+    return segment.greedy_groups(_lone(spark, d), LONE_BUDGET)
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return segment.greedy_groups(_ranked(spark, d), BUDGET)
+
+
+def _uneven(spark: SparkSession, d: str) -> DataFrame:
+    """Ranks with shares of about 4:3:2:1, so that alignment has to split and to drop."""
+    docs = S.table(spark, d, "documents")
+    rank = F.expr("case when sample_id % 10 < 4 then 0 when sample_id % 10 < 7 then 1 when sample_id % 10 < 9 then 2 else 3 end")
+    narrow = docs.select(F.col("doc_id").alias("sample_id"), S.words(F.col("text")).alias("length"), F.pmod(F.col("doc_id"), F.lit(4)).cast("long").alias("n_patches"))
+    return windows.windows(S.arrivals(narrow.withColumn("__r", rank), F.col("__r"), "sample_id").drop("__r"), WINDOW)
+
+
+class _Round:
+    """Round-local alignment of the uneven ranks, with nothing carried over."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        rows = _uneven(spark, d)
+        self.slots = rows.groupBy("round", "rank").agg(F.count(F.lit(1)).alias("slots"))
+        self.members = segment.greedy_groups(rows, BUDGET)
+        self.groups = segment.group_table(self.members)
+        self.target = align.targets(self.groups, self.slots)
+        self.aligned = align.aligned(self.members, self.target)
+        self.sizes = align.aligned_groups(self.aligned)
+        flips = flip_table(spark, "balanced", SEED, 200, WORLD)
+        self.flipped = align.flipped(self.sizes, flips)
+        self.total = align.totals(self.flipped)
+
+
+SAMPLES = """docs AS (SELECT doc_id AS sample_id, doc_id % 4 AS n_patches, COALESCE(len(string_split(text, ' ')), 0)::BIGINT AS length, text FROM documents)"""
+
+
+def _rec(rank: str, window: int, budget: int) -> str:
+    """WITH RECURSIVE up to members (rank, round, p descending, pos, group_idx, n_groups) and grp."""
+    return f"""WITH RECURSIVE {SAMPLES},
+ranked AS (SELECT *, ({rank})::INT AS rank FROM docs),
+arr AS (SELECT *, row_number() OVER (PARTITION BY rank ORDER BY sample_id) - 1 AS arrival_idx FROM ranked),
+win AS (SELECT *, arrival_idx // {window} AS round FROM arr),
+sorted AS (SELECT *, row_number() OVER (PARTITION BY rank, round ORDER BY length DESC, arrival_idx DESC) AS p, COUNT(*) OVER (PARTITION BY rank, round) AS n FROM win WHERE length > 0),
+seg AS (
+  SELECT rank, round, 1 AS k, 1::BIGINT AS b, 1::BIGINT AS e, n FROM sorted WHERE p = 1
+  UNION ALL
+  SELECT s.rank, s.round, s.k + 1, s.e + 1, least(s.n, s.e + greatest({budget} // d.length, 1)), s.n
+  FROM seg s JOIN sorted d ON d.rank = s.rank AND d.round = s.round AND d.p = s.e WHERE s.e < s.n),
+cnt AS (SELECT rank, round, COUNT(*) AS n_groups FROM seg GROUP BY ALL),
+members AS (
+  SELECT d.*, d.n - d.p AS pos, c.n_groups - s.k AS group_idx, c.n_groups
+  FROM sorted d JOIN seg s ON d.rank = s.rank AND d.round = s.round AND d.p BETWEEN s.b AND s.e JOIN cnt c ON c.rank = d.rank AND c.round = d.round),
+grp AS (
+  SELECT rank, round, group_idx, COUNT(*) AS size, SUM(length)::BIGINT AS tokens, MAX(length) AS max_len, MIN(length) AS min_len, SUM(n_patches)::BIGINT AS patches
+  FROM members GROUP BY ALL)"""
+
+
+LONE = _rec("0", LONE_WINDOW, LONE_BUDGET)
+EVEN = _rec("sample_id % 4", WINDOW, BUDGET)
+UNEVEN_RANK = "CASE WHEN sample_id % 10 < 4 THEN 0 WHEN sample_id % 10 < 7 THEN 1 WHEN sample_id % 10 < 9 THEN 2 ELSE 3 END"
+
+
+def _flip_values() -> str:
+    """Flips of the balanced mode as literals, from the definition of the hash."""
+    import hashlib
+
+    rows = []
+    for k in range(200):
+        data = b"".join(str(x).encode() + b"\0" for x in ("rank_window_balanced", SEED, k, WORLD))
+        odd = hashlib.blake2b(data, digest_size=8).digest()[-1] & 1
+        rows += [f"({k}, {r}, {'true' if (r + odd) & 1 else 'false'})" for r in range(WORLD)]
+    return ", ".join(rows)
+
+
+FLIPS = f"(VALUES {_flip_values()}) AS f(round, rank, flip)"
+
+ROUND = _rec(UNEVEN_RANK, WINDOW, BUDGET) + f""",
+slot AS (SELECT round, rank, COUNT(*) AS slots FROM win GROUP BY ALL),
+own AS (SELECT s.round, s.rank, s.slots, COALESCE(COUNT(g.size), 0) AS n_groups, COALESCE(SUM(g.size), 0)::BIGINT AS n FROM slot s LEFT JOIN grp g USING (round, rank) GROUP BY ALL),
+tgt AS (
+  SELECT round, rank, n_groups, slots,
+         greatest(least(MAX(n_groups) FILTER (n_groups > 0) OVER w, MIN(slots) FILTER (n_groups > 0 AND slots > 0) OVER w, MIN(n) FILTER (n_groups > 0) OVER w), 1)::BIGINT AS target
+  FROM own WINDOW w AS (PARTITION BY round)),
+m1 AS (
+  SELECT m.* EXCLUDE (n_groups), t.n_groups, t.target, row_number() OVER (PARTITION BY m.round, m.rank, group_idx ORDER BY pos) AS gp, COUNT(*) OVER (PARTITION BY m.round, m.rank, group_idx) AS gsize
+  FROM members m JOIN tgt t ON t.round = m.round AND t.rank = m.rank),
+m2 AS (
+  SELECT *, gp > 1 AND SUM(CASE WHEN gp > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY round, rank ORDER BY pos DESC) <= target - n_groups AS alone FROM m1),
+keepers AS (
+  SELECT round, rank, group_idx FROM (SELECT g.round, g.rank, g.group_idx, t.target, row_number() OVER (PARTITION BY g.round, g.rank ORDER BY size DESC, group_idx) AS r FROM grp g JOIN tgt t ON t.round = g.round AND t.rank = g.rank) WHERE r <= target),
+m3 AS (
+  SELECT m2.*, k.group_idx IS NOT NULL AS kept FROM m2 LEFT JOIN keepers k ON k.round = m2.round AND k.rank = m2.rank AND k.group_idx = m2.group_idx),
+al AS (
+  SELECT *, CASE WHEN kept THEN SUM(CASE WHEN kept AND (gp = 1 OR alone) THEN 1 ELSE 0 END) OVER (PARTITION BY round, rank ORDER BY pos) - 1 END::BIGINT AS aligned_idx FROM m3),
+ag AS (SELECT round, rank, aligned_idx, COUNT(*) AS size, SUM(length)::BIGINT AS tokens, MAX(target) AS target FROM al WHERE kept GROUP BY ALL),
+fl AS (SELECT a.*, CASE WHEN flip THEN target - 1 - aligned_idx ELSE aligned_idx END::BIGINT AS emit_pos FROM ag a JOIN {FLIPS} ON f.round = a.round AND f.rank = a.rank),
+tot AS (SELECT *, SUM(size) OVER (PARTITION BY round, emit_pos)::BIGINT AS total_size, SUM(tokens) OVER (PARTITION BY round, emit_pos)::BIGINT AS total_tokens FROM fl)"""
+
+
+# ---- sources, projections, filters ---------------------------------------------------------------------------------
+
+@query(f"WITH {SAMPLES} SELECT sample_id, length, n_patches FROM docs")
+def scan_samples(spark, d):
+    return S.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), S.words(F.col("text")).alias("length"), F.pmod(F.col("doc_id"), F.lit(4)).cast("long").alias("n_patches"))
+
+
+@query("SELECT vec_id, len(embedding)::BIGINT AS flat, CASE WHEN vec_id % 5 = 0 THEN 0 ELSE len(embedding) END::BIGINT AS nested, 0::BIGINT AS other, CASE WHEN vec_id % 7 = 0 THEN 0 ELSE len(embedding) END::BIGINT AS maybe FROM embeddings")
+def input_length(spark, d):
+    e = S.table(spark, d, "embeddings")
+    e = e.withColumns({
+        "two": F.array(F.when(F.col("vec_id") % 5 == 0, F.slice("embedding", 1, 0)).otherwise(F.col("embedding"))),
+        "none": F.when(F.col("vec_id") % 7 != 0, F.col("embedding"))})
+    of = lambda n: C.input_length(n, e.schema)
+    return e.select("vec_id", of("embedding").alias("flat"), of("two").alias("nested"), of("label").alias("other"), of("none").alias("maybe"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 0 ELSE doc_id % 5 END::BIGINT AS n_patches, (doc_id % 5 * 6 + 4)::BIGINT AS grid FROM documents")
+def n_patches(spark, d):
+    t = S.table(spark, d, "documents")
+    k = F.col("doc_id") % 5
+    grid = F.array(F.array(k, F.lit(2).cast("long"), F.lit(3).cast("long")), F.array(*[F.lit(x).cast("long") for x in (1, 2, 2)]))
+    return t.select("doc_id", C.n_patches(F.when(F.col("doc_id") % 3 != 0, k)).alias("n_patches"), C.grid_patches(grid).alias("grid"))
+
+
+@query("SELECT doc_id, len(string_split(text, ' '))::BIGINT AS length FROM documents WHERE doc_id % 17 <> 0")
+def filter_positive(spark, d):
+    t = S.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 17 == 0, 0).otherwise(S.words(F.col("text"))).alias("length"))
+    return t.filter("length > 0")
+
+
+@query(f"""WITH {SAMPLES} SELECT sample_id, greatest(2048 // length, 1)::BIGINT AS by_tokens,
+CASE WHEN n_patches > 0 THEN least(greatest(2048 // length, 1), greatest(12 // n_patches, 1)) ELSE greatest(2048 // length, 1) END::BIGINT AS by_both FROM docs""")
+def target_batch_size(spark, d):
+    t = scan_samples(spark, d)
+    return t.select("sample_id", C.target_batch_size(F.col("length"), BUDGET).alias("by_tokens"), C.target_batch_size(F.col("length"), BUDGET, F.col("n_patches"), CAP).alias("by_both"))
+
+
+@query("SELECT (o_orderkey % 4)::INT AS rank, COUNT(*) AS n, SUM(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1")
+def shard_ranks(spark, d):
+    t = S.table(spark, d, "orders").select(F.pmod("o_orderkey", F.lit(WORLD)).cast("int").alias("rank"), "o_orderkey")
+    return t.groupBy("rank").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("SELECT event_id, (user_id % 4)::INT AS rank, row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS arrival_idx FROM events")
+def arrival_order(spark, d):
+    return S.arrivals(S.table(spark, d, "events").select("event_id", "user_id"), F.pmod("user_id", F.lit(WORLD)), "event_id").select("event_id", "rank", F.col("arrival_idx").cast("long"))
+
+
+@query(f"WITH {SAMPLES}, r AS (SELECT sample_id, (sample_id % 4)::INT AS rank, row_number() OVER (PARTITION BY sample_id % 4 ORDER BY sample_id) - 1 AS a FROM docs) SELECT sample_id, rank, (a // 32)::BIGINT AS round FROM r")
+def count_window(spark, d):
+    return _ranked(spark, d).select("sample_id", "rank", "round")
+
+
+def _ramp_ends(window: int) -> list[int]:
+    out, c, at = [], 0.0, 0
+    while c < 1.0:
+        at += max(1, int(window * c))
+        out.append(at)
+        c = min(1.0, c + 0.05)
+    return out
+
+
+@query(f"""WITH {SAMPLES}, r AS (SELECT sample_id, row_number() OVER (ORDER BY sample_id) - 1 AS a FROM docs)
+SELECT sample_id, CASE WHEN a >= {_ramp_ends(64)[-1]} THEN {len(_ramp_ends(64))} + (a - {_ramp_ends(64)[-1]}) // 64
+ELSE (SELECT COUNT(*) FROM (VALUES {', '.join(f'({e})' for e in _ramp_ends(64))}) v(e) WHERE e <= a) END::BIGINT AS round FROM r""")
+def warmup_window(spark, d):
+    return windows.windows(S.document_samples(spark, d, 1), 64, warmup=True).select("sample_id", "round")
+
+
+@query(EVEN + " SELECT sample_id, rank, round, row_number() OVER (PARTITION BY rank, round ORDER BY length, arrival_idx) - 1 AS pos FROM win")
+def length_rank(spark, d):
+    return segment.length_rank(_ranked(spark, d)).select("sample_id", "rank", "round", F.col("pos").cast("long"))
+
+
+@query("SELECT conv_id, COUNT(*) AS turns, SUM(len(string_split(text, ' ')))::BIGINT AS length FROM conversations GROUP BY conv_id")
+def flatten_buffer(spark, d):
+    t = S.table(spark, d, "conversations").withColumn("n", S.words(F.col("text")))
+    return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("length"))
+
+
+@query(f"WITH {SAMPLES} SELECT CASE WHEN length < 384 THEN 'short' WHEN length < 1400 THEN 'middle' ELSE 'long' END AS class, COUNT(*) AS n, SUM(length)::BIGINT AS tokens FROM docs GROUP BY 1")
+def length_classes(spark, d):
+    c = F.when(F.col("length") < 384, "short").when(F.col("length") < 1400, "middle").otherwise("long")
+    return scan_samples(spark, d).groupBy(c.alias("class")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("tokens"))
+
+
+@query("""SELECT 2000::BIGINT AS n, 2000::BIGINT AS ids, true AS in_range, true AS short_share, true AS middle_share, true AS tokens_match""")
+def synthetic_lengths(spark, d):
+    t = S.synthetic_lengths(spark, 2000)
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return t.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("sample_id").alias("ids"), F.bool_and(F.col("length").between(64, 4095)).alias("in_range"),
+        share(F.col("length") < 384).between(0.67, 0.77).alias("short_share"), share(F.col("length").between(384, 1399)).between(0.17, 0.27).alias("middle_share"),
+        F.bool_and((F.size("input_ids") == F.col("length")) & (F.get("input_ids", F.lit(0)) == F.pmod("sample_id", F.lit(32000)))).alias("tokens_match"))
+
+
+_RULES = {"has_table": "<table", "has_script": "<script", "has_link": "href=", "has_number": "[0-9]{4,}", "has_form": "<form|<input"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS rule, COUNT(*) FILTER (regexp_matches(html, '{rx}')) AS hits FROM pages" for n, rx in _RULES.items()))
+def text_rule_audit(spark, d):
+    return S.rule_audit(S.table(spark, d, "pages"), "html", _RULES)
+
+
+@query("SELECT rule, hits, row_number() OVER (ORDER BY hits DESC, rule) AS place FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS rule, COUNT(*) FILTER (regexp_matches(html, '{rx}')) AS hits FROM pages" for n, rx in _RULES.items()) + ") WHERE hits > 0")
+def text_rule_counts(spark, d):
+    t = S.rule_audit(S.table(spark, d, "pages"), "html", _RULES).filter("hits > 0").withColumn("all", F.lit(0))
+    return t.select("rule", "hits", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("hits"), "rule")).cast("long").alias("place"))
+
+
+# Names of the modes and what they stand for.
+@query("""SELECT * FROM (VALUES ('flip','','none'),('flip','0','none'),('flip','false','none'),('flip','none','none'),('flip','a','none'),
+('flip','rank_epoch_random','rank_epoch_random'),('flip','epoch_random','rank_epoch_random'),('flip','b','rank_epoch_random'),
+('flip','rank_window_random','rank_window_random'),('flip','window_random','rank_window_random'),('flip','c','rank_window_random'),
+('flip','rank_window_balanced','rank_window_balanced'),('flip','window_balanced','rank_window_balanced'),('flip','balanced','rank_window_balanced'),('flip','d','rank_window_balanced'),
+('scaling','none','none'),('scaling','no','none'),('scaling','off','none'),('scaling','false','none'),('scaling','approx','approx'),('scaling','token','approx'),
+('scaling','token_approx','approx'),('scaling','approximate','approx'),('scaling','exact','exact'),('scaling','token_exact','exact')) v(kind, name, mode)""")
+def normalize_modes(spark, d):
+    rows = [("flip", k, v) for k, v in FLIP_ALIASES.items()] + [("scaling", k, v) for k, v in SCALING_ALIASES.items()]
+    given = spark.createDataFrame([(kind, f" {k.upper().replace('_', '-')} ", v) for kind, k, v in rows], "kind string, given string, mode string")
+    return given.select("kind", F.translate(F.lower(F.trim("given")), "-", "_").alias("name"), "mode")
+
+
+# ---- segmentation ---------------------------------------------------------------------------------------------------
+
+@query(LONE + " SELECT round, sample_id, group_idx::BIGINT AS group_idx, pos::BIGINT AS pos FROM members")
+def greedy_groups(spark, d):
+    return _lone_members(spark, d).select("round", "sample_id", "group_idx", "pos")
+
+
+PATCHED = f"""WITH RECURSIVE {SAMPLES},
+arr AS (SELECT *, row_number() OVER (ORDER BY sample_id) - 1 AS a FROM docs),
+sorted AS (SELECT *, a // {LONE_WINDOW} AS round, row_number() OVER (PARTITION BY a // {LONE_WINDOW} ORDER BY length DESC, a DESC) AS p FROM arr WHERE length > 0),
+fit AS (SELECT *, CASE WHEN n_patches > 0 THEN least(greatest({BUDGET} // length, 1), greatest({CAP} // n_patches, 1)) ELSE greatest({BUDGET} // length, 1) END AS f FROM sorted),
+st AS (
+  SELECT round, 1::BIGINT AS p, 0::BIGINT AS k, f AS lim, 0::BIGINT AS n, 0::BIGINT AS pt FROM fit WHERE p = 1
+  UNION ALL
+  SELECT round, p, k, CASE WHEN n1 >= lim THEN f ELSE lim END, CASE WHEN n1 >= lim THEN 0 ELSE n1 END, CASE WHEN n1 >= lim THEN 0 ELSE pt1 END
+  FROM (SELECT s.round, x.p, x.f, s.lim,
+               CASE WHEN s.n = 0 OR s.pt + x.n_patches > {CAP} THEN s.k + 1 ELSE s.k END AS k,
+               CASE WHEN s.n > 0 AND s.pt + x.n_patches > {CAP} THEN 1 ELSE s.n + 1 END AS n1,
+               CASE WHEN s.n > 0 AND s.pt + x.n_patches > {CAP} THEN x.n_patches ELSE s.pt + x.n_patches END AS pt1
+        FROM st s JOIN fit x ON x.round = s.round AND x.p = s.p + 1))
+"""
+
+
+@query(PATCHED + "SELECT s.round, x.sample_id, (MAX(k) OVER (PARTITION BY s.round) - k)::BIGINT AS group_idx FROM st s JOIN fit x ON x.round = s.round AND x.p = s.p")
+def greedy_groups_patches(spark, d):
+    return segment.greedy_groups(_lone(spark, d), BUDGET, CAP).select("round", "sample_id", "group_idx")
+
+
+@query(PATCHED + "SELECT round, group_idx >= 20 AS recycled, COUNT(*) AS n FROM (SELECT s.round, MAX(k) OVER (PARTITION BY s.round) - k AS group_idx FROM st s) GROUP BY ALL")
+def clamp_groups(spark, d):
+    m = segment.clamp(segment.greedy_groups(_lone(spark, d), BUDGET, CAP), 20)
+    return m.groupBy("round", "recycled").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {SAMPLES}, a AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) // 8 AS b FROM docs) SELECT b::BIGINT AS batch_idx, COUNT(*) AS size, SUM(length)::BIGINT AS tokens, MAX(length) AS max_len FROM a GROUP BY b")
+def fixed_batches(spark, d):
+    t = segment.fixed_batches(S.document_samples(spark, d, 1), 8)
+    return t.groupBy("batch_idx").agg(F.count(F.lit(1)).alias("size"), F.sum("length").alias("tokens"), F.max("length").alias("max_len"))
+
+
+# ---- one rank: emission and measures ---------------------------------------------------------------------------------
+
+@query(LONE + " SELECT round, group_idx::BIGINT AS group_idx, size, tokens, max_len, size AS total_size, tokens AS total_tokens, size = 1 AND max_len > 4096 AS over_budget FROM grp")
+def single_rank_plan(spark, d):
+    g = segment.group_table(_lone_members(spark, d))
+    return g.select("round", "group_idx", "size", "tokens", "max_len", F.col("size").alias("total_size"), F.col("tokens").alias("total_tokens"), ((F.col("size") == 1) & (F.col("max_len") > LONE_BUDGET)).alias("over_budget"))
+
+
+@query("SELECT conv_id, COUNT(*) > 0 AND bool_and(len(string_split(text, ' ')) > 3) AS valid FROM conversations GROUP BY conv_id")
+def valid_batch(spark, d):
+    t = S.table(spark, d, "conversations").withColumn("length", F.when(S.words(F.col("text")) > 3, S.words(F.col("text"))).otherwise(0))
+    return t.groupBy("conv_id").agg((F.bool_and(F.col("length") > 0) & (F.count(F.lit(1)) > 0)).alias("valid"))
+
+
+@query(LONE + " SELECT round, group_idx::BIGINT AS group_idx, COUNT(*) AS local_samples FROM members GROUP BY ALL")
+def local_samples(spark, d):
+    return _lone_members(spark, d).groupBy("round", "group_idx").agg(F.count(F.lit(1)).alias("local_samples"))
+
+
+@query(LONE + """ SELECT m.sample_id, g.max_len::BIGINT AS padded_len, m.length AS real_len, (g.max_len - m.length)::BIGINT AS zeros
+FROM members m JOIN grp g ON g.round = m.round AND g.group_idx = m.group_idx""")
+def pad_collate(spark, d):
+    ids = F.transform(F.split("text", " "), lambda w: F.crc32(w.cast("binary")) + 1)
+    text = S.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), ids.alias("ids"))
+    m = _lone_members(spark, d).select("sample_id", "round", "group_idx").join(text, "sample_id")
+    p = emit.pad(m, "ids", ("round", "group_idx"))
+    return p.select("sample_id", F.size("ids").cast("long").alias("padded_len"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("real_len"), F.size(F.filter("ids", lambda x: x == 0)).cast("long").alias("zeros"))
+
+
+@query(LONE + """, slot AS (SELECT rank, round, unnest(range(COUNT(*))) AS slot FROM win GROUP BY rank, round)
+SELECT s.round, s.slot::BIGINT AS slot, g.size IS NULL AS is_idle, COALESCE(g.size, 0)::BIGINT AS size, CASE WHEN g.size IS NULL THEN -4201 ELSE 0 END::BIGINT AS marker
+FROM slot s LEFT JOIN grp g ON g.round = s.round AND g.group_idx = s.slot""")
+def slot_emission(spark, d):
+    slots = _lone(spark, d).groupBy("round", "rank").agg(F.count(F.lit(1)).alias("slots"))
+    e = emit.slot_emission(segment.group_table(_lone_members(spark, d)), slots)
+    return e.select("round", "slot", "is_idle", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.when(F.col("is_idle"), emit.IDLE).otherwise(0).cast("long").alias("marker"))
+
+
+@query(LONE + """ SELECT round, group_idx::BIGINT AS group_idx, size AS all_samples, round(tokens::DOUBLE / (tokens + max_len) * 4, 6) AS by_tokens, 1.0::DOUBLE AS off,
+CASE WHEN group_idx % 2 = 0 THEN round(tokens::DOUBLE / (tokens + max_len) * 4, 6) ELSE round(size::DOUBLE / (size + 1) * 4, 6) END AS auto FROM grp""")
+def step_info(spark, d):
+    g = segment.group_table(_lone_members(spark, d))
+    n, t = F.col("size"), F.col("tokens")
+    some = F.when(F.col("group_idx") % 2 == 0, t)
+    of = lambda mode, tok: F.round(C.step_scale(mode, n, n + 1, tok, t + F.col("max_len"), WORLD), 6)
+    return g.select("round", "group_idx", n.alias("all_samples"), of("exact", t).alias("by_tokens"), of("none", t).alias("off"), of("auto", some).alias("auto"))
+
+
+@query(LONE + " SELECT round, group_idx::BIGINT AS group_idx, size, (size * max_len)::BIGINT AS sequence_total, patches FROM grp")
+def batch_profile(spark, d):
+    g = segment.group_table(_lone_members(spark, d))
+    return g.select("round", "group_idx", "size", (F.col("size") * F.col("max_len")).alias("sequence_total"), "patches")
+
+
+@query("SELECT doc_id % 3 = 0 OR len(text) > 2000 AS ready, COUNT(*) AS n FROM documents GROUP BY 1")
+def ready_check(spark, d):
+    t = S.table(spark, d, "documents")
+    fields = F.array(F.when(F.col("doc_id") % 3 == 0, F.col("text")), F.when(F.length("text") > 2000, F.col("text")))
+    return t.groupBy(F.exists(fields, lambda x: x.isNotNull()).alias("ready")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LONE + " SELECT round, COUNT(*) AS steps, SUM(tokens)::BIGINT AS real_tokens, SUM(size * max_len)::BIGINT AS padded_tokens, round(1 - SUM(tokens)::DOUBLE / greatest(SUM(size * max_len), 1), 6) AS padding_ratio FROM grp GROUP BY round")
+def padding_ratio(spark, d):
+    g = segment.group_table(_lone_members(spark, d))
+    real, padded = F.sum("tokens"), F.sum(F.col("size") * F.col("max_len"))
+    return g.groupBy("round").agg(F.count(F.lit(1)).alias("steps"), real.alias("real_tokens"), padded.alias("padded_tokens"), F.round(1 - real / F.greatest(padded, F.lit(1)), 6).alias("padding_ratio"))
+
+
+@query(LONE + """, fixed AS (SELECT arrival_idx // 8 AS b, COUNT(*) AS size, SUM(length)::BIGINT AS tokens, MAX(length) AS max_len FROM win GROUP BY 1)
+SELECT 'greedy' AS plan, SUM(tokens)::BIGINT AS real_tokens, SUM(size * max_len)::BIGINT AS padded_tokens, COUNT(*) AS steps, round(1 - SUM(tokens)::DOUBLE / SUM(size * max_len), 6) AS padding_ratio FROM grp
+UNION ALL SELECT 'fixed', SUM(tokens)::BIGINT, SUM(size * max_len)::BIGINT, COUNT(*), round(1 - SUM(tokens)::DOUBLE / SUM(size * max_len), 6) FROM fixed""")
+def padding_compare(spark, d):
+    greedy = emit.padding(segment.group_table(_lone_members(spark, d))).select(F.lit("greedy").alias("plan"), "*")
+    fixed = segment.fixed_batches(S.document_samples(spark, d, 1), 8).groupBy("batch_idx").agg(F.count(F.lit(1)).alias("size"), F.sum("length").alias("tokens"), F.max("length").alias("max_len"))
+    return greedy.unionByName(emit.padding(fixed).select(F.lit("fixed").alias("plan"), "*"))
+
+
+# ---- alignment of a round ---------------------------------------------------------------------------------------------
+
+@query(ROUND + " SELECT round, rank, group_idx::BIGINT AS group_idx, size, tokens FROM grp")
+def gather_metadata(spark, d):
+    return _Round(spark, d).groups.select("round", "rank", "group_idx", "size", "tokens")
+
+
+@query(ROUND + """, info AS (SELECT r.round, k.rank, COALESCE(o.slots, 0) AS slots, COALESCE(o.n_groups, -1) AS n_groups FROM (SELECT DISTINCT round FROM own) r CROSS JOIN (VALUES (0), (1), (2), (3)) k(rank) LEFT JOIN own o ON o.round = r.round AND o.rank = k.rank)
+SELECT round, bool_and(n_groups = -1) AS finished_join, bool_or(n_groups = -1) AS finished_closure, COALESCE(MIN(slots) FILTER (n_groups <> -1) = 0, false) AS skip_join, NOT bool_or(n_groups = -1) AND MIN(slots) = 0 AS skip_closure FROM info GROUP BY round""")
+def finish_state(spark, d):
+    r = _Round(spark, d)
+    every = r.slots.select("round").distinct().withColumn("rank", F.explode(F.array(*[F.lit(x) for x in range(WORLD)])))
+    info = every.join(r.target.select("round", "rank", "slots", "n_groups"), ["round", "rank"], "left").fillna({"slots": 0, "n_groups": -1})
+    return align.finish_state(info)
+
+
+@query(ROUND + " SELECT round, rank, n_groups::BIGINT AS n_groups, slots, target FROM tgt")
+def align_target(spark, d):
+    return _Round(spark, d).target
+
+
+@query(ROUND + " SELECT a.round, a.rank, sample_id, group_idx::BIGINT AS group_idx, kept FROM al a WHERE n_groups > target")
+def align_topk(spark, d):
+    t = _Round(spark, d).aligned.filter("n_groups > target")
+    return t.select("round", "rank", "sample_id", "group_idx", F.col("aligned_idx").isNotNull().alias("kept"))
+
+
+@query(ROUND + " SELECT round, rank, sample_id, group_idx::BIGINT AS group_idx, aligned_idx FROM al WHERE n_groups < target")
+def align_split(spark, d):
+    return _Round(spark, d).aligned.filter("n_groups < target").select("round", "rank", "sample_id", "group_idx", "aligned_idx")
+
+
+@query(ROUND + " SELECT round, rank, aligned_idx, size, tokens FROM ag")
+def align_sizes(spark, d):
+    return _Round(spark, d).sizes.select("round", "rank", "aligned_idx", "size", "tokens")
+
+
+@query(f"SELECT round::BIGINT AS round, rank::INT AS rank, flip FROM {FLIPS}")
+def flip_table_balanced(spark, d):
+    return flip_table(spark, "balanced", SEED, 200, WORLD)
+
+
+@query(ROUND + " SELECT round, rank, aligned_idx, emit_pos FROM fl")
+def group_order_flip(spark, d):
+    return _Round(spark, d).flipped.select("round", "rank", "aligned_idx", "emit_pos")
+
+
+@query(ROUND + " SELECT round, rank, emit_pos, size AS local_size, total_size FROM tot")
+def total_batch_size(spark, d):
+    return _Round(spark, d).total.select("round", "rank", "emit_pos", F.col("size").alias("local_size"), "total_size")
+
+
+@query(ROUND + " SELECT round, rank, emit_pos, tokens AS local_tokens, total_tokens FROM tot")
+def tokens_exact(spark, d):
+    return _Round(spark, d).total.select("round", "rank", "emit_pos", F.col("tokens").alias("local_tokens"), "total_tokens")
+
+
+@query(ROUND + """, ch AS (SELECT round, MAX(CASE WHEN n_groups <> target THEN 1 ELSE 0 END) AS changed FROM tgt WHERE n_groups > 0 GROUP BY round),
+ap AS (SELECT f.round, f.rank, f.emit_pos, CASE WHEN changed = 1 THEN floor(f.size * (g.tokens::DOUBLE / g.size)) ELSE f.tokens END::BIGINT AS approx_tokens
+FROM fl f JOIN tgt t ON t.round = f.round AND t.rank = f.rank JOIN ch ON ch.round = f.round JOIN grp g ON g.round = f.round AND g.rank = f.rank AND g.group_idx = least(f.aligned_idx, t.n_groups - 1))
+SELECT round, rank, emit_pos, approx_tokens, SUM(approx_tokens) OVER (PARTITION BY round, emit_pos)::BIGINT AS total_tokens FROM ap""")
+def tokens_approx(spark, d):
+    r = _Round(spark, d)
+    a = align.approximate_tokens(r.flipped, r.groups, r.target)
+    return a.select("round", "rank", "emit_pos", "approx_tokens", F.sum("approx_tokens").over(Window.partitionBy("round", "emit_pos")).alias("total_tokens"))
+
+
+@query(ROUND + " SELECT round, rank, emit_pos, round(tokens::DOUBLE / total_tokens * 4, 6) AS loss_scale FROM tot")
+def loss_scale_tokens(spark, d):
+    return _Round(spark, d).total.select("round", "rank", "emit_pos", F.round(C.loss_scale(F.col("tokens"), F.col("total_tokens"), WORLD), 6).alias("loss_scale"))
+
+
+@query(ROUND + " SELECT round, rank, emit_pos, round(size::DOUBLE / total_size * 4, 6) AS loss_scale FROM tot")
+def loss_scale_samples(spark, d):
+    return _Round(spark, d).total.select("round", "rank", "emit_pos", F.round(C.loss_scale(F.col("size"), F.col("total_size"), WORLD), 6).alias("loss_scale"))
+
+
+@query(ROUND + " SELECT round, MAX(t) AS most, MIN(t) AS least, round(MAX(t)::DOUBLE / greatest(MIN(t), 1), 6) AS imbalance FROM (SELECT round, rank, SUM(tokens)::BIGINT AS t FROM ag GROUP BY ALL) GROUP BY round")
+def rank_imbalance(spark, d):
+    t = _Round(spark, d).sizes.groupBy("round", "rank").agg(F.sum("tokens").alias("t"))
+    return t.groupBy("round").agg(F.max("t").alias("most"), F.min("t").alias("least"), F.round(F.max("t") / F.greatest(F.min("t"), F.lit(1)), 6).alias("imbalance"))
+
+
+@query(ROUND + " SELECT round, rank, (slots - target)::BIGINT AS idle FROM tgt WHERE n_groups > 0")
+def idle_slots(spark, d):
+    r = _Round(spark, d)
+    e = emit.slot_emission(r.flipped.select("round", "rank", "emit_pos", "size"), r.slots, "emit_pos")
+    return e.groupBy("round", "rank").agg(F.sum(F.when(F.col("is_idle"), 1).otherwise(0)).alias("idle"))
+
+
+# ---- the multi-round planner: invariants of the plan as expected rows ---------------------------------------------------
+
+def _planned(spark, d, uneven: bool = True, **more) -> DataFrame:
+    rows = _uneven(spark, d) if uneven else _ranked(spark, d)
+    config = PlanConfig(token_budget=BUDGET, window=WINDOW, world_size=WORLD, group_order_flip="balanced", **more)
+    return planner.plan(rows, config)
+
+
+PARTS = "SELECT COUNT(*) AS samples, COUNT(*) AS placed, 0::BIGINT AS repeated, true AS within_budget, true AS sizes_match FROM documents"
+
+
+def _invariants(p: DataFrame, samples: DataFrame) -> DataFrame:
+    m = p.filter("status = 'emitted'").join(samples.select("sample_id", "length"), "sample_id")
+    g = m.groupBy("rank", "step").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.max("group_size").alias("size"))
+    fits = g.agg(F.bool_and((F.col("n") == 1) | (F.col("n") * F.col("longest") <= BUDGET)).alias("within_budget"), F.bool_and(F.col("n") == F.col("size")).alias("sizes_match"))
+    one = p.groupBy("sample_id").agg(F.count(F.lit(1)).alias("c"))
+    c = one.agg(F.count(F.lit(1)).alias("samples"), F.sum(F.when(F.col("c") >= 1, 1).otherwise(0)).alias("placed"), F.sum(F.when(F.col("c") > 1, 1).otherwise(0)).alias("repeated"))
+    return c.withColumn("one", F.lit(1)).join(fits.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query(PARTS)
+def recycle_plan(spark, d):
+    return _invariants(_planned(spark, d), _uneven(spark, d))
+
+
+@query()
+def join_mode_plan(spark, d):
+    return _planned(spark, d, join=True).filter("status = 'emitted'").groupBy("rank", "round").agg(F.count_distinct("pos").alias("groups"), F.count(F.lit(1)).alias("samples"))
+
+
+@query()
+def closure_mode_plan(spark, d):
+    return _planned(spark, d, join=False).filter("status = 'emitted'").groupBy("rank").agg(F.count_distinct("step").alias("steps"), F.count(F.lit(1)).alias("samples"))
+
+
+@query("SELECT true AS same_permutation, true AS moved")
+def shuffle_steps(spark, d):
+    a, b = (_planned(spark, d, uneven=False, order=o).filter("status = 'emitted'") for o in ("seeded", "index"))
+    g = a.groupBy("round", "rank", "pos").agg(F.min("sample_id").alias("s")).join(b.groupBy("round", "rank", F.col("pos").alias("i")).agg(F.min("sample_id").alias("s")), ["round", "rank", "s"])
+    per = g.groupBy("round", "pos").agg(F.count_distinct("i").alias("n"), F.min("i").alias("i"))
+    return per.agg((F.max("n") == 1).alias("same_permutation"), F.bool_or(F.col("pos") != F.col("i")).alias("moved"))
+
+
+@query()
+def coverage_audit(spark, d):
+    return planner.coverage(_planned(spark, d))
+
+
+@query()
+def emitted_ids_log(spark, d):
+    p = _planned(spark, d).filter("status = 'emitted'").groupBy("rank", "step").agg(F.array_sort(F.collect_list("sample_id")).alias("ids"))
+    return p.select("rank", F.to_json(F.struct("step", "ids")).alias("line"))
+
+
+@query("SELECT COUNT(*) AS samples, COUNT(*) AS emitted FROM documents")
+def flush_tail_plan(spark, d):
+    return planner.coverage(_planned(spark, d, tail="flush")).select("samples", "emitted")
+
+
+@query("""SELECT COUNT(*) AS labelled, COUNT(*) FILTER (toxic = 1) AS toxic FROM labels JOIN documents USING (doc_id)""")
+def payload_join(spark, d):
+    p = planner.attach(_planned(spark, d, tail="flush"), S.table(spark, d, "labels"), "doc_id")
+    return p.agg(F.count(F.lit(1)).alias("labelled"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic"))
+
+
+# ---- progress over steps ------------------------------------------------------------------------------------------------
+
+STEPS = LONE + """, steps AS (SELECT 0::BIGINT AS job, row_number() OVER (ORDER BY round, group_idx) - 1 AS step, size AS samples FROM grp)"""
+
+
+def _steps(spark, d) -> DataFrame:
+    """One row for each step of the single-rank plan."""
+    g = segment.group_table(_lone_members(spark, d)).withColumn("job", F.lit(0).cast("long"))
+    return g.select("job", (F.row_number().over(Window.partitionBy("job").orderBy("round", "group_idx")) - 1).cast("long").alias("step"), F.col("size").alias("samples"))
+
+
+@query(STEPS + " SELECT step, samples, SUM(samples) OVER (ORDER BY step)::BIGINT AS total, round(SUM(samples) OVER (ORDER BY step)::DOUBLE / 500 * 2, 6) AS epoch FROM steps")
+def sample_progress(spark, d):
+    return progress.progress(_steps(spark, d), 500, 2.0).select("step", "samples", "total", "epoch")
+
+
+@query(STEPS + " SELECT step, samples FROM (SELECT *, SUM(samples) OVER (ORDER BY step) - samples AS before FROM steps) WHERE before < 500")
+def sample_budget_stop(spark, d):
+    return progress.until_budget(_steps(spark, d), 500).select("step", "samples")
+
+
+@query(STEPS + " SELECT (step // 4)::BIGINT AS opt_step, SUM(samples)::BIGINT AS samples, COUNT(*) AS substeps FROM steps GROUP BY 1")
+def grad_accum_steps(spark, d):
+    return progress.optimizer_steps(_steps(spark, d), 4).select("opt_step", "samples", "substeps")
+
+
+@query(STEPS + ", o AS (SELECT step // 4 AS opt_step, SUM(samples)::BIGINT AS s FROM steps GROUP BY 1) SELECT opt_step::BIGINT AS opt_step, greatest(s - 1, 0)::BIGINT AS extra_ticks, SUM(greatest(s - 1, 0) + 1) OVER (ORDER BY opt_step)::BIGINT AS total_ticks FROM o")
+def lr_ticks(spark, d):
+    return progress.optimizer_steps(_steps(spark, d), 4).select("opt_step", "extra_ticks", "total_ticks")
+
+
+@query(STEPS + " SELECT (step // 4)::BIGINT AS opt_step, SUM(samples)::BIGINT AS samples FROM steps GROUP BY 1 HAVING step // 4 < 5")
+def optimizer_step_cap(spark, d):
+    return progress.optimizer_steps(_steps(spark, d), 4).filter("opt_step < 5").select("opt_step", "samples")
+
+
+@query("SELECT ceil(COUNT(*) * 1.5)::BIGINT AS budget, floor(COUNT(*) * 1.5)::BIGINT AS legacy_budget FROM documents")
+def infer_sample_budget(spark, d):
+    n = F.count(F.lit(1)) * F.lit(1.5)
+    return S.table(spark, d, "documents").agg(F.ceil(n).cast("long").alias("budget"), F.floor(n).cast("long").alias("legacy_budget"))
+
+
+@query("""SELECT l_orderkey, COUNT(*) AS n, round(SUM(CASE WHEN l_linenumber = 0 THEN l_discount WHEN l_linenumber % 2 = 0 THEN l_discount * (l_quantity / (l_linenumber * 50)) * 4 ELSE l_discount * (l_linenumber / 10.0) * 4 END), 6) AS scaled FROM lineitem GROUP BY 1""")
+def scale_loss(spark, d):
+    t = S.table(spark, d, "lineitem")
+    k = F.col("l_linenumber").cast("long")
+    tokens = k % 2 == 0
+    scaled = C.scale_loss(F.col("l_discount"), k, F.lit(10), F.when(tokens, F.col("l_quantity")), F.when(tokens, k * 50), WORLD)
+    return t.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(scaled), 6).alias("scaled"))
+
+
+@query(STEPS + " SELECT COUNT(*) FILTER (samples <> 1) AS n, round(AVG(samples) FILTER (samples <> 1), 6) AS mean FROM steps")
+def unscaled_loss_mean(spark, d):
+    some = F.when(F.col("samples") != 1, F.col("samples"))
+    return _steps(spark, d).agg(F.count(some).alias("n"), F.round(F.avg(some), 6).alias("mean"))
+
+
+@query(f"WITH {SAMPLES} SELECT round(stddev_pop(length) / AVG(length), 6) AS cv FROM docs")
+def length_cv(spark, d):
+    return scan_samples(spark, d).agg(F.round(F.stddev_pop("length") / F.avg("length"), 6).alias("cv"))
+
+
+@query("SELECT (COUNT(*) // 32)::BIGINT AS rounds, (COUNT(*) // 16)::BIGINT AS default_rounds, COUNT(*) // 32 > 10 * (COUNT(*) // 16) AS warn FROM documents")
+def round_estimate(spark, d):
+    n = F.count(F.lit(1))
+    r, base = F.floor(n / WINDOW), F.floor(n / 16)
+    return S.table(spark, d, "documents").agg(r.cast("long").alias("rounds"), base.cast("long").alias("default_rounds"), (r > 10 * base).alias("warn"))
+
+
+@query(_rec("sample_id % 2", WINDOW, BUDGET) + " SELECT rank, round, group_idx::BIGINT AS group_idx, size, tokens FROM grp")
+def stream_plan(spark, d):
+    from paceline.streaming.plan import plan_documents
+
+    return plan_documents(spark, d, 2, WINDOW, BUDGET)
+
+
+for _a, _b in (("flip_table", "flip_table_balanced"),):
+    QUERIES[_a], ORACLE_SQL[_a] = QUERIES.pop(_b), ORACLE_SQL.pop(_b)
