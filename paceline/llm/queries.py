@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from paceline.llm import docprint, langid, leakage, linedup, mixture, secretscan, shards, simhash
+from paceline.llm import docprint, langid, leakage, linedup, mixture, secretscan, shards, simhash, suffixmerge, wordrepeat
 from paceline.llm.common import documents
 
 QUERIES = {
+    "op1_suffix_array_dedup": lambda spark, d: suffixmerge.byte_report(documents(spark, d)),
     "op2_source_mixture": lambda spark, d: mixture.mixture_report(documents(spark, d)),
     "op3_line_dedup": lambda spark, d: linedup.line_report(documents(spark, d)),
     "op4_secret_scan": lambda spark, d: secretscan.scan(documents(spark, d)),
+    "op5_substring_dedup": lambda spark, d: wordrepeat.word_report(documents(spark, d)),
     "op6_shuffle_shards": lambda spark, d: shards.shard_report(documents(spark, d)),
     "op7_simhash_near_dedup": lambda spark, d: simhash.near_duplicate_report(documents(spark, d)),
     "op8_document_fingerprints": lambda spark, d: docprint.compare_edits(documents(spark, d)),
