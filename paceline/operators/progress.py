@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RUNNING = Window.partitionBy("job").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+
+def running():
+    return Window.partitionBy("job").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def sample_budget(n: int, epochs: float, explicit: int | None = None) -> int:
@@ -28,13 +30,13 @@ def max_steps(desired: int, existing: int | None, policy: str = "overwrite") ->
 
 def progress(steps: DataFrame, budget: int, epochs: float = 1.0) -> DataFrame:
     """steps (job, step, samples) with total and epoch."""
-    d = steps.withColumn("total", F.sum("samples").over(RUNNING))
+    d = steps.withColumn("total", F.sum("samples").over(running()))
     return d.withColumn("epoch", F.round(F.col("total").cast("double") / budget * epochs, 6))
 
 
 def until_budget(steps: DataFrame, budget: int) -> DataFrame:
     """Steps up to the one that reaches the budget."""
-    d = steps.withColumn("total", F.sum("samples").over(RUNNING))
+    d = steps.withColumn("total", F.sum("samples").over(running()))
     return d.filter(F.col("total") - F.col("samples") < budget)
 
 
