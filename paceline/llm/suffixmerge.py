@@ -31,6 +31,8 @@ LENGTH = 100
 GRAM = 24
 #: Symbols of one shard, and of the stretches that are merged together (more only where one anchor has more).
 SHARD, MERGE = 1 << 15, 1 << 17
+#: Bytes of text that are hashed at once.
+PORTION = 1 << 22
 #: Windows of one stretch: longer runs with one anchor are cut.
 MOST = 512
 END = 0xFF  # no byte of UTF-8
@@ -102,7 +104,7 @@ def _within(b: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np
 
 def _index(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(X.portions(batches, "text", PORTION)):
             b, begins, at, count, key = _stretches([t.encode() for t in batch.column("text").to_pylist()])
             if len(at):
                 twice = _within(b, at, count, key)
@@ -135,7 +137,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _carry(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
             b, begins, at, count, key = _stretches(X.texts(batch))
             wanted = np.concatenate([X.unsqueeze(f, np.uint32).astype(np.int64) + x for x, f in zip(begins, batch.column("found").to_pylist(), strict=True)])
             hit = np.isin(at, wanted)
