@@ -3,7 +3,7 @@
 Every window of LENGTH bytes has an anchor, the least hash of its GRAM-byte substrings, so equal windows have equal
 anchors. Stretches of windows with one anchor that occurs once can't repeat and stay behind. The others go, with their
 bytes, to the task of their anchor, and equal stretches meet as one. A task sorts the cyclic rotations of each small
-shard of stretches once, and merges the shards' transforms without sorting suffixes again: the interleave of all shards is
+shard once (of stretches, less the windows whose hash occurs once there), and merges the shards' transforms without sorting suffixes again: the interleave of all shards is
 refined symbol by symbol, each step a stable counting sort of the preceding symbols. Places whose prefixes still agree
 after LENGTH steps are the repeated intervals, as their longest common prefix is LENGTH or more. All members of an
 interval but the earliest are marked; marks that overlap merge, and their bytes go.
@@ -204,6 +204,36 @@ def merged_classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return begins, out
 
 
+def _again(strings: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (string, place, number) of windows whose hash occurs more than once among all of the strings."""
+    hashes, a = [], 0
+    sizes = np.array([len(s) for s in strings], np.int64)
+    while a < len(strings):
+        b = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), PORTION)) + a)
+        one, factor, parts = mixed(np.frombuffer(b"".join(strings[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)), _SPREAD, {}
+        for n in (1, 2, 4, 8, 16, 32):
+            one = one * factor + np.roll(one, -n)
+            factor = factor * factor
+            parts[2 * n] = one
+        h = mixed((parts[64] * _SPREAD + np.roll(parts[32], -64)) * _SPREAD + np.roll(parts[4], -96))
+        m, begins = count[a:b], np.cumsum(sizes[a:b]) - sizes[a:b]
+        hashes.append(h[np.repeat(begins, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])
+        a = b
+    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    twice = np.zeros(len(h), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    who = np.repeat(np.arange(len(strings)), count)
+    off = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
+    new = np.concatenate([[True], (twice[1:] != twice[:-1]) | (who[1:] != who[:-1])])[: len(h)]
+    begins = np.flatnonzero(new)
+    n = np.diff([*begins, len(h)])
+    begins, n = begins[twice[begins]], n[twice[begins]]
+    return who[begins], off[begins], n
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SENT rows of one bucket to FOUND rows of (place, number of windows), all windows that have an earlier equal."""
     chunks, directories, keys, counts, places, texts, source = [], [], [], [], [], [], []
@@ -238,29 +268,39 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     one = np.flatnonzero(~again)
     first[name[one]] = one
     found = [(np.flatnonzero(again), np.zeros(again.sum(), np.int64), count[again])]
-    first = first[np.argsort(key[first], kind="stable")]
-    k = key[first]
-    begin = np.concatenate([[True], k[1:] != k[:-1]])
-    alone = begin & np.concatenate([begin[1:], [True]])
-    # a stretch alone with its anchor may still repeat within itself
-    first = first[~alone | (count[first] > 1)]
-    k = key[first]
+    # of the rest only runs of windows that occur again are merged; equal runs are one string once more
+    run, at, count_of = _again([texts[i] for i in first.tolist()], count[first])
+    i = first[run]
+    parts = [texts[j][a : a + m + LENGTH - 1] for j, a, m in zip(i.tolist(), at.tolist(), count_of.tolist(), strict=True)]
+    numbers = {}
+    name = np.array([numbers.setdefault((k, t), len(numbers)) for k, t in zip(key[i].tolist(), parts, strict=True)], np.int64)
+    again = X.later(name, none[i], ids[i], ths[i], rel[i] + at)
+    found.append((i[again], at[again], count_of[again]))
+    runs = np.flatnonzero(~again)
+    runs = runs[np.argsort(key[i[runs]], kind="stable")]
+    k = key[i[runs]]
+    begin = np.concatenate([[True], k[1:] != k[:-1]])[: len(k)]
+    alone = begin & np.concatenate([begin[1:], [True]])[: len(k)]
+    # a run alone with its anchor may still repeat within itself
+    runs = runs[~alone | (count_of[runs] > 1)]
+    k = key[i[runs]]
     size, batch = 0, []
 
     def settle(batch: list[int]) -> None:
-        begins, cls = merged_classes([texts[i] for i in batch])
-        who = np.repeat(np.arange(len(batch)), count[batch])
-        off = np.arange(len(who)) - np.repeat(np.cumsum(count[batch]) - count[batch], count[batch])
-        c, i = cls[begins[who] + off], np.array(batch)[who]
-        late = X.later(c, none[i], ids[i], ths[i], rel[i] + off)
-        found.append((i[late], off[late], np.ones(late.sum(), np.int64)))
-
-    for j, i in enumerate(first.tolist()):
+        begins, cls = merged_classes([parts[r] for r in batch])
+        m = count_of[batch]
+        who = np.repeat(np.arange(len(batch)), m)
+        off = np.arange(len(who)) - np.repeat(np.cumsum(m) - m, m)
+        r = np.array(batch)[who]
+        late = X.later(cls[begins[who] + off], none[i[r]], ids[i[r]], ths[i[r]], rel[i[r]] + at[r] + off)
+        found.append((i[r][late], (at[r] + off)[late], np.ones(late.sum(), np.int64)))
+
+    for j, r in enumerate(runs.tolist()):
         if size > MERGE and k[j] != k[j - 1]:
             settle(batch)
             size, batch = 0, []
-        batch.append(i)
-        size += len(texts[i]) + 1
+        batch.append(r)
+        size += len(parts[r]) + 1
     if batch:
         settle(batch)
     i, off, n = (np.concatenate(v) for v in zip(*found, strict=True))
