@@ -318,6 +318,7 @@ def later_bytes(docs: DataFrame) -> DataFrame:
     d = X.keyed(docs)
     found = d.mapInArrow(_index(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_shared, X.FOUND)
     both = X.with_found(X.squeezed(d), X.give_back(found, 1).dropDuplicates(["doc_id", "th"])).filter("found is not null")
+    n = 3 * n  # bytes travel here, and each task holds those of its anchors
     found = cut(both).mapInArrow(_carry(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_merge, X.FOUND)
     return X.give_back(found, 2).dropDuplicates(["doc_id", "th"])
 
