@@ -20,7 +20,8 @@ from paceline.llm.common import ascii_lower, cut
 
 WINDOW = 10
 BROADCAST_TERMS = 1_000_000
-TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before and after lower-casing. As a negated class, Java took 18 times as long.
+TERM = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
 
 
 def terms(text: Column) -> Column:
@@ -93,7 +94,7 @@ def leakage_report(docs: DataFrame, items: DataFrame) -> DataFrame:
     found = cut(index.phrases())
     words = found.select("doc_id", "th", F.explode(F.sequence("start", F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy("doc_id", "th").agg(F.count(F.lit(1)).alias("n_hit"))
     names = found.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("item_id")).alias("ids")).select("doc_id", "th", "ids")
-    every = index.docs.select("doc_id", "th", F.size(terms(F.col("text"))).cast("long").alias("n_words"))
+    every = index.docs.select("doc_id", "th", F.regexp_count("text", F.lit(TERM)).cast("long").alias("n_words"))
     for d in (words, names):
         d = d.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
         every = every.join(d, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").drop("__id", "__th")
