@@ -33,6 +33,8 @@ GRAM = 24
 SHARD, MERGE = 1 << 15, 1 << 17
 #: Bytes of text that are hashed at once.
 PORTION = 1 << 22
+#: Places of a portion that are hashed in one step: what is held beside the text is a few numbers for each of them.
+BLOCK = 1 << 18
 #: Windows of one stretch: longer runs with one anchor are cut.
 MOST = 512
 END = 0xFF  # no byte of UTF-8
@@ -42,12 +44,16 @@ _SPREAD = np.uint64(11400714819323198485)
 
 def _grams(b: np.ndarray) -> np.ndarray:
     """Hash of the GRAM = 16 + 8 bytes from each place on; the last places wrap."""
-    one, factor, parts = mixed(b.astype(np.uint64) + np.uint64(1)), _SPREAD, {}
-    for size in (1, 2, 4, 8):
-        one = one * factor + np.roll(one, -size)
-        factor = factor * factor
-        parts[2 * size] = one
-    return mixed(parts[16] * _SPREAD + np.roll(parts[8], -16))
+    wide, out = np.concatenate([b, np.resize(b, GRAM)]), np.empty(len(b), np.uint64)
+    for a in range(0, len(b), BLOCK):
+        one, factor = mixed(wide[a : a + BLOCK + GRAM].astype(np.uint64) + np.uint64(1)), _SPREAD
+        for size in (1, 2, 4, 8):
+            eight = one
+            one = one * factor + np.roll(one, -size)
+            factor = factor * factor
+        h = mixed(one * _SPREAD + np.roll(eight, -16))
+        out[a : a + BLOCK] = h[: min(BLOCK, len(b) - a)]
+    return out
 
 
 def _window_min(h: np.ndarray, n: int) -> np.ndarray:
@@ -69,7 +75,8 @@ def _stretches(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     begins = np.cumsum(sizes) - sizes
     if len(b) < LENGTH:
         return b, begins, *(np.zeros(0, np.int64),) * 2, np.zeros(0, np.uint64)
-    anchor = _window_min(_grams(b), LENGTH - GRAM + 1)
+    h, wide = _grams(b), LENGTH - GRAM + 1
+    anchor = np.concatenate([_window_min(h[a : a + BLOCK + wide - 1], wide)[:BLOCK] for a in range(0, len(b), BLOCK)])
     ok = np.zeros(len(b) + 1, np.int32)
     whole = sizes >= LENGTH
     np.add.at(ok, begins[whole], 1)
@@ -206,32 +213,36 @@ def merged_classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _again(strings: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs (string, place, number) of windows whose hash occurs more than once among all of the strings."""
-    hashes, a = [], 0
     sizes = np.array([len(s) for s in strings], np.int64)
+    total, starts = np.cumsum(sizes), np.cumsum(count) - count
+    h, a = np.zeros(int(count.sum()), np.uint32), 0  # a false repeat only sends more to the merge
     while a < len(strings):
-        b = max(a + 1, int(np.searchsorted(np.cumsum(sizes[a:]), PORTION)) + a)
-        one, factor, parts = mixed(np.frombuffer(b"".join(strings[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)), _SPREAD, {}
+        b = max(a + 1, int(np.searchsorted(total, total[a] - sizes[a] + BLOCK)))
+        one, factor, kept = mixed(np.frombuffer(b"".join(strings[a:b]), np.uint8).astype(np.uint64) + np.uint64(1)), _SPREAD, {}
         for n in (1, 2, 4, 8, 16, 32):
             one = one * factor + np.roll(one, -n)
             factor = factor * factor
-            parts[2 * n] = one
-        h = mixed((parts[64] * _SPREAD + np.roll(parts[32], -64)) * _SPREAD + np.roll(parts[4], -96))
+            if n in (2, 16):
+                kept[2 * n] = one
+        low = (mixed((one * _SPREAD + np.roll(kept[32], -64)) * _SPREAD + np.roll(kept[4], -96)) >> np.uint64(32)).astype(np.uint32)
         m, begins = count[a:b], np.cumsum(sizes[a:b]) - sizes[a:b]
-        hashes.append(h[np.repeat(begins, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)])
+        h[starts[a] : starts[a] + m.sum()] = low[np.repeat(begins, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)]
         a = b
-    h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    order = np.argsort(h)
-    same = h[order][1:] == h[order][:-1]
+    order = np.sort(h)
+    names = np.unique(order[1:][order[1:] == order[:-1]])
+    del order
     twice = np.zeros(len(h), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
-    who = np.repeat(np.arange(len(strings)), count)
-    off = np.arange(len(h)) - np.repeat(np.cumsum(count) - count, count)
-    new = np.concatenate([[True], (twice[1:] != twice[:-1]) | (who[1:] != who[:-1])])[: len(h)]
+    for a in range(0, len(h) if len(names) else 0, BLOCK):
+        x = h[a : a + BLOCK]
+        twice[a : a + BLOCK] = names[np.minimum(np.searchsorted(names, x), len(names) - 1)] == x
+    new = np.zeros(len(h), bool)
+    new[starts[count > 0]] = True
+    new[1:] |= twice[1:] != twice[:-1]
     begins = np.flatnonzero(new)
     n = np.diff([*begins, len(h)])
     begins, n = begins[twice[begins]], n[twice[begins]]
-    return who[begins], off[begins], n
+    who = np.searchsorted(starts, begins, "right") - 1
+    return who, begins - starts[who], n
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
