@@ -67,6 +67,12 @@ class Directory:
     def pack(self) -> bytes:
         return squeeze(np.concatenate([self.ids.view(np.uint8), self.begins.view(np.uint8), self.ths.view(np.uint8), self.none.view(np.uint8)]))
 
+    def part(self, p: np.ndarray) -> Directory:
+        """Of the documents in which some of the places p lie."""
+        k, d = np.unique(self.of(p)), Directory([], [], np.zeros(0))
+        d.none, d.ids, d.ths, d.begins = self.none[k], self.ids[k], self.ths[k], self.begins[k]
+        return d
+
     @staticmethod
     def unpack(b: bytes) -> Directory:
         raw = unsqueeze(b, np.uint8)
@@ -104,17 +110,17 @@ def chunk_name(k: int) -> str:
     return f"{TaskContext.get().partitionId()}-{k}"
 
 
-def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: bytes, everywhere: bool) -> pa.RecordBatch:
-    """A row for each bucket that has places; payload(indices) gives (h, x). The directory goes to one bucket more, or
-    with every row."""
+def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: Directory, everywhere: bool) -> pa.RecordBatch:
+    """A row for each bucket that has places; payload(indices) gives (h, x). The directory goes to one bucket more;
+    with `everywhere` the part of it that concerns a row goes with that row."""
     b = buckets(h, n)
     order = np.argsort(b.astype(np.uint16) if n < 65536 else b, kind="stable")
     cuts, out = np.searchsorted(b[order], np.arange(n + 1)), []
     for k in range(n):
         i = order[cuts[k] : cuts[k + 1]]
         if len(i):
-            out.append((k, chunk, *(lambda hx, i=i: (hx[0], gaps(p[i]), hx[1]))(payload(i)), directory if everywhere else None))
-    out.append((sum(map(ord, chunk)) % n, chunk, None, None, None, directory))
+            out.append((k, chunk, *(lambda hx, i=i: (hx[0], gaps(p[i]), hx[1]))(payload(i)), directory.part(p[i]).pack() if everywhere else None))
+    out.append((sum(map(ord, chunk)) % n, chunk, None, None, None, directory.pack()))
     return rows(SENT, out)
 
 

@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paceline.llm import exchange as X
 from paceline.llm.common import cut, partitions
@@ -33,6 +34,8 @@ GRAM = 24
 SHARD, MERGE = 1 << 15, 1 << 17
 #: Bytes of text that are hashed at once.
 PORTION = 1 << 22
+#: Bytes of compressed documents for each merging task.
+TASK = 1 << 21
 #: Places of a portion that are hashed in one step: what is held beside the text is a few numbers for each of them.
 BLOCK = 1 << 18
 #: Windows of one stretch: longer runs with one anchor are cut.
@@ -117,7 +120,7 @@ def _index(n: int):
                 twice = _within(b, at, count, key)
                 d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
                 low = key.astype(np.uint32)
-                yield X.send(X.chunk_name(k), n, key, at, lambda i, low=low, twice=twice: (low[i].tobytes(), X.squeeze(np.packbits(twice[i]))), d.pack(), False)
+                yield X.send(X.chunk_name(k), n, key, at, lambda i, low=low, twice=twice: (low[i].tobytes(), X.squeeze(np.packbits(twice[i]))), d, False)
 
     return apply
 
@@ -158,7 +161,7 @@ def _carry(n: int):
                 text = b"".join([whole[x : x + m + LENGTH - 1] for x, m in zip(at[i].tolist(), count[i].tolist(), strict=True)])
                 return key[i].tobytes(), zstandard.compress(count[i].astype(np.uint16).tobytes() + text, 3)
 
-            yield X.send(X.chunk_name(k), n, key, at, payload, d.pack(), True)
+            yield X.send(X.chunk_name(k), n, key, at, payload, d, True)
 
     return apply
 
@@ -329,8 +332,10 @@ def later_bytes(docs: DataFrame) -> DataFrame:
     d = X.keyed(docs)
     found = d.mapInArrow(_index(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_shared, X.FOUND)
     both = X.with_found(X.squeezed(d), X.give_back(found, 1).dropDuplicates(["doc_id", "th"])).filter("found is not null")
-    n = 3 * n  # bytes travel here, and each task holds those of its anchors
-    found = cut(both).mapInArrow(_carry(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_merge, X.FOUND)
+    both = cut(both)
+    # bytes travel here, and each task holds those of its anchors
+    n = max(n, int(both.agg(F.sum(F.octet_length("z"))).first()[0] or 0) // TASK)
+    found = both.mapInArrow(_carry(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_merge, X.FOUND)
     return X.give_back(found, 2).dropDuplicates(["doc_id", "th"])
 
 

@@ -74,7 +74,7 @@ def _probe(n: int):
             block = (p - begins[np.searchsorted(begins, p, "right") - 1]) % BLOCK == 0
             # three bytes beside the bucket: chance hits only make more candidates
             low = (h & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            yield X.send(X.chunk_name(k), n, h, p, lambda i, low=low, block=block: (low[i].tobytes(), X.squeeze(np.packbits(block[i]))), d.pack(), False)
+            yield X.send(X.chunk_name(k), n, h, p, lambda i, low=low, block=block: (low[i].tobytes(), X.squeeze(np.packbits(block[i]))), d, False)
 
     return apply
 
@@ -122,7 +122,7 @@ def _extend(n: int):
             h, more = rolled(w, WINDOW)[p], rolled(w * _PRIME, WINDOW)[p]
             tail = (h << np.uint64(32)) | (more >> np.uint64(32))
             d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
-            yield X.send(X.chunk_name(k), n, h, p, lambda i, tail=tail: (tail[i].tobytes(), None), d.pack(), True)
+            yield X.send(X.chunk_name(k), n, h, p, lambda i, tail=tail: (tail[i].tobytes(), None), d, True)
 
     return apply
 
