@@ -186,20 +186,21 @@ def merged_classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     text = np.frombuffer(b"".join(s + b"\xff" for s in strings), np.uint8)
     sizes = np.array([len(s) + 1 for s in strings])
     begins = np.cumsum(sizes) - sizes
-    back = np.arange(-1, len(text) - 1)
+    back = np.arange(-1, len(text) - 1, dtype=np.int32)
     back[begins] = begins + sizes - 1
-    ahead = np.arange(1, len(text) + 1)
+    ahead = np.arange(1, len(text) + 1, dtype=np.int32)
     ahead[begins + sizes - 1] = begins
     # shards of whole strings; the transform of each, and where each symbol's rotation stands in its shard
     cuts = [0, *(int(begins[k]) for k in np.flatnonzero(np.diff(begins // SHARD)) + 1), len(text)]
-    order, step = np.empty(len(text), np.int64), np.empty(len(text), np.int64)
+    order, step = np.empty(len(text), np.int32), np.empty(len(text), np.int32)
     for a, b in zip(cuts, cuts[1:], strict=False):
         o = a + shard_order(text[a:b], back[a:b] - a, ahead[a:b] - a)
         order[a:b] = o
         step[a + np.argsort(text[back[o]], kind="stable")] = np.arange(a, b)
     symbol = text[back[order]]
+    del back, ahead
     # the interleave: every rotation in order of its first symbols so far; to begin with, one shard after the other
-    z, group = np.arange(len(text)), np.zeros(len(text), np.int32)
+    z, group = np.arange(len(text), dtype=np.int32), np.zeros(len(text), np.int32)
     for _ in range(LENGTH):
         c = symbol[z]
         perm = np.argsort(c, kind="stable")
@@ -209,7 +210,7 @@ def merged_classes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum((c[1:] != c[:-1]) | (g[1:] != g[:-1]), out=group[1:])
         if group[-1] == len(text) - 1:
             break
-    out = np.empty(len(text), np.int64)
+    out = np.empty(len(text), np.int32)
     out[order[z]] = group
     return begins, out
 
