@@ -34,6 +34,8 @@ GRAM = 24
 SHARD, MERGE = 1 << 15, 1 << 17
 #: Bytes of text that are hashed at once.
 PORTION = 1 << 22
+#: Bytes of stretches that a merging task unpacks at once (more only where one anchor has more).
+PART = 1 << 21
 #: Bytes of compressed documents for each merging task.
 TASK = 1 << 21
 #: Places of a portion that are hashed in one step: what is held beside the text is a few numbers for each of them.
@@ -249,35 +251,11 @@ def _again(strings: list[bytes], count: np.ndarray) -> tuple[np.ndarray, np.ndar
     return who, begins - starts[who], n
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SENT rows of one bucket to FOUND rows of (place, number of windows), all windows that have an earlier equal."""
-    chunks, directories, keys, counts, places, texts, source = [], [], [], [], [], [], []
-    for batch in batches:
-        for chunk, h, p, x, d in zip(*(batch.column(c).to_pylist() for c in ("chunk", "h", "p", "x", "dir")), strict=True):
-            if h is None:
-                yield X.rows(X.FOUND, [(chunk, None, d)])
-                continue
-            key, raw = np.frombuffer(h, np.uint64), zstandard.decompress(x)
-            n = np.frombuffer(raw, np.uint16, len(key)).astype(np.int64)
-            ends = 2 * len(key) + np.cumsum(n + LENGTH - 1)
-            texts += [raw[a:b] for a, b in zip([2 * len(key), *ends[:-1].tolist()], ends.tolist(), strict=True)]
-            keys.append(key)
-            counts.append(n)
-            places.append(X.ungaps(p))
-            source.append(np.full(len(key), len(chunks)))
-            chunks.append(chunk)
-            directories.append(X.Directory.unpack(d))
-    if not texts:
-        return
-    key, count, place, source = (np.concatenate(v) for v in (keys, counts, places, source))
-    none, ids, ths, rel = np.zeros(len(key), bool), np.zeros(len(key), np.int64), np.zeros(len(key), np.int32), np.zeros(len(key), np.int64)
-    for k, d in enumerate(directories):
-        mine = slice(*np.searchsorted(source, [k, k + 1]))
-        doc = d.of(place[mine])
-        none[mine], ids[mine], ths[mine], rel[mine] = d.none[doc], d.ids[doc], d.ths[doc], place[mine] - d.begins[doc]
+def _repeats(texts: list[bytes], key: np.ndarray, count: np.ndarray, none: np.ndarray, ids: np.ndarray, ths: np.ndarray, rel: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs (stretch, place, number) of windows that have an earlier equal, among stretches in order of their anchors."""
     # equal stretches are one string: all windows of its later occurrences are repeats
-    numbers: dict[tuple, int] = {}
-    name = np.array([numbers.setdefault((k, t), len(numbers)) for k, t in zip(key.tolist(), texts, strict=True)])
+    numbers: dict[bytes, int] = {}
+    name = np.array([numbers.setdefault(t, len(numbers)) for t in texts])
     again = X.later(name, none, ids, ths, rel)
     first = np.full(len(numbers), -1)
     one = np.flatnonzero(~again)
@@ -288,7 +266,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     i = first[run]
     parts = [texts[j][a : a + m + LENGTH - 1] for j, a, m in zip(i.tolist(), at.tolist(), count_of.tolist(), strict=True)]
     numbers = {}
-    name = np.array([numbers.setdefault((k, t), len(numbers)) for k, t in zip(key[i].tolist(), parts, strict=True)], np.int64)
+    name = np.array([numbers.setdefault(t, len(numbers)) for t in parts], np.int64)
     again = X.later(name, none[i], ids[i], ths[i], rel[i] + at)
     found.append((i[again], at[again], count_of[again]))
     runs = np.flatnonzero(~again)
@@ -318,13 +296,56 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size += len(parts[r]) + 1
     if batch:
         settle(batch)
+    return tuple(np.concatenate(v) for v in zip(*found, strict=True))
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """SENT rows of one bucket to FOUND rows of (place, number of windows), all windows that have an earlier equal. What
+    the rows carry stays packed but for a few anchors at a time."""
+    chunks, directories, keys, counts, places, starts, source, raws = [], [], [], [], [], [], [], []
+    for batch in batches:
+        for row in range(batch.num_rows):
+            chunk, h, p, x, d = (batch.column(c)[row].as_py() for c in ("chunk", "h", "p", "x", "dir"))
+            if h is None:
+                yield X.rows(X.FOUND, [(chunk, None, d)])
+                continue
+            key, raw = np.frombuffer(h, np.uint64), zstandard.decompress(x)
+            n = np.frombuffer(raw, np.uint16, len(key)).astype(np.int32)
+            starts.append((2 * len(key) + np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)).astype(np.int32))
+            keys.append(key)
+            counts.append(n)
+            places.append(X.ungaps(p).astype(np.uint32))
+            source.append(np.full(len(key), len(chunks), np.int32))
+            raws.append(raw)
+            chunks.append(chunk)
+            directories.append(X.Directory.unpack(d))
+    if not chunks:
+        return
+    key, count, place, start, source = (np.concatenate(v) for v in (keys, counts, places, starts, source))
+    del keys, counts, places, starts
+    order, found = np.argsort(key, kind="stable"), []
+    # anchors in portions of about PART bytes; all stretches of an anchor are in one
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+    part = (np.cumsum(count[order].astype(np.int64) + LENGTH - 1) // PART)[begin]
+    cuts = [*begin[np.concatenate([[True], np.diff(part) != 0])].tolist(), len(order)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        i = order[a:b]
+        texts = [raws[s][x : x + m + LENGTH - 1] for s, x, m in zip(source[i].tolist(), start[i].tolist(), count[i].tolist(), strict=True)]
+        none, ids, ths, rel = np.zeros(len(i), bool), np.zeros(len(i), np.int64), np.zeros(len(i), np.int32), np.zeros(len(i), np.int64)
+        by = np.argsort(source[i], kind="stable")
+        for mine in np.split(by, np.flatnonzero(np.diff(source[i][by])) + 1):
+            d, p = directories[source[i[mine[0]]]], place[i[mine]].astype(np.int64)
+            doc = d.of(p)
+            none[mine], ids[mine], ths[mine], rel[mine] = d.none[doc], d.ids[doc], d.ths[doc], p - d.begins[doc]
+        who, off, n = _repeats(texts, key[i], count[i].astype(np.int64), none, ids, ths, rel)
+        found.append((i[who].astype(np.int32), off.astype(np.int32), n.astype(np.int32)))
     i, off, n = (np.concatenate(v) for v in zip(*found, strict=True))
     order = np.argsort(source[i], kind="stable")
     i, off, n = i[order], off[order], n[order]
     for s, chunk in enumerate(chunks):
         a, b = np.searchsorted(source[i], [s, s + 1])
         if b > a:
-            yield X.rows(X.FOUND, [(chunk, X.squeeze(np.stack([place[i[a:b]] + off[a:b], n[a:b]], axis=1).astype(np.uint32)), None)])
+            yield X.rows(X.FOUND, [(chunk, X.squeeze(np.stack([place[i[a:b]] + off[a:b].astype(np.uint32), n[a:b].astype(np.uint32)], axis=1)), None)])
 
 
 def later_bytes(docs: DataFrame) -> DataFrame:

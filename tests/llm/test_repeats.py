@@ -63,6 +63,7 @@ def test_bytes(spark, monkeypatch):
     assert sorted(str(tuple(r)) for r in got) == want
     monkeypatch.setattr(suffixmerge, "SHARD", 500)
     monkeypatch.setattr(suffixmerge, "MERGE", 3000)
+    monkeypatch.setattr(suffixmerge, "PART", 2000)
     got = suffixmerge.byte_report(docs(spark, rows).repartition(2)).collect()
     assert sorted(str(tuple(r)) for r in got) == want
     assert suffixmerge.byte_report(docs(spark, [])).count() == 0
