@@ -111,9 +111,9 @@ def chunk_name(k: int) -> str:
     return f"{TaskContext.get().partitionId()}-{k}"
 
 
-def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: Directory, everywhere: bool) -> pa.RecordBatch:
-    """A row for each bucket that has places; payload(indices) gives (h, x). The directory goes to one bucket more;
-    with `everywhere` the part of it that concerns a row goes with that row."""
+def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: Directory, everywhere: bool, known: bytes | None = None) -> pa.RecordBatch:
+    """A row for each bucket that has places; payload(indices) gives (h, x). The directory goes to one bucket more, with
+    what is `known` to be found already; with `everywhere` the part of it that concerns a row goes with that row."""
     b = buckets(h, n)
     order = np.argsort(b.astype(np.uint16) if n < 65536 else b, kind="stable")
     cuts, out = np.searchsorted(b[order], np.arange(n + 1)), []
@@ -121,7 +121,7 @@ def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: D
         i = order[cuts[k] : cuts[k + 1]]
         if len(i):
             out.append((k, chunk, *(lambda hx, i=i: (hx[0], gaps(p[i]), hx[1]))(payload(i)), directory.part(p[i]).pack() if everywhere else None))
-    out.append((sum(map(ord, chunk)) % n, chunk, None, None, None, directory.pack()))
+    out.append((sum(map(ord, chunk)) % n, chunk, None, known, None, directory.pack()))
     return rows(SENT, out)
 
 

@@ -1,9 +1,10 @@
 """Suffix-array dedup on bytes: Burrows-Wheeler transforms of shards, merged by iterative interleave refinement.
 
 Every window of LENGTH bytes has an anchor, the least hash of its GRAM-byte substrings, so equal windows have equal
-anchors. Stretches of windows with one anchor that occurs once can't repeat and stay behind. The others go, with their
-bytes, to the task of their anchor, and equal stretches meet as one. A task sorts the cyclic rotations of each small
-shard once (of stretches, less the windows whose hash occurs once there), and merges the shards' transforms without sorting suffixes again: the interleave of all shards is
+anchors. Stretches of windows with one anchor that occurs once can't repeat and stay behind. Of equal stretches in a
+portion of documents only the earliest travels, with its bytes, to the task of its anchor, where equal ones meet again.
+A task sorts the cyclic rotations of each small shard once (of stretches, less the windows whose hash occurs once
+there), and merges the shards' transforms without sorting suffixes again: the interleave of all shards is
 refined symbol by symbol, each step a stable counting sort of the preceding symbols. Places whose prefixes still agree
 after LENGTH steps are the repeated intervals, as their longest common prefix is LENGTH or more. All members of an
 interval but the earliest are marked; marks that overlap merge, and their bytes go.
@@ -158,12 +159,20 @@ def _carry(n: int):
                 continue
             d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
             whole = b.tobytes()
+            # of equal stretches of a chunk only the earliest travels: the others are known to be repeats
+            numbers: dict[bytes, int] = {}
+            name = np.array([numbers.setdefault(whole[x : x + m + LENGTH - 1], len(numbers)) for x, m in zip(at.tolist(), count.tolist(), strict=True)])
+            del numbers
+            doc = d.of(at)
+            again = X.later(name, d.none[doc], d.ids[doc], d.ths[doc], at - begins[doc])
+            known = X.squeeze(np.stack([at[again], count[again]], axis=1).astype(np.uint32)) if again.any() else None
+            at, count, key = at[~again], count[~again], key[~again]
 
             def payload(i, at=at, count=count, key=key, whole=whole):
                 text = b"".join([whole[x : x + m + LENGTH - 1] for x, m in zip(at[i].tolist(), count[i].tolist(), strict=True)])
                 return key[i].tobytes(), zstandard.compress(count[i].astype(np.uint16).tobytes() + text, 3)
 
-            yield X.send(X.chunk_name(k), n, key, at, payload, d, True)
+            yield X.send(X.chunk_name(k), n, key, at, payload, d, True, known)
 
     return apply
 
@@ -307,7 +316,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in range(batch.num_rows):
             chunk, h, p, x, d = (batch.column(c)[row].as_py() for c in ("chunk", "h", "p", "x", "dir"))
             if h is None:
-                yield X.rows(X.FOUND, [(chunk, None, d)])
+                yield X.rows(X.FOUND, [(chunk, p, d)])
                 continue
             key, raw = np.frombuffer(h, np.uint64), zstandard.decompress(x)
             n = np.frombuffer(raw, np.uint16, len(key)).astype(np.int32)
