@@ -25,6 +25,8 @@ from paceline.llm.common import cut, partitions
 
 BLOCK = 10
 WINDOW = 20
+#: Bytes of text whose words are hashed at once.
+PORTION = 1 << 24
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -46,10 +48,10 @@ def rolled(w: np.ndarray, n: int) -> np.ndarray:
 def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     digest, hashes, sizes = xxhash.xxh3_64_intdigest, [], []
     for t in texts:
-        found = [digest(w) for w in _WORD.findall(t)]
-        hashes += found
+        found = np.fromiter(map(digest, _WORD.findall(t)), np.uint64)
+        hashes.append(found)
         sizes.append(len(found))
-    return np.array(hashes, np.uint64), np.array(sizes, np.int64)
+    return np.concatenate(hashes), np.array(sizes, np.int64)
 
 
 def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.nda
 
 def _probe(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(X.portions(batches, "text", PORTION)):
             w, sizes = _words([t.encode() for t in batch.column("text").to_pylist()])
             begins = np.cumsum(sizes) - sizes
             p = np.flatnonzero(_inside(begins, sizes, BLOCK, len(w)))
@@ -108,7 +110,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extend(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(batches):
+        for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
             w, sizes = _words(X.texts(batch))
             begins = np.cumsum(sizes) - sizes
             near = np.zeros(len(w) + 1, np.int32)
