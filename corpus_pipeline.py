@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import langid, leakage, mixture, shards, simhash
+from paceline.llm import jaccard, langid, leakage, mixture, shards
 from paceline.llm.common import cut, documents, word_count
 
 SHARDS = 40
@@ -25,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    return simhash.deduplicate(docs, SHINGLE).select(docs.columns)
+    """One document of each group of near-duplicates (0.8 or more of their shingles): the one with the smallest doc_id."""
+    return jaccard.deduplicate(docs, SHINGLE).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
