@@ -5,7 +5,8 @@ matrix with given margins (multivariate hypergeometric). Each partition is permu
 counts; after the exchange each shard is permuted again. All such draws make a uniform permutation with shard sizes
 at most one apart. The matrix (PARTS x shards) is the only thing on the driver.
 
-Equal rows are dealt like any others. Null doc_ids hash like a value. An empty table gives no rows. Reruns agree.
+Equal rows are numbered and dealt like any others; which of them gets which place is arbitrary. Null doc_ids hash like
+a value. An empty table gives no rows. Reruns agree.
 """
 
 from __future__ import annotations
@@ -69,9 +70,9 @@ def communication(counts: list[int], shards: int, seed: int) -> list[list[int]]:
 
 def shard(rows: DataFrame, identity: list[Column], shards: int = 40, seed: int = 20, parts: int = PARTS) -> DataFrame:
     """rows with shard and slot (gapless from 0 in each shard). identity: what tells rows apart; rows that agree in it
-    are taken as equal. Other columns are kept."""
-    d = rows.withColumn("__h", F.xxhash64(F.lit(seed), *identity))
-    d = d.withColumns({"__p": F.pmod(F.xxhash64(F.lit(seed + 1), *identity), F.lit(parts)).cast("int"), "__k": F.xxhash64(F.lit(seed + 2), *identity)})
+    are numbered, and each goes its own way. Other columns are kept."""
+    d = rows.withColumn("__i", F.xxhash64(F.lit(seed + 3), *identity))
+    d = d.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed + 1), "__i"), F.lit(parts)).cast("int"))
     counts = [0] * parts
     for p, n in d.groupBy("__p").count().collect():
         counts[p] = n
@@ -80,6 +81,9 @@ def shard(rows: DataFrame, identity: list[Column], shards: int = 40, seed: int =
         acc = 0
         ends.append([acc := acc + x for x in row])
     ends = F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")
+    # one exchange serves the numbers and the permutation
+    d = d.repartition("__p").withColumn("__c", F.row_number().over(Window.partitionBy("__p", "__i").orderBy("__i")))
+    d = d.withColumns({"__h": F.xxhash64(F.lit(seed), "__i", "__c"), "__k": F.xxhash64(F.lit(seed + 2), "__i", "__c")})
     d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__h", "__k")) - 1)
     mine = F.element_at(ends, F.col("__p") + 1)
     d = d.withColumn("shard", F.size(F.filter(mine, lambda x: x <= F.col("__r"))).cast("int"))
@@ -88,7 +92,7 @@ def shard(rows: DataFrame, identity: list[Column], shards: int = 40, seed: int =
     blocks = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     d = d.join(blocks, ["shard", "__b"])
     slot = F.col("__before") + F.row_number().over(Window.partitionBy("shard", "__b").orderBy("__k", "__h")) - 1
-    return d.withColumn("slot", slot.cast("int")).drop("__h", "__p", "__k", "__r", "__b", "__before")
+    return d.withColumn("slot", slot.cast("int")).drop("__i", "__c", "__h", "__p", "__k", "__r", "__b", "__before")
 
 
 def sized(docs: DataFrame) -> DataFrame:

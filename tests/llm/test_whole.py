@@ -39,3 +39,16 @@ def test_near_duplicates_of_every_similarity(spark, tmp_path):
     assert sorted(r.doc_id for r in got) == sorted(least.values())
     odd = corpus_pipeline.drop_near_duplicates(spark, docs(spark, ODD), str(tmp_path)).collect()
     assert {r.doc_id for r in odd} == {1, 4, 5, 6, None}
+
+
+def test_copies_of_a_row_are_dealt_apart(spark):
+    rows = [(i, f"text {i}", "en", "a", 0) for i in range(1500) for _ in range(2)]
+    got = corpus_pipeline.assign_shards(spark, docs(spark, rows).repartition(3), "").collect()
+    assert len(got) == 3000 and len({(r.shard, r.slot) for r in got}) == 3000
+    at = {}
+    for r in got:
+        at.setdefault(r.doc_id, []).append((r.shard, r.slot))
+    same = [abs(a[1] - b[1]) for a, b in at.values() if a[0] == b[0]]
+    # one pair in 40, of 1,500, within five standard deviations
+    assert 8 <= len(same) <= 68
+    assert sum(x == 1 for x in same) <= 10
