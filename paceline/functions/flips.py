@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from paceline.config import flip_mode
@@ -28,3 +30,13 @@ def flips(mode: str | None, seed: int, round_: int, rank: int, world: int) -> bo
 def flip_table(spark: SparkSession, mode: str | None, seed: int, rounds: int, world: int) -> DataFrame:
     """(round, rank, flip): rounds x world rows."""
     return spark.createDataFrame([(k, r, flips(mode, seed, k, r, world)) for k in range(rounds) for r in range(world)], "round long, rank int, flip boolean")
+
+
+def round_flips(rounds: DataFrame, mode: str | None, seed: int, world: int) -> DataFrame:
+    """(round, rank, flip) of each round that occurs in rounds (round)."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, r, flips(mode, seed, k, r, world)) for k in batch.column("round").to_pylist() for r in range(world)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.bool_()))], names=["round", "rank", "flip"])
+
+    return rounds.select(rounds["round"].cast("long").alias("round")).distinct().mapInArrow(apply, "round long, rank int, flip boolean")

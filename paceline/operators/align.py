@@ -48,9 +48,10 @@ def aligned_groups(members: DataFrame) -> DataFrame:
 
 
 def flipped(groups: DataFrame, flips: DataFrame) -> DataFrame:
-    """groups with emit_pos: the aligned order, reversed where the rank flips."""
-    d = groups.join(F.broadcast(flips), ["round", "rank"], "left")
-    return d.withColumn("emit_pos", F.when(F.coalesce("flip", F.lit(False)), F.col("target") - 1 - F.col("aligned_idx")).otherwise(F.col("aligned_idx"))).drop("flip")
+    """groups with emit_pos: the aligned order, reversed where the rank flips. A round and rank without a flip fails."""
+    d = groups.join(flips, ["round", "rank"], "left")
+    missing = F.raise_error(F.concat(F.lit("no flip for round "), F.col("round"), F.lit(", rank "), F.col("rank"))).cast("boolean")
+    return d.withColumn("emit_pos", F.when(F.coalesce("flip", missing), F.col("target") - 1 - F.col("aligned_idx")).otherwise(F.col("aligned_idx"))).drop("flip")
 
 
 def totals(groups: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig
 from paceline.functions import columns as C
-from paceline.functions.flips import flip_table
+from paceline.functions.flips import flip_table, round_flips
 from paceline.operators import align, emit, planner, progress, segment, windows
 from paceline.sources import samples as S
 
@@ -70,7 +70,7 @@ class _Round:
         self.target = align.targets(self.groups, self.slots)
         self.aligned = align.aligned(self.members, self.target)
         self.sizes = align.aligned_groups(self.aligned)
-        flips = flip_table(spark, "balanced", SEED, 200, WORLD)
+        flips = round_flips(self.slots, "balanced", SEED, WORLD)
         self.flipped = align.flipped(self.sizes, flips)
         self.total = align.totals(self.flipped)
 
