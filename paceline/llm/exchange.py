@@ -158,6 +158,16 @@ def give_back(found: DataFrame, width: int) -> DataFrame:
     return found.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(apply, BACK)
 
 
+def united(back: DataFrame) -> DataFrame:
+    """BACK rows, one of each document: repeated rows of a document have all places that any of them has."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [p[0] if len(p) == 1 else squeeze(np.concatenate([unsqueeze(x, np.uint32) for x in p])) for p in b.column("parts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(found, pa.binary())], names=_names(BACK))
+
+    return back.groupBy("doc_id", "th").agg(F.collect_set("found").alias("parts")).mapInArrow(apply, BACK)
+
+
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     """squeezed documents with what was found in them (null: nothing)."""
     f = found.withColumnsRenamed({"doc_id": "__id", "th": "__th"})

@@ -362,12 +362,12 @@ def later_bytes(docs: DataFrame) -> DataFrame:
     n = partitions(docs.sparkSession)
     d = X.keyed(docs)
     found = d.mapInArrow(_index(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_shared, X.FOUND)
-    both = X.with_found(X.squeezed(d), X.give_back(found, 1).dropDuplicates(["doc_id", "th"])).filter("found is not null")
+    both = X.with_found(X.squeezed(d), X.united(X.give_back(found, 1))).filter("found is not null")
     both = cut(both)
     # bytes travel here, and each task holds those of its anchors
     n = max(n, int(both.agg(F.sum(F.octet_length("z"))).first()[0] or 0) // TASK)
     found = both.mapInArrow(_carry(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_merge, X.FOUND)
-    return X.give_back(found, 2).dropDuplicates(["doc_id", "th"])
+    return X.united(X.give_back(found, 2))
 
 
 _REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

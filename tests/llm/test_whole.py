@@ -5,9 +5,11 @@ import random
 import pytest
 from helpers import ODD, docs, prose
 from pyspark.sql import functions as F
+from test_repeats import brute_bytes
 
 import corpus_pipeline
 from paceline.functions.flips import flip_table, flips
+from paceline.llm import suffixmerge
 from paceline.operators import align
 from paceline.plans import queries
 
@@ -73,3 +75,20 @@ def test_a_missing_flip_fails(spark):
     groups = spark.createDataFrame([(0, 0, 0, 1, 5, 1), (1, 0, 0, 1, 5, 1)], "round long, rank int, aligned_idx long, size long, tokens long, target long")
     with pytest.raises(Exception, match="no flip for round 1"):
         align.flipped(groups, flip_table(spark, "balanced", 1, 1, 1)).collect()
+
+
+def test_repeated_rows_with_partly_shared_passages(spark):
+    rng, rows = random.Random(41), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
+    passages = [" ".join(word() for _ in range(60)) for _ in range(8)]
+    for i in range(40):
+        parts = []
+        for p in rng.sample(passages, 3):
+            a = rng.randrange(len(p) // 2)
+            parts += [" ".join(word() for _ in range(rng.randint(5, 40))), p[a : a + rng.randint(120, 300)]]
+        rows += [(i, " ".join(parts), "en", "a", 0)] * rng.choice([1, 2, 3])
+    want = brute_bytes(rows)
+    for order in (rows, rows[::-1]):
+        for parts in (1, 3):
+            got = suffixmerge.byte_report(docs(spark, order).repartition(parts)).collect()
+            assert sorted(str(tuple(r)) for r in got) == want
