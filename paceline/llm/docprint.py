@@ -2,7 +2,7 @@
 
 A text is the multiset of its paragraph pieces (paragraphs end at line breaks; a piece is up to PIECE_WORDS words of
 one paragraph, counted from its start). Each piece hashes to a vector of LANES entries, each +1 or -1, and the
-fingerprint is their sum modulo 2**16. Sums don't depend on order, and a piece is inserted or deleted by adding or
+fingerprint is their sum modulo 2**32. Sums don't depend on order, and a piece is inserted or deleted by adding or
 subtracting its vector. The mean square of the difference of two fingerprints estimates how many pieces two texts don't
 share, which gives their likeness. Null counts as empty; a text without words has the zero vector.
 """
@@ -33,8 +33,8 @@ def pieces(text: str) -> list[bytes]:
 
 
 def vectors(texts: list[str]) -> np.ndarray:
-    """One row of LANES unsigned 16-bit sums for each text."""
-    out = np.zeros((len(texts), LANES), np.uint16)
+    """One row of LANES unsigned 32-bit sums for each text."""
+    out = np.zeros((len(texts), LANES), np.uint32)
     at, digests, begins, owners = 0, [], [], []
 
     def flush():
@@ -42,7 +42,7 @@ def vectors(texts: list[str]) -> np.ndarray:
             bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, LANES // 8), axis=1)
             ones = np.add.reduceat(bits, begins, axis=0, dtype=np.uint32)
             n = np.diff([*begins, len(bits)])[:, None]
-            out[owners] = ((2 * ones.astype(np.int64) - n) % 65536).astype(np.uint16)
+            out[owners] = ((2 * ones.astype(np.int64) - n) % (1 << 32)).astype(np.uint32)
 
     for i, text in enumerate(texts):
         found = [xxhash.xxh3_128_digest(p) for p in pieces(text)]
@@ -60,25 +60,25 @@ def vectors(texts: list[str]) -> np.ndarray:
 
 def insert(fingerprint: str, added: str) -> str:
     """The fingerprint of a text with further paragraphs."""
-    return pack((unpack(fingerprint) + vectors([added])[0]).astype(np.uint16))
+    return pack((unpack(fingerprint) + vectors([added])[0]).astype(np.uint32))
 
 
 def delete(fingerprint: str, removed: str) -> str:
     """The fingerprint of a text without the given paragraphs."""
-    return pack((unpack(fingerprint) - vectors([removed])[0]).astype(np.uint16))
+    return pack((unpack(fingerprint) - vectors([removed])[0]).astype(np.uint32))
 
 
 def pack(v: np.ndarray) -> str:
-    return v.astype(">u2").tobytes().hex()
+    return v.astype(">u4").tobytes().hex()
 
 
 def unpack(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(bytes.fromhex(fingerprint), ">u2").astype(np.uint16)
+    return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Estimated share of pieces that two texts have in common, row by row; 1 for equal fingerprints."""
-    power = lambda x: (x.view(np.int16).astype(np.float64) ** 2).sum(axis=-1)
+    power = lambda x: (x.view(np.int32).astype(np.float64) ** 2).sum(axis=-1)
     apart, total = power(np.ascontiguousarray(a - b)), power(a) + power(b)
     return np.where(apart == 0, 1.0, np.clip(1 - apart / np.maximum(total, 1), 0.0, 1.0))
 

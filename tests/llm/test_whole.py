@@ -9,7 +9,7 @@ from test_repeats import brute_bytes
 
 import corpus_pipeline
 from paceline.functions.flips import flip_table, flips
-from paceline.llm import suffixmerge
+from paceline.llm import docprint, suffixmerge
 from paceline.operators import align
 from paceline.plans import queries
 
@@ -92,3 +92,10 @@ def test_repeated_rows_with_partly_shared_passages(spark):
         for parts in (1, 3):
             got = suffixmerge.byte_report(docs(spark, order).repartition(parts)).collect()
             assert sorted(str(tuple(r)) for r in got) == want
+
+
+def test_fingerprints_of_many_repeats_do_not_wrap():
+    often, none = docprint.vectors(["a b c d " * 65536]), docprint.vectors([""])
+    assert docprint.likeness(often, none)[0] == 0.0
+    more = docprint.vectors(["a b c d " * 40000])
+    assert docprint.likeness(more, docprint.vectors(["a b c d " * 39000]))[0] > 0.9
