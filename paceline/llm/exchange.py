@@ -2,8 +2,8 @@
 
 A chunk is what one Arrow batch holds: documents in a row, with places counted over all of them. For each chunk and
 bucket one row carries hashes (the bucket is their leading part) and places; what a bucket finds goes back as places of
-chunks and is sorted out to documents by the chunk's directory. A document is known by (doc_id, th), th a hash of the
-text: rows that agree in both are one document. Input partitions must be stable, as those of a table scan are.
+chunks and is sorted out to documents by the chunk's directory. A document is known by common.KEY, for rows without an
+id 128 bits of the text. Input partitions must be stable, as those of a table scan are.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paceline.llm.common import KEY
+
 SENT = "bucket int, chunk string, h binary, p binary, x binary, dir binary"
 FOUND = "chunk string, p binary, dir binary"
-BACK = "doc_id long, th int, found binary"
+BACK = "none boolean, k long, th long, found binary"
 
 _names = lambda schema: [x.split()[0] for x in schema.split(", ")]
 
@@ -41,46 +43,42 @@ def ungaps(b: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(b, np.uint32), dtype=np.int64)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, text) with null texts as empty ones."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.shiftrightunsigned(F.xxhash64(text), 33).cast("int").alias("th"), text.alias("text"))
-
-
 def squeezed(docs: DataFrame) -> DataFrame:
     """keyed documents with the text compressed, for a shuffle."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(3)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "th", "z"])
+            packed = pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *KEY)), packed], names=["doc_id", *KEY, "z"])
 
-    return docs.mapInArrow(apply, "doc_id long, th int, z binary")
+    return docs.mapInArrow(apply, "doc_id long, none boolean, k long, th long, z binary")
 
 
 class Directory:
     """Documents of a chunk and where each begins."""
 
-    def __init__(self, ids: list, ths: list, begins: np.ndarray):
-        self.none = np.array([i is None for i in ids], bool)
-        self.ids = np.array([i or 0 for i in ids], np.int64)
-        self.ths, self.begins = np.array(ths, np.int32), np.asarray(begins, np.int64)
+    def __init__(self, none: np.ndarray, ids: np.ndarray, ths: np.ndarray, begins: np.ndarray):
+        self.none, self.ids, self.ths, self.begins = none, ids, ths, begins
+
+    @staticmethod
+    def of_batch(batch: pa.RecordBatch, begins: np.ndarray) -> Directory:
+        none, ids, ths = (batch.column(c).to_numpy(zero_copy_only=False) for c in KEY)
+        return Directory(none.astype(bool), ids, ths, np.asarray(begins, np.int64))
 
     def pack(self) -> bytes:
-        return squeeze(np.concatenate([self.ids.view(np.uint8), self.begins.view(np.uint8), self.ths.view(np.uint8), self.none.view(np.uint8)]))
+        return squeeze(np.concatenate([x.view(np.uint8) for x in (self.ids.copy(), self.begins.copy(), self.ths.copy(), self.none.copy())]))
 
     def part(self, p: np.ndarray) -> Directory:
         """Of the documents in which some of the places p lie."""
-        k, d = np.unique(self.of(p)), Directory([], [], np.zeros(0))
-        d.none, d.ids, d.ths, d.begins = self.none[k], self.ids[k], self.ths[k], self.begins[k]
-        return d
+        k = np.unique(self.of(p))
+        return Directory(self.none[k], self.ids[k], self.ths[k], self.begins[k])
 
     @staticmethod
     def unpack(b: bytes) -> Directory:
         raw = unsqueeze(b, np.uint8)
-        n, d = len(raw) // 21, Directory([], [], np.zeros(0))
-        d.ids, d.begins = raw[: 8 * n].view(np.int64), raw[8 * n : 16 * n].view(np.int64)
-        d.ths, d.none = raw[16 * n : 20 * n].copy().view(np.int32), raw[20 * n :].astype(bool)
-        return d
+        n = len(raw) // 25
+        ids, begins, ths = (raw[8 * n * i : 8 * n * (i + 1)].view(np.int64) for i in range(3))
+        return Directory(raw[24 * n :].astype(bool), ids, ths, begins)
 
     def of(self, p: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.begins, p, "right") - 1
@@ -92,7 +90,7 @@ def buckets(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def rows(schema: str, items: list[tuple]) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     fields = [x.split() for x in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([i[k] for i in items], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
@@ -116,11 +114,10 @@ def send(chunk: str, n: int, h: np.ndarray, p: np.ndarray, payload, directory: D
     what is `known` to be found already; with `everywhere` the part of it that concerns a row goes with that row."""
     b = buckets(h, n)
     order = np.argsort(b.astype(np.uint16) if n < 65536 else b, kind="stable")
-    cuts, out = np.searchsorted(b[order], np.arange(n + 1)), []
-    for k in range(n):
-        i = order[cuts[k] : cuts[k + 1]]
-        if len(i):
-            out.append((k, chunk, *(lambda hx, i=i: (hx[0], gaps(p[i]), hx[1]))(payload(i)), directory.part(p[i]).pack() if everywhere else None))
+    out = []
+    for i in np.split(order, np.flatnonzero(np.diff(b[order])) + 1) if len(order) else []:
+        packed, more = payload(i)
+        out.append((int(b[i[0]]), chunk, packed, gaps(p[i]), more, directory.part(p[i]).pack() if everywhere else None))
     out.append((sum(map(ord, chunk)) % n, chunk, None, known, None, directory.pack()))
     return rows(SENT, out)
 
@@ -140,7 +137,7 @@ def give_back(found: DataFrame, width: int) -> DataFrame:
                 for a, b in zip(cuts, [*cuts[1:], len(doc)], strict=True):
                     k, w = doc[a], v[a:b].copy()
                     w[:, 0] -= directory.begins[k]
-                    items.append((None if directory.none[k] else int(directory.ids[k]), int(directory.ths[k]), squeeze(w.astype(np.uint32))))
+                    items.append((bool(directory.none[k]), int(directory.ids[k]), int(directory.ths[k]), squeeze(w.astype(np.uint32))))
                 for i in range(0, len(items), 2000):
                     yield rows(BACK, items[i : i + 2000])
 
@@ -163,15 +160,14 @@ def united(back: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [p[0] if len(p) == 1 else squeeze(np.concatenate([unsqueeze(x, np.uint32) for x in p])) for p in b.column("parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("th"), pa.array(found, pa.binary())], names=_names(BACK))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in KEY), pa.array(found, pa.binary())], names=_names(BACK))
 
-    return back.groupBy("doc_id", "th").agg(F.collect_set("found").alias("parts")).mapInArrow(apply, BACK)
+    return back.groupBy(*KEY).agg(F.collect_set("found").alias("parts")).mapInArrow(apply, BACK)
 
 
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     """squeezed documents with what was found in them (null: nothing)."""
-    f = found.withColumnsRenamed({"doc_id": "__id", "th": "__th"})
-    return docs.join(f, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left").drop("__id", "__th")
+    return docs.join(found, KEY, "left")
 
 
 def texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -179,8 +175,22 @@ def texts(batch: pa.RecordBatch) -> list[bytes]:
     return [z.decompress(x) for x in batch.column("z").to_pylist()]
 
 
+def merged(begins: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap as one, in order."""
+    order = np.argsort(begins, kind="stable")
+    begins, ends = begins[order], np.maximum.accumulate(ends[order])
+    new = np.concatenate([[True], begins[1:] > ends[:-1]])[: len(begins)]
+    last = np.concatenate([new[1:], [True]])[: len(begins)]
+    return list(zip(begins[new].tolist(), ends[last].tolist(), strict=True))
+
+
+def between(runs: list[tuple[int, int]], total: int) -> list[tuple[int, int]]:
+    """What the runs leave of 0 to total."""
+    return [(a, b) for a, b in zip([0, *(e for _, e in runs)], [*(b for b, _ in runs), total], strict=True) if b > a]
+
+
 def later(cls: np.ndarray, none: np.ndarray, ids: np.ndarray, ths: np.ndarray, rel: np.ndarray) -> np.ndarray:
-    """Of members of classes, which have an earlier member: by doc_id (null last), th, place in the document. Repeated
+    """Of members of classes, which have an earlier member: by KEY (no id last), place in the document. Repeated
     rows of one document stand at the same place, so none of them is later than the other."""
     order = np.lexsort((rel, ths, ids, none, cls))
     c = cls[order]

@@ -9,14 +9,14 @@ refined symbol by symbol, each step a stable counting sort of the preceding symb
 after LENGTH steps are the repeated intervals, as their longest common prefix is LENGTH or more. All members of an
 interval but the earliest are marked; marks that overlap merge, and their bytes go.
 
-Null texts are empty. Rows that agree in doc_id and text are one document, so neither removes the other's bytes; null
+Null and empty texts lose nothing, extra columns are left behind, an empty table gives no rows. Rows that agree in
+doc_id and text are one document, so neither removes the other's bytes; null
 doc_ids come last; rows with one doc_id and other texts are ordered by a hash of the text. Bytes that are kept are
 hashed as they are, even where a character has lost some of its bytes.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import exchange as X
-from paceline.llm.common import cut, partitions
+from paceline.llm.common import cut, keyed, partitions
 from paceline.llm.wordrepeat import mixed
 
 LENGTH = 100
@@ -37,8 +37,9 @@ SHARD, MERGE = 1 << 15, 1 << 17
 PORTION = 1 << 22
 #: Bytes of stretches that a merging task unpacks at once (more only where one anchor has more).
 PART = 1 << 21
-#: Bytes of compressed documents for each merging task.
-TASK = 1 << 21
+#: Bytes of compressed documents for each bucket of anchors, and how many merging tasks there are at most: beyond
+#: that, a task takes several buckets, one after the other.
+TASK, TASKS = 1 << 21, 20_000
 #: Places of a portion that are hashed in one step: what is held beside the text is a few numbers for each of them.
 BLOCK = 1 << 18
 #: Windows of one stretch: longer runs with one anchor are cut.
@@ -121,7 +122,7 @@ def _index(n: int):
             b, begins, at, count, key = _stretches([t.encode() for t in batch.column("text").to_pylist()])
             if len(at):
                 twice = _within(b, at, count, key)
-                d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
+                d = X.Directory.of_batch(batch, begins)
                 low = key.astype(np.uint32)
                 yield X.send(X.chunk_name(k), n, key, at, lambda i, low=low, twice=twice: (low[i].tobytes(), X.squeeze(np.packbits(twice[i]))), d, False)
 
@@ -157,7 +158,7 @@ def _carry(n: int):
             at, count, key = at[hit], count[hit], key[hit]
             if not len(at):
                 continue
-            d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
+            d = X.Directory.of_batch(batch, begins)
             whole = b.tobytes()
             # of equal stretches of a chunk only the earliest travels: the others are known to be repeats
             numbers: dict[bytes, int] = {}
@@ -309,87 +310,110 @@ def _repeats(texts: list[bytes], key: np.ndarray, count: np.ndarray, none: np.nd
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """SENT rows of one bucket to FOUND rows of (place, number of windows), all windows that have an earlier equal. What
-    the rows carry stays packed but for a few anchors at a time."""
-    chunks, directories, keys, counts, places, starts, source, raws = [], [], [], [], [], [], [], []
+    """SENT rows, those of a bucket together, to FOUND rows of (place, number of windows), all windows that have an
+    earlier equal. What the rows of a bucket carry stays packed but for a few anchors at a time."""
+    now, held = None, _Held()
     for batch in batches:
         for row in range(batch.num_rows):
-            chunk, h, p, x, d = (batch.column(c)[row].as_py() for c in ("chunk", "h", "p", "x", "dir"))
+            bucket, chunk, h, p, x, d = (batch.column(c)[row].as_py() for c in ("bucket", "chunk", "h", "p", "x", "dir"))
             if h is None:
                 yield X.rows(X.FOUND, [(chunk, p, d)])
                 continue
-            key, raw = np.frombuffer(h, np.uint64), zstandard.decompress(x)
-            n = np.frombuffer(raw, np.uint16, len(key)).astype(np.int32)
-            starts.append((2 * len(key) + np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)).astype(np.int32))
-            keys.append(key)
-            counts.append(n)
-            places.append(X.ungaps(p).astype(np.uint32))
-            source.append(np.full(len(key), len(chunks), np.int32))
-            raws.append(raw)
-            chunks.append(chunk)
-            directories.append(X.Directory.unpack(d))
-    if not chunks:
-        return
-    key, count, place, start, source = (np.concatenate(v) for v in (keys, counts, places, starts, source))
-    del keys, counts, places, starts
-    order, found = np.argsort(key, kind="stable"), []
-    # anchors in portions of about PART bytes; all stretches of an anchor are in one
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
-    part = (np.cumsum(count[order].astype(np.int64) + LENGTH - 1) // PART)[begin]
-    cuts = [*begin[np.concatenate([[True], np.diff(part) != 0])].tolist(), len(order)]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        i = order[a:b]
-        texts = [raws[s][x : x + m + LENGTH - 1] for s, x, m in zip(source[i].tolist(), start[i].tolist(), count[i].tolist(), strict=True)]
-        none, ids, ths, rel = np.zeros(len(i), bool), np.zeros(len(i), np.int64), np.zeros(len(i), np.int32), np.zeros(len(i), np.int64)
-        by = np.argsort(source[i], kind="stable")
-        for mine in np.split(by, np.flatnonzero(np.diff(source[i][by])) + 1):
-            d, p = directories[source[i[mine[0]]]], place[i[mine]].astype(np.int64)
-            doc = d.of(p)
-            none[mine], ids[mine], ths[mine], rel[mine] = d.none[doc], d.ids[doc], d.ths[doc], p - d.begins[doc]
-        who, off, n = _repeats(texts, key[i], count[i].astype(np.int64), none, ids, ths, rel)
-        found.append((i[who].astype(np.int32), off.astype(np.int32), n.astype(np.int32)))
-    i, off, n = (np.concatenate(v) for v in zip(*found, strict=True))
-    order = np.argsort(source[i], kind="stable")
-    i, off, n = i[order], off[order], n[order]
-    for s, chunk in enumerate(chunks):
-        a, b = np.searchsorted(source[i], [s, s + 1])
-        if b > a:
-            yield X.rows(X.FOUND, [(chunk, X.squeeze(np.stack([place[i[a:b]] + off[a:b].astype(np.uint32), n[a:b].astype(np.uint32)], axis=1)), None)])
+            if bucket != now:
+                yield from held.settled()
+                now, held = bucket, _Held()
+            held.add(chunk, h, p, x, d)
+    yield from held.settled()
+
+
+class _Held:
+    """The stretches of one bucket."""
+
+    def __init__(self):
+        self.chunks, self.directories, self.raws, self.columns = [], [], [], []
+
+    def add(self, chunk: str, h: bytes, p: bytes, x: bytes, d: bytes) -> None:
+        key, raw = np.frombuffer(h, np.uint64), zstandard.decompress(x)
+        n = np.frombuffer(raw, np.uint16, len(key)).astype(np.int32)
+        start = (2 * len(key) + np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)).astype(np.int32)
+        self.columns.append((key, n, X.ungaps(p).astype(np.uint32), start, np.full(len(key), len(self.chunks), np.int32)))
+        self.raws.append(raw)
+        self.chunks.append(chunk)
+        self.directories.append(X.Directory.unpack(d))
+
+    def settled(self) -> Iterator[pa.RecordBatch]:
+        if not self.chunks:
+            return
+        key, count, place, start, source = (np.concatenate(v) for v in zip(*self.columns, strict=True))
+        self.columns = []
+        order, found = np.argsort(key, kind="stable"), []
+        # anchors in portions of about PART bytes; all stretches of an anchor are in one
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        part = (np.cumsum(count[order].astype(np.int64) + LENGTH - 1) // PART)[begin]
+        cuts = [*begin[np.concatenate([[True], np.diff(part) != 0])].tolist(), len(order)]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            i = order[a:b]
+            texts = [self.raws[s][x : x + m + LENGTH - 1] for s, x, m in zip(source[i].tolist(), start[i].tolist(), count[i].tolist(), strict=True)]
+            none, (ids, ths, rel) = np.zeros(len(i), bool), np.zeros((3, len(i)), np.int64)
+            by = np.argsort(source[i], kind="stable")
+            for mine in np.split(by, np.flatnonzero(np.diff(source[i][by])) + 1):
+                d, p = self.directories[source[i[mine[0]]]], place[i[mine]].astype(np.int64)
+                doc = d.of(p)
+                none[mine], ids[mine], ths[mine], rel[mine] = d.none[doc], d.ids[doc], d.ths[doc], p - d.begins[doc]
+            who, off, n = _repeats(texts, key[i], count[i].astype(np.int64), none, ids, ths, rel)
+            found.append((i[who].astype(np.int32), off.astype(np.int32), n.astype(np.int32)))
+        i, off, n = (np.concatenate(v) for v in zip(*found, strict=True))
+        order = np.argsort(source[i], kind="stable")
+        i, off, n = i[order], off[order], n[order]
+        for s, chunk in enumerate(self.chunks):
+            a, b = np.searchsorted(source[i], [s, s + 1])
+            if b > a:
+                yield X.rows(X.FOUND, [(chunk, X.squeeze(np.stack([place[i[a:b]] + off[a:b].astype(np.uint32), n[a:b].astype(np.uint32)], axis=1)), None)])
 
 
 def later_bytes(docs: DataFrame) -> DataFrame:
     """BACK rows: (place, number) of the windows of each document that start earlier elsewhere."""
     n = partitions(docs.sparkSession)
-    d = X.keyed(docs)
+    d = keyed(docs)
     found = d.mapInArrow(_index(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_shared, X.FOUND)
     both = X.with_found(X.squeezed(d), X.united(X.give_back(found, 1))).filter("found is not null")
     both = cut(both)
     # bytes travel here, and each task holds those of its anchors
-    n = max(n, int(both.agg(F.sum(F.octet_length("z"))).first()[0] or 0) // TASK)
-    found = both.mapInArrow(_carry(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_merge, X.FOUND)
+    buckets = max(n, int(both.agg(F.sum(F.octet_length("z"))).first()[0] or 0) // TASK)
+    tasks = min(buckets, max(n, TASKS))
+    task = F.floor(F.col("bucket").cast("long") * tasks / buckets).cast("int")
+    sent = both.mapInArrow(_carry(buckets), X.SENT).repartitionById(tasks, task)
+    if tasks < buckets:
+        sent = sent.sortWithinPartitions("bucket")
+    found = sent.mapInArrow(_merge, X.FOUND)
     return X.united(X.give_back(found, 2))
 
 
-_REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+_KEPT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
+_SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def byte_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
+def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, spans, kept) of each document: the maximal removed runs, in bytes, end exclusive, and the bytes
+    that stay (not always whole characters)."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, t, f in zip(batch.column("doc_id").to_pylist(), X.texts(batch), batch.column("found").to_pylist(), strict=True):
-                total, removed, spans = len(t), 0, 0
+            sizes, spans, kept = [], [], []
+            for t, f in zip(X.texts(batch), batch.column("found").to_pylist(), strict=True):
+                sizes.append(len(t))
+                runs = []
                 if f is not None:
                     v = X.unsqueeze(f, np.uint32).astype(np.int64).reshape(-1, 2)
-                    gone = np.zeros(total + 1, np.int32)
-                    np.add.at(gone, v[:, 0], 1)
-                    np.add.at(gone, v[:, 0] + v[:, 1] + LENGTH - 1, -1)
-                    gone = np.cumsum(gone[:-1]) > 0
-                    spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    removed = int(gone.sum())
-                    t = np.frombuffer(t, np.uint8)[~gone].tobytes()
-                out.append((i, total, removed, spans, hashlib.sha256(t).hexdigest()))
-            yield X.rows(_REPORT, out)
-
-    return X.with_found(X.squeezed(X.keyed(docs)), later_bytes(docs)).mapInArrow(apply, _REPORT)
+                    runs = X.merged(v[:, 0], v[:, 0] + v[:, 1] + LENGTH - 1)
+                    t = b"".join(t[a:b] for a, b in X.between(runs, len(t)))
+                spans.append([{"start": a, "end": b} for a, b in runs])
+                kept.append(t)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, _SPAN), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
+
+    return X.with_found(X.squeezed(keyed(docs)), later_bytes(docs)).mapInArrow(apply, _KEPT)
+
+
+def byte_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
+    gone = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return remove_repeated_bytes(docs).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,16 +2,17 @@
 
 Reference blocks of BLOCK words, one after the other in each document, are indexed. Every rolling window of BLOCK words
 of all documents probes the index. A repeated window of WINDOW = 2 * BLOCK words holds a whole block wherever it is, so
-what doesn't hold a hit can't repeat. Hits are extended to the windows of WINDOW words around them; equal ones are
-brought together, all but the earliest are marked, and overlapping marks merge into maximal repeats, which go.
+what doesn't hold a hit can't repeat. The index only finds hits, and false ones cost time alone. Hits are extended by up
+to BLOCK words both ways, to the windows of WINDOW words around them; windows are equal if two independent hashes of
+64 bits of their words agree. All but the earliest are marked, and marks that touch merge into maximal repeats, which go.
 
-Null texts have no words. Rows that agree in doc_id and text are one document, so neither removes the other's words;
-null doc_ids come last; rows with one doc_id and other texts are ordered by a hash of the text.
+Null, empty and shorter texts lose nothing; texts of any length are read whole; extra columns are left behind; an empty
+table gives no rows. Rows that agree in doc_id and text are one document, so neither removes the other's words, and each
+gets its own row; null doc_ids come last; rows with one doc_id and other texts are ordered by a hash of the text.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -19,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from paceline.llm import exchange as X
-from paceline.llm.common import cut, partitions
+from paceline.llm.common import KEY, cut, keyed, partitions
 
 BLOCK = 10
 WINDOW = 20
@@ -30,6 +32,7 @@ PORTION = 1 << 24
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
+SPAN = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -45,13 +48,11 @@ def rolled(w: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    digest, hashes, sizes = xxhash.xxh3_64_intdigest, [], []
-    for t in texts:
-        found = np.fromiter(map(digest, _WORD.findall(t)), np.uint64)
-        hashes.append(found)
-        sizes.append(len(found))
-    return np.concatenate(hashes), np.array(sizes, np.int64)
+def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two independent hashes of each word, and the number of words of each text."""
+    found = [_WORD.findall(t) for t in texts]
+    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for words in found for w in words]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy(), np.array([len(x) for x in found], np.int64)
 
 
 def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -66,13 +67,13 @@ def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.nda
 def _probe(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(X.portions(batches, "text", PORTION)):
-            w, sizes = _words([t.encode() for t in batch.column("text").to_pylist()])
+            w, _, sizes = _words([t.encode() for t in batch.column("text").to_pylist()])
             begins = np.cumsum(sizes) - sizes
             p = np.flatnonzero(_inside(begins, sizes, BLOCK, len(w)))
             if not len(p):
                 continue
             h = rolled(w, BLOCK)[p]
-            d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
+            d = X.Directory.of_batch(batch, begins)
             block = (p - begins[np.searchsorted(begins, p, "right") - 1]) % BLOCK == 0
             # three bytes beside the bucket: chance hits only make more candidates
             low = (h & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
@@ -111,7 +112,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extend(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
-            w, sizes = _words(X.texts(batch))
+            w, v, sizes = _words(X.texts(batch))
             begins = np.cumsum(sizes) - sizes
             near = np.zeros(len(w) + 1, np.int32)
             for b, f in zip(begins, batch.column("found").to_pylist(), strict=True):
@@ -121,10 +122,10 @@ def _extend(n: int):
             p = np.flatnonzero((np.cumsum(near[:-1]) > 0) & _inside(begins, sizes, WINDOW, len(w)))
             if not len(p):
                 continue
-            h, more = rolled(w, WINDOW)[p], rolled(w * _PRIME, WINDOW)[p]
-            tail = (h << np.uint64(32)) | (more >> np.uint64(32))
-            d = X.Directory(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), begins)
-            yield X.send(X.chunk_name(k), n, h, p, lambda i, tail=tail: (tail[i].tobytes(), None), d, True)
+            h = rolled(w, WINDOW)[p]
+            both = np.stack([h, rolled(v, WINDOW)[p]], axis=1)
+            d = X.Directory.of_batch(batch, begins)
+            yield X.send(X.chunk_name(k), n, h, p, lambda i, both=both: (both[i].tobytes(), None), d, True)
 
     return apply
 
@@ -136,24 +137,27 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h is None:
                 yield X.rows(X.FOUND, [(chunk, None, d)])
             else:
-                held.append((chunk, np.frombuffer(h, np.uint64), X.ungaps(p), X.Directory.unpack(d)))
+                held.append((chunk, np.frombuffer(h, np.uint64).reshape(-1, 2), X.ungaps(p), X.Directory.unpack(d)))
     if not held:
         return
     every = np.concatenate([h for _, h, _, _ in held])
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    again = np.zeros(len(every), bool)
+    order = np.lexsort((every[:, 1], every[:, 0]))
+    same = (every[order][1:] == every[order][:-1]).all(axis=1)
+    cls = np.empty(len(every), np.int32)
+    cls[order] = np.cumsum(np.concatenate([[True], ~same]))
+    del every
+    again = np.zeros(len(cls), bool)
     again[order[1:][same]] = True
     again[order[:-1][same]] = True
     who = np.flatnonzero(again)
     source = np.repeat(np.arange(len(held)), [len(h) for _, h, _, _ in held])[who]
     place = np.concatenate([p for *_, p, _ in held])[who]
-    none, ids, ths, rel = np.zeros(len(who), bool), np.zeros(len(who), np.int64), np.zeros(len(who), np.int32), np.zeros(len(who), np.int64)
+    none, ids, ths, rel = np.zeros(len(who), bool), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64), np.zeros(len(who), np.int64)
     for k, (*_, d) in enumerate(held):
         a, b = np.searchsorted(source, [k, k + 1])
         doc = d.of(place[a:b])
         none[a:b], ids[a:b], ths[a:b], rel[a:b] = d.none[doc], d.ids[doc], d.ths[doc], place[a:b] - d.begins[doc]
-    marked = X.later(every[who], none, ids, ths, rel)
+    marked = X.later(cls[who], none, ids, ths, rel)
     for k, (chunk, *_) in enumerate(held):
         a, b = np.searchsorted(source, [k, k + 1])
         if marked[a:b].any():
@@ -163,31 +167,39 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def later_windows(docs: DataFrame) -> DataFrame:
     """BACK rows: the places, in words, of the windows of each document that start earlier elsewhere."""
     n = partitions(docs.sparkSession)
-    d = X.keyed(docs)
+    d = keyed(docs)
     found = d.mapInArrow(_probe(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_hits, X.FOUND)
-    hits = X.give_back(found, 1).dropDuplicates(["doc_id", "th"])
+    hits = X.give_back(found, 1).dropDuplicates(KEY)
     both = X.with_found(X.squeezed(d), hits).filter("found is not null")
     both = cut(both)  # chunks need a stable order
     found = both.mapInArrow(_extend(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_later, X.FOUND)
-    return X.give_back(found, 1).dropDuplicates(["doc_id", "th"])
+    return X.united(X.give_back(found, 1))
 
 
-def word_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256); kept words are joined by single spaces."""
+_KEPT = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, kept string"
+
+
+def remove_repeated_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, spans, kept) of each document: the maximal repeats that go, in words, end exclusive, and the
+    words that stay, joined by single spaces."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for i, t, f in zip(batch.column("doc_id").to_pylist(), X.texts(batch), batch.column("found").to_pylist(), strict=True):
-                words = _WORD.findall(t)
-                total = len(words)
+            sizes, spans, kept = [], [], []
+            for t, f in zip(X.texts(batch), batch.column("found").to_pylist(), strict=True):
+                words, runs = _WORD.findall(t), []
+                sizes.append(len(words))
                 if f is not None:
-                    gone = np.zeros(total + 1, np.int32)
                     p = X.unsqueeze(f, np.uint32).astype(np.int64)
-                    np.add.at(gone, p, 1)
-                    np.add.at(gone, p + WINDOW, -1)
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(gone[:-1]) == 0)]
-                out.append((i, total, total - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
-            yield X.rows("doc_id long, n_words long, n_removed long, kept_sha256 string", out)
-
-    d = X.with_found(X.squeezed(X.keyed(docs)), later_windows(docs))
-    return d.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+                    runs = X.merged(p, p + WINDOW)
+                    words = [w for a, b in X.between(runs, len(words)) for w in words[a:b]]
+                spans.append([{"start": a, "end": b} for a, b in runs])
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, SPAN), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
+
+    return X.with_found(X.squeezed(keyed(docs)), later_windows(docs)).mapInArrow(apply, _KEPT)
+
+
+def word_report(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256) of each document."""
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return remove_repeated_words(docs).select("doc_id", "n_words", gone.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
