@@ -25,7 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (0.8 or more of their shingles): the one with the smallest doc_id."""
+    """One document of each group of near-duplicates (0.8 or more of their shingles): the one with the smallest doc_id
+    (null last; of repeated ids the least digest of the row). Null and wordless texts are one group."""
     return jaccard.deduplicate(docs, SHINGLE).select(docs.columns)
 
 

@@ -1,13 +1,16 @@
-"""Near-duplicates by the similarity of shingle sets: MinHash bands find candidates, exact similarity decides.
+"""Near-duplicates of a given similarity: SimHash balls and MinHash bands find candidates, exact similarity decides.
 
 Documents are sets of shingles of so many words. Two sets are linked if their Jaccard similarity is SIMILAR or more.
-Each distinct set emits BANDS keys, each over ROWS least values of a multiplied hash: two sets of similarity s share a
-key with probability 1 - (1 - s^ROWS)^BANDS, all but 6 in a million at 0.8 and more above. Sets that share a key are
-candidates, and components of candidates are settled apart: there every set that is not linked yet is held against all
-others that are not, by counting shared shingles. What the bands bring together by chance is not linked.
+Candidates are what SimHash links within RADIUS bits (simhash.links, by meet-in-the-middle balls): that finds copies and
+sets nearly alike. At a similarity of just 0.8 two fingerprints differ in 9.7 of 64 bits on average, which no ball of a
+bearable size reaches, so further candidates come from MinHash: each distinct set emits BANDS keys, each over ROWS least
+values of a multiplied hash, and two sets of similarity s share a key with probability 1 - (1 - s^ROWS)^BANDS, all but 6
+in a million at 0.8 and more above. Components of candidates are settled apart: there every set that is not linked yet
+is held against all others that are not, by counting shared shingles. What came together by chance is not linked.
 
 Null and wordless texts are the empty set, and equal. Null doc_ids get a component, and are the smallest id of none.
-Repeated rows give repeated rows. One task holds the sets of one component of candidates.
+Repeated rows give repeated rows; rows with one doc_id and other texts are documents of their own. Texts of any length
+are read whole. An empty table gives no rows. One task holds the sets of one component of candidates.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import cut, partitions
+from paceline.llm import simhash
+from paceline.llm.common import cut, digest, fresh, partitions
 from paceline.llm.components import components
-from paceline.llm.simhash import _WORD
+from paceline.llm.simhash import _WORD, _stars
 
 #: Least similarity of near-duplicates, as a fraction.
 SIMILAR = (4, 5)
@@ -64,11 +68,12 @@ def _bands(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, fp, bands): hash of the text, hash of the set, packed keys (null for the empty set)."""
+    """(doc_id, row1, row2, fp, sim, bands): digest of the row, hash of the set, its SimHash, packed keys (null for the
+    empty set)."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            fps, bands = np.zeros(len(texts), np.uint64), [None] * len(texts)
+            fps, sims, bands = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), [None] * len(texts)
             held, who, size = [], [], 0
             for i, text in enumerate(texts):
                 s = shingles(text, words)
@@ -78,13 +83,15 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                     who.append(i)
                     size += len(s)
                 if held and (size > PORTION or i == len(texts) - 1):
+                    sims[who] = simhash.majority(held)
                     for j, row in zip(who, _bands(held), strict=True):
                         bands[j] = row.tobytes()
                     held, who, size = [], [], 0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(fps.view(np.int64)), pa.array(bands, pa.binary())], names=["doc_id", "th", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "row1", "row2")), pa.array(fps.view(np.int64)), pa.array(sims.view(np.int64)), pa.array(bands, pa.binary())], names=["doc_id", "row1", "row2", "fp", "sim", "bands"])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    return d.mapInArrow(apply, "doc_id long, th long, fp long, bands binary")
+    one, two = digest(docs)
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("row1"), two.alias("row2"), "text")
+    return d.mapInArrow(apply, "doc_id long, row1 long, row2 long, fp long, sim long, bands binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,23 +101,6 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"key": keys, "fp": np.repeat(batch.column("fp").to_numpy(), BANDS)})
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by key and fp: each set that shares a key with a lesser one, linked to the least."""
-    last_key, last_fp = None, None
-    for batch in batches:
-        key, fp = batch.column("key").to_numpy(), batch.column("fp").to_numpy()
-        if not len(key):
-            continue
-        begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        heads = fp[begins]
-        if last_key is not None and key[0] == last_key:
-            heads = np.concatenate([[last_fp], heads[1:]])
-        first = np.repeat(heads, np.diff([*begins, len(key)]))
-        last_key, last_fp = key[-1], first[-1]
-        pairs = np.unique(np.stack([fp, first], axis=1)[fp != first], axis=0)
-        yield pa.RecordBatch.from_pydict({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
-
-
 def linked(sets: list[np.ndarray]) -> np.ndarray:
     """For each set the first set of its component, by links of SIMILAR or more."""
     up, down = SIMILAR
@@ -164,26 +154,45 @@ def _settled(words: int):
     return apply
 
 
+def _candidates(fps: DataFrame) -> DataFrame:
+    """fps (fp, sim, bands): links (a, b) between sets that may be alike, enough to make them one component."""
+    n = partitions(fps.sparkSession)
+    met = fps.filter("bands is not null").select("fp", "bands").mapInArrow(_keys, "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
+    by_bands = met.mapInArrow(_stars, "a long, b long")
+    # one set stands for each SimHash; the others hang on it
+    sims = cut(fps.filter("bands is not null").groupBy("sim").agg(F.min("fp").alias("head")))
+    same = fps.filter("bands is not null").join(sims, "sim").filter("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    near = simhash.links(sims.select(F.col("sim").alias("fp")))
+    for end in ("a", "b"):
+        near = near.join(sims.select(F.col("sim").alias(end), F.col("head").alias(f"head_{end}")), end)
+    return by_bands.union(same).union(near.select("head_a", "head_b"))
+
+
 def near_duplicates(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, fp, component_id) of each document: component_id is the smallest doc_id of its component."""
+    """(doc_id, row1, row2, fp, root, component_id) of each document: its component as one set of it (root) and as its
+    smallest doc_id."""
     n = partitions(docs.sparkSession)
     marked = cut(_signed(docs, words))
-    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("th").alias("th"), F.min("bands").alias("bands")))
-    met = fps.filter("bands is not null").select("fp", "bands").mapInArrow(_keys, "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
-    near = components(met.mapInArrow(_stars, "a long, b long"))
+    fps = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct("row1", "row2")).alias("row"), F.min("sim").alias("sim"), F.min("bands").alias("bands")))
+    near = components(_candidates(fps))
     # roots have no row of their own
     near = cut(near.union(near.select("root", "root").distinct()))
-    wanted = fps.select("fp", "th").join(near, F.col("fp") == F.col("node")).select("fp", "th", "root")
-    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(wanted, "th").dropDuplicates(["fp"])
+    wanted = fps.select("fp", "row.*").join(near, F.col("fp") == F.col("node")).select("row1", "row2", "fp", "root")
+    one, two = digest(docs)
+    texts = docs.select(one.alias("row1"), two.alias("row2"), "text").join(wanted, ["row1", "row2"]).dropDuplicates(["row1", "row2"])
     texts = texts.select("root", "fp", "text").repartition(4 * n, "root").sortWithinPartitions("root")
     found = cut(texts.mapInArrow(_settled(words), "fp long, root long"))
     roots = cut(fps.select("fp", "least").join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    return marked.select("doc_id", "fp").join(roots.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "component_id")
+    return marked.drop("sim", "bands").join(roots.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "row1", "row2", "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, words: int) -> DataFrame:
-    """docs with one row of each component: one with its smallest doc_id. Columns are kept."""
-    found = near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__row", F.col("doc_id").cast("long")).join(found, F.col("__row").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")
+    """docs with one row of each component: one with its smallest doc_id (null last), of these the one whose digest is
+    the least. Columns are kept; of rows that are equal in all of them one stays."""
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row1", "row2")
+    first = cut(near_duplicates(docs, words).groupBy("root").agg(F.min(order).alias("r")).select("r.row1", "r.row2"))
+    one, two = digest(docs)
+    names = fresh(docs, "row1", "row2")
+    kept = docs.withColumns(dict(zip(names, (one, two), strict=True))).join(first.toDF(*names), names, "left_semi")
+    return kept.dropDuplicates(names).select(docs.columns)

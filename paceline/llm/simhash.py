@@ -8,7 +8,8 @@ four bits, so each only links to the least fingerprint of its variant (at most 2
 made. Links run between distinct fingerprints alone; equal ones share a component from the start.
 
 Null and wordless texts have fingerprint zero. Null doc_ids get a component, and are the smallest id of none.
-Repeated rows give repeated rows.
+Repeated rows give repeated rows. Texts of any length are read whole; extra columns are left behind; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -32,39 +33,36 @@ BUCKET = 128
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
+def majority(sets: list[np.ndarray]) -> np.ndarray:
+    """For each array of hashes (none empty) the bits that are set in over half of them."""
+    sizes = np.array([len(s) for s in sets])
+    bits = np.unpackbits(np.concatenate(sets).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    ones = np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1).copy().view(">u8").ravel().astype(np.uint64)
+
+
 def fingerprints(texts: list[str | None], words: int = SHINGLE) -> np.ndarray:
     """Unsigned 64-bit SimHash of each text, over shingles with repeats."""
     out = np.zeros(len(texts), np.uint64)
-    hashes: list[int] = []
-    begins: list[int] = []
+    held: list[np.ndarray] = []
     owners: list[int] = []
-
-    def flush():
-        if begins:
-            bits = np.unpackbits(np.array(hashes, np.uint64).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            ones = np.add.reduceat(bits, begins, axis=0, dtype=np.int64)
-            n = np.diff([*begins, len(hashes)])[:, None]
-            out[owners] = np.packbits(2 * ones > n, axis=1).copy().view(">u8").ravel()
-
-    digest = xxhash.xxh64_intdigest
+    size, digest = 0, xxhash.xxh64_intdigest
     for i, text in enumerate(texts):
         w = _WORD.findall(text.encode().lower()) if text else []
         if not w:
             continue
-        begins.append(len(hashes))
+        line, at = b" ".join(w), [0]
+        for x in w:
+            at.append(at[-1] + len(x) + 1)
+        ends = at[min(words, len(w)) :]
+        held.append(np.array([digest(line[a : b - 1], 42) for a, b in zip(at, ends, strict=False)], np.uint64))
         owners.append(i)
-        if len(w) <= words:
-            hashes.append(digest(b" ".join(w), 42))
-        else:
-            line, at, ends = b" ".join(w), [0], []
-            for x in w:
-                at.append(at[-1] + len(x) + 1)
-            ends = at[words:]
-            hashes += [digest(line[a : b - 1], 42) for a, b in zip(at, ends, strict=False)]
-        if len(hashes) > 100_000:
-            flush()
-            hashes, begins, owners = [], [], []
-    flush()
+        size += len(ends)
+        if size > 100_000:
+            out[owners] = majority(held)
+            held, owners, size = [], [], 0
+    if held:
+        out[owners] = majority(held)
     return out
 
 
@@ -189,9 +187,3 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-
-def deduplicate(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: one with its smallest doc_id. Columns are kept."""
-    found = near_duplicates(docs, words).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.withColumn("__row", F.col("doc_id").cast("long")).join(found, F.col("__row").eqNullSafe(F.col("__id")), "left_semi")
-    return kept.dropDuplicates(["__row"]).drop("__row")

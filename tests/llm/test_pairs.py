@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import xxhash
 from helpers import ODD, SCHEMA, docs, prose
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from paceline.llm import leakage, linedup, simhash
@@ -97,18 +98,42 @@ def _duck(sql, **tables):
 def test_lines(spark):
     rng = random.Random(4)
     rows = []
-    for i in range(150):
-        lines = [f"line {rng.randrange(30)}" for _ in range(rng.randint(0, 12))]
+    for i in range(200):
+        lines = [f"line {rng.randrange(30)}" for _ in range(rng.randint(0, 12) if i % 4 else rng.randint(0, 2))]
         if i % 5 == 0:
             lines[2:2] = ["a", "b", "c", "d"]
+        if i % 3 == 0:
+            lines[rng.randrange(len(lines) + 1) : 0] = ["é" * rng.choice([20, 39, 40, 60]) for _ in range(rng.randint(1, 2))]
         rows.append((i, "\n".join(lines), "en", "a", 0))
-    rows += [(500, None, None, None, 0), (501, "", None, None, 0), (502, "x\n" * 3000, None, None, 0)]
-    d = docs(spark, rows)
-    assert sorted(str(tuple(r)) for r in linedup.line_report(d).collect()) == _duck(linedup.LINES_SQL, documents=d)
+    rows += [(500, None, None, None, 0), (501, "", None, None, 0), (502, "x\n" * 10_000, None, None, 0), (503, "\n\n\n\n\n", None, None, 0), (504, "\n\n\n\n", None, None, 0)]
+    d = docs(spark, rows).repartition(3)
+    got = linedup.line_report(d).collect()
+    assert sorted(str(tuple(r)) for r in got) == _duck(linedup.LINES_SQL, documents=d)
+    removed = {r.doc_id: (r.n_lines, r.n_removed) for r in got}
+    assert removed[502] == (10_001, 9_999) and removed[503][1] == removed[504][1] == 0
     assert linedup.line_report(docs(spark, ODD)).count() == len(ODD)
     assert linedup.line_report(docs(spark, [])).count() == 0
 
 
+def test_single_long_lines_and_short_documents(spark):
+    long, short = "This line has more than sixty characters, so it is a run of its own.", "two\nlines"
+    rows = [(1, f"a\n{long}\nb", None, None, 0), (2, f"c\n{long}\nd", None, None, 0), (3, short, None, None, 0), (4, short, None, None, 0), (5, "x\ntwo\nlines\ny", None, None, 0)]
+    d = docs(spark, rows).withColumns({"n_removed": F.lit("old"), "__drop": F.lit(1), "__th": F.lit(2)})
+    got = {r.doc_id: (r.text, r.n_removed, r["__drop"], r["__th"]) for r in linedup.remove_repeated_lines(d).collect()}
+    assert got == {1: (rows[0][1], 0, 1, 2), 2: ("c\nd", 1, 1, 2), 3: (short, 0, 1, 2), 4: ("", 2, 1, 2), 5: (rows[4][1], 0, 1, 2)}
+
+
+def test_winnowing_selects_equal_lines_of_equal_runs_only(spark):
+    rng = random.Random(6)
+    rows = [(i, "\n".join(f"{rng.getrandbits(40)}" for _ in range(50)), None, None, 0) for i in range(40)]
+    assert linedup.shared_fingerprints(linedup._runs(docs(spark, rows))).count() == 0
+    passage = "\n".join(rows[0][1].split("\n")[10:20])
+    rows.append((99, "head\n" + passage + "\ntail", None, None, 0))
+    assert 1 <= linedup.shared_fingerprints(linedup._runs(docs(spark, rows))).count() <= 8
+    got = {r.doc_id: r.text for r in linedup.remove_repeated_lines(docs(spark, rows)).collect()}
+    assert got[99] == "head\ntail" and got[0] == rows[0][1]
+
+
 def test_leakage(spark):
     rng = random.Random(5)
     word = lambda: rng.choice(["alpha", "Beta", "c", "d", "épée", "f1", "g", "h"])
@@ -166,3 +191,18 @@ def test_stages_with_clashing_columns(spark, tmp_path):
         assert set(d.columns) <= set(out.columns) and (k == 4 or out.columns == d.columns)
         assert out.count() >= 0
         assert stage(spark, d.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_duplicate_stage_keeps_rows_without_an_id_of_their_own(spark, tmp_path):
+    rng = random.Random(61)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(60))
+    rows = [(None, text(), "en", "a", 0) for _ in range(100)]
+    rows += [(i, text(), "en", "a", 0) for i in range(20) for _ in range(2)]
+    copies = [(r[0], r[1], "de", "b", 1) for r in rows[:10]] + rows[10:15] + [(7000, rows[120][1] + " more", "en", "a", 0)]
+    every = rows + copies + [(None, None, None, None, None), (None, "", None, None, None), (None, None, None, None, None)]
+    d = docs(spark, every).repartition(3)
+    got = sorted(map(str, map(tuple, corpus_pipeline.drop_near_duplicates(spark, d, str(tmp_path)).collect())))
+    assert len(got) == 141 and len({eval(x)[1] or "" for x in got}) == 141
+    assert not [x for x in got if "7000" in x]
+    again = corpus_pipeline.drop_near_duplicates(spark, docs(spark, every[::-1]).repartition(5), str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, again))) == got
