@@ -155,7 +155,7 @@ def test_leakage(spark):
     assert not any(r.contaminated for r in leakage.leakage_report(d, none).collect())
     assert leakage.leakage_report(docs(spark, []), b).count() == 0
     near = leakage.Index(docs(spark, [(1, "alpha one two three Beta", None, None, 0), (2, "alpha" + " q" * 40 + " beta", None, None, 0)]), spark.createDataFrame([(7, "alpha beta")], "item_id long, text string")).proximity(5)
-    assert [(r.doc_id, r.n_near) for r in near.collect()] == [(1, 1)]
+    assert [(r.k, r.n_near) for r in near.collect()] == [(1, 1)]
 
 
 def test_pipeline(spark, tmp_path):
