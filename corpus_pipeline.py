@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.llm import jaccard, langid, leakage, mixture, shards
-from paceline.llm.common import cut, documents, word_count
+from paceline.llm.common import cut, documents, fresh, word_count
 
 SHARDS = 40
 #: Words of a shingle for near-duplicates.
@@ -37,8 +37,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document, none included, as the target weights of the sources ask for."""
-    d = mixture.mix(docs, word_count(F.col("text")), prefix="__")
-    return d.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies").cast("int")))).select(docs.columns)
+    mark, copy = fresh(docs, "", "copy")
+    d = mixture.mix(docs, word_count(F.col("text")), prefix=mark)
+    return d.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(mark + "copies").cast("int")))).select(docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Mixing sources to target weights by entropy balancing.
 
-Document rates r stay as near to 1 (in relative entropy) as the token constraints allow: the sum of size * r over each
-source equals its target. The convex dual has one multiplier for each source, and the rates are exponentially tilted,
-r = exp(multiplier of the source). Its gradient and Hessian need the documents only through one distributed sum for
-each source, so the Newton iterations repeat on those sums. Rates are then rounded into copies: each document gets the
-whole part of its rate, and the fractions are spread evenly over the source's documents in order of size.
-
-Null texts have size 0. Null is a source of its own, the last. A source without tokens has target 0 and rate 0.
-Repeated rows count each. Reruns agree.
+Document rates r stay as near to 1 (in relative entropy, summed over documents) as the token constraints allow: the sum
+of size * r over each source equals its target, and no rate exceeds `most`. The convex dual has one multiplier for each
+source, and the rates are tilted exponentially by size: r = min(most, exp(multiplier * size)). Newton iterations find the
+multipliers: each sums gradient and Hessian of all sources over the documents in one distributed job, over the table of
+how many documents each source has of each size, which is all that they depend on. Sums are exact (decimals), so reruns
+agree. Rates are then rounded into copies: along the documents of a source, roughly by size, copies follow the
+running sum of the rates, so each document gets its rate rounded up or down, and the source's sum stays near its target.
+
+Null and empty texts have size 0 and one copy. Null is a source of its own, the last. A source without tokens has target
+0. Repeated rows count each; of rows that tie in size, doc_id and `tie` it is open which gets a copy more. Null doc_ids
+come first among equals. Very long texts count whole. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,12 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paceline.llm.common import cut, word_count
+from paceline.llm.common import cut, digest, fresh, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
-#: Parts that each size class of a source is ranked in.
-SALTS = 32
+#: Parts of a rate: rates are rounded to these, their sums are exact.
+UNIT = 10_000
+#: Parts of a rate within the iterations.
+FINE = 10**12
+#: Newton steps at most; they stop before where the sums meet the targets to CLOSE.
+STEPS, CLOSE = 100, 1e-12
 
 
 def shares(totals: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -41,59 +48,99 @@ def shares(totals: list[int], weights: list[float], most: float = MOST) -> list[
     return out
 
 
-def newton(totals: list[int], targets: list[float], steps: int = 60, close: float = 1e-13) -> list[float]:
-    """Minimise sum(total * exp(x) - target * x) over the multipliers x, damped; the rates exp(x)."""
-    x = [0.0] * len(totals)
-    for _ in range(steps):
-        tilted = [t * math.exp(v) for t, v in zip(totals, x, strict=True)]
-        move = [(b - a) / a if a and b else 0.0 for a, b in zip(tilted, targets, strict=True)]
-        x = [v + max(-1.0, min(1.0, m)) for v, m in zip(x, move, strict=True)]
-        if all(abs(m) < close for m in move):
-            break
-    return [math.exp(v) if t and b else 0.0 for v, t, b in zip(x, totals, targets, strict=True)]
+def _table(df: DataFrame, values: dict[str, float], name: str) -> DataFrame:
+    """A number for each source, to join by key."""
+    return F.broadcast(df.sparkSession.createDataFrame(list(values.items()), f"key string, {name} double"))
 
 
-def _key(source: Column) -> Column:
-    return F.when(source.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source))
+def _rate(size: Column, multiplier: Column, most: float) -> Column:
+    return F.least(F.lit(most), F.exp(multiplier * size))
 
 
-def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, prefix: str = "") -> DataFrame:
-    """docs with source_size, target (of its source) and copies, named after `prefix`; other columns are kept.
+def multipliers(sizes: DataFrame, targets: dict[str, float], most: float = MOST) -> dict[str, float]:
+    """The dual's optimum: for each source x such that the sum of n * size * min(most, exp(x * size)) is its target.
 
-    `weights` repeat over the sources by code point, null last. The driver holds one number for each source.
-    A hot source is ranked in cells of size class and doc_id, so no task gets a whole source.
+    sizes: (key, size, n). Newton steps, kept within what is known to hold the root; one job for each step gives
+    gradient and Hessian of all sources. A target of `most` times the source needs all rates at `most`.
+    """
+    low = {k: -40.0 for k in targets}
+    high = {k: math.log(most) for k in targets}  # every size of 1 or more is at the bound there
+    x = {k: 0.0 for k, t in targets.items()}
+    open_ = {k for k, t in targets.items() if t > 0}
+    used = sizes.filter("size > 0")
+    for _ in range(STEPS):
+        if not open_:
+            break
+        d = used.join(_table(sizes, {k: x[k] for k in open_}, "x"), "key")
+        rate, n, size = F.round(_rate(F.col("size"), F.col("x"), most) * FINE).cast("decimal(14,0)"), F.col("n").cast("decimal(12,0)"), F.col("size").cast("decimal(10,0)")
+        free = F.when(F.exp(F.col("x") * F.col("size")) < most, n * size * rate * F.col("size").cast("double"))
+        found = d.groupBy("key").agg(F.sum((n * size * rate).cast("decimal(38,0)")).alias("sum"), F.sum(free.cast("decimal(38,0)")).alias("slope")).collect()
+        for key, total, slope in found:
+            gap, rise = float(total) / FINE - targets[key], float(slope or 0) / FINE
+            if gap > 0:
+                high[key] = x[key]
+            else:
+                low[key] = x[key]
+            step = x[key] - gap / rise if rise else math.inf
+            if abs(gap) <= CLOSE * targets[key] or high[key] - low[key] <= 1e-15 * abs(low[key]):
+                open_.discard(key)
+            else:
+                x[key] = step if low[key] < step < high[key] else (low[key] + high[key]) / 2
+    return x
+
+
+def mix(docs: DataFrame, size: Column, source: str = "source", weights: tuple[float, ...] = WEIGHTS, most: float = MOST, prefix: str = "", tie: Column | None = None) -> DataFrame:
+    """docs with source_size, target (of its source) and copies, named after `prefix`, in place of columns of these
+    names; other columns are kept.
+
+    `weights` repeat over the sources by code point, null last. The driver holds a few numbers for each source. `tie` (a
+    string; by default a hash of the row) orders documents of one size and doc_id. A hot source is ranked in cells of
+    size class and a hash of the document, so no task gets a whole source.
     """
-    spark = docs.sparkSession
-    d = docs.withColumns({"__size": size.cast("long"), "__key": _key(F.col(source)), "__salt": F.coalesce(F.pmod(F.col("doc_id"), F.lit(SALTS)), F.lit(0)).cast("int")})
+    docs = docs.drop(*(prefix + x for x in ("source_size", "target", "copies")))
+    names = fresh(docs, "size", "key", "salt", "class", "tie", "before", "units", "upto")
+    size_, key, salt, class_, tie_, before, units, upto = names
+    tie = digest(docs)[0].cast("string") if tie is None else tie
+    d = docs.withColumns({size_: size.cast("long"), key: F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), source)), tie_: tie})
     # size class: the bits of the size, then its four leading bits
-    bits = "length(bin(__size))"
-    d = d.withColumn("__class", F.expr(f"{bits} * 8 + shiftright(__size, greatest({bits} - 4, 0))").cast("int"))
-    cells = cut(d.groupBy("__key", "__class", "__salt").agg(F.sum("__size").alias("__sum"), F.count(F.lit(1)).alias("__n")))
-    found = sorted(((r[0], int(r[1] or 0)) for r in cells.groupBy("__key").agg(F.sum("__sum")).collect()), key=lambda r: (r[0] == "", r[0]))
-    totals = [t for _, t in found]
-    targets = shares(totals, [float(weights[i % len(weights)]) for i in range(len(found))], most)
-    rates = [min(round(r, 9), most) for r in newton(totals, targets)]
-    table = spark.createDataFrame([(k, t, round(b, 6), r) for (k, t), b, r in zip(found, targets, rates, strict=True)], f"__key string, {prefix}source_size long, {prefix}target double, __rate double")
-    before = Window.partitionBy("__key").orderBy("__class", "__salt").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).join(table, "__key").drop("__sum", "__n")
-    d = d.join(cells, ["__key", "__class", "__salt"])
-    rank = F.col("__before") + F.row_number().over(Window.partitionBy("__key", "__class", "__salt").orderBy("__size", "doc_id"))
-    d = d.withColumn("__rank", rank)
-    part = F.col("__rate") - F.floor("__rate")
-    copies = F.floor("__rate") + F.floor(part * F.col("__rank") + 0.5) - F.floor(part * (F.col("__rank") - 1) + 0.5)
-    return d.withColumn(f"{prefix}copies", copies.cast("long")).drop("__size", "__key", "__salt", "__class", "__before", "__rank", "__rate")
+    bits = f"length(bin(`{size_}`))"
+    d = d.withColumns({
+        salt: F.substring(F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.col(tie_))), 1, 2),
+        class_: F.expr(f"{bits} * 8 + shiftright(`{size_}`, greatest({bits} - 4, 0))").cast("int")})
+    cells = cut(d.groupBy(F.col(key).alias("key"), F.col(class_).alias("class"), F.col(salt).alias("salt"), F.col(size_).alias("size")).agg(F.count(F.lit(1)).alias("n")))
+    sizes = cut(cells.groupBy("key", "size").agg(F.sum("n").alias("n")))
+    found = sorted(((r[0], int(r[1] or 0)) for r in sizes.groupBy("key").agg(F.sum(F.col("n") * F.col("size"))).collect()), key=lambda r: (r[0] == "", r[0]))
+    targets = shares([t for _, t in found], [float(weights[i % len(weights)]) for i in range(len(found))], most)
+    x = multipliers(sizes, {k: t for (k, _), t in zip(found, targets, strict=True)}, most)
+    table = docs.sparkSession.createDataFrame([(k, t, round(b, 6), x[k]) for (k, t), b in zip(found, targets, strict=True)], "key string, source_size long, target double, x double")
+    # running sums of rates, in whole units: those of the cells, then those of the documents within a cell
+    rate = F.round(_rate(F.col("size"), F.col("x"), most) * UNIT).cast("long")
+    sums = cells.join(F.broadcast(table), "key").groupBy("key", "class", "salt").agg(F.sum(rate * F.col("n")).alias("units"))
+    upto_cell = Window.partitionBy("key").orderBy("class", "salt").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn(before, F.coalesce(F.sum("units").over(upto_cell), F.lit(0))).drop("units")
+    sums = sums.withColumnsRenamed({"key": key, "class": class_, "salt": salt})
+    table = table.withColumnsRenamed({"key": key, "source_size": prefix + "source_size", "target": prefix + "target", "x": units})
+    d = d.join(sums, [key, class_, salt]).join(F.broadcast(table), key)
+    d = d.withColumn(units, F.round(_rate(F.col(size_), F.col(units), most) * UNIT).cast("long"))
+    within = Window.partitionBy(key, class_, salt).orderBy(size_, "doc_id", tie_).rowsBetween(Window.unboundedPreceding, 0)
+    d = d.withColumn(upto, F.col(before) + F.sum(units).over(within))
+    whole = lambda c: F.floor((c + UNIT // 2) / UNIT)
+    return d.withColumn(prefix + "copies", (whole(F.col(upto)) - whole(F.col(upto) - F.col(units))).cast("long")).drop(*names)
 
 
 def mixture_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each document in the mix."""
-    sizes = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count(F.col("text")).alias("size")))
-    return mix(sizes, F.col("size")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    i = F.col("doc_id").cast("long")
+    sizes = cut(docs.select(i.alias("doc_id"), "source", word_count(F.col("text")).alias("size"), F.when(i.isNull(), F.md5(F.coalesce("text", F.lit("")))).alias("tie")))
+    return mix(sizes, F.col("size"), tie=F.col("tie")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-#: The same result by plain SQL: targets by filling sources in order of their limit over their weight.
+#: The same result by plain SQL: targets by filling sources in order of their limit over their weight, multipliers by
+#: bisection.
 MIXTURE_SQL = r"""
-WITH sized AS (
-  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM {docs}),
+WITH RECURSIVE sized AS (
+  SELECT doc_id, source, COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         CASE WHEN doc_id IS NULL THEN md5(COALESCE(text, '')) END AS tie FROM {docs}),
 totals AS (SELECT source, SUM(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
   SELECT source, source_size,
@@ -108,13 +155,21 @@ filled AS (
 level AS (SELECT arg_min(left_over / left_weight, full_at) AS c FROM filled WHERE left_over / left_weight <= full_at),
 targets AS (
   SELECT source, source_size, LEAST(3.0 * source_size, weight * COALESCE(c, 0))::DOUBLE AS t FROM weighed, level),
+hist AS (
+  SELECT source, list(size ORDER BY size) AS s, list(n ORDER BY size) AS n
+  FROM (SELECT source, size::DOUBLE AS size, COUNT(*)::DOUBLE AS n FROM sized WHERE size > 0 GROUP BY ALL) GROUP BY source),
+halved AS (
+  SELECT g.source, t, s, n, -40.0::DOUBLE AS lo, ln(3.0)::DOUBLE AS hi, 0 AS i FROM targets g JOIN hist h ON g.source IS NOT DISTINCT FROM h.source
+  UNION ALL
+  SELECT source, t, s, n, CASE WHEN below THEN mid ELSE lo END, CASE WHEN below THEN hi ELSE mid END, i + 1
+  FROM (SELECT *, list_sum(list_transform(range(1, len(s) + 1), lambda j: n[j] * s[j] * least(3.0, exp(mid * s[j])))) < t AS below
+        FROM (SELECT *, (lo + hi) / 2 AS mid FROM halved WHERE i < 100))),
 ranked AS (
-  SELECT doc_id, size, source_size, t,
-         CASE WHEN source_size = 0 THEN 0.0 ELSE LEAST(round(t / source_size, 9), 3.0) END::DOUBLE AS rate,
-         row_number() OVER (PARTITION BY s.source ORDER BY
-           length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)), COALESCE(doc_id % 32, 0), size, doc_id) AS r
-  FROM sized s JOIN targets g ON s.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, round(t, 6) AS target,
-       (size * (floor(rate) + floor((rate - floor(rate)) * r + 0.5) - floor((rate - floor(rate)) * (r - 1) + 0.5)))::BIGINT AS taken
-FROM ranked
+  SELECT doc_id, size, source_size, g.t, round(least(3.0, exp(COALESCE(h.hi, 0) * size)) * 10000)::BIGINT AS units, s.source,
+         length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 4, 0)) AS class, substr(md5(COALESCE(doc_id::VARCHAR, tie)), 1, 2) AS salt, tie
+  FROM sized s JOIN targets g ON s.source IS NOT DISTINCT FROM g.source
+  LEFT JOIN (SELECT source, hi FROM halved WHERE i = 100) h ON h.source IS NOT DISTINCT FROM s.source),
+summed AS (SELECT *, SUM(units) OVER (PARTITION BY source ORDER BY class, salt, size, doc_id NULLS FIRST, tie NULLS FIRST ROWS UNBOUNDED PRECEDING) AS upto FROM ranked)
+SELECT doc_id, size, source_size, round(t, 6) AS target, (size * ((upto + 5000) // 10000 - (upto - units + 5000) // 10000))::BIGINT AS taken
+FROM summed
 """

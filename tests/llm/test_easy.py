@@ -7,6 +7,8 @@ import zlib
 import numpy as np
 from helpers import ODD, docs, prose
 
+from pyspark.sql import functions as F
+
 from paceline.llm import docprint, langid, mixture, secretscan, shards
 
 
@@ -15,8 +17,28 @@ def test_shares_fill_and_stop():
     assert t[0] == 300 and t[1] == 30 and abs(sum(t) - 1110) < 1e-9
     assert mixture.shares([0, 5], [5.0, 2.0]) == [0.0, 5.0]
     assert mixture.shares([], []) == []
-    rates = mixture.newton([100, 10, 1000], t)
-    assert np.allclose(rates, [3, 3, t[2] / 1000], rtol=1e-12)
+
+
+def test_multipliers_are_the_optimum_of_the_dual(spark):
+    rng = np.random.default_rng(3)
+    sizes = {f"s{k}": rng.integers(1, 10 ** (k + 1), 50 + 40 * k) for k in range(4)}
+    targets = {k: float(v.sum()) * f for (k, v), f in zip(sizes.items(), (0.01, 0.9, 2.4, 3.0), strict=True)}
+    rows = [(k, int(s), 1) for k, v in sizes.items() for s in v] + [("s1", 0, 5)]
+    table = spark.createDataFrame(rows, "key string, size long, n long").groupBy("key", "size").agg(F.sum("n").alias("n"))
+    x = mixture.multipliers(table, targets)
+    for k, v in sizes.items():
+        rates = np.minimum(3, np.exp(x[k] * v))
+        assert abs((rates * v).sum() - targets[k]) <= 1e-9 * targets[k]
+        # no other rates that meet the constraint are nearer to 1: moving words between two documents costs entropy
+        cost = lambda r: (r * np.log(np.maximum(r, 1e-300)) - r + 1).sum()
+        for _ in range(200):
+            i, j = rng.integers(0, len(v), 2)
+            other = rates.copy()
+            move = 0.01 * min(rates[i], rates[j])
+            other[i] += move / v[i]
+            other[j] -= move / v[j]
+            if i != j and other.max() <= 3 and other.min() >= 0:
+                assert cost(other) >= cost(rates) - 1e-9
 
 
 def test_mixture(spark):
@@ -49,7 +71,7 @@ def test_mixture(spark):
 def test_mixture_sql(spark, tmp_path):
     import duckdb
 
-    rows = [r for r in prose(2, 150) + ODD if r[0] is not None]
+    rows = prose(2, 150) + ODD + [(None, f"no id {'x ' * (i % 7)}", None, "s0", 0) for i in range(40)]
     path = str(tmp_path / "d.parquet")
     docs(spark, rows).write.parquet(path)
     want = duckdb.sql(mixture.MIXTURE_SQL.format(docs=f"'{path}/*.parquet'")).fetchall()
