@@ -1,29 +1,31 @@
 """Sharding: a uniform shuffle into shards of exact sizes.
 
-Rows lie in PARTS partitions by a hash. The counts that go from each partition to each shard are drawn exactly, as a
+Rows lie in partitions by a hash, as many as there are rows for. The counts that go from each partition to each shard are drawn exactly, as a
 matrix with given margins (multivariate hypergeometric). Each partition is permuted on its own and dealt out by those
 counts; after the exchange each shard is permuted again. All such draws make a uniform permutation with shard sizes
-at most one apart. The matrix (PARTS x shards) is the only thing on the driver.
+at most one apart. The matrix is the only thing on the driver: one number for each shard and PART_ROWS rows.
 
 Equal rows are numbered and dealt like any others; which of them gets which place is arbitrary. Null doc_ids hash like
-a value. An empty table gives no rows. Reruns agree.
+a value. Null and empty texts count 16 bytes. A row travels whole, however long. An empty table gives no rows. Reruns
+agree.
 """
 
 from __future__ import annotations
 
-import json
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paceline.llm.common import cut
+from paceline.llm.common import cut, fresh
 
-PARTS = 256
-#: Parts of a shard that are permuted on their own, by the leading bits of the permuting hash.
-BLOCKS = 64
+#: Rows of a partition, and of a block of a shard, that are permuted together, on average.
+PART_ROWS = 250_000
+#: Partitions, and blocks of a shard (by bits of the permuting hash), there are at least.
+LEAST_PARTS, LEAST_BLOCKS = 64, 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, n: int) -> int:
@@ -68,31 +70,32 @@ def communication(counts: list[int], shards: int, seed: int) -> list[list[int]]:
     return out
 
 
-def shard(rows: DataFrame, identity: list[Column], shards: int = 40, seed: int = 20, parts: int = PARTS) -> DataFrame:
-    """rows with shard and slot (gapless from 0 in each shard). identity: what tells rows apart; rows that agree in it
-    are numbered, and each goes its own way. Other columns are kept."""
-    d = rows.withColumn("__i", F.xxhash64(F.lit(seed + 3), *identity))
-    d = d.withColumn("__p", F.pmod(F.xxhash64(F.lit(seed + 1), "__i"), F.lit(parts)).cast("int"))
+def shard(rows: DataFrame, identity: list[Column], shards: int = 40, seed: int = 20, per_part: int = PART_ROWS) -> DataFrame:
+    """rows with shard and slot (gapless from 0 in each shard), in place of columns of these names. identity: what tells
+    rows apart; rows that agree in it are numbered, and each goes its own way. Other columns are kept."""
+    rows = rows.drop("shard", "slot")
+    same, part, nth, one, two, place, block, before, ends = fresh(rows, *"ipchkrbse")
+    n = rows.count()
+    parts, blocks = max(LEAST_PARTS, -(-n // per_part)), max(LEAST_BLOCKS, -(-n // (shards * per_part)))
+    d = rows.withColumn(same, F.xxhash64(F.lit(seed + 3), *identity))
+    d = d.withColumn(part, F.pmod(F.xxhash64(F.lit(seed + 1), same), F.lit(parts)).cast("int"))
     counts = [0] * parts
-    for p, n in d.groupBy("__p").count().collect():
-        counts[p] = n
-    ends = []
-    for row in communication(counts, shards, seed):
-        acc = 0
-        ends.append([acc := acc + x for x in row])
-    ends = F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")
+    for p, k in d.groupBy(part).count().collect():
+        counts[p] = k
+    matrix = [(p, list(accumulate(row))) for p, row in enumerate(communication(counts, shards, seed))]
+    matrix = rows.sparkSession.createDataFrame(matrix, f"`{part}` int, `{ends}` array<bigint>")
     # one exchange serves the numbers and the permutation
-    d = d.repartition("__p").withColumn("__c", F.row_number().over(Window.partitionBy("__p", "__i").orderBy("__i")))
-    d = d.withColumns({"__h": F.xxhash64(F.lit(seed), "__i", "__c"), "__k": F.xxhash64(F.lit(seed + 2), "__i", "__c")})
-    d = d.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy("__h", "__k")) - 1)
-    mine = F.element_at(ends, F.col("__p") + 1)
-    d = d.withColumn("shard", F.size(F.filter(mine, lambda x: x <= F.col("__r"))).cast("int"))
-    d = d.withColumns({"__b": F.pmod(F.shiftright("__k", 40), F.lit(BLOCKS)).cast("int")})
-    blocks = d.groupBy("shard", "__b").agg(F.count(F.lit(1)).alias("__n"))
-    blocks = blocks.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy("shard").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    d = d.join(blocks, ["shard", "__b"])
-    slot = F.col("__before") + F.row_number().over(Window.partitionBy("shard", "__b").orderBy("__k", "__h")) - 1
-    return d.withColumn("slot", slot.cast("int")).drop("__i", "__c", "__h", "__p", "__k", "__r", "__b", "__before")
+    d = d.repartition(part).withColumn(nth, F.row_number().over(Window.partitionBy(part, same).orderBy(same)))
+    d = d.withColumns({one: F.xxhash64(F.lit(seed), same, nth), two: F.xxhash64(F.lit(seed + 2), same, nth)})
+    d = d.withColumn(place, F.row_number().over(Window.partitionBy(part).orderBy(one, two)) - 1).join(F.broadcast(matrix), part)
+    d = d.withColumn("shard", F.size(F.filter(ends, lambda x: x <= F.col(place))).cast("int"))
+    d = d.withColumn(block, F.pmod(F.shiftright(two, 20), F.lit(blocks)).cast("int"))
+    sizes = d.groupBy("shard", block).agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn(before, F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    d = d.join(sizes, ["shard", block])
+    slot = F.col(before) + F.row_number().over(Window.partitionBy("shard", block).orderBy(two, one)) - 1
+    return d.withColumn("slot", slot.cast("long")).select(*rows.columns, "shard", "slot")
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -102,4 +105,4 @@ def sized(docs: DataFrame) -> DataFrame:
 
 def shard_report(docs: DataFrame, shards: int = 40) -> DataFrame:
     d = shard(cut(sized(docs)), [F.col("doc_id"), F.col("size"), F.col("text_crc32")], shards)
-    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return d.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("int").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

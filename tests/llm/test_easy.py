@@ -142,6 +142,23 @@ def test_shards(spark):
     assert shards.shard_report(docs(spark, [])).count() == 0
 
 
+def test_the_deal_is_uniform(spark):
+    n, shards_, per = 24_000, 8, 500
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("__h"), F.lit("x").alias("shard"))
+    got = shards.shard(d, [F.col("doc_id")], shards_, per_part=per).collect()
+    assert {r["__h"] for r in got} == {1} and sorted(r.doc_id for r in got) == list(range(n))
+    table = np.zeros((12, shards_))
+    for r in got:
+        table[r.doc_id * 12 // n, r.shard] += 1
+    # chi-square with 77 degrees of freedom: mean 77, deviation 12.4
+    assert 35 < ((table - n / 96) ** 2 / (n / 96)).sum() < 130 and (table.sum(axis=0) == n / shards_).all()
+    order = np.array([r.doc_id for r in sorted(got, key=lambda r: (r.shard, r.slot))], float)
+    for lag in (1, 2, 7):
+        assert abs(np.corrcoef(order[:-lag], order[lag:])[0, 1]) < 0.03
+    slots = np.array([(r.doc_id, r.slot) for r in got], float)
+    assert abs(np.corrcoef(slots.T)[0, 1]) < 0.03
+
+
 def test_fingerprints(spark):
     a, b = "one two three\nfour five six seven eight", "nine ten"
     assert (docprint.vectors([a + "\n" + b]) == docprint.vectors([b + "\n" + a])).all()
