@@ -21,7 +21,8 @@ SHINGLE = 5
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models recognise; those without a letter, or unlike all languages, go."""
     model = langid.fit(docs)
-    return langid.identify(docs, model, "__").filter("not __rejected").select(docs.columns)
+    mark, _ = fresh(docs, "", "rejected")
+    return langid.identify(docs, model, mark).filter(~F.col(mark + "rejected")).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document, none included, as the target weights of the sources ask for."""
-    mark, copy = fresh(docs, "", "copy")
+    mark, copy, _ = fresh(docs, "", "copy", "copies")
     d = mixture.mix(docs, word_count(F.col("text")), prefix=mark)
     return d.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(mark + "copies").cast("int")))).select(docs.columns)
 

@@ -1,18 +1,25 @@
 """Language identification: an interpolated Kneser-Ney character model for each language.
 
-4-grams of the lower-cased code points (three boundary marks in front of each text) are counted over every training
-document; lower orders use continuation counts. Grams are hashed into 2**SLOT_BITS slots for each order and language,
-which bounds a model, and kept as sorted arrays of slots with their counts. The language with the lowest cross-entropy
-for each character is predicted; ties go to the smaller name. How sure a prediction is, and from what cross-entropy on
-it is rejected, is calibrated on CALIBRATION labelled training documents, the first by a hash of doc_id.
-
-Null texts and texts without a letter are `und`, score 0, rejected. Without any labelled text nothing is learned: all
-is `und`, and only texts without a letter are rejected.
+4-grams of the lower-cased code points (three boundary marks in front of each text) are counted over the training
+documents; lower orders use continuation counts. Code points above U+FFFF are hashed into the private use area. Grams
+are hashed into slots, SLOTS for each order over all languages and 2**SLOT_BITS for each language at most, which bounds
+a model whatever the number of languages, and kept as sorted arrays of slots with their counts. The language with the
+lowest cross-entropy for each character is predicted; ties go to the smaller name.
+
+Every tenth training document, by a hash of doc_id, is not counted but held apart for calibration: for each language the
+cross-entropy that all but REJECT of these documents stay under, taken over all of them, gives the limit beyond which a
+text is rejected (a language without any such document: the loosest limit of the others). How sure a prediction is
+depends on one number, fitted on CALIBRATION of the documents held apart.
+
+Null texts and texts without a letter (Unicode category L) are `und`, score 0, rejected. Without any labelled text
+nothing is learned: all is `und`, and only texts without a letter are rejected. Null doc_ids count as training
+documents; repeated rows count each; texts of any length are read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +31,11 @@ from pyspark.sql import functions as F
 from paceline.llm.common import cut
 
 ORDER = 4
-SLOT_BITS = 20
+SLOT_BITS, SLOTS = 20, 1 << 22
 CALIBRATION = 2000
-#: Of labelled texts, about this share is rejected, at most.
+#: Of labelled texts, this share is beyond the limit before the margin.
 REJECT = 0.001
-#: And only from so many times that cross-entropy on: texts that were not trained on have a higher one.
+#: Texts are rejected from so many times that cross-entropy on.
 MARGIN = 1.5
 
 _MARK = "\x01" * (ORDER - 1)
@@ -36,16 +43,23 @@ _LETTER = re.compile(r"[^\W\d_]")
 _CHARS = 1 << 21
 
 
-def _slots(codes: np.ndarray, order: int) -> np.ndarray:
+def has_letter(text: str) -> bool:
+    return any(unicodedata.category(m[0])[0] == "L" for m in _LETTER.finditer(text))
+
+
+def _slots(codes: np.ndarray, order: int, bits: int) -> np.ndarray:
     mixed = (codes.astype(np.uint64) + np.uint64(order)) * np.uint64(0x9E3779B97F4A7C15)
     mixed ^= mixed >> np.uint64(29)
-    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return ((mixed * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int32)
 
 
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """4-grams of all characters of the texts, the text that each belongs to, and how many each has."""
     whole = _MARK + _MARK.join(texts)
-    c = np.minimum(np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32), 0xFFFF).astype(np.uint64)
+    c = np.frombuffer(whole.encode("utf-32-le", "replace"), np.uint32)
+    if len(c) and c.max() > 0xFFFF:
+        c = np.where(c > 0xFFFF, 0xE000 + ((c * np.uint32(2654435761)) >> np.uint32(16)) % 6400, c)
+    c = c.astype(np.uint64)
     g = c[3:] | (c[2:-1] << np.uint64(16)) | (c[1:-2] << np.uint64(32)) | (c[:-3] << np.uint64(48))
     n = np.array([len(t) for t in texts])
     begins = np.concatenate([[0], np.cumsum(n[:-1] + 3)])
@@ -105,8 +119,8 @@ def held_out(doc_id: Column) -> Column:
 class Model:
     """tables[lang][order - 1]: (slots, counts, context slots, context totals, distinct followers, discount)."""
 
-    def __init__(self, tables: dict[str, list[tuple]]):
-        self.tables, self.langs = tables, sorted(tables)
+    def __init__(self, tables: dict[str, list[tuple]], bits: int):
+        self.tables, self.langs, self.bits = tables, sorted(tables), bits
         self.limit: dict[str, float] = {}
         self.sharp = 4.0
 
@@ -119,8 +133,8 @@ class Model:
         p = np.full(len(codes), 1 / 65536)
         for order, (keys, n, contexts, totals, kinds, d) in enumerate(self.tables[lang], 1):
             gram = u & np.uint64((1 << 16 * order) - 1)
-            count = find(keys, n, _slots(gram, order))
-            context = _slots(gram >> np.uint64(16), 10 + order)
+            count = find(keys, n, _slots(gram, order, self.bits))
+            context = _slots(gram >> np.uint64(16), 10 + order, self.bits)
             total, kind = find(contexts, totals, context), find(contexts, kinds, context)
             p = np.where(total > 0, (np.maximum(count - d, 0) + d * kind * p) / np.maximum(total, 1), p)
         return np.log(p)
@@ -135,11 +149,12 @@ class Model:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float | None]]:
         """(language, score, rejected, cross-entropy) for each text."""
         out: list = [("und", 0.0, True, None)] * len(texts)
-        rows = [(i, t.lower()) for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        rows = [(i, t.lower()) for i, t in enumerate(texts) if t and has_letter(t)]
         if not self.langs:
             for i, _ in rows:
                 out[i] = ("und", 0.0, False, None)
             return out
+        loosest = max(self.limit.values(), default=np.inf)
         for held in _chunks(iter(rows), 1):
             x = self.entropies([t for _, t in held])
             best = x.argmin(axis=1)
@@ -148,27 +163,38 @@ class Model:
             for (i, t), b, s, e in zip(held, best, score, x, strict=True):
                 lang = self.langs[b]
                 slack = 1 + 4 / np.sqrt(len(t))  # short texts vary more
-                out[i] = (lang, float(s), bool(e[b] > self.limit.get(lang, np.inf) * slack), float(e[b]))
+                out[i] = (lang, float(s), bool(e[b] > self.limit.get(lang, loosest) * slack), float(e[b]))
         return out
 
 
-_SLOTTED = "lang string, level int, slot long, a long, b long"
+_SLOTTED = "lang string, level int, slot int, a long, b long"
 
 
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        level, code = batch.column("level").to_numpy(), batch.column("code").to_numpy()
-        slot = np.zeros(len(code), np.int64)
-        for k in np.unique(level):
-            slot[level == k] = _slots(code[level == k], int(k))
-        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("level"), pa.array(slot), batch.column("a"), batch.column("b")], names=["lang", "level", "slot", "a", "b"])
+def _slotted(bits: int):
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            level, code = batch.column("level").to_numpy(), batch.column("code").to_numpy()
+            slot = np.zeros(len(code), np.int32)
+            for k in np.unique(level):
+                slot[level == k] = _slots(code[level == k], int(k), bits)
+            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("level"), pa.array(slot), batch.column("a"), batch.column("b")], names=["lang", "level", "slot", "a", "b"])
+
+    return apply
+
+
+def _apart() -> Column:
+    return F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(10)) == 0
 
 
 def fit(docs: DataFrame, train: Column | None = None) -> Model:
     """A model of the documents that have lang and text and meet `train` (all of them by default: not held out)."""
     use = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (~held_out(F.col("doc_id")) if train is None else train))
     use = use.select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    grams = {ORDER: cut(use.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))}
+    known = use.groupBy("lang").agg(F.bool_and(_apart()).alias("all_apart")).collect()
+    # a language whose few documents would all be held apart is counted nevertheless
+    counted = use.filter(~_apart() | F.col("lang").isin([r["lang"] for r in known if r["all_apart"]]))
+    bits = max(8, min(SLOT_BITS, (SLOTS // max(len(known), 1)).bit_length() - 1))
+    grams = {ORDER: cut(counted.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))}
     for order in range(ORDER - 1, 0, -1):
         code = F.col("code").bitwiseAND(F.lit((1 << 16 * order) - 1))
         grams[order] = grams[order + 1].groupBy("lang", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -178,53 +204,62 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
         own = d.select("lang", F.lit(order).alias("level"), "code", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
         above = d.groupBy("lang", context.alias("code")).agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("b")).select("lang", F.lit(10 + order).alias("level"), "code", "a", "b")
         every = own.unionByName(above) if every is None else every.unionByName(own).unionByName(above)
-    rows = every.mapInArrow(_slotted, _SLOTTED).groupBy("lang", "level", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    slots = every.mapInArrow(_slotted(bits), _SLOTTED).groupBy("lang", "level", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    names = sorted(r["lang"] for r in known)
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") if names else F.lit(0)
+    packed = slots.select(number.alias("lang"), F.col("level").cast("byte").alias("level"), "slot", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b")).toArrow()
+    lang, level, slot, n, m = (packed.column(c).to_numpy() for c in ("lang", "level", "slot", "a", "b"))
+    order_ = np.lexsort((slot, level, lang))
+    lang, level, slot, n, m = lang[order_], level[order_], slot[order_], n[order_], m[order_]
     tables: dict[str, list[tuple]] = {}
-    frame = rows.to_pandas().sort_values(["lang", "level", "slot"])
-    for lang, mine in frame.groupby("lang"):
-        levels = {k: (x["slot"].to_numpy(), x["a"].to_numpy(np.float64), x["b"].to_numpy(np.float64)) for k, x in mine.groupby("level")}
-        tables[lang] = []
-        for order in range(1, ORDER + 1):
-            keys, n, _ = levels[order]
-            once, twice = (n == 1).sum(), (n == 2).sum()
+    for k in np.unique(lang):
+        first, last = np.searchsorted(lang, [k, k + 1])
+
+        def part(at: int, first=first, last=last) -> slice:
+            a, b = first + np.searchsorted(level[first:last], [at, at + 1])
+            return slice(a, b)
+
+        tables[names[k - 1]] = rows = []
+        for at in range(1, ORDER + 1):
+            mine, above = part(at), part(10 + at)
+            once, twice = int((n[mine] == 1).sum()), int((n[mine] == 2).sum())
             d = once / (once + 2 * twice) if once and twice else 0.5
-            tables[lang].append((keys, n, *levels[10 + order], min(max(d, 0.05), 0.95)))
-    model = Model(tables)
-    _calibrate(model, use)
+            rows.append((slot[mine], n[mine], slot[above], n[above], m[above], min(max(d, 0.05), 0.95)))
+    model = Model(tables, bits)
+    _calibrate(model, use.filter(_apart() & F.col("lang").isin(model.langs)))
     return model
 
 
-def _calibrate(model: Model, use: DataFrame) -> None:
+def _calibrate(model: Model, apart: DataFrame) -> None:
     if not model.langs:
         return
-    first = use.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION)
-    shared = use.sparkSession.sparkContext.broadcast(model)
+    shared = apart.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for held in _chunks(((x, t.lower()) for x, t in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True) if t and _LETTER.search(t)), 1):
-                x = shared.value.entropies([t for _, t in held])
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([a for a, _ in held], pa.string()), "n": pa.array([len(t) for _, t in held], pa.int64()), "x": pa.array(list(x), pa.list_(pa.float64()))})
-
-    rows = use.join(F.broadcast(first.distinct()), "doc_id", "left_semi").select("lang", "text").mapInArrow(apply, "lang string, n long, x array<double>").collect()
-    own: dict[str, list[float]] = {}
-    gaps, right = [], []
-    for lang, n, x in rows:
-        e = x[model.langs.index(lang)]
-        own.setdefault(lang, []).append(e / (1 + 4 / np.sqrt(n)))
-        gaps.append(np.sqrt(min(n, 200)) * (np.array(x) - min(x)))
-        right.append(model.langs.index(lang))
-    model.limit = {lang: float(np.quantile(v, 1 - REJECT)) * MARGIN for lang, v in own.items()}
-    if gaps:
-        g, r = np.array(gaps), np.array(right)
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True)
+            for held in _chunks(((i, lang, t.lower()) for i, lang, t in rows if t and has_letter(t)), 2):
+                x = shared.value.entropies([t for *_, t in held])
+                n = np.array([len(t) for *_, t in held])
+                own = x[np.arange(len(held)), [shared.value.langs.index(lang) for _, lang, _ in held]] / (1 + 4 / np.sqrt(n))
+                gaps = np.sqrt(np.minimum(n, 200))[:, None] * (x - x.min(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, *_ in held], pa.int64()), "lang": pa.array([lang for _, lang, _ in held], pa.string()), "own": own, "gaps": pa.array(list(gaps), pa.list_(pa.float64()))})
+
+    scored = cut(apart.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(apply, "doc_id long, lang string, own double, gaps array<double>"))
+    model.limit = {lang: v * MARGIN for lang, v in scored.groupBy("lang").agg(F.percentile_approx("own", F.lit(1 - REJECT), F.lit(100_000))).collect()}
+    rows = scored.orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(CALIBRATION).select("lang", "gaps").collect()
+    if rows:
+        g, r = np.array([x for _, x in rows]), np.array([model.langs.index(x) for x, _ in rows])
         loss = lambda s: -np.log(np.maximum((np.exp(-s * g) / np.exp(-s * g).sum(axis=1, keepdims=True))[np.arange(len(r)), r], 1e-12)).mean()
         model.sharp = min((0.125, 0.25, 0.5, 1.0, 2.0, 4.0, 8.0), key=loss)
 
 
 def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
-    """docs with lang_pred, score, rejected and entropy, named after `prefix`; every other column is kept."""
+    """docs with lang_pred, score, rejected and entropy, named after `prefix`, in place of columns of these names; every
+    other column is kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = [prefix + x for x in ("lang_pred", "score", "rejected", "entropy")]
+    docs = docs.drop(*added)
     names = [*docs.columns, *added]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 

@@ -189,6 +189,9 @@ def test_language(spark):
     test = [r for r in rows if r[0] < 9000 and got[r[0]].held_out and len(r[1]) > 40]
     assert sum(got[r[0]].lang_pred == r[2] for r in test) >= 0.97 * len(test)
     assert sum(got[r[0]].rejected for r in test) <= 0.03 * len(test)
+    odd = docs(spark, [(8001, "½ ² ① Ⅷ", None, None, 0), (8002, "😀", None, None, 0), (8003, "𠀀", None, None, 0), (8004, "ª", None, None, 0), (None, "the " * 200_000, "en", None, 0)] + rows[:60])
+    found = {r.doc_id: r.lang_pred for r in langid.language_report(odd).collect()}
+    assert found[8001] == found[8002] == "und" and found[8003] != "und" and found[8004] != "und" and found[None] in ("en", "de")
     none = langid.language_report(docs(spark, [(i, t, None, s, n) for i, t, _, s, n in rows[:20]])).collect()
     assert {(r.lang_pred, r.score, r.rejected) for r in none} == {("und", 0.0, False)}
     assert langid.language_report(docs(spark, [])).count() == 0
@@ -197,6 +200,9 @@ def test_language(spark):
 def test_language_probabilities_sum_to_one(spark):
     rows = [(i, t, "en", s, n) for i, t, _, s, n in prose(9, 60)]
     m = langid.fit(docs(spark, rows))
+    assert m.bits == 20 and set(m.limit) == {"en"}
+    many = langid.fit(docs(spark, [(i, t, f"l{i % 23}", s, n) for i, t, _, s, n in rows + [(r[0] + 100, *r[1:]) for r in rows]]))
+    assert many.bits == 17 and len(many.langs) == 23 and max(len(x[0]) for v in many.tables.values() for x in v) <= 1 << 17
     every = np.arange(0, 0x250, dtype=np.int64)
     for context in ("the", "\x01\x01\x01", "qqq"):
         c = [ord(x) for x in context]
