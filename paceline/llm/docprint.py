@@ -4,7 +4,8 @@ A text is the multiset of its paragraph pieces (paragraphs end at line breaks; a
 one paragraph, counted from its start). Each piece hashes to a vector of LANES entries, each +1 or -1, and the
 fingerprint is their sum modulo 2**32. Sums don't depend on order, and a piece is inserted or deleted by adding or
 subtracting its vector. The mean square of the difference of two fingerprints estimates how many pieces two texts don't
-share, which gives their likeness. Null counts as empty; a text without words has the zero vector.
+share, which gives their likeness. Null counts as empty; a text without words has the zero vector. Texts of any length
+count whole. Repeated rows are each other's neighbours. Extra columns are left behind; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -94,40 +95,49 @@ def fingerprint(docs: DataFrame, text: str = "text", into: str = "fingerprint")
     return docs.withColumn(into, of(F.col(text)))
 
 
-def _buckets(docs: DataFrame, n: int) -> tuple[Column, list[float]]:
-    bounds = sorted({*docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
-    b = F.lit(len(bounds) + 1)  # rows without an id come last
-    if bounds:
-        edges = F.array(*[F.lit(int(x)) for x in bounds])
-        b = F.when(F.col("doc_id").isNull(), b).otherwise(F.size(F.filter(edges, lambda x: x < F.col("doc_id"))))
-    else:
-        b = F.when(F.col("doc_id").isNull(), b).otherwise(F.lit(0))
-    return b.cast("int"), bounds
+def _ranges(docs: DataFrame, n: int) -> tuple[Column, int]:
+    """The range of doc_id that a row of docs (doc_id, th, text) is in, numbered in order, and how many there are. An id
+    that fills ranges of its own, or a missing one, is dealt to ranges of its text's hash."""
+    cuts = [int(x) for x in docs.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)] if n > 1 else []
+    often = {x for x, y in zip(cuts, cuts[1:], strict=False) if x == y}
+    bounds = sorted({*cuts, *(x - 1 for x in often)})
+    below = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda x: x < F.col("doc_id"))) if bounds else F.lit(0)
+    bucket = F.when(F.col("doc_id").isNull(), len(bounds) + 1).otherwise(below).cast("int")
+    counts = dict(docs.groupBy(bucket).count().collect())
+    mean = max(1, sum(counts.values()) // n)
+    alone = {bounds.index(x) for x in often} | {len(bounds) + 1}
+    parts = [max(1, -(-counts.get(b, 0) // mean)) if b in alone else 1 for b in range(len(bounds) + 2)]
+    before = [sum(parts[:b]) for b in range(len(parts))]
+    of = lambda values: F.get(F.array(*map(F.lit, values)), bucket)
+    place = F.floor((F.col("th").cast("double") + 2.0**63) / 2.0**64 * of(parts))
+    return (of(before) + F.least(place, of(parts) - 1)).cast("int"), sum(parts)
 
 
 def neighbours(docs: DataFrame, n: int | None = None) -> DataFrame:
     """Rows (bucket, tail, doc_id, text) in ranges of doc_id, one range in one partition, in order; each range ends
     with a row marked as tail, the one that follows it (after the last range: the first row of all).
 
-    Order: doc_id, null last, then text; null texts are empty. Only the first rows of ranges move twice.
+    Order: doc_id, null last, then a hash of the text, then the text; null texts are empty. Only the first rows of ranges
+    move twice. Rows that are equal in id and text are in one range.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = n or partitions(docs.sparkSession)
-    bucket, _ = _buckets(docs, n)
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    bucket, ranges = _ranges(docs.select("doc_id", "th"), n or partitions(docs.sparkSession))
     docs = docs.withColumn("bucket", bucket)
-    first = {r["bucket"]: r["first"] for r in docs.groupBy("bucket").agg(F.min("doc_id").alias("first")).collect()}
-    order = sorted(first)
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    firsts = docs.groupBy("bucket").agg(F.min(first).alias("h")).select("bucket", "h.doc_id", "h.th").collect()
+    order = sorted(r["bucket"] for r in firsts)
     before = {b: order[i - 1] for i, b in enumerate(order)}
-    ids = [x for x in first.values() if x is not None]
-    heads = docs.filter(F.col("doc_id").isin(ids) | F.col("doc_id").isNull()) if ids else docs
-    heads = heads.groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text")).alias("h"))
+    least = docs.sparkSession.createDataFrame([tuple(r) for r in firsts], "b int, i long, t long")
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("t")) & (F.col("bucket") == F.col("b"))
+    # one row for each range
+    heads = docs.join(F.broadcast(least), same, "left_semi").groupBy("bucket").agg(F.min(F.struct("doc_id", "th", "text")).alias("h"))
     if before:
         to = F.element_at(F.create_map(*[F.lit(x) for pair in before.items() for x in pair]), F.col("bucket"))
         heads = heads.withColumn("bucket", to)
-    heads = heads.select("h.doc_id", "h.text", F.col("bucket").cast("int"), F.lit(True).alias("tail"))
+    heads = heads.select("h.*", F.col("bucket").cast("int"), F.lit(True).alias("tail"))
     both = docs.withColumn("tail", F.lit(False)).unionByName(heads)
-    return both.repartitionById(len(order) and max(order) + 1 or 1, F.col("bucket")).sortWithinPartitions(
-        "bucket", "tail", F.col("doc_id").asc_nulls_last(), "text")
+    return both.repartitionById(max(ranges, 1), F.col("bucket")).sortWithinPartitions("bucket", "tail", F.col("doc_id").asc_nulls_last(), "th", "text").drop("th")
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])

@@ -164,19 +164,41 @@ def test_fingerprints(spark):
     assert (docprint.vectors([a + "\n" + b]) == docprint.vectors([b + "\n" + a])).all()
     f = docprint.pack(docprint.vectors([a])[0])
     assert docprint.delete(docprint.insert(f, b), b) == f
-    rows = prose(7, 120) + ODD
-    got = docprint.compare_edits(docs(spark, rows)).collect()
-    order = sorted(((r[0] is None, r[0] or 0, r[1] or "") for r in rows))
+    rows = prose(7, 120) + ODD + [(None, f"text {i}", None, None, 0) for i in range(60)] + [(77, f"text {i} again", None, None, 0) for i in range(80)]
+    table = docs(spark, rows).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    order = sorted((r.doc_id is None, r.doc_id or 0, r.th, r.text or "") for r in table.collect())
     want = []
-    for i, (none, k, t) in enumerate(order):
-        u = order[(i + 1) % len(order)][2]
+    for i, (none, k, _, t) in enumerate(order):
+        u = order[(i + 1) % len(order)][3]
         e = t[: len(t) - len(t) // 2] + u[: len(t) // 2]
         va, vb, vc = (docprint.vectors([x]) for x in (t, e, u))
         want.append((None if none else k, len(t), hashlib.sha256(e.encode()).hexdigest(), docprint.pack(va[0]), docprint.pack(vb[0]), float(docprint.likeness(va, vb)[0]), float(docprint.likeness(va, vc)[0])))
-    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    for n in (None, 1, 9):
+        got = docprint.neighbours(docs(spark, rows), n).mapInArrow(docprint._compare, docprint.compare_edits(docs(spark, [])).schema).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)), n
     assert docprint.compare_edits(docs(spark, [])).count() == 0
     one = docprint.compare_edits(docs(spark, [(9, "abcd ef", None, None, 7)])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+    # rows without an id, or with one id, are not all in one partition
+    spread = docprint.neighbours(docs(spark, rows), 9).filter("not tail").groupBy("bucket", "doc_id").count().collect()
+    assert sum(r.doc_id is None for r in spread) >= 3 and sum(r.doc_id == 77 for r in spread) >= 3
+
+
+def test_likeness_is_the_share_of_common_pieces():
+    """Against the sets themselves, counted by hand: pieces of four words."""
+    rng = np.random.default_rng(5)
+    word = lambda: f"w{rng.integers(10**6)}"
+    apart = []
+    for _ in range(60):
+        a = [[word() for _ in range(4)] for _ in range(200)]
+        share = rng.random()
+        b = [p if rng.random() < share else [word() for _ in range(4)] for p in a]
+        texts = ["\n".join(" ".join(p) for p in x) for x in (a, b)]
+        true = sum(p == q for p, q in zip(a, b, strict=True)) / 200
+        v = docprint.vectors(texts)
+        apart.append(float(docprint.likeness(v[:1], v[1:])[0]) - true)
+    # 128 lanes: a deviation of about sqrt(2 / 128) of what is not shared
+    assert abs(np.mean(apart)) < 0.03 and np.std(apart) < 0.1
 
 
 def test_language(spark):
