@@ -1,9 +1,13 @@
 """Secret scan: fixed patterns, and character Markov models of random strings and of ordinary identifiers.
 
 Two first-order models over the characters of KEY_CHARS are trained from labelled samples, counted over all documents:
-what the patterns match is labelled random, all other text ordinary but for unlabelled candidates. A candidate of MIN_LENGTH characters or more that
-no pattern covers is reported where the log-likelihood ratio of the models exceeds MIN_RATIO nats and it has a digit.
-Null texts are empty. Spans are in code points, end exclusive.
+what the patterns match is labelled random, and as much again of strings in which each letter and digit follows each
+other one alike; all other text but unlabelled candidates is labelled ordinary, as the words
+that identifiers are made of. To these, STYLES of their weight is added as words are joined in identifiers: capitals
+within and between words, all capitals, and the joining characters. A candidate of MIN_LENGTH characters or more that no
+pattern covers is reported where the log-likelihood ratio of the models exceeds MIN_RATIO nats, whatever it consists of.
+Null and empty texts have no spans; texts of any length are read whole; repeated rows each get theirs; null doc_ids stay
+null; extra columns are left behind; an empty table gives no rows. Spans are in code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -23,6 +27,9 @@ KINDS = ("assign", "access", "hex", "markov")
 KEY_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 MIN_LENGTH = 16
 MIN_RATIO = 9.0
+#: Weight of identifier styles, beside text as it stands, in the ordinary model, and of strings over all letters and
+#: digits alike, beside what the patterns match, in the random one.
+STYLES, ALIKE = 0.1, 1.0
 #: Weight, in pairs, of the single characters in the smoothed transitions.
 PRIOR = 20.0
 
@@ -31,7 +38,6 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % MIN_LENGTH)
 _VALUE = re.compile(r"[A-Za-z0-9+/_.=-]+\Z")
-_DIGIT = re.compile(r"[0-9]")
 _N = len(KEY_CHARS) + 1
 _CLASS = np.zeros(256, np.uint16)
 _CLASS[np.frombuffer(KEY_CHARS.encode(), np.uint8)] = np.arange(1, _N)
@@ -53,10 +59,9 @@ def _uncovered(text: str, found: list[tuple[int, int, int]]) -> Iterator[tuple[i
     """(start, end) of the candidates that overlap none of the found spans."""
     starts, ends = [s for s, _, _ in found], list(accumulate((e for *_, e in found), max))
     for m in _CANDIDATE.finditer(text):
-        if _DIGIT.search(m[0]):
-            k = bisect_left(starts, m.end())
-            if not k or ends[k - 1] <= m.start():
-                yield m.span()
+        k = bisect_left(starts, m.end())
+        if not k or ends[k - 1] <= m.start():
+            yield m.span()
 
 
 def _transitions(data: bytes) -> np.ndarray:
@@ -84,6 +89,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "ordinary": ordinary[cells], "random": random[cells]})
 
 
+def _styled(text: np.ndarray) -> np.ndarray:
+    """Transitions of identifiers in the usual styles, from those of text (class 0: any character that ends a word): as
+    many as those within words, half of them with capitals within and between words, the rest with all capitals, and as
+    many joints and pairs of digits as words."""
+    lower = np.array([KEY_CHARS.index(c) + 1 for c in "abcdefghijklmnopqrstuvwxyz"])
+    upper = np.array([KEY_CHARS.index(c) + 1 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+    digits = np.array([KEY_CHARS.index(c) + 1 for c in "0123456789"])
+    joints = np.array([KEY_CHARS.index(c) + 1 for c in "_./-=" + "0123456789"])
+    within, ends, starts = text[np.ix_(lower, lower)], text[lower, 0], text[0, lower]
+    out = np.zeros((_N, _N))
+    out[np.ix_(upper, upper)] = within / 2
+    first = within * (starts / np.maximum(within.sum(axis=1), 1))[:, None]
+    out[np.ix_(upper, lower)] = first / 2
+    share = starts / max(starts.sum(), 1)
+    for case in (lower, upper):
+        out[np.ix_(case, joints)] += np.outer(ends, np.ones(len(joints))) / len(joints) / 4
+        out[np.ix_(joints, case)] += np.outer(np.ones(len(joints)), share * ends.sum()) / len(joints) / 4
+    out[np.ix_(lower, upper)] = np.outer(ends, share) / 2
+    out[np.ix_(digits, joints)] += ends.sum() / len(digits) / len(joints)
+    out[np.ix_(joints, digits)] += ends.sum() / len(digits) / len(joints)
+    return out
+
+
 def train(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio, random against ordinary, of each pair of characters; counts of all documents, smoothed.
     The driver gets one row for each pair that occurs, no more than (len(KEY_CHARS) + 1) ** 2."""
@@ -91,7 +119,11 @@ def train(docs: DataFrame) -> np.ndarray:
     counts = np.zeros((2, _N * _N))
     for cell, ordinary, random in rows:
         counts[:, cell] = ordinary, random
-    counts = counts.reshape(2, _N, _N)[:, 1:, 1:]
+    counts = counts.reshape(2, _N, _N)
+    styled = _styled(counts[0])
+    counts[0] += STYLES * styled * counts[0].sum() / max(styled.sum(), 1)
+    counts[1, 1:63, 1:63] += ALIKE * (counts[1].sum() + 62.0) / 62**2
+    counts = counts[:, 1:, 1:]
     single = [(x.sum(axis=0) + 0.1) / (x.sum() + 0.1 * (_N - 1)) for x in counts]
     p = [(x + PRIOR * s) / (x.sum(axis=1, keepdims=True) + PRIOR) for x, s in zip(counts, single, strict=True)]
     out = np.zeros((_N, _N))

@@ -99,3 +99,76 @@ def test_fingerprints_of_many_repeats_do_not_wrap():
     assert docprint.likeness(often, none)[0] == 0.0
     more = docprint.vectors(["a b c d " * 40000])
     assert docprint.likeness(more, docprint.vectors(["a b c d " * 39000]))[0] > 0.9
+
+
+def test_secret_models_find_random_strings_and_leave_identifiers(spark):
+    from paceline.llm import secretscan
+
+    rng = random.Random(71)
+    rows = [(i, f"{t} token={''.join(rng.choice('abcdef0123456789') for _ in range(30))}", *r) for i, t, *r in prose(72, 200)]
+    ratio = secretscan.train(docs(spark, rows))
+    words = [w for r in prose(73, 40) for w in r[1].split()]
+    styles = (lambda w: "".join(x.title() for x in w), lambda w: "_".join(w), lambda w: "_".join(w).upper(), lambda w: ".".join(w) + "2", lambda w: w[0] + "".join(x.title() for x in w[1:]))
+    names = [x for x in (styles[k % 5]([rng.choice(words) for _ in range(4)]) for k in range(2000)) if len(x) >= 16]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    found = lambda x: any(k == 3 for _, k, _ in secretscan.spans(f"see {x} here", ratio))
+    assert sum(map(found, names)) <= 0.01 * len(names)
+    for alphabet in (letters, letters + "0123456789", letters + "0123456789+/"):
+        strings = ["".join(rng.choice(alphabet) for _ in range(24)) for _ in range(500)]
+        assert sum(map(found, strings)) >= 0.95 * len(strings), alphabet
+    assert not any(map(found, ("2024-05-17T12.33.10", "1234567890123456", "192.168.100.200/8080")))
+
+
+def test_windows_whose_first_hash_collides_are_told_apart(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    from paceline.llm import exchange, wordrepeat
+
+    rng = random.Random(81)
+    word = lambda: rng.choice("abcdefgh")
+    passage = [word() for _ in range(35)]
+    texts = [" ".join([word() for _ in range(40)] + passage[: 20 + k] + [word() for _ in range(30)]).encode() for k in range(12)]
+    real = wordrepeat._words
+    monkeypatch.setattr(wordrepeat, "_words", lambda t: (np.zeros_like(real(t)[0]), *real(t)[1:]))
+    monkeypatch.setattr(exchange, "chunk_name", lambda k: f"0-{k}")
+    every = [exchange.squeeze(np.arange(len(t.split()), dtype=np.uint32)) for t in texts]
+    batch = pa.RecordBatch.from_pydict({"none": [False] * 12, "k": list(range(12)), "th": list(range(12)), "z": [zstandard.compress(t) for t in texts], "found": every})
+    sent = list(wordrepeat._extend(3)(iter([batch])))
+    assert len({b for r in sent for b, h in zip(r.column("bucket").to_pylist(), r.column("h").to_pylist(), strict=True) if h}) == 1
+    begins = np.cumsum([0, *(len(t.split()) for t in texts)])
+    got = {(int(np.searchsorted(begins, p, "right")) - 1, int(p)) for r in wordrepeat._later(iter(sent)) for x in r.column("p").to_pylist() if x for p in exchange.unsqueeze(x, np.uint32)}
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        w = t.split()
+        for i in range(len(w) - 19):
+            if tuple(w[i : i + 20]) in seen:
+                want.add((k, int(begins[k]) + i))
+            seen.add(tuple(w[i : i + 20]))
+    assert want and got == want
+
+
+def test_small_shards_and_merges_give_the_same(monkeypatch):
+    import numpy as np
+
+    from paceline.llm import suffixmerge
+
+    rng = random.Random(91)
+    parts = ["".join(rng.choice("abc") for _ in range(130)) for _ in range(6)]
+    texts = ["".join(rng.choice([*parts, "".join(rng.choice("abc") for _ in range(50))]) for _ in range(4)).encode() for _ in range(25)]
+    count = np.array([len(t) - 99 for t in texts])
+    n = len(texts)
+    args = (np.zeros(n, bool), np.arange(n), np.arange(n), np.zeros(n, np.int64))
+    seen, want = set(), set()
+    for k, t in enumerate(texts):
+        for i in range(count[k]):
+            if t[i : i + 100] in seen:
+                want.add((k, i))
+            seen.add(t[i : i + 100])
+    for shard, merge in ((1 << 15, 1 << 17), (300, 900)):
+        monkeypatch.setattr(suffixmerge, "SHARD", shard)
+        monkeypatch.setattr(suffixmerge, "MERGE", merge)
+        who, off, m = suffixmerge._repeats(texts, np.zeros(n, np.uint64), count, *args)
+        got = {(int(w), int(o) + j) for w, o, x in zip(who, off, m, strict=True) for j in range(x)}
+        assert want and got == want
