@@ -4,8 +4,8 @@ A run is what counts as a repeat: one line of CHARS characters or more, or two l
 LINES lines that are not all empty; a shorter document that is none of these is a run as a whole, unless it is empty.
 In each run the line with the least hash is selected (the last of equal ones), so equal runs always share a selected
 fingerprint at the same place. Fingerprints that were selected at two positions or more are joined to their positions.
-Each such position is extended both ways to the runs that selected it, and equal runs (two independent hashes of 64 bits
-of their lines) are brought to the first of them (smaller doc_id, or same document and earlier). Later runs that overlap
+Each such position is extended both ways to the runs that selected it, and equal runs (64 bits each of their selected
+line and, independently, of all lines) are brought to the first of them (smaller doc_id, or same document and earlier). Later runs that overlap
 or touch make up whole repeated passages; their lines are deleted.
 
 Lines end at line feeds. Null texts have no lines and stay null; an empty text has one empty line. Texts of any length
@@ -48,17 +48,16 @@ def _equal(lines: str, i: Column, length: Column) -> Column:
 
 
 def _runs(docs: DataFrame) -> DataFrame:
-    """(KEY, runs) of each document: runs (i, length, h, back, a, b), with the hash and the place, counted down from 0,
-    of the selected line, and two hashes of all lines."""
+    """(none, k, th, runs) of each document: runs (i, length, at, a), at with the hash and the place, counted down from 0, of
+    the selected line, and a another hash of all lines."""
     d = computed(keyed(docs), lines=F.split("text", "\n")).select(*KEY, "lines")
-    hashed = lambda *seed: F.transform("lines", lambda x: F.xxhash64(*seed, x))
-    d = computed(d, chars=F.transform("lines", F.char_length), one=hashed(), two=hashed(F.lit(1))).drop("lines")
+    d = computed(d, chars=F.transform("lines", F.char_length), one=F.transform("lines", lambda x: F.xxhash64(x)), two=F.transform("lines", lambda x: F.xxhash64(F.lit(1), x))).drop("lines")
     begins = F.transform(F.sequence(F.lit(0), F.size("chars") - 1), lambda i: F.struct(i.alias("i"), _length_of_run(i).alias("length")))
-    d = d.withColumn("begins", F.filter(begins, lambda r: r["length"].isNotNull()))
+    d = computed(d, begins=F.filter(begins, lambda r: r["length"].isNotNull()))
 
     def run(r: Column) -> Column:
         i, length = r["i"], r["length"]
-        return F.struct(i.alias("i"), length.alias("length"), _selected(i, length).alias("at"), _equal("one", i, length).alias("a"), _equal("two", i, length).alias("b"))
+        return F.struct(i.alias("i"), length.alias("length"), _selected(i, length).alias("at"), _equal("two", i, length).alias("a"))
 
     return d.select(*KEY, F.transform("begins", run).alias("runs"))
 
@@ -69,18 +68,34 @@ def shared_fingerprints(runs: DataFrame) -> DataFrame:
     return at.groupBy("at.h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
 
 
+#: Of a place in one number: rows without a doc_id, then the line, then the length of the run.
+_NONE, _LINE = 1 << 62, 4
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(KEY, drop): the line numbers, from 0, in order, that later runs cover, for each document that has any."""
+    """(KEY, drop): the line numbers, from 0, in order, that later runs cover, for each document that has any.
+
+    Equal runs have equal h (the selected line) and a. A run that makes up over a thousandth of all is brought to its
+    first by a broadcast of these runs (fewer than a thousand, whatever the data), so that no task gets all of them.
+    """
     every = _runs(docs)
     shared = cut(shared_fingerprints(every))
     # positions are joined to the shared fingerprints, and go on as the runs around them
-    runs = every.select(*KEY, F.explode("runs").alias("r")).select(*KEY, F.col("r.at.h").alias("h"), "r.i", "r.length", "r.a", "r.b")
-    runs = runs.join(shared, "h", "left_semi").drop("h")
-    place = F.struct(*KEY, "i")
-    first = runs.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-    later = runs.join(first.select("a", "b", "first"), ["a", "b"]).filter(place != F.col("first"))
-    covered = F.flatten(F.collect_set(F.sequence("i", F.col("i") + F.abs("length") - 1)))
-    return later.groupBy(*KEY).agg(F.array_sort(F.array_distinct(covered)).alias("drop"))
+    r = every.select(*KEY, F.explode("runs").alias("r"))
+    place = F.when(F.col("none"), F.lit(_NONE)).otherwise(F.lit(0)) + F.col("r.i").cast("long") * _LINE + F.abs("r.length")
+    runs = r.select("k", "th", place.alias("place"), F.col("r.at.h").alias("h"), "r.a")
+    runs = cut(runs.join(shared, "h", "left_semi"))
+    order = F.struct(F.shiftright("place", 62).alias("none"), "k", "th", "place")
+    first = runs.groupBy("h", "a").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count(F.lit(1)).alias("n"))
+    first = cut(first.filter("first != last").select("h", "a", "first", "n"))
+    often = F.col("n") > runs.count() / 1000
+    hot = F.broadcast(first.filter(often).drop("n"))
+    rest = runs.join(hot.select("h", "a"), ["h", "a"], "left_anti").join(first.filter(~often).drop("n"), ["h", "a"])
+    later = runs.join(hot, ["h", "a"]).unionByName(rest).filter(order != F.col("first"))
+    line, length = F.shiftright(F.col("place").bitwiseAND(F.lit(_NONE - 1)), 2).cast("int"), F.col("place").bitwiseAND(F.lit(3)).cast("int")
+    covered = F.flatten(F.collect_set(F.sequence(line, line + length - 1)))
+    none = (F.shiftright("place", 62) > 0).alias("none")
+    return later.groupBy(none, "k", "th").agg(F.array_sort(F.array_distinct(covered)).alias("drop"))
 
 
 def remove_repeated_lines(docs: DataFrame) -> DataFrame:
