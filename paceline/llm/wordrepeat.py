@@ -3,8 +3,8 @@
 Reference blocks of BLOCK words, one after the other in each document, are indexed. Every rolling window of BLOCK words
 of all documents probes the index. A repeated window of WINDOW = 2 * BLOCK words holds a whole block wherever it is, so
 what doesn't hold a hit can't repeat. The index only finds hits, and false ones cost time alone. Hits are extended by up
-to BLOCK words both ways, to the windows of WINDOW words around them; windows are equal if two independent hashes of
-64 bits of their words agree. All but the earliest are marked, and marks that touch merge into maximal repeats, which go.
+to BLOCK words both ways, to the windows of WINDOW words around them; windows are equal if 64 bits of one hash of
+their words and 32 bits of another, independent one agree. All but the earliest are marked, and marks that touch merge into maximal repeats, which go.
 
 Null, empty and shorter texts lose nothing; texts of any length are read whole; extra columns are left behind; an empty
 table gives no rows. Rows that agree in doc_id and text are one document, so neither removes the other's words, and each
@@ -48,11 +48,13 @@ def rolled(w: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def _words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent hashes of each word, and the number of words of each text."""
-    found = [_WORD.findall(t) for t in texts]
-    both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for words in found for w in words]), np.uint64).reshape(-1, 2)
-    return both[:, 0].copy(), both[:, 1].copy(), np.array([len(x) for x in found], np.int64)
+def _words(texts: list[bytes], digest, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Digests of all words, `width` numbers of 64 bits each, and the number of words of each text."""
+    hashes, sizes = [np.zeros(0, np.uint64)], []
+    for t in texts:
+        hashes.append(np.frombuffer(b"".join(map(digest, _WORD.findall(t))), np.uint64))
+        sizes.append(len(hashes[-1]) // width)
+    return np.concatenate(hashes), np.array(sizes, np.int64)
 
 
 def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.ndarray:
@@ -67,7 +69,7 @@ def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.nda
 def _probe(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(X.portions(batches, "text", PORTION)):
-            w, _, sizes = _words([t.encode() for t in batch.column("text").to_pylist()])
+            w, sizes = _words([t.encode() for t in batch.column("text").to_pylist()], xxhash.xxh3_64_digest, 1)
             begins = np.cumsum(sizes) - sizes
             p = np.flatnonzero(_inside(begins, sizes, BLOCK, len(w)))
             if not len(p):
@@ -112,7 +114,8 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _extend(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
-            w, v, sizes = _words(X.texts(batch))
+            w, sizes = _words(X.texts(batch), xxhash.xxh3_128_digest, 2)
+            w, v = w[::2].copy(), w[1::2].copy()
             begins = np.cumsum(sizes) - sizes
             near = np.zeros(len(w) + 1, np.int32)
             for b, f in zip(begins, batch.column("found").to_pylist(), strict=True):
@@ -123,7 +126,8 @@ def _extend(n: int):
             if not len(p):
                 continue
             h = rolled(w, WINDOW)[p]
-            both = np.stack([h, rolled(v, WINDOW)[p]], axis=1)
+            # 96 bits: all of one hash, half of the other
+            both = np.stack([h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), rolled(v, WINDOW)[p] >> np.uint64(32)], axis=1).astype(np.uint32)
             d = X.Directory.of_batch(batch, begins)
             yield X.send(X.chunk_name(k), n, h, p, lambda i, both=both: (both[i].tobytes(), None), d, True)
 
@@ -137,11 +141,11 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if h is None:
                 yield X.rows(X.FOUND, [(chunk, None, d)])
             else:
-                held.append((chunk, np.frombuffer(h, np.uint64).reshape(-1, 2), X.ungaps(p), X.Directory.unpack(d)))
+                held.append((chunk, np.frombuffer(h, np.uint32).reshape(-1, 3), X.ungaps(p), X.Directory.unpack(d)))
     if not held:
         return
     every = np.concatenate([h for _, h, _, _ in held])
-    order = np.lexsort((every[:, 1], every[:, 0]))
+    order = np.lexsort((every[:, 2], every[:, 1], every[:, 0]))
     same = (every[order][1:] == every[order][:-1]).all(axis=1)
     cls = np.empty(len(every), np.int32)
     cls[order] = np.cumsum(np.concatenate([[True], ~same]))
