@@ -1,7 +1,11 @@
-"""The multi-round planner: what recycling makes sequential, run once for each job on narrow metadata.
+"""The multi-round planner: what recycling makes sequential, run for each job over its rounds in order.
 
-Jobs run in parallel (grouped by job); a job's metadata is about 32 bytes a sample and must fit one Python worker.
-Payload is joined to the plan afterwards, by sample_id.
+Window boundaries don't depend on content, so every row knows its round beforehand. A job's narrow rows go to one task,
+sorted by round, and are planned as they stream by: what is held is one round of all ranks and what it recycles, never
+the job. Jobs run in parallel. Payload is joined to the plan afterwards, by sample_id.
+
+arrival_idx counts each rank's rows of a job from 0 without gaps (sources.samples.arrivals); a rank that comes back after
+a short round fails the plan.
 """
 
 from __future__ import annotations
@@ -9,13 +13,13 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.config import PlanConfig
 from paceline.functions.flips import flips
-from paceline.operators.windows import ramp
+from paceline.operators.windows import ramp, round_of
 
 SCHEMA = "job long, sample_id long, rank int, round long, pos long, slot long, step long, status string, group_size long, group_tokens long, total_size long, total_tokens long"
 
@@ -56,85 +60,134 @@ def fit_groups(groups: list[list[Sample]], target: int) -> tuple[list[list[Sampl
     return out[::-1], []
 
 
-def rounds(arrivals: list[list[Sample]], config: PlanConfig) -> Iterator[tuple]:
-    """(rank, round, slots, groups of the rank with (pos, group), totals by pos, overflow) as rounds go by; arrivals by rank."""
-    c, world = config, len(arrivals)
-    sizes, at = ramp(c.window, c.warmup), [0] * world
-    left: list[list[Sample]] = [[] for _ in range(world)]
-    shuffle, k = random.Random(c.seed + c.epoch), 0
-    while True:
-        width = sizes[k] if k < len(sizes) else c.window
-        slots = [min(width, len(a) - x) for a, x in zip(arrivals, at, strict=True)]
-        done = [s == 0 for s in slots]
-        if all(done):
-            break
-        groups, extra = [], []
-        for r in range(world):
-            buffer = left[r] + arrivals[r][at[r] : at[r] + slots[r]]
-            at[r] += slots[r]
-            mine = [] if done[r] else cut_groups(sorted((s for s in buffer if s[0] > 0), key=lambda s: s[0]), c.token_budget, c.max_patches)
-            if done[r]:
-                left[r] = buffer
-            groups.append(mine[: c.window])
-            extra.append([s for g in mine[c.window :] for s in g])
+class Rounds:
+    """The state of one job between rounds: what each rank recycles, the steps so far, and the order of the next ones."""
+
+    def __init__(self, config: PlanConfig, epoch: int | None = None):
+        self.config, self.seed = config, config.seed + (config.epoch if epoch is None else epoch)
+        self.sizes = ramp(config.window, config.warmup)
+        self.left: list[list[Sample]] = [[] for _ in range(config.world_size)]
+        self.shuffle, self.k, self.steps, self.closed = random.Random(self.seed), 0, 0, False
+
+    def width(self) -> int:
+        return self.sizes[self.k] if self.k < len(self.sizes) else self.config.window
+
+    def advance(self, arrivals: list[list[Sample]]) -> list[tuple]:
+        """Plan one round of arrivals, by rank: (rank, slots, groups as (pos, group), totals by pos) of each rank. A rank
+        without arrivals is done."""
+        c, world = self.config, len(arrivals)
+        slots = [len(a) for a in arrivals]
+        done = [not n for n in slots]
+        cut = []
+        for r, came in enumerate(arrivals):
+            buffer = sorted((s for s in self.left[r] + came if s[0] > 0), key=lambda s: s[0])
+            cut.append([] if done[r] else cut_groups(buffer, c.token_budget, c.max_patches))
+        groups = [g[: c.window] for g in cut]
         active = [r for r in range(world) if groups[r]]
-        target = 0
-        if active:
-            target = max(1, min(max(len(groups[r]) for r in active), min(slots[r] for r in active), min(sum(map(len, groups[r])) for r in active)))
-        fitted, over = {}, {}
-        for r in active:
-            fitted[r], more = fit_groups(groups[r], target)
-            if flips(c.group_order_flip, c.seed + c.epoch, k, r, world):
-                fitted[r].reverse()
-            over[r] = more + extra[r]
+        target = max(1, min(max(len(groups[r]) for r in active), *(min(slots[r], sum(map(len, groups[r]))) for r in active))) if active else 0
+        fitted: dict[int, list] = {}
+        for r in range(world):
+            if r in active:
+                fitted[r], over = fit_groups(groups[r], target)
+                self.left[r] = over + [s for g in cut[r][c.window :] for s in g]
+                if flips(c.group_order_flip, self.seed, self.k, r, world):
+                    fitted[r].reverse()
+            elif not done[r]:
+                self.left[r] = []
         order = list(range(target))
         if c.order == "seeded":
-            shuffle.shuffle(order)
-        total = [(sum(len(fitted[r][i]) for r in active), sum(s[0] for r in active for s in fitted[r][i])) for i in range(target)]
-        for r in range(world):
-            if not done[r]:
-                left[r] = over.get(r, [])
-            yield r, k, slots[r], [(p, fitted[r][i]) for p, i in enumerate(order)] if r in fitted else [], [total[i] for i in order], left[r]
-        k += 1
-        if not c.effective_join and any(done):
-            break
-
-
-def plan_job(job: int, frame: pd.DataFrame, config: PlanConfig) -> pd.DataFrame:
-    by_rank: list[list[Sample]] = [[] for _ in range(config.world_size)]
-    for row in frame.sort_values(["rank", "arrival_idx"])[["rank", "length", "sample_id", "n_patches"]].itertuples(index=False):
-        by_rank[int(row[0])].append((int(row[1]), int(row[2]), int(row[3])))
-    out, seen, bases = [], set(), {}
-    state: dict[int, list[Sample]] = {}
-    for rank, k, slots, groups, total, left in rounds(by_rank, config):
-        state[rank] = left
-        base = bases.setdefault(k, 0)
-        for p, group in groups:
-            tokens = sum(s[0] for s in group)
-            for _, sid, _ in group:
-                out.append((job, sid, rank, k, p, p, base + p, "emitted", len(group), tokens, *total[p]))
-                seen.add(sid)
-        bases[k + 1] = max(bases.get(k + 1, 0), base + len(total))
-    flush = [(r, s) for r, rest in sorted(state.items()) for s in rest] if config.tail == "flush" else []
-    last = max(bases, default=0)
-    for i, (r, (length, sid, _)) in enumerate(flush):
-        out.append((job, sid, r, last, i, None, bases.get(last, 0) + i, "flushed", 1, length, 1, length))
-        seen.add(sid)
-    for r, rows in enumerate(by_rank):
-        out += [(job, sid, r, None, None, None, None, "filtered" if length <= 0 else "dropped", None, None, None, None) for length, sid, _ in rows if sid not in seen]
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    return pd.DataFrame(out, columns=names).astype({n: "Int64" for n in names if n != "status"})
+            self.shuffle.shuffle(order)
+        totals = [(sum(len(fitted[r][i]) for r in active), sum(s[0] for r in active for s in fitted[r][i])) for i in order]
+        self.k, self.steps = self.k + 1, self.steps + target
+        self.closed = not c.effective_join and any(done)
+        return [(r, slots[r], [(p, fitted[r][i]) for p, i in enumerate(order)] if r in fitted else [], totals) for r in range(world)]
+
+
+def rounds(arrivals: list[list[Sample]], config: PlanConfig) -> Iterator[tuple]:
+    """(rank, round, slots, groups of the rank with (pos, group), totals by pos, left over) as rounds go by."""
+    state, at = Rounds(config), 0
+    while any(at < len(a) for a in arrivals) and not state.closed:
+        k, width = state.k, state.width()
+        for r, slots, groups, totals in state.advance([a[at : at + width] for a in arrivals]):
+            yield r, k, slots, groups, totals, state.left[r]
+        at += width
+
+
+_NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [_TYPES[x.split()[1]] for x in SCHEMA.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
+
+
+def _unplaced(job: int, rank: int, sample: Sample) -> tuple:
+    return (job, sample[1], rank, None, None, None, None, "filtered" if sample[0] <= 0 else "dropped", None, None, None, None)
+
+
+class _Job:
+    """Plans the rows of one job, which come sorted by round, rank and arrival."""
+
+    def __init__(self, job: int, config: PlanConfig):
+        self.job, self.state, self.round = job, Rounds(config), None
+        self.arrivals: list[list[Sample]] = [[] for _ in range(config.world_size)]
+        self.ended = [False] * config.world_size
+
+    def add(self, round_: int, rank: int, sample: Sample) -> list[tuple]:
+        out = self.settle() if self.round not in (None, round_) else []
+        self.round = round_
+        if self.ended[rank]:
+            raise ValueError(f"job {self.job}: rank {rank} has a gap in arrival_idx before round {round_}")
+        self.arrivals[rank].append(sample)
+        return out
+
+    def settle(self) -> list[tuple]:
+        came, self.arrivals = self.arrivals, [[] for _ in self.arrivals]
+        unplaced = [(r, s) for r, a in enumerate(came) for s in a if s[0] <= 0 or self.state.closed]
+        out = [_unplaced(self.job, r, s) for r, s in unplaced]
+        if self.state.closed:
+            return out
+        if self.round != self.state.k:
+            raise ValueError(f"job {self.job}: no rows in round {self.state.k}")
+        width, first = self.state.width(), self.state.steps
+        self.ended = [len(a) < width for a in came]
+        for r, _, groups, totals in self.state.advance(came):
+            for p, group in groups:
+                tokens = sum(s[0] for s in group)
+                out += [(self.job, sid, r, self.round, p, p, first + p, "emitted", len(group), tokens, *totals[p]) for _, sid, _ in group]
+        return out
+
+    def finish(self) -> list[tuple]:
+        out, state = self.settle() if self.round is not None else [], self.state
+        rest = [(r, s) for r, left in enumerate(state.left) for s in left]
+        if state.config.tail == "flush":
+            return out + [(self.job, s[1], r, state.k, i, None, state.steps + i, "flushed", 1, s[0], 1, s[0]) for i, (r, s) in enumerate(rest)]
+        return out + [_unplaced(self.job, r, s) for r, s in rest]
 
 
 def plan(samples: DataFrame, config: PlanConfig, job: str | None = None) -> DataFrame:
     """The plan of canonical samples, one row for each: where it is emitted, or filtered (no length), or dropped (left
     over at the end; tail="flush" emits those one by one). step identifies a training step over ranks."""
-    d = samples.withColumn("job", F.col(job).cast("long") if job else F.lit(0).cast("long")).select("job", "sample_id", "rank", "arrival_idx", "length", "n_patches")
-
-    def of(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return plan_job(int(key[0]), frame, config)
-
-    return d.groupBy("job").applyInPandas(of, SCHEMA)
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        for batch in batches:
+            for key, round_, rank, length, sid, patches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now.job != key:
+                    if now:
+                        out += now.finish()
+                    now = _Job(key, config)
+                out += now.add(round_, rank, (length, sid, patches))
+                if len(out) > 10_000:
+                    yield _batch(out)
+                    out = []
+        if now:
+            yield _batch(out + now.finish())
+
+    key = F.col(job).cast("long") if job else F.lit(0).cast("long")
+    d = samples.select(key.alias("job"), round_of(F.col("arrival_idx"), config.window, config.warmup).alias("round"), F.col("rank").cast("int").alias("rank"), "arrival_idx", F.col("length").cast("long").alias("length"), "sample_id", F.col("n_patches").cast("long").alias("n_patches"))
+    d = d.repartition("job").sortWithinPartitions("job", "round", "rank", "arrival_idx").drop("arrival_idx")
+    return d.mapInArrow(apply, SCHEMA)
 
 
 def attach(plan: DataFrame, payload: DataFrame, key: str) -> DataFrame:
@@ -142,6 +195,15 @@ def attach(plan: DataFrame, payload: DataFrame, key: str) -> DataFrame:
     return plan.join(payload, plan["sample_id"] == payload[key])
 
 
+def against_source(plan: DataFrame, source: DataFrame, key: str = "sample_id") -> DataFrame:
+    """(side, sample_id) of what plan and source don't share: samples of the source that the plan doesn't mention
+    ("missing"), and samples that are planned but not in the source ("unknown"). Null keys are left out."""
+    ids = source.select(F.col(key).cast("long").alias("sample_id")).filter("sample_id is not null").distinct()
+    placed = plan.select("sample_id").distinct()
+    missing, unknown = ids.join(placed, "sample_id", "left_anti"), placed.join(ids, "sample_id", "left_anti")
+    return missing.select(F.lit("missing").alias("side"), "sample_id").unionByName(unknown.select(F.lit("unknown").alias("side"), "sample_id"))
+
+
 def coverage(plan: DataFrame) -> DataFrame:
     """How many samples were emitted, more than once, filtered and dropped."""
     one = plan.groupBy("job", "sample_id").agg(F.sum(F.when(F.col("status").isin("emitted", "flushed"), 1).otherwise(0)).alias("n"), F.max("status").alias("status"))

@@ -34,10 +34,15 @@ def greedy_groups(rows: DataFrame, budget: int, max_patches: int = 0, by: tuple[
         'p', if({closes}, 0L, {p}),
         'i', s.i + 1),
       s -> s.starts)"""
-    d = d.withColumn("starts", F.expr(fold)).withColumn("n_groups", F.size("starts").cast("long")).withColumn("n_in", F.size("m"))
-    d = d.select(*by, "starts", "n_groups", "n_in", F.posexplode("m").alias("down", "x"))
-    group = F.col("n_groups") - F.size(F.filter("starts", lambda s: s <= F.col("down")))
-    return d.select(*by, "x.sample_id", "x.length", "x.n_patches", F.col("x.ord").alias(order), (F.col("n_in") - 1 - F.col("down")).cast("long").alias("pos"), group.cast("long").alias("group_idx"), "n_groups")
+    # one generator holds the fold, which must run once for a window
+    d = d.select(*by, "m", F.inline(F.array(F.struct(F.expr(fold).alias("starts")))))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("m").cast("long"))
+    begin = lambda k: F.get("starts", k)
+    part = lambda k: F.struct(begin(k).alias("begin"), F.slice("m", (begin(k) + 1).cast("int"), (end(k) - begin(k)).cast("int")).alias("x"))
+    d = d.select(*by, F.size("starts").cast("long").alias("n_groups"), F.size("m").alias("n_in"), F.posexplode(F.transform(F.sequence(F.lit(0), F.size("starts") - 1), part)).alias("k", "g"))
+    d = d.select(*by, "n_groups", "n_in", "k", "g.begin", F.posexplode("g.x").alias("j", "x"))
+    pos, group = F.col("n_in") - 1 - F.col("begin") - F.col("j"), F.col("n_groups") - 1 - F.col("k")
+    return d.select(*by, "x.sample_id", "x.length", "x.n_patches", F.col("x.ord").alias(order), pos.cast("long").alias("pos"), group.cast("long").alias("group_idx"), "n_groups")
 
 
 def group_table(members: DataFrame, by: tuple[str, ...] = BY) -> DataFrame:

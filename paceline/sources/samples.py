@@ -18,19 +18,27 @@ def words(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, " "))).cast("long")
 
 
-def arrivals(df: DataFrame, rank: Column, key: str, parts: int = 64) -> DataFrame:
+#: Rows of a range that are numbered together, on average.
+RANGE = 200_000
+
+
+def arrivals(df: DataFrame, rank: Column, key: str, per_range: int = RANGE) -> DataFrame:
     """df with rank and arrival_idx, the place among the rows of its rank by `key` (a number without ties).
 
-    Rows are numbered in ranges of the key and ranges are put after each other by their counts, so that no task holds
-    a whole rank: one rank may be all of the table.
+    Rows are numbered in ranges of the key, as many as there are rows for, and ranges are put after each other by their
+    counts, so that no task holds a whole rank: one rank may be all of the table.
     """
     df = df.withColumn("rank", rank.cast("int"))
+    parts = -(-df.count() // per_range)
+    if parts <= 1:
+        return df.withColumn("arrival_idx", (F.row_number().over(Window.partitionBy("rank").orderBy(key)) - 1).cast("long"))
     edges = sorted({*df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)})
     d = df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(x) for x in edges]).cast("array<double>"), lambda e: e < F.col(key))))
     before = Window.partitionBy("rank").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = d.groupBy("rank", "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     d = d.join(offsets, ["rank", "__range"])
-    return d.withColumn("arrival_idx", F.col("__before") + F.row_number().over(Window.partitionBy("rank", "__range").orderBy(key)) - 1).drop("__range", "__before")
+    within = F.row_number().over(Window.partitionBy("rank", "__range").orderBy(key)) - 1
+    return d.withColumn("arrival_idx", F.col("__before") + within).drop("__range", "__before")
 
 
 def samples(df: DataFrame, sample_id: str, length: Column, world: int, patches: Column | None = None) -> DataFrame:
@@ -53,9 +61,77 @@ def synthetic_lengths(spark: SparkSession, n: int, seed: int = 7, vocabulary: in
     return spark.range(n).select(F.col("id").alias("sample_id"), length.alias("length")).withColumn("input_ids", tokens)
 
 
-def rule_audit(df: DataFrame, text: str, rules: dict[str, str]) -> DataFrame:
-    """(rule, hits) for each regular expression over a text table, in one scan."""
-    flags = [F.sum(F.when(F.col(text).rlike(rx), 1).otherwise(0)).alias(name) for name, rx in rules.items()]
-    one = df.agg(*flags)
-    pairs = ", ".join(f"'{n}', `{n}`" for n in rules)
-    return one.select(F.expr(f"stack({len(rules)}, {pairs}) as (rule, hits)")).select("rule", F.coalesce("hits", F.lit(0)).alias("hits"))
+# What the audit looks for in training code, as regular expressions.
+AUDIT_RULES = {
+    "imports_planner": r"\bimport paceline\b|from paceline\b",
+    "uses_plan": r"planner\.plan\(",
+    "uses_step_info": r"pop_step_info\(",
+    "uses_loss_scale": r"loss_scale",
+    "uses_all_samples": r"all_samples",
+    "uses_adapter": r"TrainingProgress\(|scaled_step\(",
+    "flat_keys": r"total_batch_size|local_batch_size|local_tokens|total_tokens",
+    "non_unit_batch_size": r"batch_size\s*[=:]\s*(?:[2-9]|[0-9]{2,})",
+    "processor_in_collator": r"(?s)[cC]ollat.{0,1200}(processor\(|tokenizer\(|apply_chat_template|AutoProcessor)",
+}
+# Signs of the training frameworks.
+FRAMEWORK_RULES = {
+    "hf_trainer": r"\bTrainer\b|transformers\.Trainer|TrainingArguments",
+    "llamafactory": r"(?i)llamafactory|LLaMA-Factory|llama_factory",
+    "accelerate": r"\bAccelerator\b|accelerate\.",
+    "lightning": r"lightning\.pytorch|pytorch_lightning|LightningModule|LightningDataModule",
+    "pytorch_loop": r"DataLoader|loss\.backward\(|optimizer\.step\(",
+}
+
+
+def rule_audit(df: DataFrame, text: str, rules: dict[str, str], name: str | None = None, first: int = 8) -> DataFrame:
+    """(rule, hits) for each regular expression over a text table, in one scan; with the column `name` also the first so
+    many names of the texts that it is found in, in order."""
+    found = F.array(*[F.when(F.col(text).rlike(rx), F.lit(rule)) for rule, rx in rules.items()])
+    d = df.select(*([F.col(name).cast("string").alias("name")] if name else []), F.explode(F.array_compact(found)).alias("rule"))
+    more = [F.slice(F.array_sort(F.collect_set("name")), 1, first).alias("names")] if name else []
+    hits = d.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"), *more)
+    every = df.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    return every.join(F.broadcast(hits), "rule", "left").fillna({"hits": 0})
+
+
+def audit_warnings(audit: DataFrame) -> DataFrame:
+    """(warning) from the hits of AUDIT_RULES: what a reader of the audit should look into."""
+    has = {r: F.coalesce(F.max(F.when(F.col("rule") == r, F.col("hits"))), F.lit(0)) > 0 for r in AUDIT_RULES}
+    cases = [
+        (has["imports_planner"] & ~has["uses_step_info"] & ~has["uses_adapter"], "the planner is imported, but neither step info nor an adapter is used"),
+        (has["flat_keys"], "flat metadata keys are used, step info is preferred"),
+        (has["non_unit_batch_size"], "a batch size other than 1 is set before grouping"),
+        (has["processor_in_collator"], "processing happens in the collator, after grouping"),
+    ]
+    return audit.agg(F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, w in cases])).alias("w")).select(F.explode("w").alias("warning"))
+
+
+def ready(df: DataFrame, tokens: str = "input_ids", declared: bool = False) -> DataFrame:
+    """df if its rows are ready for grouping: a column of tokens, at any depth, or declared so; else a ValueError."""
+    from pyspark.sql import types as T
+
+    def holds(kind: T.DataType) -> bool:
+        if isinstance(kind, T.StructType):
+            return any(f.name == tokens or holds(f.dataType) for f in kind.fields)
+        return isinstance(kind, T.ArrayType) and holds(kind.elementType)
+
+    if not declared and not holds(df.schema):
+        raise ValueError(f"no column {tokens!r}, not even nested: make tokens before grouping, or declare the rows ready")
+    return df
+
+
+def has_tokens(df: DataFrame, tokens: str = "input_ids") -> Column:
+    """Whether a row has tokens that are not null, in a column of that name at any depth of structs and arrays."""
+    from pyspark.sql import types as T
+
+    def found(c: Column, kind: T.DataType) -> Column | None:
+        if isinstance(kind, T.StructType):
+            some = [c[f.name].isNotNull() if f.name == tokens else found(c[f.name], f.dataType) for f in kind.fields]
+            some = [x for x in some if x is not None]
+            return F.array_contains(F.array(*(F.coalesce(x, F.lit(False)) for x in some)), True) if some else None
+        if isinstance(kind, T.ArrayType) and found(F.lit(None), kind.elementType) is not None:
+            return F.exists(c, lambda x: F.coalesce(found(x, kind.elementType), F.lit(False)))
+        return None
+
+    out = found(F.struct(*(F.col(f"`{x}`") for x in df.columns)), df.schema)
+    return F.lit(False) if out is None else F.coalesce(out, F.lit(False))
