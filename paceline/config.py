@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 # Accepted names of the group order modes.
 FLIP_ALIASES = {
@@ -59,6 +59,8 @@ class PlanConfig:
     epoch: int = 0
     order: str = "seeded"
     tail: str = "drop"
+    #: Ranks plan on their own, without aligning their groups.
+    no_sync: bool = False
 
     def __post_init__(self):
         for name in ("token_budget", "window", "world_size"):
@@ -71,4 +73,55 @@ class PlanConfig:
 
     @property
     def effective_join(self) -> bool:
-        return self.join and self.world_size > 1
+        return self.join and self.world_size > 1 and not self.no_sync
+
+    @property
+    def scales_loss(self) -> bool:
+        return self.loss_scaling != "none"
+
+
+# Older names of the fields; those under "not" say the opposite.
+OLD_NAMES = {"max_input_length": "token_budget", "join_mode": "join", "buffer_size": "window"}
+OPPOSITES = {"no_warmup": "warmup"}
+
+
+def resolve(config: PlanConfig | None = None, workers: int = 4, prefetch: int | None = None, **given) -> PlanConfig:
+    """A configuration from arguments under current or older names; None counts as not given.
+
+    Two names of one field must agree, and so must arguments and a given configuration (else ValueError). Without a token
+    budget there is no configuration (TypeError). The window is that of `default_window` where none is given.
+    """
+    known = {f.name for f in fields(PlanConfig)}
+    out: dict[str, object] = {}
+    for name, value in given.items():
+        if value is None:
+            continue
+        field = OLD_NAMES.get(name, OPPOSITES.get(name, name))
+        if field not in known:
+            raise TypeError(f"unknown argument {name!r}")
+        value = not value if name in OPPOSITES else value
+        if field in out and out[field] != value:
+            raise ValueError(f"conflicting values of {field}: {out[field]!r} and {value!r}")
+        out[field] = value
+    if config is None:
+        if "token_budget" not in out:
+            raise TypeError("a token budget is needed: token_budget, or max_input_length")
+        return PlanConfig(**{"window": default_window(prefetch, workers), **out})
+    wanted = replace(config, **out)
+    for field in out:
+        if getattr(wanted, field) != getattr(config, field):
+            raise ValueError(f"conflicting values of {field}: {getattr(config, field)!r} in the configuration, {out[field]!r} given")
+    return config
+
+
+def from_objects(*sources: object, names: tuple[str, ...] = (), **more) -> PlanConfig:
+    """A configuration from argument objects, the first one that has a field (not None) deciding; arguments in `more`
+    go before them. `names` are prefixes that the fields may carry there."""
+    given = dict(more)
+    for field in (*(f.name for f in fields(PlanConfig)), *OLD_NAMES, *OPPOSITES):
+        for source in sources:
+            found = [getattr(source, x + field, None) for x in (*names, "")]
+            value = next((v for v in found if v is not None), None)
+            if given.get(field) is None and value is not None:
+                given[field] = value
+    return resolve(**given)

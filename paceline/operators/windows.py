@@ -28,3 +28,11 @@ def round_of(arrival: Column, window: int, warmup: bool = False) -> Column:
 def windows(samples: DataFrame, window: int, warmup: bool = False) -> DataFrame:
     """samples with round."""
     return samples.withColumn("round", round_of(F.col("arrival_idx"), window, warmup))
+
+
+def estimate(samples: DataFrame, window: int, default: int) -> DataFrame:
+    """(rounds, default_rounds, warn): windows that fit the samples, with the given size and with the default one, and
+    whether the given one makes ten times as many."""
+    n = F.count(F.lit(1))
+    d = samples.agg(F.floor(n / window).cast("long").alias("rounds"), F.floor(n / default).cast("long").alias("default_rounds"))
+    return d.withColumn("warn", F.col("rounds") > 10 * F.col("default_rounds"))

@@ -5,15 +5,19 @@ Both sides are written apart: queries call the operators, the SQL derives the sa
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig
+from paceline import consumer
+from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig, default_window, flip_mode, resolve, scaling_mode
 from paceline.functions import columns as C
 from paceline.functions.flips import flip_table, round_flips
 from paceline.operators import align, emit, planner, progress, segment, windows
 from paceline.sources import samples as S
+from paceline.sources.workdir import work_dir
 
 WORLD, WINDOW, BUDGET = 4, 32, 2048
 LONE_WINDOW, LONE_BUDGET = 128, 4096
@@ -104,6 +108,22 @@ EVEN = _rec("sample_id % 4", WINDOW, BUDGET)
 UNEVEN_RANK = "CASE WHEN sample_id % 10 < 4 THEN 0 WHEN sample_id % 10 < 7 THEN 1 WHEN sample_id % 10 < 9 THEN 2 ELSE 3 END"
 
 
+def _mode_values() -> str:
+    """Flips of all modes as literals, from the definition of the hash."""
+    import hashlib
+
+    def odd(*parts: object) -> int:
+        return hashlib.blake2b(b"".join(str(x).encode() + b"\0" for x in parts), digest_size=8).digest()[-1] & 1
+
+    rows = []
+    for k in range(20):
+        for r in range(WORLD):
+            bits = {"none": 0, "rank_epoch_random": odd("rank_epoch_random", SEED, r), "rank_window_random": odd("rank_window_random", SEED, k, r),
+                    "rank_window_balanced": (r + odd("rank_window_balanced", SEED, k, WORLD)) & 1}
+            rows += [f"('{m}', {k}, {r}, {'true' if x else 'false'})" for m, x in bits.items()]
+    return ", ".join(rows)
+
+
 def _flip_values() -> str:
     """Flips of the balanced mode as literals, from the definition of the hash."""
     import hashlib
@@ -252,6 +272,42 @@ def text_rule_counts(spark, d):
     return t.select("rule", "hits", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("hits"), "rule")).cast("long").alias("place"))
 
 
+def _hits_sql(rules: dict[str, str]) -> str:
+    # RE2 repeats up to 1,000 times
+    of = lambda rx: rx.replace("{0,1200}", "{0,600}.{0,600}").replace("'", "''")
+    return " UNION ALL ".join(f"SELECT '{n}' AS rule, COUNT(*) FILTER (regexp_matches(text, '{of(rx)}')) AS hits, COALESCE(array_to_string((list(conv_id::VARCHAR ORDER BY conv_id::VARCHAR) FILTER (regexp_matches(text, '{of(rx)}')))[:8], ','), '') AS names FROM code" for n, rx in rules.items())
+
+
+_CODE = """SELECT conv_id, string_agg(CASE turn % 4 WHEN 0 THEN 'import paceline; per_device_batch_size = 4' WHEN 1 THEN 'loss.backward()' WHEN 2 THEN 'class MyCollator: tokenizer(x)' ELSE text END, chr(10) ORDER BY turn) AS text
+FROM conversations GROUP BY conv_id"""
+
+
+def _code(spark, d) -> DataFrame:
+    """Conversations with lines of code put in, a text for each."""
+    line = F.expr("case turn % 4 when 0 then 'import paceline; per_device_batch_size = 4' when 1 then 'loss.backward()' when 2 then 'class MyCollator: tokenizer(x)' else text end")
+    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    return turns.select("conv_id", F.array_join("t.line", "\n").alias("text"))
+
+
+def _audited(spark, d, rules: dict[str, str]) -> DataFrame:
+    return S.rule_audit(_code(spark, d), "text", rules, "conv_id").select("rule", "hits", F.coalesce(F.array_join("names", ","), F.lit("")).alias("names"))
+
+
+@query(f"WITH code AS ({_CODE}) {_hits_sql(S.AUDIT_RULES)}")
+def code_audit(spark, d):
+    return _audited(spark, d, S.AUDIT_RULES)
+
+
+@query(f"WITH code AS ({_CODE}) SELECT * FROM ({_hits_sql(S.FRAMEWORK_RULES)}) WHERE hits > 0")
+def framework_counts(spark, d):
+    return _audited(spark, d, S.FRAMEWORK_RULES).filter("hits > 0")
+
+
+@query("SELECT * FROM (VALUES ('the planner is imported, but neither step info nor an adapter is used'), ('a batch size other than 1 is set before grouping'), ('processing happens in the collator, after grouping')) v(warning)")
+def code_warnings(spark, d):
+    return S.audit_warnings(S.rule_audit(_code(spark, d), "text", S.AUDIT_RULES))
+
+
 # Names of the modes and what they stand for.
 @query("""SELECT * FROM (VALUES ('flip','','none'),('flip','0','none'),('flip','false','none'),('flip','none','none'),('flip','a','none'),
 ('flip','rank_epoch_random','rank_epoch_random'),('flip','epoch_random','rank_epoch_random'),('flip','b','rank_epoch_random'),
@@ -260,9 +316,28 @@ def text_rule_counts(spark, d):
 ('scaling','none','none'),('scaling','no','none'),('scaling','off','none'),('scaling','false','none'),('scaling','approx','approx'),('scaling','token','approx'),
 ('scaling','token_approx','approx'),('scaling','approximate','approx'),('scaling','exact','exact'),('scaling','token_exact','exact')) v(kind, name, mode)""")
 def normalize_modes(spark, d):
-    rows = [("flip", k, v) for k, v in FLIP_ALIASES.items()] + [("scaling", k, v) for k, v in SCALING_ALIASES.items()]
-    given = spark.createDataFrame([(kind, f" {k.upper().replace('_', '-')} ", v) for kind, k, v in rows], "kind string, given string, mode string")
-    return given.select("kind", F.translate(F.lower(F.trim("given")), "-", "_").alias("name"), "mode")
+    odd = lambda name: f" {name.upper().replace('_', '-')} "
+    rows = [("flip", k, flip_mode(odd(k))) for k in FLIP_ALIASES] + [("scaling", k, scaling_mode(odd(k).strip())) for k in SCALING_ALIASES]
+    return spark.createDataFrame(rows, "kind string, name string, mode string")
+
+
+@query("""SELECT * FROM (VALUES ('older names', 512, 16, false, false, 'none'), ('same twice', 512, 8, true, true, 'exact'), ('base given', 300, 128, true, true, 'none'),
+('conflict', NULL, NULL, NULL, NULL, 'ValueError'), ('conflict with base', NULL, NULL, NULL, NULL, 'ValueError'), ('no budget', NULL, NULL, NULL, NULL, 'TypeError'),
+('bad budget', NULL, NULL, NULL, NULL, 'ValueError'), ('unknown', NULL, NULL, NULL, NULL, 'TypeError')) v(name, budget, "window", "join", warmup, scaling)""")
+def config_resolution(spark, d):
+    base, rows = PlanConfig(300), []
+    cases = {
+        "older names": {"max_input_length": 512, "join_mode": False, "no_warmup": True, "buffer_size": 16}, "same twice": {"token_budget": 512, "max_input_length": 512, "loss_scaling": "token-exact"},
+        "base given": {"config": base, "token_budget": 300}, "conflict": {"token_budget": 5, "max_input_length": 6}, "conflict with base": {"config": base, "join": False},
+        "no budget": {"join": True}, "bad budget": {"token_budget": 0}, "unknown": {"token_budget": 5, "budget": 5},
+    }
+    for name, given in cases.items():
+        try:
+            c = resolve(**given)
+            rows.append((name, c.token_budget, c.window, c.join, c.warmup, c.loss_scaling))
+        except (TypeError, ValueError) as e:
+            rows.append((name, None, None, None, None, type(e).__name__))
+    return spark.createDataFrame(rows, "name string, budget int, window int, join boolean, warmup boolean, scaling string")
 
 
 # ---- segmentation ---------------------------------------------------------------------------------------------------
@@ -324,14 +399,17 @@ def local_samples(spark, d):
     return _lone_members(spark, d).groupBy("round", "group_idx").agg(F.count(F.lit(1)).alias("local_samples"))
 
 
-@query(LONE + """ SELECT m.sample_id, g.max_len::BIGINT AS padded_len, m.length AS real_len, (g.max_len - m.length)::BIGINT AS zeros
+@query(LONE + """ SELECT m.sample_id, g.max_len::BIGINT AS padded_len, m.length AS real_len,
+md5(array_to_string(list_concat(list_transform(string_split(m.text, ' '), lambda x: length(x) + 1), list_transform(range(g.max_len - m.length), lambda x: 0)), ',')) AS ids,
+md5(array_to_string(list_transform(range(1, g.max_len + 1), lambda x: CASE WHEN x <= m.length THEN 1 ELSE 0 END), ',')) AS mask
 FROM members m JOIN grp g ON g.round = m.round AND g.group_idx = m.group_idx""")
 def pad_collate(spark, d):
-    ids = F.transform(F.split("text", " "), lambda w: F.crc32(w.cast("binary")) + 1)
+    ids = F.transform(F.split("text", " "), lambda w: F.char_length(w).cast("long") + 1)
     text = S.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), ids.alias("ids"))
     m = _lone_members(spark, d).select("sample_id", "round", "group_idx").join(text, "sample_id")
     p = emit.pad(m, "ids", ("round", "group_idx"))
-    return p.select("sample_id", F.size("ids").cast("long").alias("padded_len"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("real_len"), F.size(F.filter("ids", lambda x: x == 0)).cast("long").alias("zeros"))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("int").cast("string")), ","))
+    return p.select("sample_id", F.size("ids").cast("long").alias("padded_len"), F.size(F.filter("mask", lambda x: x)).cast("long").alias("real_len"), digest("ids").alias("ids"), digest("mask").alias("mask"))
 
 
 @query(LONE + """, slot AS (SELECT rank, round, unnest(range(COUNT(*))) AS slot FROM win GROUP BY rank, round)
@@ -362,8 +440,22 @@ def batch_profile(spark, d):
 @query("SELECT doc_id % 3 = 0 OR len(text) > 2000 AS ready, COUNT(*) AS n FROM documents GROUP BY 1")
 def ready_check(spark, d):
     t = S.table(spark, d, "documents")
-    fields = F.array(F.when(F.col("doc_id") % 3 == 0, F.col("text")), F.when(F.length("text") > 2000, F.col("text")))
-    return t.groupBy(F.exists(fields, lambda x: x.isNotNull()).alias("ready")).agg(F.count(F.lit(1)).alias("n"))
+    held = lambda c: F.struct(F.when(c, F.split("text", " ")).alias("input_ids"))
+    rows = S.ready(t.select(held(F.col("doc_id") % 3 == 0).alias("one"), F.array(held(F.length("text") > 2000)).alias("more")))
+    return rows.groupBy(S.has_tokens(rows).alias("ready")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(LONE + """ SELECT round, group_idx::BIGINT AS group_idx, CASE WHEN group_idx % 4 = 0 THEN 11 WHEN group_idx % 4 = 1 THEN size + 1 ELSE size END::BIGINT AS all_samples,
+round(CASE group_idx % 4 WHEN 0 THEN 0.5 WHEN 1 THEN tokens::DOUBLE / (tokens + max_len) * 4 WHEN 2 THEN 4.0 ELSE 4.0 END, 6)::DOUBLE AS loss_scale, 'all_samples,group_idx,loss_scale,round,rows' AS columns FROM grp""")
+def pop_step_info(spark, d):
+    g = segment.group_table(_lone_members(spark, d))
+    kind, n, t = F.col("group_idx") % 4, F.col("size"), F.col("tokens")
+    given = F.when(kind == 0, F.struct(F.lit(11).cast("long").alias("all_samples"), F.lit(0.5).alias("loss_scale")))
+    b = g.select(
+        "round", "group_idx", F.array_repeat(F.lit(1), n.cast("int")).alias("rows"), given.alias("step_info"), F.when(kind < 2, F.array(F.array(n + 1))).alias("total_batch_size"),
+        F.when(kind < 2, n).alias("local_batch_size"), F.when(kind == 1, t + F.col("max_len")).alias("total_tokens"), F.when(kind == 1, t).alias("local_tokens"))
+    out = consumer.pop_step_info(b, "auto", WORLD, "rows")
+    return out.select("round", "group_idx", "all_samples", F.round("loss_scale", 6).alias("loss_scale"), F.lit(",".join(sorted(out.columns))).alias("columns"))
 
 
 @query(LONE + " SELECT round, COUNT(*) AS steps, SUM(tokens)::BIGINT AS real_tokens, SUM(size * max_len)::BIGINT AS padded_tokens, round(1 - SUM(tokens)::DOUBLE / greatest(SUM(size * max_len), 1), 6) AS padding_ratio FROM grp GROUP BY round")
@@ -424,6 +516,12 @@ def flip_table_balanced(spark, d):
     return flip_table(spark, "balanced", SEED, 200, WORLD)
 
 
+@query(f"SELECT mode, round::BIGINT AS round, rank::INT AS rank, flip FROM (VALUES {_mode_values()}) v(mode, round, rank, flip)")
+def flip_modes(spark, d):
+    parts = [flip_table(spark, m, SEED, 20, WORLD).select(F.lit(m).alias("mode"), "*") for m in sorted(set(FLIP_ALIASES.values()))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
 @query(ROUND + " SELECT round, rank, aligned_idx, emit_pos FROM fl")
 def group_order_flip(spark, d):
     return _Round(spark, d).flipped.select("round", "rank", "aligned_idx", "emit_pos")
@@ -522,8 +620,37 @@ def coverage_audit(spark, d):
 
 @query()
 def emitted_ids_log(spark, d):
-    p = _planned(spark, d).filter("status = 'emitted'").groupBy("rank", "step").agg(F.array_sort(F.collect_list("sample_id")).alias("ids"))
-    return p.select("rank", F.to_json(F.struct("step", "ids")).alias("line"))
+    path = f"{work_dir(spark)}/paceline/ids-{uuid.uuid4().hex}"
+    emit.write_id_log(_planned(spark, d), path)
+    return spark.read.schema("step long, ids array<long>, rank int").json(path).select("rank", "step", "ids")
+
+
+def _lone_plan(spark, d) -> DataFrame:
+    config = PlanConfig(token_budget=LONE_BUDGET, window=LONE_WINDOW, order="index", warmup=False)
+    return planner.plan(S.document_samples(spark, d, 1), config)
+
+
+@query(LONE + " SELECT round, group_idx::BIGINT AS slot, size, tokens, row_number() OVER (ORDER BY round, group_idx) - 1 AS step FROM grp")
+def consumed_batches(spark, d):
+    per_round = _lone(spark, d).groupBy("round", "rank").agg(F.count(F.lit(1)).alias("slots"))
+    return consumer.consumed(consumer.slots(_lone_plan(spark, d), per_round)).select("round", "slot", "size", "tokens", "step")
+
+
+@query(LONE + """, numbered AS (SELECT *, row_number() OVER (ORDER BY round, group_idx) - 1 AS step FROM grp)
+SELECT n.step, COUNT(*) AS n, MAX(len(m.text) + 1)::BIGINT AS longest FROM members m JOIN numbered n ON n.round = m.round AND n.group_idx = m.group_idx WHERE m.sample_id % 5 > 0 GROUP BY n.step HAVING COUNT(*) > 1""")
+def collate_hook(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", "text")
+    marked = lambda t: t.filter("doc_id % 5 > 0").select("doc_id", F.concat("text", F.lit("!")).alias("text"))
+    made = lambda f: {"n": len(f), "longest": int(f["text"].str.len().max())} if len(f) > 1 else {}
+    return consumer.collated(_lone_plan(spark, d), docs, "doc_id", made, "n long, longest long", marked).select("step", "n", "longest")
+
+
+@query("""SELECT side, COUNT(*) AS n FROM (SELECT 'unknown' AS side FROM documents ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 > 0) USING (doc_id)
+UNION ALL SELECT 'missing' FROM (SELECT DISTINCT doc_id + 1000000 FROM labels)) GROUP BY side""")
+def source_coverage(spark, d):
+    docs = S.table(spark, d, "documents").filter("doc_id % 7 > 0").select("doc_id")
+    source = docs.unionByName(S.table(spark, d, "labels").select((F.col("doc_id") + 1_000_000).alias("doc_id")))
+    return planner.against_source(_planned(spark, d), source, "doc_id").groupBy("side").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT COUNT(*) AS samples, COUNT(*) AS emitted FROM documents")
@@ -545,7 +672,7 @@ STEPS = LONE + """, steps AS (SELECT 0::BIGINT AS job, row_number() OVER (ORDER
 def _steps(spark, d) -> DataFrame:
     """One row for each step of the single-rank plan."""
     g = segment.group_table(_lone_members(spark, d)).withColumn("job", F.lit(0).cast("long"))
-    return g.select("job", (F.row_number().over(Window.partitionBy("job").orderBy("round", "group_idx")) - 1).cast("long").alias("step"), F.col("size").alias("samples"))
+    return progress.numbered(g).select("job", "step", F.col("size").alias("samples"))
 
 
 @query(STEPS + " SELECT step, samples, SUM(samples) OVER (ORDER BY step)::BIGINT AS total, round(SUM(samples) OVER (ORDER BY step)::DOUBLE / 500 * 2, 6) AS epoch FROM steps")
@@ -568,15 +695,27 @@ def lr_ticks(spark, d):
     return progress.optimizer_steps(_steps(spark, d), 4).select("opt_step", "extra_ticks", "total_ticks")
 
 
-@query(STEPS + " SELECT (step // 4)::BIGINT AS opt_step, SUM(samples)::BIGINT AS samples FROM steps GROUP BY 1 HAVING step // 4 < 5")
+@query(STEPS + " SELECT (step // 4)::BIGINT AS opt_step, SUM(samples)::BIGINT AS samples FROM steps WHERE step // 4 < 5 GROUP BY 1")
 def optimizer_step_cap(spark, d):
-    return progress.optimizer_steps(_steps(spark, d), 4).filter("opt_step < 5").select("opt_step", "samples")
+    return progress.capped(progress.optimizer_steps(_steps(spark, d), 4), 5).select("opt_step", "samples")
 
 
-@query("SELECT ceil(COUNT(*) * 1.5)::BIGINT AS budget, floor(COUNT(*) * 1.5)::BIGINT AS legacy_budget FROM documents")
+@query("SELECT ceil(COUNT(*) * 1.5)::BIGINT AS budget, floor(COUNT(*) * 1.5)::BIGINT AS legacy_budget, 77::BIGINT AS explicit FROM documents")
 def infer_sample_budget(spark, d):
-    n = F.count(F.lit(1)) * F.lit(1.5)
-    return S.table(spark, d, "documents").agg(F.ceil(n).cast("long").alias("budget"), F.floor(n).cast("long").alias("legacy_budget"))
+    n = S.table(spark, d, "documents").count()
+    rows = [(progress.sample_budget(n, 1.5), progress.sample_budget(n, 1.5, legacy=True), progress.sample_budget(None, 1.5, 77))]
+    return spark.createDataFrame(rows, "budget long, legacy_budget long, explicit long")
+
+
+@query("SELECT * FROM (VALUES ('overwrite', 5), ('preserve', 6), ('error', NULL), ('none set', 5)) v(policy, steps)")
+def max_steps_policy(spark, d):
+    def of(policy: str) -> int | None:
+        try:
+            return progress.max_steps(5, 6, policy)
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([*((p, of(p)) for p in ("overwrite", "preserve", "error")), ("none set", progress.max_steps(5, None))], "policy string, steps int")
 
 
 @query("""SELECT l_orderkey, COUNT(*) AS n, round(SUM(CASE WHEN l_linenumber = 0 THEN l_discount WHEN l_linenumber % 2 = 0 THEN l_discount * (l_quantity / (l_linenumber * 50)) * 4 ELSE l_discount * (l_linenumber / 10.0) * 4 END), 6) AS scaled FROM lineitem GROUP BY 1""")
@@ -588,10 +727,10 @@ def scale_loss(spark, d):
     return t.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(scaled), 6).alias("scaled"))
 
 
-@query(STEPS + " SELECT COUNT(*) FILTER (samples <> 1) AS n, round(AVG(samples) FILTER (samples <> 1), 6) AS mean FROM steps")
+@query(STEPS + " SELECT COUNT(*) FILTER (step % 3 > 0) AS n, round(AVG(samples / 4.0) FILTER (step % 3 > 0), 6) AS mean FROM steps")
 def unscaled_loss_mean(spark, d):
-    some = F.when(F.col("samples") != 1, F.col("samples"))
-    return _steps(spark, d).agg(F.count(some).alias("n"), F.round(F.avg(some), 6).alias("mean"))
+    t = _steps(spark, d).withColumns({"loss": F.col("samples") / 4, "scale": F.when(F.col("step") % 3 == 0, 1.0).otherwise(0.5)})
+    return progress.unscaled_mean(t, "loss", "scale").select("n", F.round("mean", 6).alias("mean"))
 
 
 @query(f"WITH {SAMPLES} SELECT round(stddev_pop(length) / AVG(length), 6) AS cv FROM docs")
@@ -601,9 +740,7 @@ def length_cv(spark, d):
 
 @query("SELECT (COUNT(*) // 32)::BIGINT AS rounds, (COUNT(*) // 16)::BIGINT AS default_rounds, COUNT(*) // 32 > 10 * (COUNT(*) // 16) AS warn FROM documents")
 def round_estimate(spark, d):
-    n = F.count(F.lit(1))
-    r, base = F.floor(n / WINDOW), F.floor(n / 16)
-    return S.table(spark, d, "documents").agg(r.cast("long").alias("rounds"), base.cast("long").alias("default_rounds"), (r > 10 * base).alias("warn"))
+    return windows.estimate(S.table(spark, d, "documents"), WINDOW, default_window(4, 4))
 
 
 @query(_rec("sample_id % 2", WINDOW, BUDGET) + " SELECT rank, round, group_idx::BIGINT AS group_idx, size, tokens FROM grp")
@@ -613,5 +750,12 @@ def stream_plan(spark, d):
     return plan_documents(spark, d, 2, WINDOW, BUDGET)
 
 
+@query()
+def stream_ranks_plan(spark, d):
+    from paceline.streaming.plan import plan_uneven
+
+    return plan_uneven(spark, d, _uneven(spark, d), PlanConfig(token_budget=BUDGET, window=WINDOW, world_size=WORLD, group_order_flip="balanced"))
+
+
 for _a, _b in (("flip_table", "flip_table_balanced"),):
     QUERIES[_a], ORACLE_SQL[_a] = QUERIES.pop(_b), ORACLE_SQL.pop(_b)

@@ -70,3 +70,23 @@ def plan_documents(spark: SparkSession, sf_dir: str, world: int, window: int, bu
     run = plan.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(OUT).parquet(f"{base}/out").drop("sample_ids")
+
+
+def plan_uneven(spark: SparkSession, sf_dir: str, samples: DataFrame, config) -> DataFrame:
+    """Canonical samples as a stream of files in no order, planned over all ranks: (kind, rank, round, slot, step, size,
+    total_size, total_tokens)."""
+    from paceline.sources.workdir import work_dir
+    from paceline.streaming.ranks import OUT as RANKS
+    from paceline.streaming.ranks import plan_ranks
+
+    none = F.lit(None)
+    s = samples.select(F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("epoch"), "rank", F.col("arrival_idx").cast("long").alias("seq"), "sample_id", "length", "n_patches", none.cast("string").alias("error"))
+    every = spark.range(config.world_size).select(F.col("id").cast("int").alias("rank"))
+    ends = every.join(s.groupBy("rank").agg((F.max("seq") + 1).alias("seq")), "rank", "left")
+    ends = ends.select(F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("epoch"), "rank", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), none.cast("long").alias("sample_id"), none.cast("long").alias("length"), none.cast("long").alias("n_patches"), none.cast("string").alias("error"))
+    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    s.unionByName(ends).repartition(6).write.parquet(f"{base}/in")
+    rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
+    run = plan_ranks(rows, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(RANKS).parquet(f"{base}/out").select("kind", "rank", "round", "slot", "step", "size", "total_size", "total_tokens")

@@ -9,22 +9,14 @@ from paceline.functions.flips import flips
 from paceline.operators import align, emit, planner, progress, segment, windows
 
 
-def literal_groups(lengths, budget, patches=None, cap=0):
-    """Sizes by closing groups one sample at a time, the shortest group first."""
-    out, batch, limit, used = [], 0, 0, 0
-    data = sorted(zip(lengths, patches or [0] * len(lengths), strict=True), key=lambda x: x[0])
-    for n, p in reversed(data):
-        if cap and batch and used + p > cap:
-            out.append(batch)
-            batch = used = 0
-        batch, used = batch + 1, used + p
-        if batch >= limit:
-            limit = int(max(budget / n, 1))
-            if p and cap:
-                limit = min(limit, max(cap // p, 1))
-            out.append(batch)
-            batch = used = 0
-    return ([batch] if batch else []) + out[::-1]
+def closed_groups(lengths, budget):
+    """Sizes, the shortest group first, by the recurrence over the ends of groups of a window sorted downwards: the first
+    group is the longest sample, and each next one holds as many as fit beside the last sample of the one before."""
+    down = sorted(lengths, reverse=True)
+    ends = [1] if down else []
+    while ends and ends[-1] < len(down):
+        ends.append(min(len(down), ends[-1] + max(budget // down[ends[-1] - 1], 1)))
+    return [b - a for a, b in zip([0, *ends], ends, strict=False)][::-1]
 
 
 def sizes(lengths, budget, patches=None, cap=0):
@@ -34,19 +26,30 @@ def sizes(lengths, budget, patches=None, cap=0):
 
 @pytest.mark.parametrize("lengths, budget, want", [([100] * 20, 8192, [19, 1]), ([100, 200, 500, 1000, 2000, 4000, 8000], 8192, [3, 2, 1, 1]), ([4000, 5000, 6000, 7000, 8000], 8192, [1] * 5), ([], 10, [])])
 def test_known_groups(lengths, budget, want):
-    assert sizes(lengths, budget) == want == literal_groups(lengths, budget)
+    assert sizes(lengths, budget) == want == closed_groups(lengths, budget)
 
 
-def test_groups_match_the_model_and_the_fold(spark):
+@pytest.mark.parametrize("lengths, patches, cap, want", [
+    ([10, 10, 10, 10, 10], [3, 3, 3, 3, 3], 7, [2, 2, 1]), ([10, 10, 10, 10], [0, 0, 9, 9], 7, [1, 1, 1, 1]), ([5, 6, 7, 8], [1, 1, 1, 1], 2, [1, 2, 1]), ([100], [50], 7, [1])])
+def test_known_groups_with_patches(lengths, patches, cap, want):
+    assert sizes(lengths, 500, patches, cap) == want
+
+
+def test_groups_match_the_recurrence_and_the_fold(spark):
     rng, rows, want = random.Random(1), [], {}
     for k in range(60):
-        n = rng.randint(1, 40)
+        n = rng.randint(1, 40) if k else 3000
         lengths, patches = [rng.randint(1, 300) for _ in range(n)], [rng.randint(0, 5) for _ in range(n)]
         order = sorted(range(n), key=lambda i: (lengths[i], i))
-        for cap in (0, 7):
-            model = literal_groups([lengths[i] for i in order], 500, [patches[i] for i in order], cap)
-            assert sizes([lengths[i] for i in order], 500, [patches[i] for i in order], cap) == model and sum(model) == n
-            want[k, cap] = model
+        lengths_, patches_ = [lengths[i] for i in order], [patches[i] for i in order]
+        want[k, 0] = closed_groups(lengths, 500)
+        assert sizes(lengths_, 500, patches_) == want[k, 0]
+        want[k, 7] = sizes(lengths_, 500, patches_, 7)
+        at = 0
+        for size in want[k, 7]:
+            assert size == 1 or sum(patches_[at : at + size]) <= 7
+            at += size
+        assert at == n
         rows += [(0, k, i, lengths[i], patches[i], i) for i in range(n)]
     df = spark.createDataFrame(rows, "rank int, round long, sample_id long, length long, n_patches long, arrival_idx long")
     for cap in (0, 7):
@@ -56,22 +59,107 @@ def test_groups_match_the_model_and_the_fold(spark):
         assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {k: want[k, cap] for k in range(60)}
 
 
-def test_fit_groups_matches_the_literal_loop():
+def closed_fit(groups, target):
+    """What alignment makes of the groups of one rank: the largest ones, or the same samples in order with as many more
+    cuts as are missing, each in front of one of the last samples that begin no group."""
+    flat = [s for g in groups for s in g]
+    starts = [sum(map(len, groups[:j])) for j in range(len(groups))]
+    if len(groups) >= target:
+        largest = sorted(range(len(groups)), key=lambda j: (-len(groups[j]), j))[:target]
+        return [groups[j] for j in sorted(largest)], [s for j in range(len(groups)) if j not in largest for s in groups[j]]
+    inner = [i for i in range(len(flat)) if i not in starts]
+    cuts = sorted(starts + inner[len(inner) - (target - len(groups)) :])
+    return [flat[a:b] for a, b in zip(cuts, [*cuts[1:], len(flat)], strict=True)], []
+
+
+def test_fit_groups_matches_the_closed_form():
     rng = random.Random(2)
     for _ in range(500):
         groups = [[(1, rng.random(), 0) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
-        total = sum(map(len, groups))
-        target = rng.randint(1, total)
-        mine, over = planner.fit_groups([list(g) for g in groups], target)
-        theirs, left = [list(g) for g in groups], []
-        if len(theirs) > target:
-            keep = sorted(range(len(theirs)), key=lambda j: len(theirs[j]), reverse=True)[:target]
-            left = [s for j, g in enumerate(theirs) if j not in keep for s in g]
-            theirs = [g for j, g in enumerate(theirs) if j in keep]
-        while len(theirs) < target:
-            i = max(j for j, g in enumerate(theirs) if len(g) > 1)
-            theirs.insert(i + 1, [theirs[i].pop()])
-        assert mine == theirs and over == left
+        target = rng.randint(1, sum(map(len, groups)))
+        assert planner.fit_groups([list(g) for g in groups], target) == closed_fit(groups, target)
+
+
+def whole_plan(rows, config):
+    """The status and place of every sample, planned round after round over whole lists."""
+    world = config.world_size
+    queue = [[(n, i, p) for i, rank, _, n, p in sorted(rows, key=lambda x: x[2]) if rank == r] for r in range(world)]
+    place = {s[1]: ("filtered" if s[0] <= 0 else "dropped",) for q in queue for s in q}
+    carry, rng, step, k = [[] for _ in range(world)], random.Random(config.seed + config.epoch), 0, 0
+    widths = windows.ramp(config.window, config.warmup)
+    while any(queue):
+        width = widths[k] if k < len(widths) else config.window
+        slots = [min(width, len(q)) for q in queue]
+        made = []
+        for r in range(world):
+            here = sorted([s for s in carry[r] + queue[r][: slots[r]] if s[0] > 0], key=lambda s: s[0]) if slots[r] else []
+            cuts = [0]
+            for n in closed_groups([s[0] for s in here], config.token_budget):
+                cuts.append(cuts[-1] + n)
+            made.append([here[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+            queue[r] = queue[r][slots[r] :]
+        some = [r for r in range(world) if made[r]]
+        target = max(1, min([max(len(made[r]) for r in some)] + [x for r in some for x in (slots[r], sum(map(len, made[r])))])) if some else 0
+        order = list(range(target))
+        if config.order == "seeded":
+            rng.shuffle(order)
+        for r in range(world):
+            if slots[r]:
+                clamped, beyond = made[r][: config.window], [s for g in made[r][config.window :] for s in g]
+                kept, over = closed_fit(clamped, target) if r in some else ([], [])
+                carry[r] = over + beyond
+                if flips(config.group_order_flip, config.seed + config.epoch, k, r, world):
+                    kept = kept[::-1]
+                for pos, i in enumerate(order if kept else []):
+                    for s in kept[i]:
+                        place[s[1]] = ("emitted", k, pos, step + pos, len(kept[i]))
+        step, k = step + target, k + 1
+        if not (config.join and world > 1) and not all(slots):
+            break
+    return place
+
+
+def test_whole_plans_match_the_sequential_model(spark):
+    rng, frames, want = random.Random(11), [], {}
+    for job in range(60):
+        world, config = rng.randint(1, 4), None
+        rows = []
+        for r in range(world):
+            for i in range(rng.choice([0, 3, 20, 60])):
+                rows.append((job * 10_000 + 1000 * r + i, r, i, rng.choice([0, *[rng.randint(1, 400)] * 9]), 0))
+        config = PlanConfig(500, rng.choice([4, 16, 25]), world, join=rng.random() < 0.5, warmup=rng.random() < 0.5, group_order_flip=rng.choice([None, "balanced", "b", "c"]), order=rng.choice(["seeded", "index"]))
+        if not rows:
+            continue
+        want[job] = whole_plan(rows, config)
+        state = planner._Job(job, config)
+        got = []
+        for sid, r, i, n, p in sorted(rows, key=lambda x: (_round(x[2], config), x[1], x[2])):
+            got += state.add(_round(i, config), r, (n, sid, p))
+        got += state.finish()
+        seen = {x[1]: (x[7],) if x[7] != "emitted" else ("emitted", x[3], x[4], x[6], x[8]) for x in got}
+        assert len(got) == len(seen) and seen == want[job], (job, config)
+        if len(frames) < 5:
+            df = spark.createDataFrame(rows, "sample_id long, rank int, arrival_idx long, length long, n_patches long")
+            frames.append((df, config, want[job]))
+    for df, config, expected in frames:
+        got = {x.sample_id: (x.status,) if x.status != "emitted" else ("emitted", x["round"], x.pos, x.step, x.group_size) for x in planner.plan(df.repartition(3), config).collect()}
+        assert got == expected
+
+
+def _round(arrival, config):
+    ends, k = 0, 0
+    for n in windows.ramp(config.window, config.warmup):
+        ends += n
+        if arrival < ends:
+            return k
+        k += 1
+    return k + (arrival - ends) // config.window
+
+
+def test_a_gap_in_arrivals_fails(spark):
+    df = spark.createDataFrame([(i, 0, i if i < 5 else i + 20, 5, 0) for i in range(9)], "sample_id long, rank int, arrival_idx long, length long, n_patches long")
+    with pytest.raises(Exception, match="gap in arrival_idx|no rows in round"):
+        planner.plan(df, PlanConfig(50, 8, 1, warmup=False)).collect()
 
 
 def test_ramp():
@@ -144,6 +232,57 @@ def test_alignment_matches_the_planner(spark):
     assert got == {k: {p: {s[1] for s in g} for p, g in v} for k, v in first.items()}
 
 
+@pytest.mark.parametrize("join, tail", [(True, "drop"), (True, "flush"), (False, "drop")])
+def test_the_stream_over_ranks_is_the_batch_plan(spark, tmp_path, join, tail):
+    from paceline.streaming.ranks import plan_ranks
+
+    df, rows = _samples(spark, (70, 33, 5, 0), seed=6, zero=2)
+    schema = "job long, epoch long, rank int, seq long, sample_id long, length long, n_patches long, error string"
+    every = [(0, e, r[1], r[2], r[0], r[3], r[4], None) for r in rows for e in (0, 1)] + [(0, e, r, n, None, None, None, None) for r, n in enumerate((70, 33, 5, 0)) for e in (0, 1)]
+    random.Random(7).shuffle(every)
+    for k in range(4):
+        spark.createDataFrame(every[k::4], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    config = PlanConfig(2048, 16, 4, join=join, tail=tail, group_order_flip="balanced")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = plan_ranks(stream, config).writeStream.format("memory").queryName(f"ranks_{join}_{tail}").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    found = spark.sql(f"select * from ranks_{join}_{tail}").collect()
+    slots = windows.windows(df, 16, warmup=True).groupBy("round", "rank").count().collect()
+    for epoch in (0, 1):
+        import dataclasses
+
+        batch = planner.plan(df, dataclasses.replace(config, epoch=epoch)).collect()
+        mine = [r for r in found if r.epoch == epoch]
+        got = {(r.rank, r["round"], r.slot, r.step, r.size, r.tokens, r.total_size, r.total_tokens, tuple(sorted(r.sample_ids))) for r in mine if r.kind == "group"}
+        want = {}
+        for r in batch:
+            if r.status == "emitted":
+                want.setdefault((r.rank, r["round"], r.slot, r.step, r.group_size, r.group_tokens, r.total_size, r.total_tokens), []).append(r.sample_id)
+        assert got == {(*k, tuple(sorted(v))) for k, v in want.items()} and (len(got) > 10 or not join)
+        for kind in ("dropped", "flushed"):
+            assert sorted(i for r in mine if r.kind == kind for i in r.sample_ids) == sorted(r.sample_id for r in batch if r.status == kind)
+        idle = sum(r.kind == "idle" for r in mine)
+        emitted_rounds = {r["round"] for r in mine}
+        assert idle + len(got) == sum(s["count"] for s in slots if s["round"] in emitted_rounds)
+
+
+def test_late_and_failed_rows_of_a_stream(spark, tmp_path):
+    from paceline.streaming.ranks import Job
+
+    config = PlanConfig(100, 4, 2, warmup=False, order="index")
+    job = Job(0, 0, config)
+    out = job.add(0, 1, (5, 11, 0), None, "side")
+    out += job.add(0, 0, (5, 10, 0), "could not be read", "side") + job.add(0, 1, (5, 11, 0), None, "side")
+    assert [(r[2], r[5], r[-1]) for r in out] == [("error", 0, "could not be read"), ("late", 1, None)]
+    with pytest.raises(ValueError, match="already come"):
+        job.add(0, 0, (5, 10, 0), None, "fail")
+    for seq in (2, 3, 4):
+        out += job.add(0, seq, (5, 10 + seq, 0), None, "fail")
+    assert not [r for r in out if r[2] == "group"]
+    more = job.add(0, 5, None, None, "fail") + job.add(1, 0, (7, 100, 0), None, "fail") + job.add(1, 1, None, None, "fail")
+    assert sorted(i for r in more for i in r[-2]) == [11, 12, 13, 14, 100] and job.finished
+
+
 def test_stream_windows_do_not_depend_on_batches(spark, tmp_path):
     from paceline.streaming.plan import plan_stream
 
@@ -173,3 +312,91 @@ def test_queries_have_oracles():
     import __spark_entry__ as e
 
     assert "padding_ratio" in e.queries() and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_configuration():
+    from types import SimpleNamespace
+
+    from paceline.config import from_objects, resolve
+
+    c = resolve(max_input_length=7, no_warmup=True, join_mode=False, workers=3, prefetch=4)
+    assert (c.token_budget, c.warmup, c.join, c.window, c.no_sync, c.scales_loss) == (7, False, False, 12, False, False)
+    assert resolve(c, token_budget=7, group_order_flip="none") is c and not resolve(token_budget=1, world_size=2, no_sync=True).effective_join
+    for error, given in ((TypeError, {}), (TypeError, {"token_budget": 1, "x": 2}), (ValueError, {"token_budget": 1, "max_input_length": 2}), (ValueError, {"token_budget": -1}), (ValueError, {"config": c, "window": 5})):
+        with pytest.raises(error):
+            resolve(**given)
+    a, b = SimpleNamespace(pack_token_budget=None, pack_loss_scaling="exact", join=None), SimpleNamespace(token_budget=9, loss_scaling="none", join=False)
+    d = from_objects(a, b, names=("pack_",), window=5)
+    assert (d.token_budget, d.loss_scaling, d.join, d.window) == (9, "exact", False, 5)
+
+
+def test_training_progress():
+    from paceline import training as T
+
+    info = T.pop_info({"input_ids": [[1] * 8] * 2, "local_batch_size": [2], "total_batch_size": 8, "local_tokens": 20, "total_tokens": 100}, "auto", 4)
+    assert info == T.StepInfo(8, 0.8)
+    flat = {"input_ids": [[1]] * 2, "total_batch_size": [[8]], "local_tokens": None}
+    assert T.pop_info(dict(flat), "auto", 4) == T.StepInfo(8, 1.0) and T.pop_info(dict(flat), "none", 4).loss_scale == 1.0
+    batch = {**flat, "step_info": T.StepInfo(11, 0.5)}
+    assert T.pop_info(batch) == T.StepInfo(11, 0.5) and set(batch) == {"input_ids"}
+    p = T.TrainingProgress.for_source(100, 1.0, world=4)
+    step = T.scaled_step(p, lambda batch: (2.0, len(batch)))
+    assert step({"x": [1], "local_tokens": 1, "total_tokens": 2, "total_batch_size": 5}) == (4.0, 1)
+    assert step({"x": [1], "total_batch_size": 3}) == (2.0, 1) and p.pop_unscaled_mean() == 2.0 and p.pop_unscaled_mean() is None
+    assert (p.optimizer_step(), p.total, p.epoch, p.should_stop) == (7, 8, 0.08, False)
+    p.sizes.append(92)
+    assert step("no dict") == (2.0, 7) and p.should_stop and p.scaled({"loss": 3.0, "y": 1}) == {"loss": 3.0, "y": 1}
+    with T.uneven_inputs(None, []) as x:
+        assert x is None
+    assert T.enable(10, 1.5, steps=5, existing_max_steps=9)[0].budget == 15 and T.enable(10, 1.5, steps=5, existing_max_steps=9)[1] == 5
+    for bad in ({"per_device_batch_size": 2}, {"workers": 0}, {"steps": 5, "existing_max_steps": 9, "policy": "error"}):
+        with pytest.raises(ValueError):
+            T.enable(10, 1.0, **bad)
+    with pytest.raises(ValueError, match="unknown"):
+        T.enable(None, 1.0)
+
+
+def test_consumer(spark, tmp_path, monkeypatch):
+    from paceline import consumer
+
+    df, rows = _samples(spark, (40, 30), seed=9)
+    p = planner.plan(df, PlanConfig(2048, 16, 2, warmup=False))
+    per_round = windows.windows(df, 16).groupBy("round", "rank").count().withColumnRenamed("count", "slots")
+    every = consumer.slots(p, per_round)
+    assert every.count() == 70
+    monkeypatch.setenv(consumer.ID_LOG, str(tmp_path))
+    read = [r for rank in (0, 1) for r in consumer.iterate(every, rank)]
+    emitted = {r.sample_id for r in p.filter("status = 'emitted'").collect()}
+    assert {i for r in read for i in r.ids} == emitted and [(r["round"], r.slot) for r in read if r.rank == 0] == sorted((r["round"], r.slot) for r in read if r.rank == 0)
+    assert len((tmp_path / "rank0.jsonl").read_text().splitlines()) == sum(r.rank == 0 for r in read)
+    nested = spark.createDataFrame([([],), ([[]],), ([[7, 8]],), (None,)], "x array<array<long>>")
+    assert [r[0] for r in nested.select(consumer.first_int(nested, "x", 3)).collect()] == [3, 3, 7, 3]
+
+
+def test_readiness_and_audit(spark):
+    from paceline.sources import samples as S
+
+    raw = spark.createDataFrame([("a",)], "text string")
+    with pytest.raises(ValueError, match="input_ids"):
+        S.ready(raw)
+    assert S.ready(raw, declared=True) is raw
+    rows = spark.createDataFrame([([{"input_ids": None}],), ([{"input_ids": None}, {"input_ids": [1]}],), (None,)], "x array<struct<input_ids: array<int>>>")
+    assert [r[0] for r in S.ready(rows).select(S.has_tokens(rows)).collect()] == [False, True, False]
+    code = spark.createDataFrame([(f"f{k}.py", "import paceline\nbatch_size = 16") for k in range(9)], "file string, text string")
+    hits = {r.rule: (r.hits, r.names) for r in S.rule_audit(code, "text", S.AUDIT_RULES, "file").collect()}
+    assert hits["imports_planner"] == (9, [f"f{k}.py" for k in range(8)]) and hits["uses_plan"] == (0, None)
+    assert {r.warning[:20] for r in S.audit_warnings(S.rule_audit(code, "text", S.AUDIT_RULES)).collect()} == {"the planner is impor", "a batch size other t"}
+
+
+def test_blocks_do_not_change_running_sums_or_arrivals(spark):
+    from pyspark.sql import functions as F
+
+    from paceline.sources import samples as S
+
+    d = spark.range(300).select((F.col("id") % 3).alias("job"), F.floor(F.col("id") / 3).alias("step"), (F.col("id") % 7).alias("samples"))
+    for block in (1, 7, 1000):
+        got = {(r.job, r.step): r.total for r in progress.running_total(d, F.col("samples"), "total", block=block).collect()}
+        assert got == {(j, s): sum((3 * t + j) % 7 for t in range(s + 1)) for j in range(3) for s in range(100)}
+    for per in (7, 50, 10_000):
+        got = S.arrivals(spark.range(300), F.col("id") % 2, "id", per)
+        assert {(r.id, r.rank, r.arrival_idx) for r in got.collect()} == {(i, i % 2, i // 2) for i in range(300)}
