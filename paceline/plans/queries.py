@@ -17,7 +17,7 @@ from paceline.functions import columns as C
 from paceline.functions.flips import flip_table, round_flips
 from paceline.operators import align, emit, planner, progress, segment, windows
 from paceline.sources import samples as S
-from paceline.sources.workdir import work_dir
+from paceline.sources.workdir import stored, work_dir
 
 WORLD, WINDOW, BUDGET = 4, 32, 2048
 LONE_WINDOW, LONE_BUDGET = 128, 4096
@@ -67,9 +67,9 @@ class _Round:
     """Round-local alignment of the uneven ranks, with nothing carried over."""
 
     def __init__(self, spark: SparkSession, d: str):
-        rows = _uneven(spark, d)
+        rows = stored(_uneven(spark, d))
         self.slots = rows.groupBy("round", "rank").agg(F.count(F.lit(1)).alias("slots"))
-        self.members = segment.greedy_groups(rows, BUDGET)
+        self.members = stored(segment.greedy_groups(rows, BUDGET))
         self.groups = segment.group_table(self.members)
         self.target = align.targets(self.groups, self.slots)
         self.aligned = align.aligned(self.members, self.target)

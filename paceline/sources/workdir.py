@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -19,3 +20,14 @@ def work_dir(spark: SparkSession) -> str:
     if not _own:
         _own.append("file://" + tempfile.mkdtemp(prefix="paceline-"))
     return _own[0]
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in that folder, read again: what uses it several times computes it once, and lost executors never
+    recompute what came before. The table goes when the application ends, as what is returned lazily may still read it."""
+    spark = df.sparkSession
+    path = f"{work_dir(spark)}/paceline/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return spark.read.schema(df.schema).parquet(path)
