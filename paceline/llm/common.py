@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paceline.sources.workdir import work_dir
+from paceline.sources.workdir import stored
 
 #: A word: a maximal run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,14 +21,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: lost executors never recompute what came before. The
-    table goes when the application ends, as what is returned lazily may still read it."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/paceline/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a table in the shared folder, read again (see stored)."""
+    return stored(df)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
