@@ -27,6 +27,7 @@ from paceline.llm import simhash
 from paceline.llm.common import cut, digest, fresh, partitions
 from paceline.llm.components import components
 from paceline.llm.simhash import _WORD, _stars
+from paceline.llm.workers import tidy
 
 #: Least similarity of near-duplicates, as a fraction.
 SIMILAR = (4, 5)
@@ -91,7 +92,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
 
     one, two = digest(docs)
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("row1"), two.alias("row2"), "text")
-    return d.mapInArrow(apply, "doc_id long, row1 long, row2 long, fp long, sim long, bands binary")
+    return d.mapInArrow(tidy(apply), "doc_id long, row1 long, row2 long, fp long, sim long, bands binary")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +158,8 @@ def _settled(words: int):
 def _candidates(fps: DataFrame) -> DataFrame:
     """fps (fp, sim, bands): links (a, b) between sets that may be alike, enough to make them one component."""
     n = partitions(fps.sparkSession)
-    met = fps.filter("bands is not null").select("fp", "bands").mapInArrow(_keys, "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
-    by_bands = met.mapInArrow(_stars, "a long, b long")
+    met = fps.filter("bands is not null").select("fp", "bands").mapInArrow(tidy(_keys), "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
+    by_bands = met.mapInArrow(tidy(_stars), "a long, b long")
     # one set stands for each SimHash; the others hang on it
     sims = cut(fps.filter("bands is not null").groupBy("sim").agg(F.min("fp").alias("head")))
     same = fps.filter("bands is not null").join(sims, "sim").filter("fp != head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, words: int) -> DataFrame:
     one, two = digest(docs)
     texts = docs.select(one.alias("row1"), two.alias("row2"), "text").join(wanted, ["row1", "row2"]).dropDuplicates(["row1", "row2"])
     texts = texts.select("root", "fp", "text").repartition(4 * n, "root").sortWithinPartitions("root")
-    found = cut(texts.mapInArrow(_settled(words), "fp long, root long"))
+    found = cut(texts.mapInArrow(tidy(_settled(words)), "fp long, root long"))
     roots = cut(fps.select("fp", "least").join(found, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     ids = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     return marked.drop("sim", "bands").join(roots.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "row1", "row2", "fp", "root", "component_id")

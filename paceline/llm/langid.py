@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import cut
+from paceline.llm.workers import tidy
 
 ORDER = 4
 SLOT_BITS, SLOTS = 20, 1 << 22
@@ -40,7 +41,7 @@ MARGIN = 1.5
 
 _MARK = "\x01" * (ORDER - 1)
 _LETTER = re.compile(r"[^\W\d_]")
-_CHARS = 1 << 21
+_CHARS = 1 << 19
 
 
 def has_letter(text: str) -> bool:
@@ -101,7 +102,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if text:
                 held.setdefault(lang, []).append(text.lower())
                 size[lang] = size.get(lang, 0) + len(text)
-                if size[lang] >= _CHARS:
+                if size[lang] >= 4 * _CHARS:
                     size[lang] = 0
                     add(lang)
                     if len(sums[lang]) > 1_000_000:
@@ -194,7 +195,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
     # a language whose few documents would all be held apart is counted nevertheless
     counted = use.filter(~_apart() | F.col("lang").isin([r["lang"] for r in known if r["all_apart"]]))
     bits = max(8, min(SLOT_BITS, (SLOTS // max(len(known), 1)).bit_length() - 1))
-    grams = {ORDER: cut(counted.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))}
+    grams = {ORDER: cut(counted.select("lang", "text").mapInArrow(tidy(_count), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")))}
     for order in range(ORDER - 1, 0, -1):
         code = F.col("code").bitwiseAND(F.lit((1 << 16 * order) - 1))
         grams[order] = grams[order + 1].groupBy("lang", code.alias("code")).agg(F.count(F.lit(1)).alias("n"))
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
         own = d.select("lang", F.lit(order).alias("level"), "code", F.col("n").alias("a"), F.lit(0).cast("long").alias("b"))
         above = d.groupBy("lang", context.alias("code")).agg(F.sum("n").alias("a"), F.count(F.lit(1)).alias("b")).select("lang", F.lit(10 + order).alias("level"), "code", "a", "b")
         every = own.unionByName(above) if every is None else every.unionByName(own).unionByName(above)
-    slots = every.mapInArrow(_slotted(bits), _SLOTTED).groupBy("lang", "level", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    slots = every.mapInArrow(tidy(_slotted(bits)), _SLOTTED).groupBy("lang", "level", "slot").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     names = sorted(r["lang"] for r in known)
     number = F.array_position(F.array(*map(F.lit, names)), F.col("lang")).cast("int") if names else F.lit(0)
     packed = slots.select(number.alias("lang"), F.col("level").cast("byte").alias("level"), "slot", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b")).toArrow()
@@ -245,7 +246,7 @@ def _calibrate(model: Model, apart: DataFrame) -> None:
                 gaps = np.sqrt(np.minimum(n, 200))[:, None] * (x - x.min(axis=1, keepdims=True))
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([i for i, *_ in held], pa.int64()), "lang": pa.array([lang for _, lang, _ in held], pa.string()), "own": own, "gaps": pa.array(list(gaps), pa.list_(pa.float64()))})
 
-    scored = cut(apart.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(apply, "doc_id long, lang string, own double, gaps array<double>"))
+    scored = cut(apart.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(tidy(apply), "doc_id long, lang string, own double, gaps array<double>"))
     model.limit = {lang: v * MARGIN for lang, v in scored.groupBy("lang").agg(F.percentile_approx("own", F.lit(1 - REJECT), F.lit(100_000))).collect()}
     rows = scored.orderBy(F.xxhash64("doc_id"), "doc_id", "own").limit(CALIBRATION).select("lang", "gaps").collect()
     if rows:
@@ -270,7 +271,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=names)
 
-    return docs.mapInArrow(apply, ", ".join([fields, *(f"{x} {t}" for x, t in zip(added, ("string", "double", "boolean", "double"), strict=True))]))
+    return docs.mapInArrow(tidy(apply), ", ".join([fields, *(f"{x} {t}" for x, t in zip(added, ("string", "double", "boolean", "double"), strict=True))]))
 
 
 def language_report(docs: DataFrame) -> DataFrame:

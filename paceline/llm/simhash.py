@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm.common import cut, partitions
 from paceline.llm.components import components
+from paceline.llm.workers import tidy
 
 RADIUS = 4
 SHINGLE = 4
@@ -72,7 +73,7 @@ def with_fingerprint(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text").to_pylist(), words).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(apply), "doc_id long, fp long")
 
 
 _BITS = np.uint64(1) << np.arange(64, dtype=np.uint64)
@@ -166,10 +167,10 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """fps (fp, distinct): edges (a, b) whose components are those of all links within RADIUS bits."""
     n = partitions(fps.sparkSession)
-    met = fps.select("fp").mapInArrow(_half_balls, "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
-    met = cut(met.mapInArrow(_verified, "a long, b long, hot boolean").distinct())
+    met = fps.select("fp").mapInArrow(tidy(_half_balls), "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp")
+    met = cut(met.mapInArrow(tidy(_verified), "a long, b long, hot boolean").distinct())
     hot = met.filter("hot").select(F.col("a").alias("fp")).distinct()
-    stars = hot.repartition(n, "fp").mapInArrow(_balls, "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp").mapInArrow(_stars, "a long, b long")
+    stars = hot.repartition(n, "fp").mapInArrow(tidy(_balls), "key long, fp long").repartition(4 * n, "key").sortWithinPartitions("key", "fp").mapInArrow(tidy(_stars), "a long, b long")
     return met.filter("not hot").select("a", "b").union(stars)
 
 
