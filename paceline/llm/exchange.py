@@ -12,7 +12,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -95,16 +94,6 @@ def rows(schema: str, items: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i[k] for i in items], kinds[t]) for k, (_, t) in enumerate(fields)], names=[f for f, _ in fields])
 
 
-def portions(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """The rows again, in batches of about `most` bytes in a column, one row at least."""
-    for batch in batches:
-        part = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(), dtype=np.int64) // most
-        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
 def chunk_name(k: int) -> str:
     return f"{TaskContext.get().partitionId()}-{k}"
 

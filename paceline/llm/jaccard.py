@@ -27,7 +27,7 @@ from paceline.llm import simhash
 from paceline.llm.common import cut, digest, fresh, partitions
 from paceline.llm.components import components
 from paceline.llm.simhash import _WORD, _stars
-from paceline.llm.workers import tidy
+from paceline.llm.workers import portions, tidy
 
 #: Least similarity of near-duplicates, as a fraction.
 SIMILAR = (4, 5)
@@ -72,7 +72,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, row1, row2, fp, sim, bands): digest of the row, hash of the set, its SimHash, packed keys (null for the
     empty set)."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", 1 << 20):
             texts = batch.column("text").to_pylist()
             fps, sims, bands = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), [None] * len(texts)
             held, who, size = [], [], 0

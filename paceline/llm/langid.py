@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import cut
-from paceline.llm.workers import tidy
+from paceline.llm.workers import portions, tidy
 
 ORDER = 4
 SLOT_BITS, SLOTS = 20, 1 << 22
@@ -42,6 +42,8 @@ MARGIN = 1.5
 _MARK = "\x01" * (ORDER - 1)
 _LETTER = re.compile(r"[^\W\d_]")
 _CHARS = 1 << 19
+#: Numbers that a worker remembers at most: log-probabilities of grams that it has met.
+KNOWN = 1 << 20
 
 
 def has_letter(text: str) -> bool:
@@ -97,7 +99,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = sums.pop(lang)
         return pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(s), pa.string()), "code": pa.array(s.index.to_numpy(), pa.int64()), "n": pa.array(s.to_numpy().astype(np.int64))})
 
-    for batch in batches:
+    for batch in portions(batches, "text", _CHARS):
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
             if text:
                 held.setdefault(lang, []).append(text.lower())
@@ -124,6 +126,7 @@ class Model:
         self.tables, self.langs, self.bits = tables, sorted(tables), bits
         self.limit: dict[str, float] = {}
         self.sharp = 4.0
+        self.known, self.values = np.zeros(0, np.int64), np.zeros((0, len(self.langs)))
 
     def log_p(self, lang: str, codes: np.ndarray) -> np.ndarray:
         def find(keys: np.ndarray, values: np.ndarray, slots: np.ndarray) -> np.ndarray:
@@ -140,12 +143,27 @@ class Model:
             p = np.where(total > 0, (np.maximum(count - d, 0) + d * kind * p) / np.maximum(total, 1), p)
         return np.log(p)
 
+    def table(self, codes: np.ndarray) -> np.ndarray:
+        """log_p of distinct codes: a row for each, a column for each language. What was computed before is looked up."""
+        at = np.minimum(np.searchsorted(self.known, codes), max(len(self.known) - 1, 0))
+        hit = self.known[at] == codes if len(self.known) else np.zeros(len(codes), bool)
+        out = np.empty((len(codes), len(self.langs)))
+        out[hit] = self.values[at[hit]]
+        new = codes[~hit]
+        if len(new):
+            out[~hit] = found = np.stack([self.log_p(x, new) for x in self.langs], axis=1)
+            if (len(self.known) + len(new)) * len(self.langs) <= KNOWN:
+                known = np.concatenate([self.known, new])
+                order = np.argsort(known)
+                self.known, self.values = known[order], np.concatenate([self.values, found])[order]
+        return out
+
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy for each character, in nats: a row for each text (not empty), a column for each language."""
         g, _, n = _codes(texts)
         k, names = pd.factorize(g)
-        begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-        return np.stack([-np.add.reduceat(self.log_p(x, names)[k], begins) / n for x in self.langs], axis=1)
+        begins, table = np.concatenate([[0], np.cumsum(n)[:-1]]), self.table(names)
+        return np.stack([-np.add.reduceat(table[:, j][k], begins) / n for j in range(len(self.langs))], axis=1)
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, bool, float | None]]:
         """(language, score, rejected, cross-entropy) for each text."""
@@ -237,7 +255,7 @@ def _calibrate(model: Model, apart: DataFrame) -> None:
     shared = apart.sparkSession.sparkContext.broadcast(model)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", _CHARS):
             rows = zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")), strict=True)
             for held in _chunks(((i, lang, t.lower()) for i, lang, t in rows if t and has_letter(t)), 2):
                 x = shared.value.entropies([t for *_, t in held])
@@ -265,7 +283,7 @@ def identify(docs: DataFrame, model: Model, prefix: str = "") -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text", _CHARS):
             found = shared.value.predict(batch.column("text").to_pylist())
             lang, score, rejected, entropy = zip(*found, strict=True) if found else ((), (), (), ())
             more = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_()), pa.array(entropy, pa.float64())]

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from paceline.llm import exchange as X
 from paceline.llm.common import cut, keyed, partitions
 from paceline.llm.wordrepeat import mixed
+from paceline.llm.workers import portions
 
 LENGTH = 100
 GRAM = 24
@@ -118,7 +119,7 @@ def _within(b: np.ndarray, at: np.ndarray, n: np.ndarray, key: np.ndarray) -> np
 
 def _index(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(X.portions(batches, "text", PORTION)):
+        for k, batch in enumerate(portions(batches, "text", PORTION)):
             b, begins, at, count, key = _stretches([t.encode() for t in batch.column("text").to_pylist()])
             if len(at):
                 twice = _within(b, at, count, key)
@@ -151,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _carry(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
+        for k, batch in enumerate(portions(batches, "z", PORTION // 3)):
             b, begins, at, count, key = _stretches(X.texts(batch))
             wanted = np.concatenate([X.unsqueeze(f, np.uint32).astype(np.int64) + x for x, f in zip(begins, batch.column("found").to_pylist(), strict=True)])
             hit = np.isin(at, wanted)

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from paceline.llm import exchange as X
 from paceline.llm.common import KEY, cut, keyed, partitions
+from paceline.llm.workers import portions
 
 BLOCK = 10
 WINDOW = 20
@@ -68,7 +69,7 @@ def _inside(begins: np.ndarray, sizes: np.ndarray, n: int, total: int) -> np.nda
 
 def _probe(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(X.portions(batches, "text", PORTION)):
+        for k, batch in enumerate(portions(batches, "text", PORTION)):
             w, sizes = _words([t.encode() for t in batch.column("text").to_pylist()], xxhash.xxh3_64_digest, 1)
             begins = np.cumsum(sizes) - sizes
             p = np.flatnonzero(_inside(begins, sizes, BLOCK, len(w)))
@@ -113,7 +114,7 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _extend(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(X.portions(batches, "z", PORTION // 3)):
+        for k, batch in enumerate(portions(batches, "z", PORTION // 3)):
             w, sizes = _words(X.texts(batch), xxhash.xxh3_128_digest, 2)
             w, v = w[::2].copy(), w[1::2].copy()
             begins = np.cumsum(sizes) - sizes

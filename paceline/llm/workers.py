@@ -1,11 +1,14 @@
-"""Memory of Python workers: they outlive a stage, so what one leaves unused goes back to the system."""
+"""Memory of Python workers: batches in small portions, and what a stage leaves unused goes back to the system, as workers
+outlive it."""
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def tidy(apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
@@ -18,3 +21,13 @@ def tidy(apply: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
             trim(0)
 
     return run
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about `most` bytes in a column, one row at least."""
+    for batch in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
