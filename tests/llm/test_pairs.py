@@ -184,7 +184,7 @@ def test_pipeline(spark, tmp_path):
 
 def test_stages_with_clashing_columns(spark, tmp_path):
     spark.createDataFrame([(1, "some item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    names = ["score", "size", "copies", "target", "component_id", "fp", "key", "shard", "item", "words", "term", "n"]
+    names = ["score", "size", "copies", "target", "component_id", "fp", "key", "shard", "item", "words", "term", "n", "__size", "__key", "__row1", "__h", "__copies", "__rejected", "__copy", "none", "k", "th", "__th", "source_size", "lang_pred"]
     d = spark.createDataFrame([(*r, *range(len(names))) for r in prose(13, 40) + ODD], SCHEMA + "".join(f", {x} long" for x in names))
     for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, d, str(tmp_path))
