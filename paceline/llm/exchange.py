@@ -42,10 +42,10 @@ def ungaps(b: bytes) -> np.ndarray:
     return np.cumsum(unsqueeze(b, np.uint32), dtype=np.int64)
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
+def squeezed(docs: DataFrame, level: int = 3) -> DataFrame:
     """keyed documents with the text compressed, for a shuffle."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(3)
+        z = zstandard.ZstdCompressor(level)
         for b in batches:
             packed = pa.array([z.compress(t.encode()) for t in b.column("text").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *KEY)), packed], names=["doc_id", *KEY, "z"])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm import exchange as X
-from paceline.llm.common import KEY, cut, keyed, partitions
+from paceline.llm.common import KEY, cut, forget, keyed, partitions
 from paceline.llm.workers import portions
 
 BLOCK = 10
@@ -78,8 +78,8 @@ def _probe(n: int):
             h = rolled(w, BLOCK)[p]
             d = X.Directory.of_batch(batch, begins)
             block = (p - begins[np.searchsorted(begins, p, "right") - 1]) % BLOCK == 0
-            # three bytes beside the bucket: chance hits only make more candidates
-            low = (h & np.uint64(0xFFFFFF)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            # 32 bits beside the bucket: chance hits only make more candidates
+            low = h.astype(np.uint32)
             yield X.send(X.chunk_name(k), n, h, p, lambda i, low=low, block=block: (low[i].tobytes(), X.squeeze(np.packbits(block[i]))), d, False)
 
     return apply
@@ -92,24 +92,25 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if d is not None:
                 yield X.rows(X.FOUND, [(chunk, None, d)])
             if h is not None:
-                raw = np.zeros((len(h) // 3, 4), np.uint8)
-                raw[:, :3] = np.frombuffer(h, np.uint8).reshape(-1, 3)
-                hashes.append(raw.view("<u4").ravel())
-                places.append(X.ungaps(p))
-                blocks.append(np.unpackbits(X.unsqueeze(x, np.uint8))[: len(raw)].astype(bool))
+                hashes.append(np.frombuffer(h, np.uint32))
+                places.append(X.ungaps(p).astype(np.uint32))
+                blocks.append(np.unpackbits(X.unsqueeze(x, np.uint8))[: len(hashes[-1])].astype(bool))
                 chunks.append(chunk)
     if not hashes:
         return
-    seen = np.zeros(1 << 24, np.uint8)  # how often a hash occurs, two at most, and 4 where a block has it
-    for h in hashes:
-        once, n = np.unique(h, return_counts=True)
-        seen[once] = np.minimum(seen[once] + n, 2)
-    for h, b in zip(hashes, blocks, strict=True):
-        seen[h[b]] |= 4
-    for chunk, h, p in zip(chunks, hashes, places, strict=True):
-        hit = p[seen[h] == 6]
-        if len(hit):
-            yield X.rows(X.FOUND, [(chunk, X.squeeze(hit.astype(np.uint32)), None)])
+    every = np.concatenate(hashes)
+    order = np.argsort(every, kind="stable")
+    new = np.concatenate([[True], every[order[1:]] != every[order[:-1]]])
+    group = np.cumsum(new) - 1
+    # a hash that occurs twice or more, and as a block
+    wanted = (np.bincount(group) > 1) & (np.bincount(group, weights=np.concatenate(blocks)[order]) > 0)
+    hit = np.empty(len(every), bool)
+    hit[order] = wanted[group]
+    at = 0
+    for chunk, p in zip(chunks, places, strict=True):
+        mine, at = p[hit[at : at + len(p)]], at + len(p)
+        if len(mine):
+            yield X.rows(X.FOUND, [(chunk, X.squeeze(mine), None)])
 
 
 def _extend(n: int):
@@ -175,8 +176,10 @@ def later_windows(docs: DataFrame) -> DataFrame:
     d = keyed(docs)
     found = d.mapInArrow(_probe(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_hits, X.FOUND)
     hits = X.give_back(found, 1).dropDuplicates(KEY)
-    both = X.with_found(X.squeezed(d), hits).filter("found is not null")
+    both = X.with_found(X.squeezed(d, 9), hits).filter("found is not null")
     both = cut(both)  # chunks need a stable order
+    del found, hits
+    forget(docs.sparkSession)
     found = both.mapInArrow(_extend(n), X.SENT).repartitionById(n, "bucket").mapInArrow(_later, X.FOUND)
     return X.united(X.give_back(found, 1))
 
@@ -201,7 +204,7 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(spans, SPAN), pa.array(kept, pa.string())], names=["doc_id", "n_words", "spans", "kept"])
 
-    return X.with_found(X.squeezed(keyed(docs)), later_windows(docs)).mapInArrow(apply, _KEPT)
+    return X.with_found(X.squeezed(keyed(docs), 9), later_windows(docs)).mapInArrow(apply, _KEPT)
 
 
 def word_report(docs: DataFrame) -> DataFrame:
