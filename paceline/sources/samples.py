@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from paceline.operators.order import RANGE, numbered
 
 NARROW = ("sample_id", "rank", "arrival_idx", "length", "n_patches")
 
@@ -18,27 +19,10 @@ def words(text: Column) -> Column:
     return F.when(text.isNull(), 0).otherwise(F.size(F.split(text, " "))).cast("long")
 
 
-#: Rows of a range that are numbered together, on average.
-RANGE = 200_000
-
-
 def arrivals(df: DataFrame, rank: Column, key: str, per_range: int = RANGE) -> DataFrame:
-    """df with rank and arrival_idx, the place among the rows of its rank by `key` (a number without ties).
-
-    Rows are numbered in ranges of the key, as many as there are rows for, and ranges are put after each other by their
-    counts, so that no task holds a whole rank: one rank may be all of the table.
-    """
-    df = df.withColumn("rank", rank.cast("int"))
-    parts = -(-df.count() // per_range)
-    if parts <= 1:
-        return df.withColumn("arrival_idx", (F.row_number().over(Window.partitionBy("rank").orderBy(key)) - 1).cast("long"))
-    edges = sorted({*df.approxQuantile(key, [i / parts for i in range(1, parts)], 0.25 / parts)})
-    d = df.withColumn("__range", F.size(F.filter(F.array(*[F.lit(x) for x in edges]).cast("array<double>"), lambda e: e < F.col(key))))
-    before = Window.partitionBy("rank").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = d.groupBy("rank", "__range").agg(F.count(F.lit(1)).alias("__n")).withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    d = d.join(offsets, ["rank", "__range"])
-    within = F.row_number().over(Window.partitionBy("rank", "__range").orderBy(key)) - 1
-    return d.withColumn("arrival_idx", F.col("__before") + within).drop("__range", "__before")
+    """df with rank and arrival_idx, the place among the rows of its rank by `key`. No task holds a whole rank: one rank
+    may be all of the table."""
+    return numbered(df.withColumn("rank", rank.cast("int")), [F.col(key)], "arrival_idx", ("rank",), per_range)
 
 
 def samples(df: DataFrame, sample_id: str, length: Column, world: int, patches: Column | None = None) -> DataFrame:

@@ -400,3 +400,20 @@ def test_blocks_do_not_change_running_sums_or_arrivals(spark):
     for per in (7, 50, 10_000):
         got = S.arrivals(spark.range(300), F.col("id") % 2, "id", per)
         assert {(r.id, r.rank, r.arrival_idx) for r in got.collect()} == {(i, i % 2, i // 2) for i in range(300)}
+
+
+def test_numbers_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from paceline.operators.order import numbered
+
+    rows = [(i % 3 if i % 5 else None, i * 7 % 40) for i in range(300)] + [(1, 5)] * 100
+    df = spark.createDataFrame(rows, "g int, k int").repartition(5)
+    for per_range in (7, 1000):
+        one = sorted((r.k, r.n) for r in numbered(df, [F.desc("k")], "n", per_range=per_range).collect())
+        assert sorted(n for _, n in one) == list(range(400)) and [k for k, n in sorted(one, key=lambda x: x[1])] == sorted((k for _, k in rows), reverse=True)
+        got = numbered(df, [F.col("k")], "n", ("g",), per_range)
+        assert got.columns == ["g", "k", "n"]
+        for g in (0, 1, 2, None):
+            mine = sorted((r.n, r.k) for r in got.collect() if r.g == g)
+            assert [n for n, _ in mine] == list(range(sum(x == g for x, _ in rows))) and [k for _, k in mine] == sorted(k for x, k in rows if x == g)
