@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import docprint, langid, leakage, linedup, mixture, secretscan, shards, simhash, suffixmerge, wordrepeat
+from paceline.llm import docprint, langid, leakage, linedup, mixture, resample, secretscan, shards, simhash, suffixmerge, wordrepeat
 from paceline.llm.common import documents
 
 QUERIES = {
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_document_fingerprints": lambda spark, d: docprint.compare_edits(documents(spark, d)),
     "op9_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
     "op10_benchmark_leakage": lambda spark, d: leakage.leakage_report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op11_importance_resampling": lambda spark, d: resample.resample_report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
 }
 
 ORACLE_SQL = {
     "op2_source_mixture": mixture.MIXTURE_SQL.format(docs="documents"),
     "op3_line_dedup": linedup.LINES_SQL,
     "op10_benchmark_leakage": leakage.LEAKAGE_SQL,
+    "op11_importance_resampling": resample.RESAMPLE_SQL,
 }
