@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paceline.llm import docprint, langid, leakage, linedup, mixture, resample, secretscan, shards, simhash, suffixmerge, wordrepeat
+from paceline.llm import docprint, langid, leakage, linedup, mixture, resample, secretscan, shards, simhash, suffixmerge, tokenalign, toxicity, wordrepeat
 from paceline.llm.common import documents
 
 QUERIES = {
@@ -17,6 +17,8 @@ QUERIES = {
     "op9_language_id": lambda spark, d: langid.language_report(documents(spark, d)),
     "op10_benchmark_leakage": lambda spark, d: leakage.leakage_report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
     "op11_importance_resampling": lambda spark, d: resample.resample_report(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op12_toxicity": lambda spark, d: toxicity.toxicity_report(documents(spark, d), spark.read.parquet(f"{d}/labels.parquet")),
+    "op13_tokenizer_alignment": lambda spark, d: tokenalign.align(documents(spark, d)),
 }
 
 ORACLE_SQL = {

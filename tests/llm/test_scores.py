@@ -74,3 +74,131 @@ def test_resampling_matches_plain_python(spark):
     assert resample.resample_report(docs(spark, []), bench).count() == 0
     empty = resample.resample_report(docs(spark, rows[:30]), bench.limit(0)).collect()
     assert len(empty) == 30 and sum(r["rank"] is not None for r in empty) == sum(features(r[1])[0] >= 20 for r in rows[:30]) * 25 // 100
+
+
+class Tokenizers:
+    """Both tokenizers by other libraries than the operator's, over whole texts."""
+
+    def __init__(self):
+        import sentencepiece
+        from tokenizers import Tokenizer
+
+        from paceline.llm import tokenalign
+
+        self.a = Tokenizer.from_file(f"{tokenalign.VOCABULARIES}/{tokenalign.A_FILE}")
+        self.a.encode_special_tokens = True
+        self.b = sentencepiece.SentencePieceProcessor(model_file=f"{tokenalign.VOCABULARIES}/{tokenalign.B_FILE}")
+        self.letters = tokenalign.byte_of_letter()
+
+    def of(self, text):
+        a, b = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text)
+        spell = lambda p: bytes.fromhex(p[3:5]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
+        return [(i, bytes(self.letters[c] for c in self.a.id_to_token(i))) for i in a], [(i, spell(self.b.id_to_piece(i))) for i in b]
+
+
+def ranges(tokens):
+    at, out = 0, []
+    for i, piece in tokens:
+        out.append((i, at, at + len(piece)))
+        at += len(piece)
+    return out
+
+
+def aligned(rows):
+    from collections import Counter
+
+    tokenizers, parts = Tokenizers(), []
+    for i, text, *_ in rows:
+        a, b = tokenizers.of(text) if text else ([], [])
+        whole = text and b"".join(x for _, x in a) == b"".join(x for _, x in b) == b" " + text.encode()
+        parts.append((i, ranges(a) if whole else [], ranges(b) if whole else []))
+    linked = [[(x, y) for x, p, q in a for y, r, s in b if p < s and r < q] for _, a, b in parts]
+    count = Counter(pair for links in linked for pair in set(links))
+    best = {}
+    for (x, _), n in count.items():
+        best[x] = max(best.get(x, 0), n)
+    out = []
+    for (i, a, b), links in zip(parts, linked, strict=True):
+        ends, groups, begin = sorted({q for *_, q in a} & {q for *_, q in b}), [], 0
+        for end in ends:
+            groups.append("|".join(",".join(str(x) for x, _, q in side if begin < q <= end) for side in (a, b)))
+            begin = end
+        sha = hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else ""
+        out.append((i, len(a), len(b), len(groups), len(links), sum(count[x] == best[x[0]] for x in links), sum(count[x] for x in links), sha))
+    return out
+
+
+def test_alignment_matches_plain_python(spark):
+    from paceline.llm import tokenalign
+
+    odd = ["  two  spaces   ", " ", "a ", "tab\t and\n\nlines \n x", "▁ mark", "it's 1234 <|endoftext|> <s>", "ﬁ ½ é  nbsp", "日本語 \U0001f600\U0001f468‍\U0001f469 x", "x" * 300, "Der eingeä erer. " * 40]
+    rows = [*ODD, *((1000 + k, t, None, None, 0) for k, t in enumerate(odd)), *prose(5, 60)]
+    d = docs(spark, rows).selectExpr("*", "1 AS a", "2 AS b", "3 AS common", "4 AS lone", "5 AS row")
+    key = lambda x: tuple((v is None, v or 0) for v in x[:1]) + tuple(map(str, x[1:]))
+    want = sorted(aligned(rows), key=key)
+    for often in (100_000, 50, 1):
+        assert sorted(map(tuple, tokenalign.align(d.repartition(3), often=often).collect()), key=key) == want
+    assert tokenalign.align(docs(spark, [])).count() == 0
+
+
+def test_alignment_of_a_long_text(spark):
+    from paceline.llm import tokenalign
+
+    text = " ".join(r[1] for r in prose(6, 2_000))
+    got = tokenalign.align(docs(spark, [(1, text, None, None, 0)])).first()
+    a, b = Tokenizers().of(text)
+    assert (got.n_a, got.n_b, got.n_links) == (len(a), len(b), len(a) + len(b) - got.n_groups)
+
+
+def test_steps_follow_the_non_negative_risk():
+    """The slope of a step is that of the risk, by differences, where the clean part is positive."""
+    import numpy as np
+
+    from paceline.llm import toxicity as X
+
+    vocabulary = {w: i for i, w in enumerate("abcdef")}
+    pos, unl, prior = X.Bags(["a b b", "a c", None], vocabulary), X.Bags(["d e", "a f f", "c", "b d zz"], vocabulary), 0.3
+    w = np.array([0.5, -0.2, 0.1, 0.4, -0.6, 0.3, -1.0])
+
+    def parts(w):
+        g, u = pos.margins(w[:-1], w[-1]), unl.margins(w[:-1], w[-1])
+        return prior * X.softplus(-g).mean(), X.softplus(u).mean() - prior * X.softplus(g).mean(), g, u
+
+    _, clean, g, u = parts(w)
+    assert clean > 0
+    slope = pos.gradient(-prior * X.sigmoid(-g) / pos.n, 6) + unl.gradient(X.sigmoid(u) / unl.n, 6) - pos.gradient(prior * X.sigmoid(g) / pos.n, 6)
+    for k in range(7):
+        d = np.eye(7)[k] * 1e-6
+        assert abs((sum(parts(w + d)[:2]) - sum(parts(w - d)[:2])) / 2e-6 - slope[k]) < 1e-6
+
+
+def test_toxicity_finds_what_it_never_saw(spark):
+    import random
+
+    from paceline.llm import toxicity as X
+
+    rng, rows, labels = random.Random(4), [], []
+    insults = ["vilest", "rotten", "dimwit", "filthy"]
+    for i, text, *rest in prose(8, 1_500, words=50):
+        toxic = i % 6 == 0
+        words = text.split() or ["x"]
+        for _ in range(max(2, len(words) // 20) if toxic else 0):
+            words.insert(rng.randrange(len(words) + 1), rng.choice(insults).upper() if rng.random() < 0.2 else rng.choice(insults))
+        rows.append((i, " ".join(words), *rest))
+        if rng.random() < 0.5:
+            labels.append((i, rng.choice([0, 1]), int(toxic)))
+    labels += [(None, 1, 1), (3, None, None), (99_999, 1, 1)]
+    odd = [(i if i is None else i + 50_000, *more) for i, *more in ODD]
+    d = docs(spark, rows + odd).selectExpr("*", "1 AS toxic", "2 AS score", "3 AS h", "'x' AS model").repartition(5)
+    held = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = X.toxicity_report(d, held).collect()
+    assert len(got) == len(rows) + len(odd) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
+    assert all(r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    tested = [r for r in got if r.held_out and r.doc_id < 50_000]
+    caught = [r.predicted for r in tested if r.doc_id % 6 == 0]
+    wrong = [r.predicted for r in tested if r.doc_id % 6]
+    assert sum(caught) >= 0.9 * len(caught) > 30 and sum(wrong) <= 0.01 * len(wrong)
+    again = {(r.doc_id, r.score) for r in X.toxicity_report(d.repartition(2), held.repartition(3)).collect()}
+    assert again == {(r.doc_id, r.score) for r in got}
+    assert {r.score for r in X.toxicity_report(d, held.filter("toxic = 0")).collect()} == {0.0}
+    assert X.toxicity_report(docs(spark, []), held).count() == 0
