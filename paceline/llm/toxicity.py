@@ -110,12 +110,12 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _sample(docs: DataFrame, most: int, models: int) -> DataFrame:
-    """(model, text) of at most `most` doc_ids, those with the least hashes; the hash deals them to models."""
-    d = docs.withColumn("h", F.xxhash64(F.lit(12), "doc_id"))
-    limit = d.select("h").distinct().orderBy("h").limit(most).agg(F.max("h").alias("top"))
-    d = d.join(F.broadcast(limit), F.col("h") <= F.col("top"))
-    return d.groupBy("h").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.pmod("h", F.lit(models)).cast("int").alias("model"), "text")
+def _sample(docs: DataFrame, ids: DataFrame, most: int, models: int) -> DataFrame:
+    """(model, text) of at most `most` of the ids, those with the least hashes; the hash deals them to models."""
+    h = F.xxhash64(F.lit(12), "doc_id")
+    chosen = ids.select("doc_id").distinct().orderBy(h).limit(most)
+    d = docs.join(F.broadcast(chosen), "doc_id")  # as many ids as `most`, whatever the table
+    return d.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")).select(F.pmod(h, F.lit(models)).cast("int").alias("model"), "text")
 
 
 def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> list[tuple[dict[str, float], float]]:
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return []
     prior = min(max(toxic / n, 0.001), 0.999)
     models = max(1, min(MODELS, toxic // EACH))
-    yes = _sample(learn.join(known.filter("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives, models)
-    both = yes.withColumn("positive", F.lit(True)).unionByName(_sample(learn, unlabelled, models).withColumn("positive", F.lit(False)))
+    yes = _sample(learn, learn.select("doc_id").join(known.filter("toxic = 1"), "doc_id", "left_semi"), positives, models)
+    both = yes.withColumn("positive", F.lit(True)).unionByName(_sample(learn, learn, unlabelled, models).withColumn("positive", F.lit(False)))
 
     def of(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("text")
