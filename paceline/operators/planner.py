@@ -1,8 +1,12 @@
-"""The multi-round planner: what recycling makes sequential, run for each job over its rounds in order.
+"""The multi-round planner: recycling links a job's rounds, but only where something is recycled.
 
-Window boundaries don't depend on content, so every row knows its round beforehand. A job's narrow rows go to one task,
-sorted by round, and are planned as they stream by: what is held is one round of all ranks and what it recycles, never
-the job. Jobs run in parallel. Payload is joined to the plan afterwards, by sample_id.
+Window boundaries don't depend on content, so every row knows its round beforehand. A round that nothing was recycled into
+can be planned alone. Rounds that would recycle something by themselves are found by counts and, where counts can't tell,
+by segmentation in the JVM; from each of them rounds are followed until nothing is carried any more. Those stretches, and
+blocks of all other rounds, are pieces that tasks plan at once, each streaming its rows by round: what is held is one
+round of all ranks and what it recycles, never the job. Numbers of steps and the seeded order of groups need the sizes of
+the rounds before alone, and come from a pass over one row a round. Small jobs are planned in one piece. Payload is joined
+to the plan afterwards, by sample_id.
 
 arrival_idx counts each rank's rows of a job from 0 without gaps (sources.samples.arrivals); a rank that comes back after
 a short round fails the plan.
@@ -11,39 +15,49 @@ a short round fails the plan.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from dataclasses import replace
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paceline.config import PlanConfig
 from paceline.functions.flips import flips
+from paceline.operators import segment
 from paceline.operators.windows import ramp, round_of
+from paceline.sources.workdir import stored
 
 SCHEMA = "job long, sample_id long, rank int, round long, pos long, slot long, step long, status string, group_size long, group_tokens long, total_size long, total_tokens long"
 
+#: Samples up to which a job isn't cut, rounds of a piece, rounds that what is recycled is followed at first, and windows
+#: up to which a round is segmented to see whether it recycles anything.
+ALONE, BLOCK_ROUNDS, REACH, SEGMENTED = 100_000, 64, 8, 4_096
+#: Samples that a task plans, on average.
+TASK = 100_000
+
 Sample = tuple[int, int, int]  #: (length, sample_id, patches)
 
 
 def cut_groups(window: list[Sample], budget: int, max_patches: int = 0) -> list[list[Sample]]:
-    """Groups of a window sorted by length, the shortest first."""
-    ends, size, begin, patches = [], 0, len(window), 0
-    for i in range(len(window) - 1, -1, -1):
-        length, _, p = window[i]
-        if max_patches > 0 and begin > i + 1 and patches + p > max_patches:
-            ends.append((i + 1, begin))
-            begin, patches = i + 1, 0
-        patches += p
-        if begin - i >= size:
-            size = max(budget // length, 1)
-            if p > 0 and max_patches > 0:
-                size = min(size, max(max_patches // p, 1))
-            ends.append((i, begin))
-            begin, patches = i, 0
-    if begin:
-        ends.append((0, begin))
-    return [window[a:b] for a, b in reversed(ends)]
+    """Groups of a window sorted by length, the shortest first: each group ends where the one above it begins, and begins
+    `room` samples below, or above the first sample with which its patches would be too many. A group that fills its room
+    sets that of the next one, by its shortest sample."""
+    upto = list(accumulate((s[2] for s in window), initial=0)) if max_patches > 0 else None
+    cuts, room = [len(window)], 1
+    while end := cuts[-1]:
+        begin = max(end - room, 0)
+        fits = min(bisect_left(upto, upto[end] - max_patches), end - 1) if upto else 0
+        cuts.append(max(begin, fits))
+        if fits <= begin:
+            length, _, patches = window[begin]
+            room = max(budget // length, 1)
+            if upto and patches > 0:
+                room = max(min(room, max_patches // patches), 1)
+    return [window[a:b] for b, a in zip(cuts, cuts[1:], strict=False)][::-1]
 
 
 def fit_groups(groups: list[list[Sample]], target: int) -> tuple[list[list[Sample]], list[Sample]]:
@@ -166,28 +180,178 @@ class _Job:
         return out + [_unplaced(self.job, r, s) for r, s in rest]
 
 
-def plan(samples: DataFrame, config: PlanConfig, job: str | None = None) -> DataFrame:
-    """The plan of canonical samples, one row for each: where it is emitted, or filtered (no length), or dropped (left
-    over at the end; tail="flush" emits those one by one). step identifies a training step over ranks."""
+class _Piece:
+    """Plans the rounds of one piece, which starts with nothing recycled; rows come sorted as those of a job, with the last
+    round of their rank. Groups keep their index, as their places need the rounds before."""
+
+    def __init__(self, job: int, config: PlanConfig):
+        self.job, self.round, self.state = job, None, Rounds(replace(config, order="index"))
+        self.arrivals: list[list[Sample]] = [[] for _ in range(config.world_size)]
+        self.last: list[int] = [-1] * config.world_size
+
+    def add(self, round_: int, rank: int, sample: Sample, last: int) -> list[tuple]:
+        out = self.settle() if self.round not in (None, round_) else []
+        self.round, self.last[rank] = round_, last
+        self.arrivals[rank].append(sample)
+        return out
+
+    def left(self, ranks: list[int]) -> list[tuple]:
+        out = [(self.job, s[1], r, None, i, None, None, "left", 1, s[0], 1, s[0]) for r in ranks for i, s in enumerate(self.state.left[r])]
+        for r in ranks:
+            self.state.left[r] = []
+        return out
+
+    def settle(self) -> list[tuple]:
+        came, self.arrivals = self.arrivals, [[] for _ in self.arrivals]
+        out = [_unplaced(self.job, r, s) for r, a in enumerate(came) for s in a if s[0] <= 0]
+        self.state.k = self.round
+        for r, _, groups, totals in self.state.advance(came):
+            for i, group in groups:
+                tokens = sum(s[0] for s in group)
+                out += [(self.job, sid, r, self.round, i, None, len(totals), "emitted", len(group), tokens, *totals[i]) for _, sid, _ in group]
+        # what a rank has left over after its last round is never planned
+        return out + self.left([r for r, a in enumerate(came) if a and self.last[r] == self.round])
+
+    def finish(self) -> list[tuple]:
+        out = self.settle() if self.round is not None else []
+        return out + [(*x[:7], "open", *x[8:]) for x in self.left(list(range(len(self.arrivals))))]
+
+
+def _streamed(start: Callable, columns: int) -> Callable:
+    """A function for mapInArrow over rows (job, *more, round, rank, length, sample_id, n_patches, ...) in order: one
+    planner for each run of rows that agree in the first `columns`."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        now, key, out = None, None, []
         for batch in batches:
-            for key, round_, rank, length, sid, patches in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now is None or now.job != key:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:columns] != key:
                     if now:
                         out += now.finish()
-                    now = _Job(key, config)
-                out += now.add(round_, rank, (length, sid, patches))
+                    key, now = row[:columns], start(row[0])
+                round_, rank, length, sid, patches, *more = row[columns:]
+                out += now.add(round_, rank, (length, sid, patches), *more)
                 if len(out) > 10_000:
                     yield _batch(out)
                     out = []
         if now:
             yield _batch(out + now.finish())
 
+    return apply
+
+
+def _in_pieces(rows: DataFrame, pieces: DataFrame, config: PlanConfig) -> DataFrame:
+    """SCHEMA rows of the rounds in pieces (job, round, piece): pos is the index of a group and step the number of groups
+    of the round. Status "left" is what a rank has left over after its last round, "open" what a piece would carry on."""
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK))
+    # a fixed number of tasks, as planning costs more than its rows weigh
+    d = rows.join(pieces, ["job", "round"]).repartition(tasks, "job", "piece").sortWithinPartitions("job", "piece", "round", "rank", "arrival_idx")
+    return d.select("job", "piece", "round", "rank", "length", "sample_id", "n_patches", "last").mapInArrow(_streamed(lambda job: _Piece(job, config), 2), SCHEMA)
+
+
+def restart_pieces(rows: DataFrame, config: PlanConfig, block: int = BLOCK_ROUNDS, reach: int = REACH) -> DataFrame:
+    """(job, round, piece): stretches of rounds that can be planned apart, as nothing is recycled into them.
+
+    rows: (job, round, rank, length, sample_id, n_patches, arrival_idx, last). With nothing recycled into it a round
+    recycles something only if a rank has more groups than another one has slots or samples.
+    """
+    per = rows.groupBy("job", "round", "rank").agg(F.count(F.lit(1)).alias("slots"), F.sum(F.when(F.col("length") > 0, 1).otherwise(0)).alias("n"))
+    per = stored(per)
+    tight = per.filter("n > 0").groupBy("job", "round").agg(F.max("n").alias("most"), F.min(F.least("slots", "n")).alias("room")).filter("most > room")
+    if config.window <= SEGMENTED:
+        d = rows.join(tight, ["job", "round"])
+        groups = segment.greedy_groups(d, config.token_budget, config.max_patches, ("job", "rank", "round", "room"))
+        tight = groups.groupBy("job", "round").agg(F.max("n_groups").alias("groups"), F.first("room").alias("room")).filter("groups > room")
+    starts = stored(tight.select("job", "round"))
+    ends = per.groupBy("job").agg(F.max("round").alias("end"))
+    if starts.isEmpty():
+        return per.select("job", "round").distinct().withColumn("piece", _block(block))
+    by = Window.partitionBy("job").orderBy("round")
+    while True:
+        # stretches up to `reach` rounds after a start, as one where they meet
+        new = F.coalesce(F.col("round") > F.lag("round").over(by) + reach, F.lit(True)).cast("int")
+        runs = starts.withColumn("new", new).withColumn("run", F.sum("new").over(by))
+        runs = runs.groupBy("job", "run").agg(F.min("round").alias("begin"), (F.max("round") + reach).alias("until")).join(ends, "job")
+        followed = stored(runs.select("job", F.explode(F.sequence("begin", F.least("until", "end"))).alias("round"), (2 * F.col("begin") + 1).alias("piece")))
+        if _in_pieces(rows, followed, config).filter("status = 'open'").isEmpty():
+            break
+        reach *= 4
+    every = per.select("job", "round").distinct().join(followed, ["job", "round"], "left")
+    return every.withColumn("piece", F.coalesce("piece", _block(block)))
+
+
+def _block(block: int) -> Column:
+    """Even numbers for blocks of rounds; stretches that are followed have odd ones."""
+    return (2 * F.floor(F.col("round") / block)).cast("long")
+
+
+def _orders(rounds: DataFrame, config: PlanConfig) -> DataFrame:
+    """(job, round, first, place): the number of a round's first step, and the place of each group. rounds: (job, round,
+    step), one row for each round that has `step` groups."""
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        job, first, rng = None, 0, random.Random()
+        for batch in batches:
+            begins, places = [], []
+            for key, n in zip(batch.column("job").to_pylist(), batch.column("step").to_pylist(), strict=True):
+                if key != job:
+                    job, first = key, 0
+                    rng.seed(config.seed + config.epoch)
+                order = list(range(n))
+                if config.order == "seeded":
+                    rng.shuffle(order)
+                begins.append(first)
+                places.append(sorted(range(n), key=order.__getitem__))
+                first += n
+            yield pa.RecordBatch.from_arrays([batch.column("job"), batch.column("round"), pa.array(begins, pa.int64()), pa.array(places, pa.list_(pa.int64()))], names=["job", "round", "first", "place"])
+
+    return rounds.repartition("job").sortWithinPartitions("job", "round").mapInArrow(apply, "job long, round long, first long, place array<long>")
+
+
+def _planned_apart(d: DataFrame, config: PlanConfig, block: int, reach: int) -> DataFrame:
+    """The plan of rows (job, round, rank, arrival_idx, length, sample_id, n_patches), in pieces."""
+    d = stored(d)
+    ranks = d.groupBy("job", "rank").agg(F.max("round").alias("last"), F.count(F.lit(1)).alias("n"), F.max("arrival_idx").alias("top"))
+    if not ranks.filter("n != top + 1").isEmpty():
+        raise ValueError("a rank has a gap in arrival_idx")
+    closed = F.when(F.count(F.lit(1)) < config.world_size, 0).otherwise(F.min("last") + 1)
+    close = ranks.groupBy("job").agg((F.lit(1 << 62) if config.effective_join else closed).cast("long").alias("close"))
+    d = d.join(ranks.join(close, "job").select("job", "rank", F.least("last", "close").alias("last"), "close"), ["job", "rank"])
+    rows = stored(d.filter("round <= close").drop("close"))
+    planned = stored(_in_pieces(rows, restart_pieces(rows, config, block, reach), config))
+    if not planned.filter("status = 'open'").isEmpty():
+        raise RuntimeError("a piece would have carried samples on")
+    rounds = planned.filter("status = 'emitted'").groupBy("job", "round").agg(F.max("step").alias("step"))
+    orders = stored(_orders(rounds, config))
+    place = F.get("place", F.col("pos").cast("int"))
+    emitted = planned.filter("status = 'emitted'").join(orders, ["job", "round"]).withColumns({"pos": place, "slot": place, "step": F.col("first") + place}).select(*_NAMES)
+    none = lambda c: F.lit(None).cast("long").alias(c)
+    over = d.filter("round > close").select("job", "sample_id", "rank", F.when(F.col("length") <= 0, "filtered").otherwise("dropped").alias("status"))
+    over = over.unionByName(planned.filter("status = 'filtered'").select("job", "sample_id", "rank", "status"))
+    left = planned.filter("status = 'left'")
+    if config.tail == "flush":
+        total = rows.groupBy("job").agg((F.max("round") + 1).alias("round"))
+        steps = orders.groupBy("job").agg(F.max(F.col("first") + F.size("place")).alias("steps"))
+        left = left.withColumn("pos", (F.row_number().over(Window.partitionBy("job").orderBy("rank", "pos")) - 1).cast("long"))
+        left = left.drop("round").join(total, "job").join(steps, "job", "left")
+        left = left.withColumns({"step": F.coalesce("steps", F.lit(0)) + F.col("pos"), "status": F.lit("flushed")}).select(*_NAMES)
+    else:
+        over = over.unionByName(left.select("job", "sample_id", "rank", F.lit("dropped").alias("status")))
+        left = None
+    unplaced = over.select(*(c if c in ("job", "sample_id", "rank", "status") else none(c) for c in _NAMES))
+    out = emitted.unionByName(unplaced)
+    return out.unionByName(left) if left is not None else out
+
+
+def plan(samples: DataFrame, config: PlanConfig, job: str | None = None, alone: int = ALONE, block: int = BLOCK_ROUNDS, reach: int = REACH) -> DataFrame:
+    """The plan of canonical samples, one row for each: where it is emitted, or filtered (no length), or dropped (left
+    over at the end; tail="flush" emits those one by one). step identifies a training step over ranks. Up to `alone`
+    samples are planned job by job; beyond, jobs are cut into pieces of `block` rounds, and what is recycled is followed
+    for `reach` rounds at first."""
     key = F.col(job).cast("long") if job else F.lit(0).cast("long")
-    d = samples.select(key.alias("job"), round_of(F.col("arrival_idx"), config.window, config.warmup).alias("round"), F.col("rank").cast("int").alias("rank"), "arrival_idx", F.col("length").cast("long").alias("length"), "sample_id", F.col("n_patches").cast("long").alias("n_patches"))
+    d = samples.select(key.alias("job"), round_of(F.col("arrival_idx"), config.window, config.warmup).alias("round"), F.col("rank").cast("int").alias("rank"), F.col("arrival_idx").cast("long").alias("arrival_idx"), F.col("length").cast("long").alias("length"), "sample_id", F.col("n_patches").cast("long").alias("n_patches"))
+    if samples.count() > alone:
+        return _planned_apart(d, config, block, reach)
     d = d.repartition("job").sortWithinPartitions("job", "round", "rank", "arrival_idx").drop("arrival_idx")
-    return d.mapInArrow(apply, SCHEMA)
+    return d.select("job", "round", "rank", "length", "sample_id", "n_patches").mapInArrow(_streamed(lambda key: _Job(key, config), 1), SCHEMA)
 
 
 def attach(plan: DataFrame, payload: DataFrame, key: str) -> DataFrame:

@@ -417,3 +417,35 @@ def test_numbers_in_order(spark):
         for g in (0, 1, 2, None):
             mine = sorted((r.n, r.k) for r in got.collect() if r.g == g)
             assert [n for n, _ in mine] == list(range(sum(x == g for x, _ in rows))) and [k for _, k in mine] == sorted(k for x, k in rows if x == g)
+
+
+@pytest.mark.parametrize("join, tail, order, zero", [(True, "drop", "seeded", 0), (True, "flush", "seeded", 9), (False, "drop", "seeded", 3), (True, "drop", "index", 40)])
+def test_plans_in_pieces_are_plans_in_one(spark, join, tail, order, zero):
+    from pyspark.sql import functions as F
+
+    rng, rows = random.Random(17), []
+    for job, shares in enumerate([(400, 380, 90), (150, 149, 151), (33, 0, 70), (64, 64, 64)]):
+        for r, n in enumerate(shares):
+            rows += [(job, job * 10_000 + r * 1000 + i, r, i, 0 if rng.random() * 100 < zero else int(rng.paretovariate(1.1) * 40) % 3000 + 1, rng.randint(0, 3)) for i in range(n)]
+    df = spark.createDataFrame(rows, "j long, sample_id long, rank int, arrival_idx long, length long, n_patches long").repartition(4)
+    c = PlanConfig(2048, 8, 3, join=join, tail=tail, order=order, group_order_flip="balanced", max_patches=5)
+    want = sorted(map(str, planner.plan(df, c, "j").collect()))
+    for block, reach in ((3, 1), (64, 8)):
+        got = planner.plan(df, c, "j", alone=0, block=block, reach=reach)
+        assert got.columns == [x.split()[0] for x in planner.SCHEMA.split(", ")]
+        assert sorted(map(str, got.collect())) == want
+    assert len(want) == len(rows)
+
+
+def test_one_job_is_planned_by_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    df, _ = _samples(spark, (300, 200), seed=12)
+    d = df.select(F.lit(0).cast("long").alias("job"), windows.round_of(F.col("arrival_idx"), 8).alias("round"), "*", F.when(F.col("rank") == 0, 37).otherwise(24).cast("long").alias("last"))
+    c = PlanConfig(2048, 8, 2, warmup=False)
+    pieces = planner.restart_pieces(d, c, 4, 2)
+    assert pieces.select("piece").distinct().count() > 4 and pieces.count() == 38
+    done = planner._in_pieces(d, pieces, c).withColumn("part", F.spark_partition_id()).filter("status = 'emitted'")
+    assert done.select("part").distinct().count() > 1
+    with pytest.raises(ValueError, match="gap"):
+        planner.plan(df.filter("arrival_idx != 20"), c, alone=0)
