@@ -35,7 +35,7 @@ SCHEMA = "job long, sample_id long, rank int, round long, pos long, slot long, s
 
 #: Samples up to which a job isn't cut, rounds of a piece, rounds that what is recycled is followed at first, and windows
 #: up to which a round is segmented to see whether it recycles anything.
-ALONE, BLOCK_ROUNDS, REACH, SEGMENTED = 100_000, 64, 8, 4_096
+ALONE, BLOCK_ROUNDS, REACH, SEGMENTED = 1_000_000, 8, 8, 4_096
 #: Samples that a task plans, on average.
 TASK = 100_000
 
@@ -133,7 +133,8 @@ _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = [_TYPES[x.split()[1]] for x in SCHEMA.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=_NAMES)
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=_NAMES)
 
 
 def _unplaced(job: int, rank: int, sample: Sample) -> tuple:
@@ -148,12 +149,12 @@ class _Job:
         self.arrivals: list[list[Sample]] = [[] for _ in range(config.world_size)]
         self.ended = [False] * config.world_size
 
-    def add(self, round_: int, rank: int, sample: Sample) -> list[tuple]:
+    def add(self, round_: int, rank: int, *samples: Sample) -> list[tuple]:
         out = self.settle() if self.round not in (None, round_) else []
         self.round = round_
         if self.ended[rank]:
             raise ValueError(f"job {self.job}: rank {rank} has a gap in arrival_idx before round {round_}")
-        self.arrivals[rank].append(sample)
+        self.arrivals[rank] += samples
         return out
 
     def settle(self) -> list[tuple]:
@@ -189,10 +190,10 @@ class _Piece:
         self.arrivals: list[list[Sample]] = [[] for _ in range(config.world_size)]
         self.last: list[int] = [-1] * config.world_size
 
-    def add(self, round_: int, rank: int, sample: Sample, last: int) -> list[tuple]:
+    def add(self, round_: int, rank: int, *samples: Sample, last: int) -> list[tuple]:
         out = self.settle() if self.round not in (None, round_) else []
         self.round, self.last[rank] = round_, last
-        self.arrivals[rank].append(sample)
+        self.arrivals[rank] += samples
         return out
 
     def left(self, ranks: list[int]) -> list[tuple]:
@@ -217,19 +218,23 @@ class _Piece:
         return out + [(*x[:7], "open", *x[8:]) for x in self.left(list(range(len(self.arrivals))))]
 
 
-def _streamed(start: Callable, columns: int) -> Callable:
-    """A function for mapInArrow over rows (job, *more, round, rank, length, sample_id, n_patches, ...) in order: one
-    planner for each run of rows that agree in the first `columns`."""
+def _streamed(start: Callable, *keys: str) -> Callable:
+    """A function for mapInArrow over rows sorted by the keys, of which the first is the job, and by round, rank and
+    arrival: one planner for each run of rows that agree in the keys."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, key, out = None, None, []
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[:columns] != key:
+            data = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+            places = list(zip(*(data[name] for name in (*keys, "round", "rank")), strict=True))
+            samples = list(zip(data["length"], data["sample_id"], data["n_patches"], strict=True))
+            begins = [i for i in range(len(places)) if not i or places[i] != places[i - 1]]
+            for a, b in zip(begins, [*begins[1:], len(places)], strict=True):
+                if places[a][: len(keys)] != key:
                     if now:
                         out += now.finish()
-                    key, now = row[:columns], start(row[0])
-                round_, rank, length, sid, patches, *more = row[columns:]
-                out += now.add(round_, rank, (length, sid, patches), *more)
+                    key, now = places[a][: len(keys)], start(places[a][0])
+                more = {"last": data["last"][a]} if "last" in data else {}
+                out += now.add(*places[a][len(keys) :], *samples[a:b], **more)
                 if len(out) > 10_000:
                     yield _batch(out)
                     out = []
@@ -245,7 +250,7 @@ def _in_pieces(rows: DataFrame, pieces: DataFrame, config: PlanConfig) -> DataFr
     tasks = max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK))
     # a fixed number of tasks, as planning costs more than its rows weigh
     d = rows.join(pieces, ["job", "round"]).repartition(tasks, "job", "piece").sortWithinPartitions("job", "piece", "round", "rank", "arrival_idx")
-    return d.select("job", "piece", "round", "rank", "length", "sample_id", "n_patches", "last").mapInArrow(_streamed(lambda job: _Piece(job, config), 2), SCHEMA)
+    return d.select("job", "piece", "round", "rank", "length", "sample_id", "n_patches", "last").mapInArrow(_streamed(lambda job: _Piece(job, config), "job", "piece"), SCHEMA)
 
 
 def restart_pieces(rows: DataFrame, config: PlanConfig, block: int = BLOCK_ROUNDS, reach: int = REACH) -> DataFrame:
@@ -307,15 +312,14 @@ def _orders(rounds: DataFrame, config: PlanConfig) -> DataFrame:
 
 
 def _planned_apart(d: DataFrame, config: PlanConfig, block: int, reach: int) -> DataFrame:
-    """The plan of rows (job, round, rank, arrival_idx, length, sample_id, n_patches), in pieces."""
-    d = stored(d)
+    """The plan of stored rows (job, round, rank, arrival_idx, length, sample_id, n_patches), in pieces."""
     ranks = d.groupBy("job", "rank").agg(F.max("round").alias("last"), F.count(F.lit(1)).alias("n"), F.max("arrival_idx").alias("top"))
     if not ranks.filter("n != top + 1").isEmpty():
         raise ValueError("a rank has a gap in arrival_idx")
     closed = F.when(F.count(F.lit(1)) < config.world_size, 0).otherwise(F.min("last") + 1)
     close = ranks.groupBy("job").agg((F.lit(1 << 62) if config.effective_join else closed).cast("long").alias("close"))
     d = d.join(ranks.join(close, "job").select("job", "rank", F.least("last", "close").alias("last"), "close"), ["job", "rank"])
-    rows = stored(d.filter("round <= close").drop("close"))
+    rows = d.filter("round <= close").drop("close")
     planned = stored(_in_pieces(rows, restart_pieces(rows, config, block, reach), config))
     if not planned.filter("status = 'open'").isEmpty():
         raise RuntimeError("a piece would have carried samples on")
@@ -348,10 +352,11 @@ def plan(samples: DataFrame, config: PlanConfig, job: str | None = None, alone:
     for `reach` rounds at first."""
     key = F.col(job).cast("long") if job else F.lit(0).cast("long")
     d = samples.select(key.alias("job"), round_of(F.col("arrival_idx"), config.window, config.warmup).alias("round"), F.col("rank").cast("int").alias("rank"), F.col("arrival_idx").cast("long").alias("arrival_idx"), F.col("length").cast("long").alias("length"), "sample_id", F.col("n_patches").cast("long").alias("n_patches"))
-    if samples.count() > alone:
+    d = stored(d)
+    if d.count() > alone:
         return _planned_apart(d, config, block, reach)
     d = d.repartition("job").sortWithinPartitions("job", "round", "rank", "arrival_idx").drop("arrival_idx")
-    return d.select("job", "round", "rank", "length", "sample_id", "n_patches").mapInArrow(_streamed(lambda key: _Job(key, config), 1), SCHEMA)
+    return d.select("job", "round", "rank", "length", "sample_id", "n_patches").mapInArrow(_streamed(lambda key: _Job(key, config), "job"), SCHEMA)
 
 
 def attach(plan: DataFrame, payload: DataFrame, key: str) -> DataFrame:
