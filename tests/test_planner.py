@@ -449,3 +449,49 @@ def test_one_job_is_planned_by_several_tasks(spark):
     assert done.select("part").distinct().count() > 1
     with pytest.raises(ValueError, match="gap"):
         planner.plan(df.filter("arrival_idx != 20"), c, alone=0)
+
+
+ROWS = "job long, epoch long, rank int, seq long, sample_id long, length long, n_patches long, error string"
+
+
+def _stream(spark, tmp_path, parts, config, name, **more):
+    """Rows of a stream, each part a batch, planned to the end; with the state that is left."""
+    from paceline.streaming.ranks import plan_ranks
+
+    for k, rows in enumerate(parts):
+        spark.createDataFrame(rows, ROWS).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    source = spark.readStream.schema(ROWS).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(str(tmp_path / "in" / "*"))
+    out = plan_ranks(source, config, **more).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / "log"))
+    return out
+
+
+def test_state_of_a_finished_epoch_goes(spark, tmp_path):
+    config = PlanConfig(500, 4, 2, warmup=False)
+    row = lambda e, r, q: (0, e, r, q, 1000 * e + 100 * r + q, 50 + q, 0, None)
+    end = lambda e, r, q: (0, e, r, q, None, None, None, None)
+    every = [row(e, r, q) for e in (0, 1) for r in (0, 1) for q in range(10)] + [end(0, 0, 10), end(0, 1, 10)]
+    late = [row(0, 1, 3), end(0, 0, 10)]
+    _stream(spark, tmp_path, [every, late], config, "gone", late="side").trigger(availableNow=True).start().awaitTermination()
+    found = spark.sql("select * from gone").collect()
+    first = [r for r in found if r.epoch == 0]
+    assert sorted(i for r in first if r.kind in ("group", "dropped") for i in r.sample_ids) == [100 * r + q for r in (0, 1) for q in range(10)]
+    assert sorted((r.rank, r.slot) for r in first if r.kind == "late") == [(0, 10), (1, 3)]
+    kept = lambda name: {(r.key.epoch) for r in spark.read.format("statestore").option("path", str(tmp_path / "log")).option("stateVarName", name).load().collect()}
+    assert kept("counters") == {1} and kept("order") == {1} and kept("done") == {0}
+
+
+def test_a_lost_number_is_passed_after_a_while(spark, tmp_path):
+    import time
+
+    config = PlanConfig(500, 4, 1, warmup=False, order="index")
+    every = [(0, 0, 0, q, q, 50 + q, 0, None) for q in range(10) if q not in (2, 3)] + [(0, 0, 0, 10, None, None, None, None)]
+    query = _stream(spark, tmp_path, [every], config, "lost", late="side", gap=1_000).trigger(processingTime="1 second").start()
+    try:
+        found, end = [], time.time() + 60
+        while time.time() < end and sum(len(r.sample_ids) for r in found if r.kind == "group") < 8:
+            time.sleep(1)
+            found = spark.sql("select * from lost").collect()
+    finally:
+        query.stop()
+    assert [(r.rank, r.slot, r["size"]) for r in found if r.kind == "gap"] == [(0, 2, 2)]
+    assert sorted(i for r in found if r.kind == "group" for i in r.sample_ids) == [0, 1, 4, 5, 6, 7, 8, 9]
