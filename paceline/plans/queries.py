@@ -16,6 +16,7 @@ from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig, default_w
 from paceline.functions import columns as C
 from paceline.functions.flips import flip_table, round_flips
 from paceline.operators import align, emit, planner, progress, segment, windows
+from paceline.sources import codeaudit as audit
 from paceline.sources import samples as S
 from paceline.sources.workdir import stored, work_dir
 
@@ -272,40 +273,58 @@ def text_rule_counts(spark, d):
     return t.select("rule", "hits", F.row_number().over(Window.partitionBy("all").orderBy(F.desc("hits"), "rule")).cast("long").alias("place"))
 
 
-def _hits_sql(rules: dict[str, str]) -> str:
-    # RE2 repeats up to 1,000 times
-    of = lambda rx: rx.replace("{0,1200}", "{0,600}.{0,600}").replace("'", "''")
-    return " UNION ALL ".join(f"SELECT '{n}' AS rule, COUNT(*) FILTER (regexp_matches(text, '{of(rx)}')) AS hits, COALESCE(array_to_string((list(conv_id::VARCHAR ORDER BY conv_id::VARCHAR) FILTER (regexp_matches(text, '{of(rx)}')))[:8], ','), '') AS names FROM code" for n, rx in rules.items())
-
-
-_CODE = """SELECT conv_id, string_agg(CASE turn % 4 WHEN 0 THEN 'import paceline; per_device_batch_size = 4' WHEN 1 THEN 'loss.backward()' WHEN 2 THEN 'class MyCollator: tokenizer(x)' ELSE text END, chr(10) ORDER BY turn) AS text
+_FRAMEWORK_CODE = """SELECT conv_id, string_agg(CASE turn % 4 WHEN 1 THEN 'loss.backward()' WHEN 2 THEN 'class MyCollator: Trainer(x)' ELSE text END, chr(10) ORDER BY turn) AS text
 FROM conversations GROUP BY conv_id"""
 
 
-def _code(spark, d) -> DataFrame:
-    """Conversations with lines of code put in, a text for each."""
-    line = F.expr("case turn % 4 when 0 then 'import paceline; per_device_batch_size = 4' when 1 then 'loss.backward()' when 2 then 'class MyCollator: tokenizer(x)' else text end")
-    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+def _per_conversation(spark, d, line: str) -> DataFrame:
+    """(conv_id, text) with a line for each turn."""
+    turns = S.table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.expr(line).alias("line")))).alias("t"))
     return turns.select("conv_id", F.array_join("t.line", "\n").alias("text"))
 
 
-def _audited(spark, d, rules: dict[str, str]) -> DataFrame:
-    return S.rule_audit(_code(spark, d), "text", rules, "conv_id").select("rule", "hits", F.coalesce(F.array_join("names", ","), F.lit("")).alias("names"))
+def _named(hits: DataFrame) -> DataFrame:
+    return hits.select("rule", "hits", F.coalesce(F.array_join("names", ","), F.lit("")).alias("names"))
 
 
-@query(f"WITH code AS ({_CODE}) {_hits_sql(S.AUDIT_RULES)}")
-def code_audit(spark, d):
-    return _audited(spark, d, S.AUDIT_RULES)
+def _rule_sql(rules: dict[str, str], table: str) -> str:
+    """(rule, hits, names) of conditions over a table with conv_id."""
+    return " UNION ALL ".join(f"SELECT '{n}' AS rule, COUNT(*) FILTER ({c}) AS hits, COALESCE(array_to_string((list(conv_id::VARCHAR ORDER BY conv_id::VARCHAR) FILTER ({c}))[:8], ','), '') AS names FROM {table}" for n, c in rules.items())
 
 
-@query(f"WITH code AS ({_CODE}) SELECT * FROM ({_hits_sql(S.FRAMEWORK_RULES)}) WHERE hits > 0")
+@query(f"""WITH code AS ({_FRAMEWORK_CODE}) SELECT * FROM ({_rule_sql({n: "regexp_matches(text, '" + rx.replace("'", "''") + "')" for n, rx in S.FRAMEWORK_RULES.items()}, "code")}) WHERE hits > 0""")
 def framework_counts(spark, d):
-    return _audited(spark, d, S.FRAMEWORK_RULES).filter("hits > 0")
+    code = _per_conversation(spark, d, "case turn % 4 when 1 then 'loss.backward()' when 2 then 'class MyCollator: Trainer(x)' else text end")
+    return _named(S.rule_audit(code, "text", S.FRAMEWORK_RULES, "conv_id")).filter("hits > 0")
+
+
+# Turns as lines of Python: what a conversation imports and calls follows from its turns and their lengths.
+_LINES = """case turn % 4
+when 0 then if(length(text) % 3 = 0, 'from paceline.operators import planner', 'import paceline.operators.emit as emit')
+when 1 then case length(text) % 4 when 0 then 'p = planner.plan(rows,\n  config).collect()' when 1 then 'q = emit.pad(rows, ids, by)' else '# planner.plan(rows)' end
+when 2 then case length(text) % 5 when 0 then 'planner.coverage(p)' when 1 then 'emit.padding(g)' when 2 then 'x = "planner.coverage(p)"' else 'for' end
+else 'pass' end"""
+
+_CODE_FACTS = """SELECT conv_id, bool_or(turn % 4 = 2 AND length(text) % 5 > 2) AS bad, bool_or(turn % 4 = 0) AS imports,
+bool_or(turn % 4 = 1 AND length(text) % 4 = 0) AS plans, bool_or(turn % 4 = 1 AND length(text) % 4 = 1) AS pads,
+bool_or(turn % 4 = 2 AND length(text) % 5 = 0) AS covers, bool_or(turn % 4 = 2 AND length(text) % 5 = 1) AS measures FROM conversations GROUP BY conv_id"""
+
+
+def _code_rules(spark, d) -> DataFrame:
+    return audit.met(audit.code_facts(_per_conversation(spark, d, _LINES), "conv_id"))
+
+
+@query(f"""WITH code AS ({_CODE_FACTS}) {_rule_sql({"imports": "NOT bad AND imports", "plans": "NOT bad AND plans", "checks_coverage": "NOT bad AND covers", "brings_home": "NOT bad AND plans", "pads": "NOT bad AND pads", "measures_padding": "NOT bad AND measures", "not_python": "bad"}, "code")}""")
+def code_audit(spark, d):
+    return _named(S.counted(_code_rules(spark, d).select("rule", F.col("file").alias("name")), list(audit.RULES)))
 
 
-@query("SELECT * FROM (VALUES ('the planner is imported, but neither step info nor an adapter is used'), ('a batch size other than 1 is set before grouping'), ('processing happens in the collator, after grouping')) v(warning)")
+@query(f"""WITH code AS ({_CODE_FACTS}), said AS (
+SELECT CASE k WHEN 0 THEN CASE WHEN plans AND NOT covers THEN '{audit.ADVICE[0][2]}' END WHEN 1 THEN CASE WHEN plans THEN '{audit.ADVICE[1][2]}' END
+WHEN 2 THEN CASE WHEN pads AND NOT measures THEN '{audit.ADVICE[2][2].replace("'", "''")}' END ELSE CASE WHEN imports AND NOT (plans OR pads OR covers) THEN '{audit.ADVICE[3][2]}' END END AS warning
+FROM code, range(4) r(k) WHERE NOT bad) SELECT warning, COUNT(*) AS files FROM said WHERE warning IS NOT NULL GROUP BY warning""")
 def code_warnings(spark, d):
-    return S.audit_warnings(S.rule_audit(_code(spark, d), "text", S.AUDIT_RULES))
+    return audit.advice(_code_rules(spark, d)).groupBy(F.col("advice").alias("warning")).agg(F.count(F.lit(1)).alias("files"))
 
 
 # Names of the modes and what they stand for.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from paceline.operators.order import RANGE, numbered
 
@@ -45,18 +46,6 @@ def synthetic_lengths(spark: SparkSession, n: int, seed: int = 7, vocabulary: in
     return spark.range(n).select(F.col("id").alias("sample_id"), length.alias("length")).withColumn("input_ids", tokens)
 
 
-# What the audit looks for in training code, as regular expressions.
-AUDIT_RULES = {
-    "imports_planner": r"\bimport paceline\b|from paceline\b",
-    "uses_plan": r"planner\.plan\(",
-    "uses_step_info": r"pop_step_info\(",
-    "uses_loss_scale": r"loss_scale",
-    "uses_all_samples": r"all_samples",
-    "uses_adapter": r"TrainingProgress\(|scaled_step\(",
-    "flat_keys": r"total_batch_size|local_batch_size|local_tokens|total_tokens",
-    "non_unit_batch_size": r"batch_size\s*[=:]\s*(?:[2-9]|[0-9]{2,})",
-    "processor_in_collator": r"(?s)[cC]ollat.{0,1200}(processor\(|tokenizer\(|apply_chat_template|AutoProcessor)",
-}
 # Signs of the training frameworks.
 FRAMEWORK_RULES = {
     "hf_trainer": r"\bTrainer\b|transformers\.Trainer|TrainingArguments",
@@ -67,27 +56,24 @@ FRAMEWORK_RULES = {
 }
 
 
+def counted(found: DataFrame, rules: list[str], first: int = 8) -> DataFrame:
+    """(rule, hits, names) of (rule, name): how many rows meet each rule, and the least `first` different names; tasks keep
+    no more than these before anything is shuffled."""
+    hits = found.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"))
+    nth = F.row_number().over(Window.partitionBy("rule").orderBy("name"))
+    names = found.distinct().withColumn("nth", nth).filter(F.col("nth") <= first)
+    names = names.groupBy("rule").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    every = found.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
+    return every.join(hits, "rule", "left").join(names, "rule", "left").fillna({"hits": 0})
+
+
 def rule_audit(df: DataFrame, text: str, rules: dict[str, str], name: str | None = None, first: int = 8) -> DataFrame:
-    """(rule, hits) for each regular expression over a text table, in one scan; with the column `name` also the first so
-    many names of the texts that it is found in, in order."""
-    found = F.array(*[F.when(F.col(text).rlike(rx), F.lit(rule)) for rule, rx in rules.items()])
-    d = df.select(*([F.col(name).cast("string").alias("name")] if name else []), F.explode(F.array_compact(found)).alias("rule"))
-    more = [F.slice(F.array_sort(F.collect_set("name")), 1, first).alias("names")] if name else []
-    hits = d.groupBy("rule").agg(F.count(F.lit(1)).alias("hits"), *more)
-    every = df.sparkSession.createDataFrame([(r,) for r in rules], "rule string")
-    return every.join(F.broadcast(hits), "rule", "left").fillna({"hits": 0})
-
-
-def audit_warnings(audit: DataFrame) -> DataFrame:
-    """(warning) from the hits of AUDIT_RULES: what a reader of the audit should look into."""
-    has = {r: F.coalesce(F.max(F.when(F.col("rule") == r, F.col("hits"))), F.lit(0)) > 0 for r in AUDIT_RULES}
-    cases = [
-        (has["imports_planner"] & ~has["uses_step_info"] & ~has["uses_adapter"], "the planner is imported, but neither step info nor an adapter is used"),
-        (has["flat_keys"], "flat metadata keys are used, step info is preferred"),
-        (has["non_unit_batch_size"], "a batch size other than 1 is set before grouping"),
-        (has["processor_in_collator"], "processing happens in the collator, after grouping"),
-    ]
-    return audit.agg(F.array_compact(F.array(*[F.when(c, F.lit(w)) for c, w in cases])).alias("w")).select(F.explode("w").alias("warning"))
+    """(rule, hits) for each regular expression over a text table; with the column `name` also the first so many names of
+    the texts that it is found in, in order."""
+    tests = F.array(*[F.when(F.col(text).rlike(rx), F.lit(rule)) for rule, rx in rules.items()])
+    d = df.select(F.col(name).cast("string").alias("name") if name else F.lit("").alias("name"), F.explode(F.array_compact(tests)).alias("rule"))
+    out = counted(d, list(rules), first)
+    return out if name else out.drop("names")
 
 
 def ready(df: DataFrame, tokens: str = "input_ids", declared: bool = False) -> DataFrame:

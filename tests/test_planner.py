@@ -382,10 +382,29 @@ def test_readiness_and_audit(spark):
     assert S.ready(raw, declared=True) is raw
     rows = spark.createDataFrame([([{"input_ids": None}],), ([{"input_ids": None}, {"input_ids": [1]}],), (None,)], "x array<struct<input_ids: array<int>>>")
     assert [r[0] for r in S.ready(rows).select(S.has_tokens(rows)).collect()] == [False, True, False]
-    code = spark.createDataFrame([(f"f{k}.py", "import paceline\nbatch_size = 16") for k in range(9)], "file string, text string")
-    hits = {r.rule: (r.hits, r.names) for r in S.rule_audit(code, "text", S.AUDIT_RULES, "file").collect()}
-    assert hits["imports_planner"] == (9, [f"f{k}.py" for k in range(8)]) and hits["uses_plan"] == (0, None)
-    assert {r.warning[:20] for r in S.audit_warnings(S.rule_audit(code, "text", S.AUDIT_RULES)).collect()} == {"the planner is impor", "a batch size other t"}
+    code = spark.createDataFrame([(f"f{k % 12:02}.py", "loss.backward()" if k else "nothing") for k in range(40)], "file string, text string")
+    hits = {r.rule: (r.hits, r.names) for r in S.rule_audit(code, "text", S.FRAMEWORK_RULES, "file").collect()}
+    assert hits["pytorch_loop"] == (39, [f"f{k:02}.py" for k in range(8)]) and hits["accelerate"] == (0, None)
+
+
+def test_code_audit_reads_a_source_tree(spark, tmp_path):
+    from paceline.sources import codeaudit as A
+
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "train.py").write_text("from paceline.operators import planner as planner\np = (planner\n  .plan)(rows, c)\nprint(p.toPandas())\n")
+    (tmp_path / "deep" / "good.py").write_text("import paceline.operators.planner\nplanner.coverage(planner.plan(r, c)).show()  # collect()\n")
+    (tmp_path / "deep" / "er" / "idle.py").write_text("import paceline\ns = 'planner.plan(x)'\n")
+    (tmp_path / "deep" / "old.py").write_text("print 'paceline'\n")
+    (tmp_path / "deep" / "notes.txt").write_text("planner.plan(x)\n")
+    files = A.code_files(spark, str(tmp_path))
+    found = A.met(A.code_facts(files))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.file.rsplit("/", 1)[1], set()).add(r.rule)
+    assert got == {"train.py": {"imports", "plans", "brings_home"}, "good.py": {"imports", "plans", "checks_coverage"}, "idle.py": {"imports"}, "old.py": {"not_python"}}
+    said = {(r.file.rsplit("/", 1)[1], r.advice) for r in A.advice(found).collect()}
+    assert said == {("train.py", A.ADVICE[0][2]), ("train.py", A.ADVICE[1][2]), ("idle.py", A.ADVICE[3][2])}
+    assert A.facts_of(None) == set() and A.facts_of("a().b.c(d())") == {("call", "a"), ("call", "b.c"), ("call", "d")}
 
 
 def test_blocks_do_not_change_running_sums_or_arrivals(spark):
