@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,13 +25,6 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df)
 
 
-def forget(spark: SparkSession) -> None:
-    """Let Spark delete the shuffles that nothing refers to any more: it does so when the driver collects garbage, which
-    may be long after a phase has ended."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, none, k, th, text) with null texts as empty ones. KEY is whether there is no doc_id, the doc_id (without
     one: a hash of the text), and another hash of the text: rows that agree in it are one document."""
