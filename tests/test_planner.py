@@ -514,3 +514,26 @@ def test_a_lost_number_is_passed_after_a_while(spark, tmp_path):
         query.stop()
     assert [(r.rank, r.slot, r["size"]) for r in found if r.kind == "gap"] == [(0, 2, 2)]
     assert sorted(i for r in found if r.kind == "group" for i in r.sample_ids) == [0, 1, 4, 5, 6, 7, 8, 9]
+
+
+def test_rounds_past_200_are_flipped(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from paceline.plans import queries
+
+    n = 210 * queries.WINDOW * 10 // 4
+    rows = [(i, "a b c " * (1 + i % 50), "en", "a", 0) for i in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries._Round(spark, str(tmp_path)).flipped.groupBy("round", "rank").agg(F.max("target").alias("target"), F.min(F.struct("aligned_idx", "emit_pos")).alias("first")).collect()
+    assert max(r["round"] for r in got) >= 205
+    for r in got:
+        flip = flips("balanced", queries.SEED, r["round"], r["rank"], queries.WORLD)
+        assert r["first"].emit_pos == (r["target"] - 1 if flip else 0), r
+
+
+def test_a_missing_flip_fails(spark):
+    from paceline.functions.flips import flip_table
+
+    groups = spark.createDataFrame([(0, 0, 0, 1, 5, 1), (1, 0, 0, 1, 5, 1)], "round long, rank int, aligned_idx long, size long, tokens long, target long")
+    with pytest.raises(Exception, match="no flip for round 1"):
+        align.flipped(groups, flip_table(spark, "balanced", 1, 1, 1)).collect()
