@@ -2,16 +2,11 @@
 
 import random
 
-import pytest
 from helpers import ODD, docs, prose
-from pyspark.sql import functions as F
 from test_repeats import brute_bytes
 
 import corpus_pipeline
-from paceline.functions.flips import flip_table, flips
 from paceline.llm import docprint, suffixmerge
-from paceline.operators import align
-from paceline.plans import queries
 
 
 def _sets(text):
@@ -61,22 +56,6 @@ def test_copies_of_a_row_are_dealt_apart(spark):
     assert sum(x == 1 for x in same) <= 10
 
 
-def test_rounds_past_200_are_flipped(spark, tmp_path):
-    n = 210 * queries.WINDOW * 10 // 4
-    docs(spark, [(i, "a b c " * (1 + i % 50), "en", "a", 0) for i in range(n)]).write.parquet(str(tmp_path / "documents.parquet"))
-    got = queries._Round(spark, str(tmp_path)).flipped.groupBy("round", "rank").agg(F.max("target").alias("target"), F.min(F.struct("aligned_idx", "emit_pos")).alias("first")).collect()
-    assert max(r["round"] for r in got) >= 205
-    for r in got:
-        flip = flips("balanced", queries.SEED, r["round"], r["rank"], queries.WORLD)
-        assert r["first"].emit_pos == (r["target"] - 1 if flip else 0), r
-
-
-def test_a_missing_flip_fails(spark):
-    groups = spark.createDataFrame([(0, 0, 0, 1, 5, 1), (1, 0, 0, 1, 5, 1)], "round long, rank int, aligned_idx long, size long, tokens long, target long")
-    with pytest.raises(Exception, match="no flip for round 1"):
-        align.flipped(groups, flip_table(spark, "balanced", 1, 1, 1)).collect()
-
-
 def test_repeated_rows_with_partly_shared_passages(spark):
     rng, rows = random.Random(41), []
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8)))
