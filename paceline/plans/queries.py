@@ -5,8 +5,6 @@ Both sides are written apart: queries call the operators, the SQL derives the sa
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +16,7 @@ from paceline.functions.flips import flip_table, round_flips
 from paceline.operators import align, emit, planner, progress, segment, windows
 from paceline.sources import codeaudit as audit
 from paceline.sources import samples as S
-from paceline.sources.workdir import stored, work_dir
+from paceline.sources.workdir import scratch, stored
 
 WORLD, WINDOW, BUDGET = 4, 32, 2048
 LONE_WINDOW, LONE_BUDGET = 128, 4096
@@ -639,7 +637,7 @@ def coverage_audit(spark, d):
 
 @query()
 def emitted_ids_log(spark, d):
-    path = f"{work_dir(spark)}/paceline/ids-{uuid.uuid4().hex}"
+    path = scratch(spark)
     emit.write_id_log(_planned(spark, d), path)
     return spark.read.schema("step long, ids array<long>, rank int").json(path).select("rank", "step", "ids")
 

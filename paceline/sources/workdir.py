@@ -22,12 +22,17 @@ def work_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in that folder, which goes when the application ends."""
+    path = f"{work_dir(spark)}/paceline/{uuid.uuid4().hex}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in that folder, read again: what uses it several times computes it once, and lost executors never
     recompute what came before. The table goes when the application ends, as what is returned lazily may still read it."""
-    spark = df.sparkSession
-    path = f"{work_dir(spark)}/paceline/{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,6 @@ end of its rank: what is left makes a short window. Micro-batches don't move win
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from paceline.operators.planner import cut_groups
 from paceline.operators.windows import ramp
 from paceline.sources.samples import document_samples
+from paceline.sources.workdir import scratch
 
 OUT = "rank int, round long, group_idx long, size long, tokens long, sample_ids array<long>"
 
@@ -59,11 +59,9 @@ def plan_stream(rows: DataFrame, window: int, budget: int, max_patches: int = 0,
 
 def plan_documents(spark: SparkSession, sf_dir: str, world: int, window: int, budget: int) -> DataFrame:
     """The documents as a stream of files, planned to the end: (rank, round, group_idx, size, tokens)."""
-    from paceline.sources.workdir import work_dir
-
     s = document_samples(spark, sf_dir, world).withColumnRenamed("arrival_idx", "seq").drop("round")
     ends = s.groupBy("rank").agg((F.max("seq") + 1).alias("seq")).select(F.lit(None).cast("long").alias("sample_id"), "rank", "seq", F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("n_patches"))
-    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     s.unionByName(ends).repartition(6).write.parquet(f"{base}/in")
     rows = spark.readStream.schema("sample_id long, rank int, seq long, length long, n_patches long").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     plan = plan_stream(rows, window, budget)
@@ -75,7 +73,6 @@ def plan_documents(spark: SparkSession, sf_dir: str, world: int, window: int, bu
 def plan_uneven(spark: SparkSession, sf_dir: str, samples: DataFrame, config) -> DataFrame:
     """Canonical samples as a stream of files in no order, planned over all ranks: (kind, rank, round, slot, step, size,
     total_size, total_tokens)."""
-    from paceline.sources.workdir import work_dir
     from paceline.streaming.ranks import OUT as RANKS
     from paceline.streaming.ranks import plan_ranks
 
@@ -84,7 +81,7 @@ def plan_uneven(spark: SparkSession, sf_dir: str, samples: DataFrame, config) ->
     every = spark.range(config.world_size).select(F.col("id").cast("int").alias("rank"))
     ends = every.join(s.groupBy("rank").agg((F.max("seq") + 1).alias("seq")), "rank", "left")
     ends = ends.select(F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("epoch"), "rank", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), none.cast("long").alias("sample_id"), none.cast("long").alias("length"), none.cast("long").alias("n_patches"), none.cast("string").alias("error"))
-    base = f"{work_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark)
     s.unionByName(ends).repartition(6).write.parquet(f"{base}/in")
     rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     run = plan_ranks(rows, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
