@@ -19,7 +19,8 @@ SHINGLE = 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the models recognise; those without a letter, or unlike all languages, go."""
+    """Documents whose language the models recognise; those without a letter, or unlike all languages, go. Null, empty and
+    letterless texts go; a text of any length is judged whole; copies are judged alike; an empty table stays empty."""
     model = langid.fit(docs)
     mark, _ = fresh(docs, "", "rejected")
     return langid.identify(docs, model, mark).filter(~F.col(mark + "rejected")).select(docs.columns)
@@ -32,19 +33,23 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs. Null and wordless texts hold none and stay, as do all where
+    the benchmark is empty; copies go or stay together; texts of any length are searched whole."""
     return leakage.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document, none included, as the target weights of the sources ask for."""
+    """As many copies of each document, none included, as the target weights of the sources ask for. A null source is one of
+    its own, the last; texts without words have size 0; rows that are equal take copies apart from each other; an empty
+    table stays empty."""
     mark, copy, _ = fresh(docs, "", "copy", "copies")
     d = mixture.mix(docs, word_count(F.col("text")), prefix=mark)
     return d.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(mark + "copies").cast("int")))).select(docs.columns)
 
 
 def assign_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, with shard and slot of a uniform shuffle; columns of these names are replaced."""
+    """All rows, with shard and slot of a uniform shuffle; columns of these names are replaced. Nulls are values like any
+    other; rows that are equal are numbered and dealt apart; an empty table stays empty."""
     identity = [F.col("doc_id"), F.octet_length("text"), F.crc32(F.col("text").cast("binary"))]
     return shards.shard(docs, identity, SHARDS)
 
