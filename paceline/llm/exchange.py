@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paceline.llm.common import KEY
+from paceline.llm.workers import sliced
 
 SENT = "bucket int, chunk string, h binary, p binary, x binary, dir binary"
 FOUND = "chunk string, p binary, dir binary"
@@ -159,6 +160,14 @@ def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     return docs.join(found, KEY, "left")
 
 
+def unpacked(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches of about `most` bytes of text once unpacked, one row at least. The size is in the head
+    of a packed text, so texts that pack to nearly nothing count whole."""
+    for batch in batches:
+        sizes = [zstandard.frame_content_size(x) for x in batch.column("z").to_pylist()]
+        yield from sliced(batch, np.array(sizes, np.int64), most)
+
+
 def texts(batch: pa.RecordBatch) -> list[bytes]:
     z = zstandard.ZstdDecompressor()
     return [z.decompress(x) for x in batch.column("z").to_pylist()]

@@ -152,7 +152,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _carry(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(portions(batches, "z", PORTION // 3)):
+        for k, batch in enumerate(X.unpacked(batches, PORTION)):
             b, begins, at, count, key = _stretches(X.texts(batch))
             wanted = np.concatenate([X.unsqueeze(f, np.uint32).astype(np.int64) + x for x, f in zip(begins, batch.column("found").to_pylist(), strict=True)])
             hit = np.isin(at, wanted)
@@ -398,7 +398,7 @@ def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of each document: the maximal removed runs, in bytes, end exclusive, and the bytes
     that stay (not always whole characters)."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.unpacked(batches, PORTION):
             sizes, spans, kept = [], [], []
             for t, f in zip(X.texts(batch), batch.column("found").to_pylist(), strict=True):
                 sizes.append(len(t))
