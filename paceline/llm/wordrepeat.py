@@ -113,9 +113,21 @@ def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield X.rows(X.FOUND, [(chunk, X.squeeze(mine), None)])
 
 
+def _repeats(h: np.ndarray, other: np.ndarray, p: np.ndarray, d: X.Directory) -> np.ndarray:
+    """Which windows of a portion, at places p, have an earlier one in it with both hashes equal."""
+    order = np.lexsort((other, h))
+    same = (h[order[1:]] == h[order[:-1]]) & (other[order[1:]] == other[order[:-1]])
+    many = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    who, cls = order[many], np.cumsum(np.concatenate([[True], ~same]))[many]
+    doc = d.of(p[who])
+    again = np.zeros(len(p), bool)
+    again[who] = X.later(cls, d.none[doc], d.ids[doc], d.ths[doc], p[who] - d.begins[doc])
+    return again
+
+
 def _extend(n: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, batch in enumerate(portions(batches, "z", PORTION // 3)):
+        for k, batch in enumerate(X.unpacked(batches, PORTION)):
             w, sizes = _words(X.texts(batch), xxhash.xxh3_128_digest, 2)
             w, v = w[::2].copy(), w[1::2].copy()
             begins = np.cumsum(sizes) - sizes
@@ -131,7 +143,10 @@ def _extend(n: int):
             # 96 bits: all of one hash, half of the other
             both = np.stack([h >> np.uint64(32), h & np.uint64(0xFFFFFFFF), rolled(v, WINDOW)[p] >> np.uint64(32)], axis=1).astype(np.uint32)
             d = X.Directory.of_batch(batch, begins)
-            yield X.send(X.chunk_name(k), n, h, p, lambda i, both=both: (both[i].tobytes(), None), d, True)
+            # of equal windows of a portion only the earliest travels: the others are known to be repeats
+            again = _repeats(h, both[:, 2], p, d)
+            known, h, p, both = p[again], h[~again], p[~again], both[~again]
+            yield X.send(X.chunk_name(k), n, h, p, lambda i, both=both: (both[i].tobytes(), None), d, True, X.squeeze(known.astype(np.uint32)) if len(known) else None)
 
     return apply
 
@@ -141,7 +156,7 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk, h, p, d in zip(*(batch.column(c).to_pylist() for c in ("chunk", "h", "p", "dir")), strict=True):
             if h is None:
-                yield X.rows(X.FOUND, [(chunk, None, d)])
+                yield X.rows(X.FOUND, [(chunk, p, d)])
             else:
                 held.append((chunk, np.frombuffer(h, np.uint32).reshape(-1, 3), X.ungaps(p), X.Directory.unpack(d)))
     if not held:
@@ -189,7 +204,7 @@ def remove_repeated_words(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, spans, kept) of each document: the maximal repeats that go, in words, end exclusive, and the
     words that stay, joined by single spaces."""
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in X.unpacked(batches, PORTION):
             sizes, spans, kept = [], [], []
             for t, f in zip(X.texts(batch), batch.column("found").to_pylist(), strict=True):
                 words, runs = _WORD.findall(t), []

@@ -4,9 +4,11 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+import zstandard
 from helpers import ODD, docs, prose
 
-from paceline.llm import suffixmerge, wordrepeat
+from paceline.llm import exchange, suffixmerge, wordrepeat
 
 
 def brute_words(rows):
@@ -25,7 +27,16 @@ def brute_words(rows):
     return sorted(str((r[0], *out[r[0], r[1] or ""])) for r in rows)
 
 
-def test_words(spark):
+def test_portions_count_unpacked_bytes():
+    texts = [b"the same phrase again " * 50_000, *[b"short"] * 3, b"the same phrase again " * 50_000, b""]
+    batch = pa.RecordBatch.from_arrays([pa.array([zstandard.compress(t, 3) for t in texts], pa.binary())], names=["z"])
+    assert batch.nbytes < 2000
+    got = [exchange.texts(b) for b in exchange.unpacked([batch] * 20, 1 << 20)]
+    assert [t for x in got for t in x] == texts * 20
+    assert max(sum(map(len, x)) for x in got) < 2 * (1 << 20) + len(texts[0])
+
+
+def test_words(spark, monkeypatch):
     rows = prose(21, 200, 120) + [r for r in ODD if r[0] != 5] + [(900, "a b c " * 400, None, None, 0), (901, "a b c " * 30 + "x", None, None, 0)]
     rng = random.Random(1)
     rows = [(r[0] if r[0] is None or k >= 200 else 5000 - r[0], *r[1:]) for k, r in enumerate(rows)]
@@ -33,6 +44,8 @@ def test_words(spark):
     got = wordrepeat.word_report(docs(spark, rows).repartition(3)).collect()
     assert sorted(str(tuple(r)) for r in got) == brute_words(rows)
     assert sum(r.n_removed for r in got) > 500
+    monkeypatch.setattr(wordrepeat, "PORTION", 4000)
+    assert sorted(str(tuple(r)) for r in wordrepeat.word_report(docs(spark, rows).repartition(2)).collect()) == brute_words(rows)
     assert wordrepeat.word_report(docs(spark, [])).count() == 0
     assert wordrepeat.word_report(docs(spark, ODD)).count() == len(ODD)
 
