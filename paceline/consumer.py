@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.config import scaling_mode
@@ -99,3 +100,26 @@ def iterate(batches: DataFrame, rank: int, order: tuple[str, ...] = ("round", "s
     finally:
         if sink:
             sink.close()
+
+
+def collate_table(spark: SparkSession, name: str, start: Callable[[], Any], add: Callable[[Any, Row], Any], finish: Callable[[Any], tuple | None], schema: str) -> None:
+    """Register a table function `name(TABLE(...) PARTITION BY ... ORDER BY ...)` for SQL, which makes one row of each group.
+
+    `add` takes what `start` made and the rows of the group one by one, so a group is streamed and never held as a frame;
+    `finish` gives the row, or None for none.
+    """
+    class Collate:
+        def __init__(self) -> None:
+            self.held, self.some = None, False
+
+        def eval(self, row: Row) -> None:
+            if not self.some:
+                self.held, self.some = start(), True
+            self.held = add(self.held, row)
+
+        def terminate(self) -> Iterator[tuple]:
+            made = finish(self.held) if self.some else None
+            if made is not None:
+                yield made
+
+    spark.udtf.register(name, F.udtf(Collate, returnType=schema))

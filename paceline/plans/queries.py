@@ -13,8 +13,9 @@ from paceline import consumer
 from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig, default_window, flip_mode, resolve, scaling_mode
 from paceline.functions import columns as C
 from paceline.functions.flips import flip_table, round_flips
-from paceline.operators import align, emit, planner, progress, segment, windows
+from paceline.operators import align, emit, planner, profile, progress, segment, windows
 from paceline.sources import codeaudit as audit
+from paceline.sources import placed, steplog
 from paceline.sources import samples as S
 from paceline.sources.workdir import scratch, stored
 
@@ -662,6 +663,50 @@ def collate_hook(spark, d):
     return consumer.collated(_lone_plan(spark, d), docs, "doc_id", made, "n long, longest long", marked).select("step", "n", "longest")
 
 
+@query(LONE + """, numbered AS (SELECT *, row_number() OVER (ORDER BY round, group_idx) - 1 AS step FROM grp)
+SELECT n.step, COUNT(*) AS n, MAX(len(m.text))::BIGINT AS longest, MIN(m.sample_id)::BIGINT AS first_id, MAX(m.sample_id)::BIGINT AS last_id FROM members m JOIN numbered n ON n.round = m.round AND n.group_idx = m.group_idx GROUP BY n.step""")
+def collate_function(spark, d):
+    docs = S.table(spark, d, "documents").select("doc_id", F.char_length("text").alias("chars"))
+    rows = consumer.payload_of(_lone_plan(spark, d), docs, "doc_id").select("job", "rank", "step", "sample_id", "chars")
+    start = lambda: (0, 0, None, None)
+    add = lambda s, r: (s[0] + 1, max(s[1], r["chars"] or 0), s[2] if s[0] else r["sample_id"], r["sample_id"], r["step"])
+    consumer.collate_table(spark, "collate_chars", start, add, lambda s: (s[4], *s[:4]), "step long, n long, longest long, first_id long, last_id long")
+    return spark.sql("SELECT * FROM collate_chars(TABLE(SELECT * FROM {rows}) PARTITION BY (job, rank, step) ORDER BY sample_id)", rows=rows)
+
+
+@query(LONE + " SELECT round, rank, group_idx::BIGINT AS step, COUNT(*) AS size, (COUNT(*) * MAX(length))::BIGINT AS sequence_total, SUM(n_patches)::BIGINT AS patches, MIN(sample_id)::BIGINT AS first_id, MAX(sample_id)::BIGINT AS last_id FROM members GROUP BY ALL")
+def profile_log(spark, d):
+    """Profiles and ids of all steps through the sink, as a run that is written, and once more after a restart."""
+    m = _lone_members(spark, d)
+    g = m.groupBy("rank", "round", F.col("group_idx").alias("step")).agg(
+        F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) * F.max("length")).alias("sequence_total"), F.sum("n_patches").alias("patches"), F.array_sort(F.collect_list("sample_id")).alias("ids"))
+    g, path = stored(g), scratch(spark)
+    for _ in range(2):
+        steplog.log_steps(g, path, "profile", ("rank", "round", "step"))
+    return steplog.read_steps(spark, path, g.schema).select("round", "rank", "step", "size", "sequence_total", "patches", F.get("ids", F.lit(0)).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+
+
+@query(LONE + """, numbered AS (SELECT *, row_number() OVER (ORDER BY round, group_idx) - 1 AS step FROM grp)
+SELECT step, size, tokens FROM numbered WHERE step >= (SELECT COUNT(*) // 2 FROM numbered)""")
+def resumed_plan(spark, d):
+    """The second half of a placed plan, opened in its middle."""
+    p = _lone_plan(spark, d).filter("status = 'emitted'")
+    steps = p.groupBy("rank", "step").agg(F.first("group_size").alias("size"), F.first("group_tokens").alias("tokens"))
+    path = scratch(spark)
+    placed.place(steps, path)
+    half = sum(f["n"] for f in placed.index_from(spark, path, 0)) // 2
+    return placed.rows_from(spark, path, 0, half).select("step", "size", "tokens")
+
+
+@query(f"""WITH {SAMPLES}, ranked AS (SELECT sample_id % 4 AS rank, length FROM docs)
+SELECT rank::INT AS rank, COUNT(length) AS n, MIN(length) AS least, quantile_disc(length, 0.5) AS middle, quantile_disc(length, 0.9) AS high, MAX(length) AS most,
+round(stddev_pop(length) / AVG(length), 6) AS cv FROM ranked GROUP BY rank""")
+def length_profile(spark, d):
+    """Quantiles of each rank from sketches of its rounds; exact, and so held against SQL, up to profile.K rows a rank."""
+    per = profile.merged(profile.length_sketches(_ranked(spark, d)))
+    return per.select("rank", "n", "least", profile.quantile(0.5).alias("middle"), profile.quantile(0.9).alias("high"), "most", F.round(profile.variation(), 6).alias("cv"))
+
+
 @query("""SELECT side, COUNT(*) AS n FROM (SELECT 'unknown' AS side FROM documents ANTI JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 > 0) USING (doc_id)
 UNION ALL SELECT 'missing' FROM (SELECT DISTINCT doc_id + 1000000 FROM labels)) GROUP BY side""")
 def source_coverage(spark, d):
