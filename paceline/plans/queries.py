@@ -13,7 +13,7 @@ from paceline import consumer
 from paceline.config import FLIP_ALIASES, SCALING_ALIASES, PlanConfig, default_window, flip_mode, resolve, scaling_mode
 from paceline.functions import columns as C
 from paceline.functions.flips import flip_table, round_flips
-from paceline.operators import align, emit, planner, profile, progress, segment, windows
+from paceline.operators import align, doubling, emit, planner, profile, progress, segment, windows
 from paceline.sources import codeaudit as audit
 from paceline.sources import placed, steplog
 from paceline.sources import samples as S
@@ -392,6 +392,13 @@ def clamp_groups(spark, d):
     return m.groupBy("round", "recycled").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(_rec("sample_id % 4", 1 << 40, BUDGET) + " SELECT rank, sample_id, group_idx::BIGINT AS group_idx, pos::BIGINT AS pos, n_groups FROM members")
+def greedy_groups_whole(spark, d):
+    """All samples of a rank as one window."""
+    rows = S.document_samples(spark, d, WORLD).withColumn("round", F.lit(0).cast("long"))
+    return doubling.greedy_groups(rows, BUDGET).select("rank", "sample_id", "group_idx", "pos", "n_groups")
+
+
 @query(f"WITH {SAMPLES}, a AS (SELECT *, (row_number() OVER (ORDER BY sample_id) - 1) // 8 AS b FROM docs) SELECT b::BIGINT AS batch_idx, COUNT(*) AS size, SUM(length)::BIGINT AS tokens, MAX(length) AS max_len FROM a GROUP BY b")
 def fixed_batches(spark, d):
     t = segment.fixed_batches(S.document_samples(spark, d, 1), 8)
