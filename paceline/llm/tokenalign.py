@@ -1,10 +1,12 @@
 """Alignment of two tokenizers: groups of tokens that cover the same bytes, and links between tokens that overlap.
 
-Python only tokenises: a byte-level BPE (A) and a piece BPE with byte fallback (B), each text to ids and to the byte
-offsets at which tokens end. All else are array functions in the JVM. Ends that both have (array_intersect) cut the text
-into groups; most tokens end so. The few ends that one side has alone are sorted and placed among the common ones by
-halving: they join the tokens of their own side to one group, and each is a second link of the token of the other side
-that covers it. So ids are cut into slices at those few places, and nothing is done for each token but joining its slice.
+Python only tokenises: a byte-level BPE (A) and a piece BPE with byte fallback (B). Texts are cut into words where tokens
+of both sides end, and each distinct word of a portion of texts is tokenised once, to ids and to the byte offsets at which
+tokens end. All else are array functions in the JVM, once for each of these words. Ends that both have (array_intersect)
+cut a word into groups. The ends that one side has alone are sorted and placed among the common ones by halving: they join
+the tokens of their own side to one group, and each is a second link of the token of the other side that covers it. So ids
+are cut into slices at those places, and nothing is done for each token but joining its slice. A document is the list of
+its words; a text without a place to cut is one word, of any length.
 
 A pair of ids counts in how many documents it is linked. Pairs that make a fixed share of all are few by counting and
 are broadcast; the others, each in few documents, are joined by key, so no pair gathers its documents in one task.
@@ -19,7 +21,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,7 @@ PORTION = 1 << 22
 #: A pair that makes more than one in so many linked pairs is broadcast.
 OFTEN = 100_000
 
-TOKENS = "doc_id long, a array<int>, a_end array<int>, b array<int>, b_end array<int>"
+TOKENS = "docs array<struct<doc_id: long, at: array<int>>>, words array<struct<a: array<int>, a_end: array<int>, b: array<int>, b_end: array<int>>>"
 # How A splits text before merging, and where words can be cut apart for either tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 APART = re.compile(r"(?s)(?<=[!-~]) (?=.)")
@@ -52,8 +54,8 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers in a worker. A takes whole texts. For B texts are cut at single spaces behind a printable ASCII
-    character, at which every piece begins anew, and each distinct word of a portion is tokenised once."""
+    """Both tokenizers in a worker. Texts are cut at single spaces behind a printable ASCII character, at which tokens of
+    either side begin anew, and each distinct word of a portion is tokenised once."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
@@ -75,28 +77,20 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """Of each side the ids of all texts behind each other, and how many each text has; none where either side
-        doesn't give the text back."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[list[int]]]:
+        """Word numbers of all texts behind each other, how many each text has, and the ids of each side for every word.
+        A text has no words where either side doesn't give it back."""
         parts = [APART.split(t) if t else [] for t in texts]
         number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for x in parts for w in x), np.int64)
-        lists = self.b.encode(list(number), num_threads=1)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        begin = np.cumsum(size) - size
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
-        counts = [len(x) for x in parts]
-        whole = np.array([b"".join([self.b_bytes[i] for i in x]) == b" " + w.encode() for x, w in zip(lists, number, strict=True)], bool)
-        bad = np.concatenate([[0], np.cumsum(~whole[codes])])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        a = [self.a.encode_ordinary(" " + t) if t and not bad[y] - bad[x] else [] for t, x, y in zip(texts, at, at[1:], strict=False)]
-        a = [x if b"".join([self.a_bytes[i] for i in x]) == b" " + t.encode() else [] for x, t in zip(a, texts, strict=True)] if texts else a
-        good = np.array([bool(x) for x in a], bool)
-        codes = codes[np.repeat(good, counts)]
-        n = size[codes]
-        place = np.arange(n.sum()) + np.repeat(begin[codes] - np.cumsum(n) + n, n)
-        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64) * good)])]
-        return (np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in a)]), np.array([len(x) for x in a], np.int64)), (flat[place], np.diff(upto))
+        codes = np.fromiter((number.setdefault(w, len(number)) for x in parts for w in x), np.int32)
+        words, counts = list(number), np.array([len(x) for x in parts], np.int64)
+        a, b = [self.a.encode_ordinary(" " + w) for w in words], self.b.encode(words, num_threads=1)
+        spelt = lambda table, ids: b"".join([table[i] for i in ids])
+        whole = np.array([spelt(self.a_bytes, x) == spelt(self.b_bytes, y) == b" " + w.encode() for x, y, w in zip(a, b, words, strict=True)], bool)
+        wrong, at = np.concatenate([[0], np.cumsum(~whole[codes])]), np.concatenate([[0], np.cumsum(counts)])
+        good = wrong[at[1:]] == wrong[at[:-1]]
+        held = lambda lists: [x if ok else [] for x, ok in zip(lists, whole, strict=True)]
+        return codes[np.repeat(good, counts)], counts * good, held(a), held(b)
 
 
 _pairs: dict[int, Pair] = {}
@@ -117,28 +111,33 @@ def _ends(size: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return (total[1:] - np.repeat(total[cuts[:-1]], np.diff(cuts))).astype(np.int32)
 
 
-def _lists(flat: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
+def _lists(flat: np.ndarray | pa.Array, counts: np.ndarray | list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat) if isinstance(flat, np.ndarray) else flat)
 
 
 def tokenised(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, a, a_end, b, b_end): ids of each side and the byte offsets in " " + text at which tokens end."""
+    """One row for each portion of texts: its documents as lists of word numbers, and its distinct words as ids of each
+    side with the byte offsets in " " + word at which tokens end."""
     read = lambda name: open(os.path.join(vocabularies, name), "rb").read()  # noqa: E731, SIM115
     files = docs.sparkSession.sparkContext.broadcast((read(A_FILE), read(B_FILE)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files.value)
         for batch in portions(batches, "text", PORTION):
-            columns = [batch.column("doc_id")]
-            for (ids, n), sizes in zip(pair.encode([t or "" for t in batch.column("text").to_pylist()]), (pair.a_size, pair.b_size), strict=True):
-                cuts = np.concatenate([[0], np.cumsum(n)])
-                columns += [_lists(ids, cuts), _lists(_ends(sizes[ids], cuts), cuts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_end", "b", "b_end"])
+            codes, counts, *sides = pair.encode([t or "" for t in batch.column("text").to_pylist()])
+            tokens = []
+            for lists, sizes in zip(sides, (pair.a_size, pair.b_size), strict=True):
+                n = [len(x) for x in lists]
+                ids = np.fromiter((i for x in lists for i in x), np.int32, sum(n))
+                tokens += [_lists(ids, n), _lists(_ends(sizes[ids], np.concatenate([[0], np.cumsum(n)]).astype(np.int64)), n)]
+            words = pa.StructArray.from_arrays(tokens, ["a", "a_end", "b", "b_end"])
+            held = pa.StructArray.from_arrays([batch.column("doc_id"), _lists(codes, counts)], ["doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([_lists(held, [len(held)]), _lists(words, [len(words)])], ["docs", "words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(apply), TOKENS)
 
 
-def _pieces(ids: Column, cuts: str, again: int) -> Column:
+def _pieces(ids: Column, cuts: Column, again: int) -> Column:
     """ids in pieces that end with the elements at `cuts`; the next piece begins with the same element (again = 1) or with
     the one after it (0)."""
     begin = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1) + (1 - again))
@@ -146,34 +145,65 @@ def _pieces(ids: Column, cuts: str, again: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.slice(ids, begin(k) + 1, end(k) - begin(k) + 1))
 
 
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups_sha256, links): links holds a * 2^32 + b of each linked pair of occurrences."""
-    d = computed(tokens, common=F.array_intersect("a_end", "b_end"))
-    steps = F.ceil(F.log2(F.size("common") + 1)).cast("int")
-    halves = F.when(F.size("common") > 0, F.transform(F.sequence(F.lit(1), steps), lambda k: F.call_function("shiftleft", F.lit(1), steps - k)))
-    # ends that one side has alone, in order: end * 2^32 + 2 * number among those of its side + side
-    lone = lambda c, side: F.transform(F.array_except(c, "common"), lambda e, k: F.shiftleft(e.cast("long"), 32) + (2 * k + side))
-    d = computed(d, lone=F.sort_array(F.concat(lone("a_end", 0), lone("b_end", 1))), halves=halves)
-
-    below = lambda end: F.aggregate("halves", F.lit(0), lambda lo, h: F.when(F.get("common", lo + h - 1) < end, lo + h).otherwise(lo))
-    d = computed(d, before=F.transform("lone", lambda x: below(F.shiftright(x, 32).cast("int"))))
-
-    def place(x: Column, j: Column) -> Column:
+def _with(d: DataFrame, **fields: Callable[[Column], Column]) -> DataFrame:
+    """d with more fields in each of its words."""
+    names = d.schema["words"].dataType.elementType.names
+    return computed(d.select("docs", F.col("words").alias("held")), words=F.transform("held", lambda w: F.struct(*(w[n].alias(n) for n in names), *(f(w).alias(n) for n, f in fields.items())))).drop("held")
+
+
+def aligned_words(tokens: DataFrame) -> DataFrame:
+    """docs, and words as (n_a, n_b, n_groups, groups, links): links holds a * 2^32 + b of each linked pair of
+    occurrences, groups the text of the groups."""
+    d = _with(tokens, common=lambda w: F.array_intersect(w["a_end"], w["b_end"]))
+
+    def halves(w: Column) -> Column:
+        n = F.size(w["common"])
+        steps = F.ceil(F.log2(n + 1)).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), steps), lambda k: F.call_function("shiftleft", F.lit(1), steps - k)))
+
+    def lone(w: Column, name: str, side: int) -> Column:
+        """Ends that one side has alone: end * 2^32 + 2 * number among those of its side + side."""
+        return F.transform(F.array_except(w[name], w["common"]), lambda e, k: F.shiftleft(e.cast("long"), 32) + (2 * k + side))
+
+    d = _with(d, halves=halves, lone=lambda w: F.sort_array(F.concat(lone(w, "a_end", 0), lone(w, "b_end", 1))))
+
+    def below(w: Column, end: Column) -> Column:
+        return F.aggregate(w["halves"], F.lit(0), lambda lo, h: F.when(F.get(w["common"], lo + h - 1) < end, lo + h).otherwise(lo))
+
+    d = _with(d, before=lambda w: F.transform(w["lone"], lambda x: below(w, F.shiftright(x, 32).cast("int"))))
+
+    def place(w: Column, x: Column, j: Column) -> Column:
         """The side of a lone end, the number of its token there, and of the token of the other side that covers it: the
         ends below are common ones, k of the own side and j - k of the other."""
         k = F.shiftright(x.bitwiseAND((1 << 32) - 1), 1).cast("int")
-        return F.struct(x.bitwiseAND(1).alias("side"), (F.get("before", j) + k).alias("own"), (F.get("before", j) + j - k).alias("other"))
+        return F.struct(x.bitwiseAND(1).alias("side"), (F.get(w["before"], j) + k).alias("own"), (F.get(w["before"], j) + j - k).alias("other"))
 
-    d = computed(d, places=F.transform("lone", place))
-    some = lambda side, name: F.transform(F.filter("places", lambda x: x["side"] == side), lambda x: x[name])
-    d = computed(d, a_lone=some(0, "own"), b_lone=some(1, "own"), a_again=some(1, "other"), b_again=some(0, "other"), a_text=F.col("a").cast("array<string>"), b_text=F.col("b").cast("array<string>"))
-    parted = lambda side: F.split(F.array_join(F.transform(_pieces(F.col(f"{side}_text"), f"{side}_lone", 0), lambda p: F.array_join(p, ";")), ","), ";")
-    groups = F.array_join(F.zip_with(parted("a"), parted("b"), lambda p, q: F.concat(p, F.lit("|"), q)), ";")
+    d = _with(d, places=lambda w: F.transform(w["lone"], lambda x, j: place(w, x, j)))
+    some = lambda side, name: lambda w: F.transform(F.filter(w["places"], lambda x: x["side"] == side), lambda x: x[name])
+    d = _with(d, a_lone=some(0, "own"), b_lone=some(1, "own"), a_again=some(1, "other"), b_again=some(0, "other"), a_text=lambda w: w["a"].cast("array<string>"), b_text=lambda w: w["b"].cast("array<string>"))
+    parted = lambda w, side: F.split(F.array_join(F.transform(_pieces(w[f"{side}_text"], w[f"{side}_lone"], 0), lambda p: F.array_join(p, ";")), ","), ";")
+    groups = lambda w: F.array_join(F.zip_with(parted(w, "a"), parted(w, "b"), lambda p, q: F.concat(p, F.lit("|"), q)), ";")
     # a token repeats for each lone end of the other side within it, so that both sides have one element a link
-    again = lambda side: F.flatten(_pieces(F.col(side), f"{side}_again", 1))
-    links = F.zip_with(again("a"), again("b"), lambda p, q: F.shiftleft(p.cast("long"), 32).bitwiseOR(q.cast("long")))
-    n = lambda c: F.size(c).cast("long")
-    return d.select("doc_id", n("a").alias("n_a"), n("b").alias("n_b"), n("common").alias("n_groups"), F.when(F.size("a") > 0, F.sha2(groups.cast("binary"), 256)).otherwise("").alias("groups_sha256"), F.when(F.size("a") > 0, links).otherwise(F.array().cast("array<bigint>")).alias("links"))
+    again = lambda w, side: F.flatten(_pieces(w[side], w[f"{side}_again"], 1))
+    links = lambda w: F.zip_with(again(w, "a"), again(w, "b"), lambda p, q: F.shiftleft(p.cast("long"), 32).bitwiseOR(q.cast("long")))
+    n = lambda w, name, c: F.size(w[c]).cast("long").alias(name)
+    return computed(d.withColumnRenamed("words", "held"), words=F.transform("held", lambda w: F.struct(n(w, "n_a", "a"), n(w, "n_b", "b"), n(w, "n_groups", "common"), groups(w).alias("groups"), links(w).alias("links")))).drop("held")
+
+
+def aligned(tokens: DataFrame) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links) of each document, put together from its words: both sides end a
+    token where a word ends, so groups and links of a document are those of its words behind each other."""
+    def one(doc: Column) -> Column:
+        of = lambda i, name: F.get("words", i)[name]
+        total = lambda name: F.aggregate(doc["at"], F.lit(0).cast("long"), lambda n, i: n + of(i, name)).alias(name)
+        groups = F.array_join(F.transform(doc["at"], lambda i: of(i, "groups")), ";")
+        return F.struct(
+            doc["doc_id"].alias("doc_id"), total("n_a"), total("n_b"), total("n_groups"),
+            F.when(F.size(doc["at"]) > 0, F.sha2(groups.cast("binary"), 256)).otherwise("").alias("groups_sha256"),
+            F.flatten(F.transform(doc["at"], lambda i: of(i, "links"))).alias("links"),
+        )
+
+    return aligned_words(tokens).select(F.inline(F.transform("docs", one)))
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
