@@ -52,8 +52,8 @@ def byte_of_letter() -> dict[str, int]:
 
 
 class Pair:
-    """Both tokenizers in a worker. A takes whole texts. For B texts are cut at single spaces behind a printable ASCII
-    character, at which every piece begins anew, and each distinct word of a portion is tokenised once."""
+    """Both tokenizers in a worker. Texts are cut at single spaces behind a printable ASCII character, at which tokens of
+    either side begin anew, and each distinct word of a portion is tokenised once."""
 
     def __init__(self, a: bytes, b: bytes):
         import sentencepiece
@@ -75,28 +75,27 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
 
-    def encode(self, texts: list[str]) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each side the ids of all texts behind each other, and how many each text has; none where either side
         doesn't give the text back."""
         parts = [APART.split(t) if t else [] for t in texts]
         number: dict[str, int] = {}
         codes = np.fromiter((number.setdefault(w, len(number)) for x in parts for w in x), np.int64)
-        lists = self.b.encode(list(number), num_threads=1)
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        begin = np.cumsum(size) - size
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
-        counts = [len(x) for x in parts]
-        whole = np.array([b"".join([self.b_bytes[i] for i in x]) == b" " + w.encode() for x, w in zip(lists, number, strict=True)], bool)
-        bad = np.concatenate([[0], np.cumsum(~whole[codes])])
-        at = np.concatenate([[0], np.cumsum(counts)])
-        a = [self.a.encode_ordinary(" " + t) if t and not bad[y] - bad[x] else [] for t, x, y in zip(texts, at, at[1:], strict=False)]
-        a = [x if b"".join([self.a_bytes[i] for i in x]) == b" " + t.encode() else [] for x, t in zip(a, texts, strict=True)] if texts else a
-        good = np.array([bool(x) for x in a], bool)
+        words, counts = list(number), np.array([len(x) for x in parts], np.int64)
+        a, b = [self.a.encode_ordinary(" " + w) for w in words], self.b.encode(words, num_threads=1)
+        spelt = lambda table, ids: b"".join([table[i] for i in ids])
+        whole = np.array([spelt(self.a_bytes, x) == spelt(self.b_bytes, y) == b" " + w.encode() for x, y, w in zip(a, b, words, strict=True)], bool)
+        wrong, at = np.concatenate([[0], np.cumsum(~whole[codes])]), np.concatenate([[0], np.cumsum(counts)])
+        good = wrong[at[1:]] == wrong[at[:-1]]
         codes = codes[np.repeat(good, counts)]
-        n = size[codes]
-        place = np.arange(n.sum()) + np.repeat(begin[codes] - np.cumsum(n) + n, n)
-        upto = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(np.array(counts, np.int64) * good)])]
-        return (np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in a)]), np.array([len(x) for x in a], np.int64)), (flat[place], np.diff(upto))
+        cuts, out = np.concatenate([[0], np.cumsum(counts * good)]), []
+        for lists in (a, b):
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
+            n = size[codes]
+            upto = np.concatenate([[0], np.cumsum(n)])
+            out.append((flat[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n)], np.diff(upto[cuts])))
+        return out
 
 
 _pairs: dict[int, Pair] = {}

@@ -150,6 +150,23 @@ def test_alignment_of_a_long_text(spark):
     assert (got.n_a, got.n_b, got.n_links) == (len(a), len(b), len(a) + len(b) - got.n_groups)
 
 
+def test_words_are_tokenised_as_within_their_texts():
+    import random
+
+    from paceline.llm import tokenalign as T
+
+    whole, rng = Tokenizers(), random.Random(3)
+    pair = T.Pair(*(open(f"{T.VOCABULARIES}/{f}", "rb").read() for f in (T.A_FILE, T.B_FILE)))
+    signs = ["a", "b'", "s", "'ll", " ", "  ", "\n", "\t", "1", "é", ".", "!", "日", " the", "$"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(2_000)]
+    got = [(iter(ids.tolist()), n.tolist()) for ids, n in pair.encode(texts)]
+    for k, text in enumerate(texts):
+        sides = whole.of(text) if text else ([], [])
+        same = b"".join(x for _, x in sides[0]) == b"".join(x for _, x in sides[1]) == b" " + text.encode()
+        for (ids, n), side in zip(got, sides, strict=True):
+            assert [next(ids) for _ in range(n[k])] == ([i for i, _ in side] if same else [])
+
+
 def test_steps_follow_the_non_negative_risk():
     """The slope of a step is that of the risk, by differences, where the clean part is positive."""
     import numpy as np
