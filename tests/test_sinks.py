@@ -125,6 +125,23 @@ def test_sketches_merge_within_their_error(spark):
     assert profile.merged(profile.length_sketches(d.limit(0))).count() == 0
 
 
+def test_quantiles_of_many_rows_are_exact(spark, tmp_path):
+    from __spark_entry__ import oracle_sql, queries
+    import duckdb
+
+    rng = random.Random(8)
+    docs = [(i, " ".join("w" * rng.randint(1, 3000)) if i % 50 else None, "en", "web", 0) for i in range(20_400)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, queries()["length_profile"](spark, str(tmp_path)).collect()))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(db.execute(oracle_sql()["length_profile"]).fetchall()) and got[0][1] > profile.K
+    few = spark.createDataFrame([(0, x) for x in (5, 5, 1, None, 9)] + [(1, None), (None, 3)], "rank int, length long")
+    got = {r[0]: tuple(r)[1:] for r in profile.exact(few, {"low": 0.25, "middle": 0.5, "all": 1.0}).drop("squares").collect()}
+    assert got == {0: (4, 20, 1, 9, 1, 5, 9), 1: (0, 0, None, None, None, None, None), None: (1, 3, 3, 3, 3, 3, 3)}
+    assert profile.exact(few.limit(0), {"middle": 0.5}).count() == 0
+
+
 def test_collate_table_function(spark):
     rows = spark.createDataFrame([(g, k, f"{g}{k}" if k else None) for g in range(5) for k in range(g)], "g long, k long, t string")
     consumer.collate_table(spark, "joined", lambda: [], lambda s, r: [*s, r["t"]], lambda s: ("|".join(x or "-" for x in s),) if len(s) > 1 else None, "t string")
