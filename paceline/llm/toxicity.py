@@ -1,10 +1,13 @@
-"""Toxicity by non-negative positive-unlabelled learning: linear models of words, trained in numpy.
+"""Toxicity by non-negative positive-unlabelled learning: linear models of words and their first letters, in numpy.
 
 Confirmed toxic documents are the positives; unlabelled are training documents of any kind, toxic ones among them, whose
 labels are not looked at. With the class prior p the risk of a model g is p * E+[l(g)] + max(0, E[l(-g)] - p * E+[l(-g)]):
 what unlabelled text would cost as clean, less what the toxic share of it accounts for. Where that difference falls below
 zero the model has begun to remember single documents, and its step is turned round. Where there are enough
 positives several models learn from different documents, each in a task of its own; a score comes of their mean margin.
+A word counts as itself and by its first STEM letters, so that families of rare words are learned as one. What selects
+words is a penalty of SPARSE, or of a few standard errors of a word's own slope if that is less, so that rare words are
+left out where chance would explain them, and not for being rare.
 
 Learned from: up to POSITIVES and UNLABELLED documents (numbers of distinct doc_ids, those with the least hashes), a bound
 on what is fitted; the prior is counted over all labelled training rows. Every whole text is scored.
@@ -20,6 +23,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -34,7 +38,9 @@ POSITIVES, UNLABELLED = 9_000, 18_000
 MODELS, EACH = 3, 1_000
 #: Words of a model: those in the most documents, if in at least so many.
 VOCABULARY, LEAST_DOCS = 50_000, 8
-STEPS, REFIT, RATE, SPARSE = 120, 60, 0.3, 4e-4
+STEPS, REFIT, RATE, SPARSE = 120, 120, 0.3, 4e-4
+#: Letters by which longer words are also known, and standard errors of its slope that a word must exceed.
+STEM, STRICT = 4, 4.0
 THRESHOLD = 0.7
 PORTION = 1 << 23
 
@@ -42,8 +48,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def counts_of(text: str | None) -> tuple[list[str], np.ndarray]:
-    """Distinct words in lower case and their weights: 1 + ln of the count, scaled to unit length."""
-    n = Counter(_WORD.findall(text.lower())) if text else {}
+    """Distinct words in lower case, beginnings of words with a hyphen behind, and their weights: 1 + ln of the count,
+    scaled to unit length."""
+    n = Counter(_WORD.findall(text.lower()) if text else ())
+    for w, k in list(n.items()):
+        if len(w) > STEM:
+            n[w[:STEM] + "-"] += k
     x = 1 + np.log(np.fromiter(n.values(), np.float64, len(n)))
     return list(n), x / max(np.sqrt((x * x).sum()), 1.0)
 
@@ -52,15 +62,24 @@ class Bags:
     """Documents as sparse rows over a vocabulary."""
 
     def __init__(self, texts: list[str | None], vocabulary: dict[str, int]):
-        ids, values, ends = [], [], [0]
+        ids, values = [np.zeros(0, np.int64)], [np.zeros(0)]
         for t in texts:
             words, x = counts_of(t)
-            known = [(vocabulary[w], v) for w, v in zip(words, x.tolist(), strict=True) if w in vocabulary]
-            ids += [i for i, _ in known]
-            values += [v for _, v in known]
-            ends.append(len(ids))
-        self.ids, self.values, self.n = np.array(ids, np.int64), np.array(values), len(texts)
-        self.row = np.repeat(np.arange(self.n), np.diff(ends))
+            found = np.fromiter((vocabulary.get(w, -1) for w in words), np.int64, len(words))
+            ids.append(found[found >= 0])
+            values.append(x[found >= 0])
+        self.ids, self.values, self.n = np.concatenate(ids), np.concatenate(values), len(texts)
+        self.row = np.repeat(np.arange(self.n), np.array([len(i) for i in ids[1:]], np.int64))
+
+    def only(self, kept: np.ndarray) -> Bags:
+        """The same documents over the words that are kept."""
+        out, some = copy(self), kept[self.ids]
+        out.ids, out.values, out.row = (np.cumsum(kept) - 1)[self.ids[some]], self.values[some], self.row[some]
+        return out
+
+    def squares(self, size: int) -> np.ndarray:
+        """The mean square of each word's weight over the documents, over their number."""
+        return np.bincount(self.ids, self.values**2, size) / self.n**2
 
     def margins(self, w: np.ndarray, bias: float) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.ids], self.n) + bias
@@ -86,8 +105,15 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> tuple[dic
     vocabulary = {w: i for i, w in enumerate(words)}
     pos, unl, size = Bags(positive, vocabulary), Bags(unlabelled, vocabulary), len(words)
     w = np.append(np.zeros(size), np.log(prior / (1 - prior)))
+    # of the slope at the start, which is prior * (mean of the unlabelled - mean of the positives)
+    error = prior * np.sqrt(pos.squares(size) + unl.squares(size))
     first, second = np.zeros(size + 1), np.zeros(size + 1)
     for step in range(1, STEPS + REFIT + 1):
+        if step == STEPS + 1:  # words that say too little have no weight at all; the others are fitted without a penalty
+            kept = w[:-1] != 0
+            words, some = [words[i] for i in np.flatnonzero(kept)], np.append(kept, True)
+            pos, unl, size = pos.only(kept), unl.only(kept), len(words)
+            w, first, second = w[some], first[some], second[some]
         g, u = pos.margins(w[:-1], w[-1]), unl.margins(w[:-1], w[-1])
         clean = softplus(u).mean() - prior * softplus(g).mean()
         # slopes of the toxic part, and of the clean part
@@ -97,11 +123,8 @@ def train(positive: list[str], unlabelled: list[str], prior: float) -> tuple[dic
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         pace = RATE / (np.sqrt(second / (1 - 0.999**step)) + 1e-6)
         w -= pace * first / (1 - 0.9**step)
-        if step <= STEPS:  # words that say too little get no weight at all
-            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - pace[:-1] * SPARSE, 0)
-            some = np.append(w[:-1] != 0, True)
-        else:  # and the others theirs without a penalty
-            w *= some
+        if step <= STEPS:
+            w[:-1] = np.sign(w[:-1]) * np.maximum(np.abs(w[:-1]) - pace[:-1] * np.minimum(SPARSE, STRICT * error), 0)
     return dict(zip(words, w[:-1].tolist(), strict=True)), float(w[-1])
 
 

@@ -189,6 +189,35 @@ def test_steps_follow_the_non_negative_risk():
         assert abs((sum(parts(w + d)[:2]) - sum(parts(w - d)[:2])) / 2e-6 - slope[k]) < 1e-6
 
 
+def test_toxicity_learns_rare_families_of_words():
+    import random
+
+    import numpy as np
+
+    from paceline.llm import toxicity as X
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(1_500)]
+    family = ["zuqa" + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(20)]
+
+    def text(kind):
+        out = rng.choices(words, k=120)
+        return " ".join(out + (rng.choices(["vilest", "rotten"], k=4) if kind == 1 else rng.sample(family, 3) if kind == 2 else []))
+
+    # a tenth is toxic, and one in ten of these by a word of the family alone
+    toxic = lambda: 2 if rng.random() < 0.1 else 1
+    some = lambda: toxic() if rng.random() < 0.1 else 0
+    weights, bias = X.train([text(toxic()) for _ in range(600)], [text(some()) for _ in range(3_000)], 0.1)
+
+    def margin(t):
+        names, x = X.counts_of(t)
+        return sum(weights.get(w, 0.0) * v for w, v in zip(names, x, strict=True)) + bias
+
+    rare, clean = [margin(text(2)) for _ in range(100)], [margin(text(0)) for _ in range(300)]
+    assert sum(m > max(clean) for m in rare) >= 95 and sum(X.sigmoid(np.array(rare)) >= X.THRESHOLD) >= 90
+    assert all(weights.values())
+
+
 def test_toxicity_finds_what_it_never_saw(spark):
     import random
 
