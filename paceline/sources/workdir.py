@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: By this setting Spark deletes the shuffle files of an execution when it ends, not when the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,7 +34,13 @@ def scratch(spark: SparkSession) -> str:
 
 def stored(df: DataFrame) -> DataFrame:
     """df as a table in that folder, read again: what uses it several times computes it once, and lost executors never
-    recompute what came before. The table goes when the application ends, as what is returned lazily may still read it."""
-    path = scratch(df.sparkSession)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    recompute what came before. The shuffle files of what is stored go at once, as nothing reads them again. The table goes
+    when the application ends, as what is returned lazily may still read it."""
+    spark, path = df.sparkSession, scratch(df.sparkSession)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -125,6 +125,24 @@ def test_sketches_merge_within_their_error(spark):
     assert profile.merged(profile.length_sketches(d.limit(0))).count() == 0
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from paceline.sources import workdir
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for k in range(files.size()) if (f := files.apply(k).getName()).startswith("shuffle_")}
+
+    old, kept = shuffled(), spark.conf.get(workdir.CLEANUP)
+    d = workdir.stored(spark.range(10_000).repartition(7, "id").withColumn("k", F.col("id") % 10))
+    until = time.time() + 5
+    while shuffled() - old and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffled() - old and spark.conf.get(workdir.CLEANUP) == kept
+    assert d.groupBy("k").count().filter("count = 1000").count() == 10
+
+
 def test_quantiles_of_many_rows_are_exact(spark, tmp_path):
     from __spark_entry__ import oracle_sql, queries
     import duckdb
