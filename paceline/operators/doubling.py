@@ -4,7 +4,8 @@ Places count downwards from the longest sample. A group that ends at place q is
 q + max(budget div length(q), 1), or at the last place of its window: a pointer of each place, known from its own row.
 Groups of a window are the path from place 0. Pointers are doubled by joining them with themselves, and each doubling
 doubles what is known of all paths, so a window of g groups takes log2(g) rounds of joins on (window, place). No window
-is gathered; only the number of windows that go on comes to the driver. A cap on patches makes a group's limit depend on
+is gathered; only the number of windows that go on comes to the driver, and tables that grow with the rows are joined by
+sorting, never broadcast: packed as Parquet they look small, and the driver would get them anew in each round. A cap on patches makes a group's limit depend on
 more than its place, so windows with one are left to segment.greedy_groups.
 """
 
@@ -24,13 +25,13 @@ def _paths(pointers: DataFrame, ends: DataFrame, by: tuple[str, ...]) -> DataFra
     on = lambda d, name: d.select(*by, F.col("q").alias(name), F.col("to").alias(f"{name}_to"))
     path = ends.select(*by, F.lit(0).cast("long").alias("q"), F.lit(0).cast("long").alias("t"))
     path, step = stored(path), 1
-    while not ends.join(path.withColumnRenamed("q", "end"), [*by, "end"], "left_anti").isEmpty():
+    while not ends.join(path.withColumnRenamed("q", "end").hint("merge"), [*by, "end"], "left_anti").isEmpty():
         to = F.coalesce(F.col("p_to"), F.col("end"))
-        more = path.join(ends, list(by)).filter("q < end").join(on(pointers, "p").withColumnRenamed("p", "q"), [*by, "q"], "left")
+        more = path.join(ends, list(by)).filter("q < end").join(on(pointers, "p").withColumnRenamed("p", "q").hint("merge"), [*by, "q"], "left")
         more = more.select(*by, to.alias("q"), (F.col("t") + step).alias("t"))
         # several places may reach the last one; the first to do so is its group
         path = stored(path.unionByName(more).groupBy(*by, "q").agg(F.min("t").alias("t")))
-        far = on(pointers, "a").join(on(pointers, "b").withColumnRenamed("b", "a_to"), [*by, "a_to"])
+        far = on(pointers, "a").join(on(pointers, "b").withColumnRenamed("b", "a_to").hint("merge"), [*by, "a_to"])
         pointers, step = stored(far.select(*by, F.col("a").alias("q"), F.col("b_to").alias("to"))), 2 * step
     return path
 
@@ -46,8 +47,8 @@ def greedy_groups(rows: DataFrame, budget: int, by: tuple[str, ...] = BY, order:
     path = _paths(pointers, ends, by)
     sizes = path.groupBy(*by).agg((F.max("t") + 1).alias("n_groups"))
     before = path.select(*by, (F.col("t") + 1).alias("t"), (F.col("q") + 1).alias("begin"))
-    groups = path.join(before, [*by, "t"], "left")
+    groups = path.join(before.hint("merge"), [*by, "t"], "left")
     # a group has at most `budget` places
     places = groups.select(*by, "t", F.explode(F.sequence(F.coalesce("begin", F.lit(0).cast("long")), F.col("q"))).alias("q"))
-    out = d.join(places, [*by, "q"]).join(sizes, list(by)).join(ends, list(by))
+    out = d.join(places.hint("merge"), [*by, "q"]).join(sizes, list(by)).join(ends, list(by))
     return out.select(*by, "sample_id", "length", "n_patches", order, (F.col("end") - F.col("q")).alias("pos"), (F.col("n_groups") - 1 - F.col("t")).alias("group_idx"), "n_groups")

@@ -1,6 +1,7 @@
 """Segmentation by pointer doubling against the fold and the recurrence over ends."""
 
 import random
+import re
 
 from test_planner import closed_groups
 
@@ -26,3 +27,14 @@ def test_a_window_of_100_000(spark):
     df = spark.createDataFrame([(0, 0, i, x, 0, i) for i, x in enumerate(lengths)], SCHEMA)
     got = doubling.greedy_groups(df, 4096, per_range=30_000).groupBy("group_idx").count().collect()
     assert [r["count"] for r in sorted(got)] == closed_groups(lengths, 4096)
+
+
+def test_places_are_never_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame([(0, 0, i, 1 + i % 50, 0, i) for i in range(400)], SCHEMA)
+    plans, stored = [], doubling.stored
+    plan = lambda d: plans.append(d._jdf.queryExecution().executedPlan().toString()) or d
+    monkeypatch.setattr(doubling, "stored", lambda d: stored(plan(d)))
+    assert plan(doubling.greedy_groups(df, 100)).count() == 400
+    joins = [keys for p in plans for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", p)]
+    assert sum("SortMergeJoin" in p for p in plans) > 4
+    assert joins and not [k for k in joins if re.search(r"\b(q|t|end|a_to)#", k)]
