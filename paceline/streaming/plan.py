@@ -18,7 +18,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from paceline.operators.planner import cut_groups
 from paceline.operators.windows import ramp
 from paceline.sources.samples import document_samples
-from paceline.sources.workdir import scratch
+from paceline.sources.workdir import scratch, stored
+
+#: Rows of a file of arrivals, and files at least.
+FILE_ROWS, FILES = 50_000, 6
 
 OUT = "rank int, round long, group_idx long, size long, tokens long, sample_ids array<long>"
 
@@ -71,8 +74,9 @@ def plan_documents(spark: SparkSession, sf_dir: str, world: int, window: int, bu
 
 
 def plan_uneven(spark: SparkSession, sf_dir: str, samples: DataFrame, config) -> DataFrame:
-    """Canonical samples as a stream of files in no order, planned over all ranks: (kind, rank, round, slot, step, size,
-    total_size, total_tokens)."""
+    """Canonical samples as a stream of files, planned over all ranks: (kind, rank, round, slot, step, size, total_size,
+    total_tokens). A file holds a range of arrivals of all ranks, in no order, so that what waits in state is about a file
+    and not a share of the job."""
     from paceline.streaming.ranks import OUT as RANKS
     from paceline.streaming.ranks import plan_ranks
 
@@ -82,7 +86,8 @@ def plan_uneven(spark: SparkSession, sf_dir: str, samples: DataFrame, config) ->
     ends = every.join(s.groupBy("rank").agg((F.max("seq") + 1).alias("seq")), "rank", "left")
     ends = ends.select(F.lit(0).cast("long").alias("job"), F.lit(0).cast("long").alias("epoch"), "rank", F.coalesce("seq", F.lit(0).cast("long")).alias("seq"), none.cast("long").alias("sample_id"), none.cast("long").alias("length"), none.cast("long").alias("n_patches"), none.cast("string").alias("error"))
     base = scratch(spark)
-    s.unionByName(ends).repartition(6).write.parquet(f"{base}/in")
+    every = stored(s.unionByName(ends))
+    every.repartitionByRange(max(FILES, -(-every.count() // FILE_ROWS)), "seq").write.parquet(f"{base}/in")
     rows = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     run = plan_ranks(rows, config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()

@@ -537,3 +537,19 @@ def test_a_missing_flip_fails(spark):
     groups = spark.createDataFrame([(0, 0, 0, 1, 5, 1), (1, 0, 0, 1, 5, 1)], "round long, rank int, aligned_idx long, size long, tokens long, target long")
     with pytest.raises(Exception, match="no flip for round 1"):
         align.flipped(groups, flip_table(spark, "balanced", 1, 1, 1)).collect()
+
+
+def test_files_of_the_stream_hold_ranges_of_arrivals(spark, monkeypatch):
+    from paceline.streaming import plan as P
+
+    paths, scratch = [], P.scratch
+    monkeypatch.setattr(P, "scratch", lambda s: paths.append(scratch(s)) or paths[-1])
+    df, rows = _samples(spark, (70, 33, 5, 0), seed=6, zero=2)
+    got = P.plan_uneven(spark, "", df, PlanConfig(2048, 16, 4, group_order_flip="balanced"))
+    assert got.filter("kind = 'group'").count() > 10
+    from pyspark.sql import functions as F
+
+    files = spark.read.parquet(f"{paths[0]}/in").groupBy(F.input_file_name()).agg(F.min("seq").alias("a"), F.max("seq").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+    ends = sorted((r.a, r.b) for r in files)
+    assert sum(r.n for r in files) == len(rows) + 4 and len(files) > 3
+    assert all(b < a for (_, b), (a, _) in zip(ends, ends[1:], strict=False))
