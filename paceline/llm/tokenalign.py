@@ -1,12 +1,11 @@
 """Alignment of two tokenizers: groups of tokens that cover the same bytes, and links between tokens that overlap.
 
-Python only tokenises: a byte-level BPE (A) and a piece BPE with byte fallback (B), each text to ids and to the byte
-offsets at which tokens end. All else are array functions in the JVM. Ends that both have (array_intersect) cut the text
-into groups; most tokens end so. The few ends that one side has alone are sorted and placed among the common ones by
-halving: they join the tokens of their own side to one group, and each is a second link of the token of the other side
-that covers it. So ids are cut into slices at those few places, and nothing is done for each token but joining its slice.
+Tasks tokenise and align portions of documents: a byte-level BPE (A) and a piece BPE with byte fallback (B), each distinct
+word of a portion once. Both sides' tokens end at byte offsets; ends that both have cut the bytes into groups, and between
+two neighbouring ends of either side one token of A and one of B overlap, which is a link. Words are cut where tokens of
+both sides begin anew, so groups and links of a document are those of its words behind each other.
 
-A pair of ids counts in how many documents it is linked. Pairs that make a fixed share of all are few by counting and
+Spark counts in how many documents a pair of ids is linked. Pairs that make a fixed share of all are few by counting and
 are broadcast; the others, each in few documents, are joined by key, so no pair gathers its documents in one task.
 
 Texts that are null or empty, or that a tokenizer doesn't give back byte by byte, have no tokens: zeros, no group string.
@@ -16,28 +15,32 @@ columns are left behind.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paceline.llm.common import computed, cut
+from paceline.llm.common import cut
 from paceline.llm.workers import portions, tidy
 
 #: Where the vocabularies are on the driver; tasks get them from it.
 VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Bytes of text that are tokenised at once.
+#: Bytes of text that are tokenised and aligned at once.
 PORTION = 1 << 22
 #: A pair that makes more than one in so many linked pairs is broadcast.
 OFTEN = 100_000
 
-TOKENS = "doc_id long, a array<int>, a_end array<int>, b array<int>, b_end array<int>"
+#: links holds a * 2^32 + b of each linked pair of occurrences.
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string, links array<long>"
 # How A splits text before merging, and where words can be cut apart for either tokenizer.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 APART = re.compile(r"(?s)(?<=[!-~]) (?=.)")
@@ -51,6 +54,30 @@ def byte_of_letter() -> dict[str, int]:
     return {**{chr(b): b for b in plain}, **{chr(256 + k): b for k, b in enumerate(other)}}
 
 
+def _upto(n: np.ndarray) -> np.ndarray:
+    """Running sums with a 0 before them."""
+    return np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+
+
+def _sums(x: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of x over parts of these lengths."""
+    return np.diff(_upto(x)[_upto(counts)])
+
+
+def _behind(flat: np.ndarray, n: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The parts of `flat` with these numbers behind each other; n has the lengths of all parts."""
+    begin, take = _upto(n)[codes], n[codes]
+    upto = _upto(take)
+    return flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], take)]
+
+
+def _joined(pieces: pa.LargeBinaryArray, n: np.ndarray) -> pa.LargeBinaryArray:
+    """Strings of so many pieces each."""
+    _, at, held = pieces.buffers()
+    cuts = np.frombuffer(at, np.int64)[_upto(n)] if len(pieces) else np.zeros(len(n) + 1, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(cuts), held])
+
+
 class Pair:
     """Both tokenizers in a worker. Texts are cut at single spaces behind a printable ASCII character, at which tokens of
     either side begin anew, and each distinct word of a portion is tokenised once."""
@@ -71,31 +98,63 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁", p) for p in pieces):
             raise ValueError("pieces of B span words")
-        self.a_bytes = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int32) for t in (self.a_bytes, self.b_bytes))
+        a_bytes = [t for t, _ in sorted(ranks.items(), key=lambda x: x[1])]
+        b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
+        self.a_bytes, self.b_bytes = (pa.array(t, pa.large_binary()) for t in (a_bytes, b_bytes))
+        self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (a_bytes, b_bytes))
+        # decimal ids as in a group string: before a token of the same side and group, or behind the last one
+        spelt = [b"%d%s" % (i, sign) for n, last in ((len(a_bytes), b"|"), (len(b_bytes), b";")) for i in range(n) for sign in (b",", last)]
+        self.spelt = pa.array(spelt, pa.large_binary())
+
+    def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Numbers of the words of all texts behind each other, and how many each text has; none where either side doesn't
+        give the text back. Of each side the ids of all distinct words, and how many each word has; none where either
+        side doesn't give the word back."""
+        parts = [APART.split(t) if t else [] for t in texts]
+        every, counts = list(chain.from_iterable(parts)), np.array([len(x) for x in parts], np.int64)
+        number = {w: k for k, w in enumerate(dict.fromkeys(every))}
+        codes = np.fromiter(map(number.__getitem__, every), np.int64, len(every))
+        spaced = [" " + w for w in number]
+        whole, sides = np.ones(len(number), bool), []
+        for lists, table in ((list(map(self.a.encode_ordinary, spaced)), self.a_bytes), (self.b.encode(list(number), num_threads=1), self.b_bytes)):
+            n = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum()))
+            whole &= pc.equal(_joined(table.take(pa.array(ids)), n), pa.array(spaced, pa.large_string()).cast(pa.large_binary())).to_numpy(zero_copy_only=False).astype(bool)
+            sides.append((ids, n))
+        wrong, at = _upto(~whole[codes]), _upto(counts)
+        good = wrong[at[1:]] == wrong[at[:-1]]
+        return codes[np.repeat(good, counts)], counts * good, [(ids[np.repeat(whole, n)], n * whole) for ids, n in sides]
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Of each side the ids of all texts behind each other, and how many each text has; none where either side
         doesn't give the text back."""
-        parts = [APART.split(t) if t else [] for t in texts]
-        number: dict[str, int] = {}
-        codes = np.fromiter((number.setdefault(w, len(number)) for x in parts for w in x), np.int64)
-        words, counts = list(number), np.array([len(x) for x in parts], np.int64)
-        a, b = [self.a.encode_ordinary(" " + w) for w in words], self.b.encode(words, num_threads=1)
-        spelt = lambda table, ids: b"".join([table[i] for i in ids])
-        whole = np.array([spelt(self.a_bytes, x) == spelt(self.b_bytes, y) == b" " + w.encode() for x, y, w in zip(a, b, words, strict=True)], bool)
-        wrong, at = np.concatenate([[0], np.cumsum(~whole[codes])]), np.concatenate([[0], np.cumsum(counts)])
-        good = wrong[at[1:]] == wrong[at[:-1]]
-        codes = codes[np.repeat(good, counts)]
-        cuts, out = np.concatenate([[0], np.cumsum(counts * good)]), []
-        for lists in (a, b):
-            size = np.fromiter(map(len, lists), np.int64, len(lists))
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(size.sum()))
-            n = size[codes]
-            upto = np.concatenate([[0], np.cumsum(n)])
-            out.append((flat[np.arange(upto[-1]) + np.repeat((np.cumsum(size) - size)[codes] - upto[:-1], n)], np.diff(upto[cuts])))
-        return out
+        codes, counts, sides = self.words(texts)
+        return [(_behind(ids, n, codes), _sums(n[codes], counts)) for ids, n in sides]
+
+    def align(self, texts: list[str]) -> tuple[list[np.ndarray], list[str], np.ndarray, np.ndarray]:
+        """Of each text the numbers of tokens of A, of B and of groups, and the hash of its groups; the links of all texts
+        behind each other, and how many each text has."""
+        codes, counts, ((a, n_a), (b, n_b)) = self.words(texts)
+        # distinct words behind each other have as many bytes on either side, so that their ends can be compared
+        a_end, b_end = np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b])
+        ends = np.sort(np.concatenate([a_end, b_end]), kind="stable")
+        ends = ends[np.diff(ends, prepend=0) > 0]
+        a_at, b_at = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        links = a[a_at].astype(np.int64) << 32 | b[b_at]
+        both = (a_end[a_at] == ends) & (b_end[b_at] == ends)
+        a_last, b_last = np.zeros(len(a), bool), np.zeros(len(b), bool)
+        a_last[a_at[both]], b_last[b_at[both]] = True, True
+        n_groups = _sums(a_last, n_a)
+        n_links = n_a + n_b - n_groups
+        # a group has its tokens of A, then those of B: each stands behind the other side's tokens of the groups before
+        a_cuts, b_cuts = _upto(np.diff(np.flatnonzero(a_last), prepend=-1)), _upto(np.diff(np.flatnonzero(b_last), prepend=-1))
+        spelt = np.empty(len(a) + len(b), np.int64)
+        spelt[np.arange(len(a)) + b_cuts[np.cumsum(a_last) - a_last]] = 2 * a.astype(np.int64) + a_last
+        spelt[np.arange(len(b)) + a_cuts[np.cumsum(b_last) - b_last + 1]] = 2 * (len(self.a_size) + b.astype(np.int64)) + b_last
+        groups = _joined(_joined(self.spelt.take(pa.array(spelt)), n_a + n_b).take(pa.array(codes)), counts)
+        at, held = np.frombuffer(groups.buffers()[1], np.int64), memoryview(groups.buffers()[2] or b"")
+        shas = [hashlib.sha256(held[i : j - 1]).hexdigest() if j > i else "" for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        return [_sums(n[codes], counts) for n in (n_a, n_b, n_groups)], shas, _behind(links, n_links, codes), _sums(n_links[codes], counts)
 
 
 _pairs: dict[int, Pair] = {}
@@ -110,69 +169,19 @@ def pair_of(files: tuple[bytes, bytes]) -> Pair:
     return _pairs[key]
 
 
-def _ends(size: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-    """Running sums of sizes, from 0 in each part."""
-    total = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-    return (total[1:] - np.repeat(total[cuts[:-1]], np.diff(cuts))).astype(np.int32)
-
-
-def _lists(flat: np.ndarray, cuts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(flat))
-
-
-def tokenised(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
-    """(doc_id, a, a_end, b, b_end): ids of each side and the byte offsets in " " + text at which tokens end."""
+def aligned(docs: DataFrame, vocabularies: str = VOCABULARIES) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, groups_sha256, links) of each document."""
     read = lambda name: open(os.path.join(vocabularies, name), "rb").read()  # noqa: E731, SIM115
     files = docs.sparkSession.sparkContext.broadcast((read(A_FILE), read(B_FILE)))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(files.value)
         for batch in portions(batches, "text", PORTION):
-            columns = [batch.column("doc_id")]
-            for (ids, n), sizes in zip(pair.encode([t or "" for t in batch.column("text").to_pylist()]), (pair.a_size, pair.b_size), strict=True):
-                cuts = np.concatenate([[0], np.cumsum(n)])
-                columns += [_lists(ids, cuts), _lists(_ends(sizes[ids], cuts), cuts)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a", "a_end", "b", "b_end"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(apply), TOKENS)
-
-
-def _pieces(ids: Column, cuts: str, again: int) -> Column:
-    """ids in pieces that end with the elements at `cuts`; the next piece begins with the same element (again = 1) or with
-    the one after it (0)."""
-    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(cuts, k - 1) + (1 - again))
-    end = lambda k: F.coalesce(F.get(cuts, k), F.size(ids) - 1)
-    return F.transform(F.sequence(F.lit(0), F.size(cuts)), lambda k: F.slice(ids, begin(k) + 1, end(k) - begin(k) + 1))
-
-
-def aligned(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_a, n_b, n_groups, groups_sha256, links): links holds a * 2^32 + b of each linked pair of occurrences."""
-    d = computed(tokens, common=F.array_intersect("a_end", "b_end"))
-    steps = F.ceil(F.log2(F.size("common") + 1)).cast("int")
-    halves = F.when(F.size("common") > 0, F.transform(F.sequence(F.lit(1), steps), lambda k: F.call_function("shiftleft", F.lit(1), steps - k)))
-    # ends that one side has alone, in order: end * 2^32 + 2 * number among those of its side + side
-    lone = lambda c, side: F.transform(F.array_except(c, "common"), lambda e, k: F.shiftleft(e.cast("long"), 32) + (2 * k + side))
-    d = computed(d, lone=F.sort_array(F.concat(lone("a_end", 0), lone("b_end", 1))), halves=halves)
-
-    below = lambda end: F.aggregate("halves", F.lit(0), lambda lo, h: F.when(F.get("common", lo + h - 1) < end, lo + h).otherwise(lo))
-    d = computed(d, before=F.transform("lone", lambda x: below(F.shiftright(x, 32).cast("int"))))
-
-    def place(x: Column, j: Column) -> Column:
-        """The side of a lone end, the number of its token there, and of the token of the other side that covers it: the
-        ends below are common ones, k of the own side and j - k of the other."""
-        k = F.shiftright(x.bitwiseAND((1 << 32) - 1), 1).cast("int")
-        return F.struct(x.bitwiseAND(1).alias("side"), (F.get("before", j) + k).alias("own"), (F.get("before", j) + j - k).alias("other"))
-
-    d = computed(d, places=F.transform("lone", place))
-    some = lambda side, name: F.transform(F.filter("places", lambda x: x["side"] == side), lambda x: x[name])
-    d = computed(d, a_lone=some(0, "own"), b_lone=some(1, "own"), a_again=some(1, "other"), b_again=some(0, "other"), a_text=F.col("a").cast("array<string>"), b_text=F.col("b").cast("array<string>"))
-    parted = lambda side: F.split(F.array_join(F.transform(_pieces(F.col(f"{side}_text"), f"{side}_lone", 0), lambda p: F.array_join(p, ";")), ","), ";")
-    groups = F.array_join(F.zip_with(parted("a"), parted("b"), lambda p, q: F.concat(p, F.lit("|"), q)), ";")
-    # a token repeats for each lone end of the other side within it, so that both sides have one element a link
-    again = lambda side: F.flatten(_pieces(F.col(side), f"{side}_again", 1))
-    links = F.zip_with(again("a"), again("b"), lambda p, q: F.shiftleft(p.cast("long"), 32).bitwiseOR(q.cast("long")))
-    n = lambda c: F.size(c).cast("long")
-    return d.select("doc_id", n("a").alias("n_a"), n("b").alias("n_b"), n("common").alias("n_groups"), F.when(F.size("a") > 0, F.sha2(groups.cast("binary"), 256)).otherwise("").alias("groups_sha256"), F.when(F.size("a") > 0, links).otherwise(F.array().cast("array<bigint>")).alias("links"))
+            numbers, shas, links, n = pair.align([t or "" for t in batch.column("text").to_pylist()])
+            lists = pa.ListArray.from_arrays(pa.array(_upto(n), pa.int32()), pa.array(links))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, numbers), pa.array(shas, pa.string()), lists], names=[x.split()[0] for x in ALIGNED.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(apply), ALIGNED)
 
 
 def pair_counts(held: DataFrame) -> DataFrame:
@@ -186,7 +195,7 @@ def pair_counts(held: DataFrame) -> DataFrame:
 
 def align(docs: DataFrame, vocabularies: str = VOCABULARIES, often: int = OFTEN) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each document."""
-    held = cut(aligned(tokenised(docs, vocabularies)).withColumn("row", F.monotonically_increasing_id()))
+    held = cut(aligned(docs, vocabularies).withColumn("row", F.monotonically_increasing_id()))
     counts = cut(pair_counts(held))
     least = (counts.agg(F.sum("n")).first()[0] or 0) // often
     one = held.select("row", F.explode("links").alias("link"))

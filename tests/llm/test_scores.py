@@ -167,6 +167,36 @@ def test_words_are_tokenised_as_within_their_texts():
             assert [next(ids) for _ in range(n[k])] == ([i for i, _ in side] if same else [])
 
 
+def test_portions_are_aligned_as_plain_python_aligns_texts():
+    """Groups and links of words put together are those of whole texts, without Spark's part."""
+    import random
+
+    from paceline.llm import tokenalign as T
+
+    whole, rng = Tokenizers(), random.Random(4)
+    pair = T.Pair(*(open(f"{T.VOCABULARIES}/{f}", "rb").read() for f in (T.A_FILE, T.B_FILE)))
+    signs = ["a", "b'", "s", "ing", "tokenis", " ", "  ", "\n", "é", ".", "1", "日本", " the", "ﬁ", "x" * 40]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 25))) for _ in range(400)]
+    (n_a, n_b, n_groups), shas, links, n = pair.align(texts)
+    want, at = aligned([(k, t) for k, t in enumerate(texts)]), 0
+    assert [x[1:5] + x[7:] for x in want] == list(zip(n_a.tolist(), n_b.tolist(), n_groups.tolist(), n.tolist(), shas, strict=True))
+    assert any(x[1] == 0 for x in want) and any(x[4] > x[3] for x in want)
+    for t, k in zip(texts, n.tolist(), strict=True):
+        some, at = links[at : at + k], at + k
+        if k:
+            a, b = map(ranges, whole.of(t))
+            assert some.tolist() == [(x << 32) + y for x, p, q in a for y, r, u in b if p < u and r < q]
+    assert at == len(links) and [len(x) for x in pair.align([])[1:]] == [0, 0, 0]
+
+
+def test_alignment_interprets_no_array_function_for_each_token(spark):
+    """Array functions with lambdas over a document's tokens took most of the time; tasks give documents aligned."""
+    from paceline.llm import tokenalign
+
+    plan = tokenalign.aligned(docs(spark, prose(7, 3)))._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and not re.search("Generate|lambda|array_intersect|transform", plan)
+
+
 def test_steps_follow_the_non_negative_risk():
     """The slope of a step is that of the risk, by differences, where the clean part is positive."""
     import numpy as np
