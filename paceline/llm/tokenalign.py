@@ -35,7 +35,7 @@ from paceline.llm.workers import portions, tidy
 VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that are tokenised and aligned at once.
-PORTION = 1 << 22
+PORTION = 1 << 21
 #: A pair that makes more than one in so many linked pairs is broadcast.
 OFTEN = 100_000
 
